@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloakwork.functions.columns import settled
 from cloakwork.functions.detection import SPAN, with_candidates
 from cloakwork.functions.masking import decorated
 from cloakwork.functions.overlap import resolved
@@ -46,7 +47,7 @@ def analyze(
         cand = f"if({has_text}, {cand}, cast(array() as array<{SPAN}>))"
     df = df.select(*keep, F.expr(f"array_sort({cand})").alias("_sorted"))
     df = df.select(*keep, F.expr(resolved("_sorted", mode)).alias("_kept"))
-    return df.select(*keep, F.expr(decorated("_kept", f"`{text}`", _labels(rules, external))).alias(out))
+    return settled(df, decorated("_kept", f"`{text}`", _labels(rules, external)), out, ("_kept",))
 
 
 def _labels(rules: list[Rule], external: str | None) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloakwork.functions.columns import settled
 from cloakwork.functions.regex import sql_string
 from cloakwork.functions.tokens import TOKEN_JAVA, TOKEN_TYPE_JAVA, restore
 from cloakwork.plans.skew import join_hot
@@ -16,7 +17,7 @@ _MARK = "\x01"
 
 def demask(df: DataFrame, text: str = "masked_text", pairs: str = "token_map") -> DataFrame:
     """Restore ``text`` from a token map in the same row: adds ``original_text, entities_restored``."""
-    done = df.withColumn("_done", F.expr(restore(f"`{text}`", f"`{pairs}`")))
+    done = settled(df, restore(f"`{text}`", f"`{pairs}`"), "_done")
     return done.select(
         *df.columns,
         F.col("_done.text").alias("original_text"),

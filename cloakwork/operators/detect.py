@@ -119,7 +119,7 @@ def above_threshold(spans: DataFrame, threshold: float = MODEL_THRESHOLD) -> Dat
 
 def luhn_valid(spans: DataFrame, value: str = "value") -> DataFrame:
     """Spans whose digits pass the Luhn check."""
-    return spans.filter(F.luhn_check(F.regexp_replace(value, r"\D", "")))
+    return spans.filter(F.expr(f"luhn_check(regexp_replace(`{value}`, '[^0-9]', ''))"))
 
 
 def with_external(

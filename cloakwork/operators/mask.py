@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloakwork.functions.columns import settled
 from cloakwork.functions.masking import STRATEGIES, numbered, spliced
 from cloakwork.operators.analyze import analyze, of_types
 from cloakwork.sources.rules import Rule
@@ -36,7 +37,7 @@ def mask_table(
     keep = [F.col(f"`{c}`") for c in df.columns if c != "session_id"]
     out = analyze(df, text, rules, external, mode, "_found")
     out = out.select("*", F.expr(of_types("_found", entities_to_mask, entities_column)).alias("_chosen"))
-    out = out.select("*", F.expr(numbered("_chosen", strategy, salt)).alias("_num"))
+    out = settled(out, numbered("_chosen", strategy, salt), "_num", ("_found", "_chosen"))
     pairs = "transform(_num, f -> named_struct('token', f.token, 'value', f.text))"
     if strategy == "TOKENIZE":
         pairs = f"array_distinct({pairs})"

@@ -1 +1,420 @@
-ORACLES = {}
+"""The DuckDB statement for each registered query."""
+
+from __future__ import annotations
+
+from cloakwork.plans import oracles as o
+from cloakwork.plans.derived import AS_OF, EVENT_TOKENS, EVENT_TTL, FINDINGS, MODEL_LABELS, OP_OF_EVENT
+from cloakwork.plans.queries import DETECTORS, GHOST, URL_RULE
+from cloakwork.functions.masking import SYNTHETIC_OTHER, SYNTHETIC_VALUES
+from cloakwork.sources.labels import LABEL_TYPES
+from cloakwork.sources.rules import Rule, active_rules, default_rules, extend_rules, without_rules
+
+ORACLES: dict[str, str] = {}
+
+
+def _sql(*ctes: str, select: str) -> str:
+    return "WITH RECURSIVE " + ",\n    ".join(c for c in ctes if c) + f"\n{select}"
+
+
+def _mask(source: str, select: str, **kw) -> str:
+    if source == "contacts":
+        kw.setdefault("first", o.CONTACTS)
+    if source == "pages":
+        kw.update(key="page_id", text="html")
+    return o.mask_oracle(source, select, **kw)
+
+
+def _spans(source: str, select: str, rules: list[Rule] | None = None, first: str = "") -> str:
+    if source == "contacts":
+        first = o.CONTACTS
+    kw = {"key": "page_id", "text": "html"} if source == "pages" else {}
+    return _sql(first, o.matches_cte(source, rules=rules, **kw), select=select)
+
+
+_SPAN = "s AS span_start, e AS span_end"
+
+# ------------------------------------------------------------------ sources and sinks
+
+ORACLES["a1_text_source"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS source_table, count({c}) AS n_texts, CAST(sum(length({c})) AS BIGINT) AS n_chars, "
+    f"count(*) FILTER (WHERE trim({c}) = '') AS n_blank FROM {t}"
+    for t, c in (("documents", "text"), ("pages", "html"), ("benchmark", "text"), ("conversations", "text"))
+)
+ORACLES["a2_masked_sink"] = _mask(
+    "documents",
+    """SELECT d.doc_id, d.lang, d.source, d.n_chars, m.masked_text, m.n_found AS entities_found,
+       CAST(d.doc_id AS VARCHAR) AS session_id FROM documents d JOIN masked m USING (doc_id)""",
+)
+ORACLES["a3_vault_sink"] = _mask(
+    "contacts", "SELECT CAST(doc_id AS VARCHAR) AS session_id, ord, token, value FROM toks"
+)
+_all_rules = ", ".join(f"({r.ord}::BIGINT, '{r.entity_type}', '{r.pattern}', {str(r.enabled).lower()})" for r in default_rules())
+ORACLES["a4_rule_source"] = _spans(
+    "documents",
+    f"""SELECT r.ord, r.entity_type, r.pattern, r.enabled, count(c.ord) AS n_matches
+       FROM (VALUES {_all_rules}) r(ord, entity_type, pattern, enabled) LEFT JOIN cand c ON c.ord = r.ord GROUP BY ALL""",
+)
+_labels = ", ".join(f"'{x}'" for x in MODEL_LABELS)
+_types = ", ".join(f"('{a}', '{b}')" for a, b in LABEL_TYPES.items())
+_MODEL = "model AS (" + " UNION ALL ".join(
+    f"""SELECT c_custkey AS doc_id, {rank} AS rank, [{_labels}][(c_custkey + {shift}) % {len(MODEL_LABELS)} + 1] AS label,
+        CAST({start} AS BIGINT) AS s, CAST({start} + {length} AS BIGINT) AS e, CAST({score} AS DOUBLE) AS score FROM customer"""
+    for rank, (start, length, score, shift) in enumerate(FINDINGS)
+) + f""" ),
+    types(label, entity_type) AS (VALUES {_types}),
+    typed AS (SELECT m.*, coalesce(t.entity_type, upper(replace(m.label, ' ', '_'))) AS entity_type
+              FROM model m LEFT JOIN types t USING (label))"""
+ORACLES["a5_external_spans"] = _sql(
+    o.CONTACTS, o.matches_cte("contacts"), _MODEL,
+    select=f"""SELECT doc_id, entity_type, pattern, {_SPAN}, 0.95::DOUBLE AS score FROM cand
+        UNION ALL SELECT doc_id, entity_type, NULL, s, e, score FROM typed""",
+)
+ORACLES["a6_audit_sink"] = _mask(
+    "documents",
+    """SELECT 'mask' AS event_type, CAST(doc_id AS VARCHAR) AS session_id, count(*) AS token_count,
+       string_agg(DISTINCT entity_type, ',' ORDER BY entity_type) AS token_types FROM toks GROUP BY doc_id""",
+)
+ORACLES["a7_stream_source"] = "SELECT conv_id, turn, role, text FROM conversations"
+
+# ------------------------------------------------------------------ detection
+
+_B1 = "SELECT {key}, CAST(ord AS BIGINT) AS ord, entity_type, pattern, " + _SPAN + ", v AS value FROM cand"
+ORACLES["b1_regex_detect"] = _spans("documents", _B1.format(key="doc_id"))
+ORACLES["b1_regex_detect_pages"] = _spans("pages", _B1.format(key="page_id"))
+ORACLES["b1_regex_detect_contacts"] = _spans("contacts", _B1.format(key="doc_id"))
+ORACLES["b10_distinct_texts"] = ORACLES["b1_regex_detect"]
+ORACLES["b2_model_detect"] = _spans(
+    "documents",
+    """SELECT doc_id, 'person' AS label, 'PERSON' AS entity_type, 0.75::DOUBLE AS score, s AS span_start,
+       e - 1 AS span_end FROM cand""",
+    rules=[Rule(0, "PERSON", "stub", r"[a-z]+\.[0-9]+@")],
+)
+ORACLES["b3_label_map"] = _sql(
+    _MODEL, select="SELECT label, entity_type, count(*) AS n_spans FROM typed GROUP BY ALL"
+)
+ORACLES["b4_threshold"] = _sql(
+    _MODEL, select=f"SELECT doc_id, label, score, {_SPAN} FROM typed WHERE score >= 0.5"
+)
+_BOTH = f"""bare AS (SELECT doc_id, ord, entity_type, pattern, s, e, v FROM cand0),
+    cand AS (SELECT doc_id, ord, entity_type, pattern, s, e, v, 0.95::DOUBLE AS score FROM bare
+             UNION ALL
+             SELECT t.doc_id, t.rank - 10, t.entity_type, NULL, t.s, t.e, substr(c.text, t.s + 1, t.e - t.s), t.score
+             FROM typed t JOIN contacts c USING (doc_id) WHERE t.score >= 0.5)"""
+_WITH_MODEL = (o.CONTACTS, o.matches_cte("contacts").replace("\n    cand AS (", "\n    cand0 AS ("), _MODEL, _BOTH, o.kept_cte())
+ORACLES["b5_analyze"] = _sql(
+    *_WITH_MODEL,
+    select=f"""SELECT doc_id, CAST(step AS BIGINT) AS pos, entity_type, pattern, score, {_SPAN}, v AS value FROM kept""",
+)
+for _name, _kind in DETECTORS.items():
+    _rules = active_rules(entity_types=[_kind])
+    _docs = o.matches_cte("documents", rules=_rules)
+    ORACLES[_name] = f"""SELECT 'documents' AS origin, doc_id, pattern, {_SPAN}, v AS value FROM ({_spans("documents", "SELECT * FROM cand", _rules)})
+        UNION ALL
+        SELECT 'contacts', doc_id, pattern, s, e, v FROM ({_spans("contacts", "SELECT * FROM cand", _rules)})"""
+ORACLES["b8_rule_extension"] = _spans(
+    "pages",
+    _B1.format(key="page_id"),
+    rules=extend_rules(without_rules(default_rules(), [("EMAIL_ADDRESS", "quoted")]), [URL_RULE]),
+)
+ORACLES["b9_luhn"] = _spans(
+    "contacts",
+    f"""SELECT doc_id, pattern, {_SPAN}, v AS value FROM cand WHERE (
+        SELECT sum(CASE WHEN i % 2 = 1 THEN d ELSE CASE WHEN d > 4 THEN 2 * d - 9 ELSE 2 * d END END) % 10 = 0 FROM (
+            SELECT unnest(range(1, length(w) + 1)) AS i,
+                   CAST(unnest(string_split(reverse(w), '')) AS INTEGER) AS d
+            FROM (SELECT regexp_replace(v, '[^0-9]', '', 'g') AS w)))""",
+    rules=active_rules(entity_types=["CREDIT_CARD"]),
+)
+
+# ------------------------------------------------------------------ spans
+
+ORACLES["c1_filter_types"] = _mask(
+    "contacts", "SELECT doc_id, masked_text, n_found FROM masked", where="entity_type IN ('EMAIL_ADDRESS', 'IBAN_CODE')"
+)
+_KEPT = f"SELECT doc_id, entity_type, pattern, {_SPAN}, v AS value FROM kept"
+ORACLES["c2_resolve_overlaps"] = _mask("contacts", _KEPT)
+ORACLES["c2_resolve_longest"] = _mask("contacts", _KEPT, mode="longest")
+ORACLES["c2_resolve_documents"] = _mask(
+    "documents", f"SELECT doc_id, CAST(step AS BIGINT) AS pos, entity_type, pattern, {_SPAN}, v AS value FROM kept"
+)
+ORACLES["c3_islands"] = _spans(
+    "contacts",
+    """SELECT doc_id, CAST(island AS BIGINT) AS island, min(s) AS island_start, max(e) AS island_end, count(*) AS n_spans
+       FROM (SELECT *, sum(CASE WHEN reach IS NULL OR s >= reach THEN 1 ELSE 0 END)
+                       OVER (PARTITION BY doc_id ORDER BY s, e, ord) AS island
+             FROM (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e, ord
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM cand))
+       GROUP BY ALL""",
+)
+ORACLES["c4_order_spans"] = _mask(
+    "contacts", f"SELECT doc_id, ord AS place, entity_type, {_SPAN}, value FROM toks"
+)
+ORACLES["c5_span_count"] = _mask("documents", "SELECT doc_id, n_found AS entities_found FROM masked")
+ORACLES["c6_overlap_counts"] = _spans(
+    "contacts",
+    f"""SELECT a.doc_id, CAST(a.ord AS BIGINT) AS seq, count(*) AS overlaps, a.s AS span_start, a.e AS span_end
+       FROM cand a JOIN cand b ON a.doc_id = b.doc_id AND ((b.s <= a.s AND a.s < b.e) OR (a.s <= b.s AND b.s < a.e))
+       GROUP BY ALL""",
+)
+
+# ------------------------------------------------------------------ masking
+
+_TEXT = "SELECT doc_id, masked_text FROM masked"
+_COUNTED = "SELECT doc_id, masked_text, n_found AS n_entities FROM masked"
+ORACLES["d1_make_token"] = _mask("documents", "SELECT token, count(*) AS n_texts FROM toks GROUP BY token")
+ORACLES["d2_number_tokens"] = _mask("contacts", f"SELECT doc_id, entity_type, n, {_SPAN}, value FROM toks")
+ORACLES["d3_mask"] = _mask("contacts", _TEXT)
+ORACLES["d3_mask_pages"] = _mask("pages", "SELECT page_id, masked_text FROM masked")
+ORACLES["d4_token_map"] = _mask("documents", "SELECT doc_id, ord, token, value FROM toks")
+ORACLES["d5_session_key"] = """SELECT role, count(*) FILTER (WHERE role <> 'user') AS n_generated,
+    count(*) FILTER (WHERE role = 'user') AS n_given FROM conversations GROUP BY role"""
+ORACLES["d6_mask_table"] = _mask("documents", _COUNTED)
+ORACLES["d6_mask_with_model"] = _sql(*_WITH_MODEL, o.masked_cte(), select=_COUNTED)
+ORACLES["d6_mask_training_texts"] = _mask(
+    "documents", _TEXT + " WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)"
+)
+_SHA = "sha256({0})"
+_NUMBER = "CAST(('0x' || substr(sha256({0}), 1, 15)) AS BIGINT)"
+
+
+def _pick(values: list[str]) -> str:
+    listed = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"[{listed}][{_NUMBER.format('v')} % {len(values)} + 1]"
+
+
+ORACLES["d7_redact"] = _mask("documents", _TEXT, stand_in="'[REDACTED]'")
+ORACLES["d8_truncate"] = _mask(
+    "documents",
+    _TEXT,
+    stand_in="""CASE WHEN entity_type = 'EMAIL_ADDRESS' AND contains(v, '@')
+        THEN regexp_replace(v, '@.*\\.', '@***.') ELSE '***' || right(v, 4) END""",
+)
+ORACLES["d9_hash"] = _mask("documents", _TEXT, stand_in=_SHA.format("v"))
+ORACLES["d10_tokenize"] = _mask(
+    "documents",
+    "SELECT token, value, count(DISTINCT doc_id) AS n_texts FROM toks GROUP BY ALL",
+    stand_in="'{{__OWL:' || entity_type || '_' || " + _NUMBER.format("entity_type || ':' || v") + " || '__}}'",
+)
+ORACLES["d11_synthetic"] = _mask(
+    "documents",
+    _TEXT,
+    stand_in="CASE entity_type "
+    + " ".join(f"WHEN '{t}' THEN {_pick(v)}" for t, v in SYNTHETIC_VALUES.items())
+    + f" ELSE {_pick(SYNTHETIC_OTHER)} END",
+)
+
+# ------------------------------------------------------------------ restoring
+
+_REPLIES = f"replies AS (SELECT doc_id AS reply_id, doc_id AS session_id, masked_text || '{GHOST}' AS txt FROM masked)"
+_RESTORED = "SELECT * FROM replayed"
+
+
+def _restored(maps: str) -> str:
+    return _mask("documents", _RESTORED, more=(_REPLIES, f"maps AS ({maps})", o.replay_cte("replies", "maps")))
+
+
+ORACLES["e1_demask"] = _restored("SELECT doc_id AS session_id, ord, token, value FROM toks")
+ORACLES["e2_demask_session"] = _restored("SELECT doc_id AS session_id, ord, token, value FROM toks WHERE doc_id % 3 <> 0")
+ORACLES["e4_demask_precedence"] = _restored(
+    """SELECT doc_id AS session_id, ord, token, CASE WHEN doc_id % 2 = 0 THEN '#' || value ELSE value END AS value
+       FROM toks"""
+)
+_ASKED = f"""SELECT doc_id AS request_id, CAST(doc_id AS VARCHAR) AS session_id, token, value FROM toks WHERE ord = 0
+    UNION ALL SELECT doc_id, CAST(doc_id AS VARCHAR), '{GHOST.strip()}', '{GHOST.strip()}' FROM toks WHERE ord = 0"""
+_LOST = f"""SELECT -doc_id - 1, 'x' || doc_id, token, token FROM toks WHERE ord = 0
+    UNION ALL SELECT -doc_id - 1, 'x' || doc_id, '{GHOST.strip()}', '{GHOST.strip()}' FROM toks WHERE ord = 0"""
+ORACLES["e5_resolve"] = _mask("documents", _ASKED)
+ORACLES["e6_resolve_identity"] = _mask("documents", f"{_ASKED} UNION ALL {_LOST}")
+ORACLES["e7_llm_flow"] = _mask(
+    "documents",
+    """SELECT doc_id AS request_id, CASE doc_id % 3 WHEN 0 THEN masked_text WHEN 1 THEN '' END AS masked_input,
+       CASE doc_id % 3 WHEN 0 THEN 's' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS session_id,
+       CASE doc_id % 3 WHEN 1 THEN original_text END AS demasked_response,
+       CASE doc_id % 3 WHEN 2 THEN 'Invalid flow: provide user_input OR (llm_response + session_id)' END AS error
+       FROM masked JOIN replayed ON reply_id = doc_id""",
+    more=(
+        "replies AS (SELECT doc_id AS reply_id, doc_id AS session_id, masked_text AS txt FROM masked)",
+        "maps AS (SELECT doc_id AS session_id, ord, token, value FROM toks)",
+        o.replay_cte("replies", "maps"),
+    ),
+)
+_FIND = r"regexp_extract_all(txt, '\{\{__OWL:[A-Z_]+_\d+__\}\}')"
+ORACLES["e8_find_tokens"] = _mask(
+    "documents",
+    f"""SELECT reply_id, i AS ord, token, regexp_extract(token, '__OWL:([A-Z_]+)_', 1) AS token_type FROM (
+        SELECT reply_id, unnest({_FIND}) AS token, unnest(range(len({_FIND}))) AS i FROM replies)""",
+    more=(_REPLIES,),
+)
+ORACLES["e9_unresolved_tokens"] = f"SELECT doc_id AS reply_id, CAST(doc_id AS VARCHAR) AS session_id, '{GHOST.strip()}' AS token FROM documents"
+ORACLES["e10_roundtrip"] = "SELECT doc_id, true AS same, md5(text) AS digest FROM documents"
+
+# ------------------------------------------------------------------ vault
+
+_EVENT_ROWS = " UNION ALL ".join(
+    f"SELECT event_id, {i}::BIGINT AS ord, {token} AS token, {value} AS value FROM events" for i, (token, value) in enumerate(EVENT_TOKENS)
+)
+_OPS = f"""ops AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS op_id, ts, {OP_OF_EVENT} AS op FROM events),
+    toks AS ({_EVENT_ROWS})"""
+
+
+def _state(ttl: int = EVENT_TTL, as_of: str | None = AS_OF, where: str = "true") -> str:
+    """CTEs on ``ops``: ``seen`` gives each operation its run and the last reset before it."""
+    until = f"ts <= TIMESTAMP '{as_of}'" if as_of else "true"
+    return f"""{_OPS},
+    gaps AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL {ttl} SECOND THEN 1 ELSE 0 END AS cut
+             FROM ops WHERE {until} AND {where} WINDOW w AS (PARTITION BY session_id ORDER BY ts, op_id)),
+    runs AS (SELECT *, sum(cut) OVER (PARTITION BY session_id ORDER BY ts, op_id) AS run FROM gaps),
+    seen AS (SELECT *, last_value(CASE WHEN op <> 'extend' THEN op END IGNORE NULLS) OVER w AS before,
+                    last_value(CASE WHEN op <> 'extend' THEN op END IGNORE NULLS) OVER v AS after,
+                    last_value(CASE WHEN op <> 'extend' THEN op_id END IGNORE NULLS) OVER v AS put_id,
+                    max(run) OVER (PARTITION BY session_id) AS last_run, max(ts) OVER (PARTITION BY session_id, run) AS last_ts,
+                    row_number() OVER (PARTITION BY session_id, run ORDER BY ts DESC, op_id DESC) AS back
+             FROM runs
+             WINDOW w AS (PARTITION BY session_id, run ORDER BY ts, op_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                    v AS (PARTITION BY session_id, run ORDER BY ts, op_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    live AS (SELECT session_id, put_id, last_ts FROM seen WHERE back = 1 AND run = last_run AND after = 'put'
+             AND TIMESTAMP '{as_of or AS_OF}' - last_ts < INTERVAL {ttl} SECOND),
+    rows AS (SELECT s.session_id, s.ts, s.op_id, t.ord, t.token, t.value
+             FROM seen s JOIN live l ON l.session_id = s.session_id AND s.put_id = l.put_id AND s.run = s.last_run
+             JOIN toks t ON t.event_id = s.op_id WHERE s.op <> 'delete'),
+    vault AS (SELECT session_id, arg_min(op_id, (ts, op_id, ord)) AS first_op, arg_min(ord, (ts, op_id, ord)) AS first_ord, token,
+                     arg_max(value, (ts, op_id, ord)) AS value FROM rows GROUP BY session_id, token)"""
+
+
+_ALWAYS = 1_000_000_000
+_FLAT = "SELECT session_id, first_op, first_ord, token, value FROM vault"
+ORACLES["f1_store"] = f"""WITH {_OPS},
+    last AS (SELECT session_id, arg_max(op_id, (ts, op_id)) AS op_id FROM ops WHERE op = 'put' AND ts <= TIMESTAMP '{AS_OF}' GROUP BY ALL)
+    SELECT session_id, op_id AS first_op, ord AS first_ord, token, value FROM last JOIN toks ON event_id = op_id"""
+ORACLES["f2_overwrite"] = _mask(
+    "documents",
+    """SELECT CAST(doc_id % 10 AS VARCHAR) AS session_id, token, value FROM toks
+       WHERE doc_id IN (SELECT max(doc_id) FROM documents GROUP BY doc_id % 10)""",
+)
+ORACLES["f3_get_session"] = _sql(_state(), select=_FLAT + " WHERE session_id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer)")
+ORACLES["f4_extend"] = _sql(
+    _state(as_of=None), select="SELECT session_id, op_id, coalesce(before = 'put', false) AS done FROM seen WHERE op = 'extend'"
+)
+ORACLES["f4_extended_maps"] = _sql(_state(), select=_FLAT)
+ORACLES["f5_delete"] = _sql(
+    _state(as_of=None), select="SELECT session_id, op_id, coalesce(before = 'put', false) AS done FROM seen WHERE op = 'delete'"
+)
+ORACLES["f6_clear"] = f"""WITH {_OPS}
+    SELECT session_id, arg_max(op_id, (ts, op_id)) AS put_id FROM ops WHERE op <> 'extend' AND ts <= TIMESTAMP '{AS_OF}'
+    GROUP BY session_id HAVING arg_max(op, (ts, op_id)) = 'put'"""
+ORACLES["f7_ttl"] = _sql(
+    _state(), select=f"SELECT session_id, put_id, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(last_ts)) / 1e6 AS age_seconds FROM live"
+)
+ORACLES["f8_active_sessions"] = _sql(_state(), select="SELECT count(*) AS active_sessions FROM live")
+ORACLES["f9_dual_store"] = _sql(
+    _state(),
+    f"lastput AS (SELECT session_id, arg_max(op_id, (ts, op_id)) AS op_id FROM ops WHERE op = 'put' AND ts <= TIMESTAMP '{AS_OF}' GROUP BY ALL)",
+    select=_FLAT
+    + """ UNION ALL SELECT session_id, op_id, ord, token, value FROM lastput JOIN toks ON event_id = op_id
+          WHERE session_id NOT IN (SELECT session_id FROM vault)""",
+)
+ORACLES["f10_conversation_numbering"] = _mask(
+    "documents",
+    f"""SELECT doc_id // 8 AS conv, doc_id % 8 AS turn, entity_type,
+        row_number() OVER (PARTITION BY doc_id // 8, entity_type ORDER BY doc_id, s, step) AS n, {_SPAN}, v AS value FROM kept""",
+)
+
+# ------------------------------------------------------------------ encryption
+
+ORACLES["g1_period"] = "SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS period, count(*) AS n_events FROM events GROUP BY 1"
+_TOKEN_ROWS = f"""WITH {_OPS}, r AS (SELECT o.session_id, o.op_id, t.ord, t.token, t.value,
+    CAST(floor(epoch(o.ts) / 86400) AS BIGINT) AS period FROM ops o JOIN toks t ON t.event_id = o.op_id WHERE op <> 'delete')"""
+ORACLES["g2_derived_keys"] = _TOKEN_ROWS + " SELECT 'old' AS key_id, period, count(*) AS n_values, 32::BIGINT AS key_length FROM r GROUP BY period"
+ORACLES["g3_encrypt"] = _TOKEN_ROWS + " SELECT session_id, op_id, ord, period, CAST(strlen(value) + 28 AS BIGINT) AS n_bytes FROM r"
+ORACLES["g4_decrypt"] = _TOKEN_ROWS + " SELECT session_id, op_id, ord, token, value FROM r"
+ORACLES["g4_decrypt_two_periods"] = (
+    _TOKEN_ROWS + " SELECT period, count(*) FILTER (WHERE period IN (19742, 19741)) AS n_opened, count(*) AS n_values FROM r GROUP BY period"
+)
+ORACLES["g6_encryption_off"] = _TOKEN_ROWS + " SELECT session_id, false AS encrypted, count(*) AS n_tokens FROM r GROUP BY session_id"
+ORACLES["g7_rekey"] = _TOKEN_ROWS + " SELECT session_id, op_id, ord, 'new' AS key_id, value FROM r"
+
+# ------------------------------------------------------------------ audit and statistics
+
+ORACLES["h1_mask_events"] = _mask(
+    "contacts",
+    """SELECT CAST(doc_id AS VARCHAR) AS session_id, count(*) AS token_count,
+       string_agg(DISTINCT entity_type, ',' ORDER BY entity_type) AS token_types, true AS encrypted FROM toks GROUP BY doc_id""",
+)
+ORACLES["h2_resolve_events"] = _mask(
+    "documents",
+    """SELECT 'resolve' AS event_type, CAST(doc_id AS VARCHAR) AS session_id, 3::BIGINT AS tokens_requested,
+       2::BIGINT AS tokens_resolved FROM toks WHERE ord = 0""",
+)
+ORACLES["h3_delete_events"] = _sql(
+    _state(as_of=None),
+    select="SELECT 'delete' AS event_type, session_id, epoch_us(ts) AS ts_micros FROM seen WHERE op = 'delete' AND before = 'put'",
+)
+ORACLES["h4_expire_events"] = _sql(
+    _state(),
+    select=f"""SELECT 'expire' AS event_type, session_id, epoch_us(last_ts) + {EVENT_TTL * 1_000_000} AS ts_micros FROM seen
+        WHERE back = 1 AND after = 'put' AND epoch_us(last_ts) + {EVENT_TTL * 1_000_000} <= epoch_us(TIMESTAMP '{AS_OF}')""",
+)
+ORACLES["h5_entity_counts"] = _mask(
+    "documents",
+    """SELECT entity_type, lang, count(*) AS n_findings FROM toks JOIN documents USING (doc_id)
+       GROUP BY ROLLUP (entity_type, lang)""",
+)
+ORACLES["h6_pii_density"] = _mask(
+    "documents",
+    """SELECT source, CASE WHEN n_found = 0 THEN 'none' WHEN density >= 10 THEN 'high' WHEN density >= 1 THEN 'medium'
+       ELSE 'low' END AS risk, count(*) AS n_texts, CAST(sum(n_found) AS BIGINT) AS n_findings, max(density) AS max_density
+       FROM (SELECT source, n_found, n_found * 1000.0::DOUBLE / greatest(length(text), 1) AS density
+             FROM masked JOIN documents USING (doc_id)) GROUP BY ALL""",
+)
+ORACLES["h7_detection_quality"] = _mask(
+    "contacts",
+    """SELECT entity_type, count(*) FILTER (WHERE f AND g) AS tp, count(*) FILTER (WHERE f AND g IS NULL) AS fp,
+       count(*) FILTER (WHERE f IS NULL) AS fn,
+       CASE WHEN count(f) > 0 THEN count(*) FILTER (WHERE f AND g) / count(f) ELSE 0 END::DOUBLE AS precision,
+       CASE WHEN count(g) > 0 THEN count(*) FILTER (WHERE f AND g) / count(g) ELSE 0 END::DOUBLE AS recall,
+       (2 * count(*) FILTER (WHERE f AND g) / (count(f) + count(g)))::DOUBLE AS f1
+       FROM (SELECT DISTINCT doc_id, entity_type, s, e, true AS f FROM kept) a
+       FULL JOIN (SELECT DISTINCT doc_id, entity_type, s, e, true AS g FROM cand WHERE pattern IN ('standard',
+           'us_international', 'visa_16', 'us_ssn', 'iban_de', 'ipv6', 'mac_colon', 'mac_dash')) b
+       USING (doc_id, entity_type, s, e) GROUP BY entity_type""",
+)
+ORACLES["h8_case_counts"] = _spans(
+    "contacts",
+    "SELECT entity_type, pattern, count(*) AS n_cases FROM (SELECT DISTINCT entity_type, pattern, v FROM cand) GROUP BY ALL",
+)
+
+# ------------------------------------------------------------------ streams
+
+ORACLES["i1_stream_mask"] = _mask("documents", _TEXT)
+ORACLES["i2_stream_session"] = _sql(
+    _state(as_of=None), select="SELECT session_id, op_id, op, op = 'put' OR coalesce(before = 'put', false) AS done FROM seen"
+)
+ORACLES["i3_stream_demask"] = _mask(
+    "documents",
+    "SELECT doc_id AS reply_id, text AS original_text, n_found AS entities_restored FROM masked JOIN documents USING (doc_id) WHERE doc_id % 5 <> 0",
+)
+ORACLES["i4_stream_dedup"] = "SELECT event_id, user_id FROM events"
+
+
+def _windows(size: int, slide: int) -> str:
+    return f"""SELECT w AS window_start, w + {size} AS window_end, event_type, count(*) AS n_events FROM (
+        SELECT event_type, CAST(floor(epoch(ts) / {slide}) AS BIGINT) * {slide} - unnest(range(0, {size}, {slide})) AS w FROM events)
+        GROUP BY ALL"""
+
+
+ORACLES["i5_audit_tumbling"] = _windows(3600, 3600)
+ORACLES["i5_audit_sliding"] = _windows(7200, 3600)
+ORACLES["i5_audit_sessions"] = """SELECT user_id, min(epoch_us(ts)) AS window_start, max(epoch_us(ts)) + 21600000000 AS window_end,
+    count(*) AS n_events FROM (
+        SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS spell FROM (
+            SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS cut
+            FROM events)) GROUP BY user_id, spell"""
+ORACLES["i6_late_replies"] = _sql(
+    _state(as_of=None),
+    select="""SELECT session_id, count(*) FILTER (WHERE coalesce(before, '') <> 'put') AS n_late,
+        count(*) FILTER (WHERE before = 'put') AS n_in_time FROM seen WHERE op = 'extend' GROUP BY session_id""",
+)
+ORACLES["i7_stream_vault"] = _mask(
+    "documents",
+    "SELECT CAST(doc_id AS VARCHAR) AS session_id, n_found AS entities_found, n_found AS n_tokens, n_found AS token_count FROM masked",
+)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +12,7 @@ from cloakwork.operators import audit, crypto, demask, detect, flow, spans, vaul
 from cloakwork.operators.analyze import analyze, finding_rows
 from cloakwork.operators.mask import mask_table, token_rows
 from cloakwork.plans import derived
+from cloakwork.plans.stored import stored, work_folder
 from cloakwork.sources import tables
 from cloakwork.sources.rules import default_rules, extend_rules, rules_frame, without_rules
 from cloakwork.streaming import streams
@@ -51,17 +50,8 @@ def _vault(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, folder: str) -> DataFrame:
-    """Rule matches in contacts as a span table."""
-    return detect.candidate_spans(derived.contacts(spark, folder)).withColumnRenamed("ord", "seq")
-
-
-def _work_folder(spark: SparkSession) -> str:
-    """A fresh folder for stream output, in the cluster's shared checkpoint folder where one is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = kept.get() if kept.isDefined() else None
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="cloakwork-")
+    """Rule matches in contacts, written as a span table."""
+    return stored(detect.candidate_spans(derived.contacts(spark, folder)).withColumnRenamed("ord", "seq"))
 
 
 # ------------------------------------------------------------------ sources and sinks
@@ -130,7 +120,7 @@ def a6_audit_sink(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def a7_stream_source(spark: SparkSession, folder: str) -> DataFrame:
     stream = streams.read_folder(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    return streams.drain(stream, _work_folder(spark))
+    return streams.drain(stream, work_folder(spark))
 
 
 # ------------------------------------------------------------------ detection
@@ -390,9 +380,15 @@ def d10_tokenize(spark: SparkSession, folder: str) -> DataFrame:
 # ------------------------------------------------------------------ restoring
 
 
-def _replies(spark: SparkSession, folder: str) -> DataFrame:
+def _stored_masked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The masked documents, written once, and their vault rows."""
+    masked = stored(_masked(spark, folder).select("doc_id", "text", "session_id", "masked_text", "token_map"))
+    return masked, token_rows(masked, "session_id")
+
+
+def _replies(masked: DataFrame) -> DataFrame:
     """Every masked document comes back as a reply with a made-up token at its end."""
-    return _masked(spark, folder).select(
+    return masked.select(
         F.col("doc_id").alias("reply_id"), "session_id", F.concat("masked_text", F.lit(GHOST)).alias("text")
     )
 
@@ -409,25 +405,26 @@ def e1_demask(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def e2_demask_session(spark: SparkSession, folder: str) -> DataFrame:
     """Every third session is unknown to the vault."""
-    known = _vault(spark, folder).filter("cast(session_id as bigint) % 3 <> 0")
-    return _bigints(demask.demask_sessions(_replies(spark, folder), known), "entities_restored")
+    masked, rows = _stored_masked(spark, folder)
+    known = rows.filter("cast(session_id as bigint) % 3 <> 0")
+    return _bigints(demask.demask_sessions(_replies(masked), known), "entities_restored")
 
 
 @query
 def e4_demask_precedence(spark: SparkSession, folder: str) -> DataFrame:
     """Two vaults; the first has every other session and other values."""
-    second = _vault(spark, folder)
+    masked, second = _stored_masked(spark, folder)
     first = second.filter("cast(session_id as bigint) % 2 = 0").withColumn("value", F.concat(F.lit("#"), "value"))
-    out = demask.demask_sessions(_replies(spark, folder), demask.prefer(first, second))
+    out = demask.demask_sessions(_replies(masked), demask.prefer(first, second))
     return _bigints(out, "entities_restored")
 
 
-def _requests(spark: SparkSession, folder: str) -> DataFrame:
+def _requests(masked: DataFrame) -> DataFrame:
     """Each document with findings asks for its first token twice and for an unknown one, and so does a
     session that does not exist."""
     ghost = F.lit(GHOST.strip())
-    first = _masked(spark, folder).select(
-        F.col("doc_id").alias("request_id"), "session_id", F.col("token_map")[0]["token"].alias("t")
+    first = masked.select(
+        F.col("doc_id").alias("request_id"), "session_id", F.get("token_map", F.lit(0))["token"].alias("t")
     )
     first = first.filter(F.col("t").isNotNull())
     known = first.select("request_id", "session_id", F.array("t", ghost, "t").alias("tokens"))
@@ -441,36 +438,40 @@ def _requests(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def e5_resolve(spark: SparkSession, folder: str) -> DataFrame:
-    return demask.resolve_tokens(_requests(spark, folder), _vault(spark, folder))
+    masked, rows = _stored_masked(spark, folder)
+    return demask.resolve_tokens(_requests(masked), rows)
 
 
 @query
 def e6_resolve_identity(spark: SparkSession, folder: str) -> DataFrame:
-    return demask.resolve_tokens(_requests(spark, folder), _vault(spark, folder), on_missing="identity")
+    masked, rows = _stored_masked(spark, folder)
+    return demask.resolve_tokens(_requests(masked), rows, on_missing="identity")
 
 
 @query
 def e7_llm_flow(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in turn ask, get an answer, and get an empty answer."""
+    masked, rows = _stored_masked(spark, folder)
     kind = F.col("doc_id") % 3
-    asked = _masked(spark, folder).select(
+    asked = masked.select(
         F.col("doc_id").alias("request_id"),
         F.col("text").alias("user_input"),
         F.when(kind == 1, F.col("masked_text")).when(kind == 2, F.lit("")).alias("llm_response"),
         F.when(kind != 0, F.col("session_id")).alias("session_id"),
         F.concat(F.lit("s"), F.col("doc_id")).alias("new_id"),
     )
-    return flow.run_flow(asked, _vault(spark, folder), "new_id")
+    return flow.run_flow(asked, rows, "new_id")
 
 
 @query
 def e8_find_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return _bigints(demask.find_tokens(_replies(spark, folder), "reply_id", "text"), "ord")
+    return _bigints(demask.find_tokens(_replies(_masked(spark, folder)), "reply_id", "text"), "ord")
 
 
 @query
 def e9_unresolved_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return demask.unresolved_tokens(_replies(spark, folder), _vault(spark, folder), "reply_id", "text")
+    masked, rows = _stored_masked(spark, folder)
+    return demask.unresolved_tokens(_replies(masked), rows, "reply_id", "text")
 
 
 @query
@@ -589,7 +590,7 @@ def g1_period(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sealed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = derived.session_log(spark, folder).filter(F.col("token").isNotNull())
-    keys = crypto.key_frame(spark, DEMO_KEYS, crypto.periods_of(tables.table(spark, folder, "events")))
+    keys = crypto.key_frame(spark, DEMO_KEYS, crypto.periods_of(rows))
     return crypto.encrypt_values(rows, keys, "old"), keys
 
 
@@ -656,7 +657,8 @@ def h1_mask_events(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def h2_resolve_events(spark: SparkSession, folder: str) -> DataFrame:
-    counts = demask.resolve_counts(_requests(spark, folder), _vault(spark, folder))
+    masked, rows = _stored_masked(spark, folder)
+    counts = demask.resolve_counts(_requests(masked), rows)
     return audit.resolve_events(counts).select("event_type", "session_id", "tokens_requested", "tokens_resolved")
 
 
@@ -710,7 +712,7 @@ def h8_case_counts(spark: SparkSession, folder: str) -> DataFrame:
 def i1_stream_mask(spark: SparkSession, folder: str) -> DataFrame:
     stream = streams.read_folder(spark, folder, "documents")
     masked = streams.stream_mask(stream, "text", "doc_id").select("doc_id", "masked_text")
-    return streams.drain(masked, _work_folder(spark))
+    return streams.drain(masked, work_folder(spark))
 
 
 @query
@@ -722,7 +724,7 @@ def i2_stream_session(spark: SparkSession, folder: str) -> DataFrame:
         F.expr(derived.OP_OF_EVENT).alias("op"),
     )
     out = streams.stream_outcomes(stream, derived.EVENT_TTL).select("session_id", "op_id", "op", "done")
-    return streams.drain(out, _work_folder(spark))
+    return streams.drain(out, work_folder(spark))
 
 
 @query
@@ -737,7 +739,7 @@ def i3_stream_demask(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").alias("reply_id"), "session_id", (at + late).alias("ts"), F.col("masked_text").alias("text")
     )
     out = streams.stream_demask(replies, masked)
-    out = streams.drain(_bigints(out, "entities_restored"), _work_folder(spark))
+    out = streams.drain(_bigints(out, "entities_restored"), work_folder(spark))
     return out.filter("resolved").select("reply_id", "original_text", "entities_restored")
 
 
@@ -747,14 +749,14 @@ def i4_stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     events = streams.read_folder(spark, folder, "events", "ts").select("event_id", "user_id", "ts")
     twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     out = streams.stream_dedup(twice, ["event_id"], "ts").select("event_id", "user_id")
-    return streams.drain(out, _work_folder(spark))
+    return streams.drain(out, work_folder(spark))
 
 
 def _window_query(size: str, slide: str | None) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         events = streams.read_folder(spark, folder, "events", "ts")
         out = streams.audit_windows(events, "ts", size, slide)
-        out = streams.drain(out, _work_folder(spark), "complete")
+        out = streams.drain(out, work_folder(spark), "complete")
         return out.select(
             F.unix_seconds("window_start").alias("window_start"), F.unix_seconds("window_end").alias("window_end"), "event_type", "n_events"
         )
@@ -770,7 +772,7 @@ _register("i5_audit_sliding", _window_query("2 hours", "1 hour"))
 def i5_audit_sessions(spark: SparkSession, folder: str) -> DataFrame:
     events = streams.read_folder(spark, folder, "events", "ts")
     out = streams.session_windows(events, "ts", "user_id", "6 hours")
-    out = streams.drain(out, _work_folder(spark), "complete")
+    out = streams.drain(out, work_folder(spark), "complete")
     return out.select(
         "user_id", F.unix_micros("window_start").alias("window_start"), F.unix_micros("window_end").alias("window_end"), "n_events"
     )
@@ -788,7 +790,7 @@ def i6_late_replies(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def i7_stream_vault(spark: SparkSession, folder: str) -> DataFrame:
-    work = _work_folder(spark)
+    work = work_folder(spark)
     masked = streams.stream_mask(streams.read_folder(spark, folder, "documents"), "text", "doc_id")
     paths = {name: f"{work}/{name}" for name in ("masked", "vault", "audit")}
     streams.write_stream(masked, paths, f"{work}/checkpoint").awaitTermination()
