@@ -1,6 +1,6 @@
 """DuckDB statements that compute the registered queries' results independently.
 
-The rules reach SQL as a VALUES list spelled for RE2. The one rule that needs look-around is applied to
+The rules are spelled for RE2. The one rule that needs look-around is applied to
 white-space-delimited words instead, which is the same thing: it begins at a word's start and ends before
 white space or a character of another kind.
 """
@@ -30,14 +30,15 @@ def matches_cte(source: str, rules: list[Rule] | None = None, key: str = "doc_id
     rules = active_rules(rules)
     plain = [r for r in rules if "(?<=" not in r.regex]
     worded = [r for r in rules if "(?<=" in r.regex]
-    values = ", ".join(
-        f"({r.ord}, {_quote(r.entity_type)}, {_quote(r.pattern)}, {_quote(_re2(r))})" for r in plain
+    # one branch per rule, so that each pattern is a constant and is compiled once
+    hits = " UNION ALL ".join(
+        f"""SELECT {key}, {r.ord} AS ord, {_quote(r.entity_type)} AS entity_type, {_quote(r.pattern)} AS pattern,
+            regexp_extract_all(txt, {_quote(_re2(r))}) AS m, string_split_regex(txt, {_quote(_re2(r))}) AS p
+            FROM src WHERE regexp_matches(txt, {_quote(_re2(r))})"""
+        for r in plain
     )
-    ctes = f"""rules(ord, entity_type, pattern, rx) AS (VALUES {values}),
-    src AS (SELECT {key}, {text} AS txt FROM {source} WHERE {text} IS NOT NULL),
-    hit AS (SELECT {key}, ord, entity_type, pattern, regexp_extract_all(txt, rx) AS m,
-                   string_split_regex(txt, rx) AS p
-            FROM src, rules WHERE regexp_matches(txt, rx)),
+    ctes = f"""src AS (SELECT {key}, {text} AS txt FROM {source} WHERE {text} IS NOT NULL),
+    hit AS ({hits}),
     piece AS (SELECT {key}, ord, entity_type, pattern, unnest(m) AS v,
                      unnest(p[1:len(m)]) AS gap, unnest(range(len(m))) AS i FROM hit),
     plain AS (SELECT {key}, ord, entity_type, pattern, v,
