@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.functions.regex import DIGIT, match_offsets, sql_string, to_java
+from cloakwork.functions.regex import DIGIT, match_offsets, match_parts, sql_string, to_java
 from cloakwork.sources.rules import REGEX_SCORE, Rule
 
 SPAN = "struct<start:int,end:int,seq:int,score:double>"
@@ -29,13 +29,13 @@ _FOUR_DIGITS = f"{DIGIT}(?:{_NOT_DIGIT}{{0,3}}{DIGIT}){{3}}"
 _SIX_DIGITS = f"{DIGIT}(?:{_NOT_DIGIT}{{0,3}}{DIGIT}){{5}}"
 # A long-word rule holds no white space and at least 20 of these characters in a row. The test is tried
 # only where such a run begins; the words are cut out only of texts that pass it.
-_WORD_CHAR = "0-9A-Za-z/+=_-"
-_HAS_LONG_WORD = f"(?<![{_WORD_CHAR}])[{_WORD_CHAR}]{{20}}"
-_LONG_WORDS = rf"(?<!\S)(?=\S{{20}})\S*[{_WORD_CHAR}]{{20}}\S*"
+_WORD_CHAR = "[0-9A-Za-z/+=_-]"
+_HAS_LONG_WORD = to_java(f"(?<!{_WORD_CHAR}){_WORD_CHAR}{{20}}")
+_LONG_WORDS = to_java(rf"(?<!\S)(?=\S{{20}})\S*{_WORD_CHAR}{{20}}\S*")
 # Both begin at a separator, which is rarer in prose than the hex letters around it.
-_HEX_COLON = ":(?:[0-9a-fA-F]{1,4})?:"
-_HEX_PAIR = r"[:-][0-9A-Fa-f]{2}[:-]|\.[0-9A-Fa-f]{4}\."
-_IBAN_HEAD = f"[A-Z]{{2}}{DIGIT}{{2}}"
+_HEX_COLON = to_java(":(?:[0-9a-fA-F]{1,4})?:")
+_HEX_PAIR = to_java(r"[:-][0-9A-Fa-f]{2}[:-]|\.[0-9A-Fa-f]{4}\.")
+_IBAN_HEAD = to_java(r"[A-Z]{2}\d{2}")
 
 # gate -> (expression that must hold, column the rule is tested on)
 GATES = {
@@ -75,7 +75,7 @@ def with_candidates(df: DataFrame, text: str, rules: list[Rule], out: str, gated
     """Add ``out``: every match of every rule in column ``text`` (null or blank text: none)."""
     if not rules:
         return df.withColumn(out, F.expr(EMPTY_SPANS))
-    p = "_dg_"
+    p = "_digest_"
     keep = [F.col(f"`{c}`") for c in df.columns]
     text_sql = f"`{text}`"
     first, second = _digests(text_sql, p)
@@ -84,19 +84,16 @@ def with_candidates(df: DataFrame, text: str, rules: list[Rule], out: str, gated
         df = df.select(*keep, *[F.expr(sql).alias(name) for name, sql in first.items()])
         if needed & {"digits4", "digits6", "iban"}:
             df = df.select("*", *[F.expr(sql).alias(name) for name, sql in second.items()])
-    tests = []
+    hits = []
     for i, rule in enumerate(rules):
         gate, column = GATES[rule.gate if gated else None]
         regex = sql_string(to_java(rule.regex, rule.ignore_case))
         gate, column = gate.format(p=p, text=text_sql), column.format(p=p, text=text_sql)
-        tests.append(f"if({gate} and {column} rlike {regex}, {i}, null)")
-    df = df.select(*keep, F.expr(f"filter(array({', '.join(tests)}), i -> i is not null)").alias(f"{p}hits"))
-    table = ", ".join(
-        f"named_struct('rx', {sql_string(to_java(r.regex, r.ignore_case))}, 'ord', {r.ord})" for r in rules
-    )
-    offsets = match_offsets(text_sql, "r.rx", "r.ord", REGEX_SCORE)
-    spans = f"flatten(transform(transform({p}hits, i -> array({table})[i]), r -> {offsets}))"
-    # The empty case is spelled out first so that clean texts skip the rest.
-    return df.select(
-        *keep, F.expr(f"if(size({p}hits) <= 0, {EMPTY_SPANS}, {spans})").alias(out)
-    )
+        hits.append(
+            f"if({gate} and {column} rlike {regex}, named_struct('i', {i}, 'ord', {rule.ord}, "
+            f"{match_parts(text_sql, regex)}), null)"
+        )
+    table = ", ".join(sql_string(to_java(r.regex, r.ignore_case)) for r in rules)
+    offsets = match_offsets(text_sql, "r.found", "r.cut", f"array({table})[r.i]", "r.ord", REGEX_SCORE)
+    spans = f"flatten(transform(filter(array({', '.join(hits)}), h -> h is not null), r -> {offsets}))"
+    return df.select(*keep, F.expr(spans).alias(out))

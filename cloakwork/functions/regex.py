@@ -7,6 +7,8 @@ marks, superscripts, control separators), so the shorthands are spelled out as e
 
 from __future__ import annotations
 
+import re
+
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
 SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -15,15 +17,22 @@ SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 _BEHIND = f"[{WORD}\U00010000]"
 BOUNDARY = f"(?:(?<={_BEHIND})(?![{WORD}])|(?<!{_BEHIND})(?=[{WORD}]))"
 _CLASSES = {"w": WORD, "d": DIGIT, "s": SPACE}
+# Python's [A-Za-z] without regard to case also takes these four letters.
+ANY_CASE = r"A-Za-zİıſK"
 
-
-def to_java(pattern: str, ignore_case: bool = False) -> str:
-    """Spell a Python pattern for Java's engine with the same matches."""
+def _spelled(pattern: str) -> str:
+    """Shorthands and ASCII ranges written out. Java looks up listed characters in one table, but walks
+    through ranges one by one, so a list is several times faster than the same ranges."""
     out, in_class, i = [], False, 0
     while i < len(pattern):
         ch = pattern[i]
         if ch == "\\" and i + 1 < len(pattern):
             nxt = pattern[i + 1]
+            code = re.match(r"\\u[0-9A-Fa-f]{4}(-\\u[0-9A-Fa-f]{4})?", pattern[i:])
+            if code:
+                out.append(code.group())
+                i += len(code.group())
+                continue
             i += 2
             if nxt in _CLASSES:
                 out.append(_CLASSES[nxt] if in_class else f"[{_CLASSES[nxt]}]")
@@ -32,17 +41,52 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
             else:
                 out.append(ch + nxt)
             continue
-        if ch == "[" and not in_class:
+        span = in_class and re.match(r"[0-9]-[0-9]|[A-Z]-[A-Z]|[a-z]-[a-z]", pattern[i:])
+        if span:
+            out.append("".join(map(chr, range(ord(ch), ord(pattern[i + 2]) + 1))))
+            i += 3
+            continue
+        if in_class and ch == "-":
+            ch = r"\-"
+        elif ch == "[" and not in_class:
             in_class = True
         elif ch == "]" and in_class:
             in_class = False
         out.append(ch)
         i += 1
-    body = "".join(out)
+    return "".join(out)
+
+
+# Equal but faster beginnings of a rule. The run before an "@" cannot hold one, so it need not be given
+# back; and a match can only begin inside such a run where the last match ended or, with a boundary in
+# front, next to one of the run's other characters. Without this, a long run costs its length squared.
+_LOCAL = "[A-Za-z0-9._%+-]"
+_RUN = _spelled(f"[{ANY_CASE}0-9._%+-]")
+_FASTER = {
+    rf"\b{_LOCAL}+@": rf"(?:(?<!{_RUN})|(?<=[.%+\-])|(?=[.%+\-]))(?={_RUN}++@){BOUNDARY}{_RUN}++@",
+    rf"{_LOCAL}+@": rf"(?:\G|(?<!{_RUN})){_RUN}++@",
+}
+
+
+def to_java(pattern: str, ignore_case: bool = False) -> str:
+    """Spell a Python pattern for Java's engine with the same matches."""
+    head, flags = "", ""
+    if ignore_case:
+        for slow, fast in _FASTER.items():
+            if pattern.startswith(slow):
+                head, pattern = fast, pattern[len(slow) :]
+                break
+        # Java's case-blind classes are slow; whole alphabets can be written out instead
+        spelled = re.sub(r"\[[^\]]*\]", lambda m: re.sub(r"A-Z(\|?)a-z", rf"{ANY_CASE}\1", m.group()), pattern)
+        if re.search(r"[A-Za-z]", re.sub(r"\\u[0-9A-Fa-f]{4}|\\.", "", spelled.replace(ANY_CASE, ""))):
+            flags = "(?iu)"
+        else:
+            pattern = spelled
+    body = head + _spelled(pattern)
     if body.startswith(BOUNDARY):
         # The spelled-out boundary costs far more than the first characters of the rule: look at those first.
         body = f"(?={body[len(BOUNDARY):]}){body}"
-    return ("(?iu)" if ignore_case else "") + body
+    return flags + body
 
 
 def sql_string(value: str) -> str:
@@ -50,15 +94,26 @@ def sql_string(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def match_offsets(text: str, regex: str, seq: str, score: float) -> str:
-    """SQL for every non-overlapping match of ``regex`` in ``text`` as ``array<struct<start,end,seq,score>>``.
+# Stands between the pieces of a text whose matches were cut out. A text that holds it is split by the
+# pattern itself, which is slower since Java compiles it anew for every call.
+_CUT = "\x01"
+
+
+def match_parts(text: str, regex: str) -> str:
+    """SQL for the matches of a constant ``regex`` and the text with a mark in the place of each."""
+    cut = f"if(contains({text}, '{_CUT}'), null, regexp_replace({text}, {regex}, '{_CUT}'))"
+    return f"'found', regexp_extract_all({text}, {regex}, 0), 'cut', {cut}"
+
+
+def match_offsets(text: str, found: str, cut: str, regex: str, seq: str, score: float) -> str:
+    """SQL for ``array<struct<start,end,seq,score>>``, one per match, from ``match_parts``.
 
     Spark has no function for all match offsets. The matches and the pieces between them alternate, so a
     running sum of their lengths gives code-point offsets. No rule matches the empty string.
     """
+    pieces = f"if({cut} is null, split({text}, {regex}, -1), split({cut}, '{_CUT}', -1))"
     return f"""aggregate(
-      zip_with(regexp_extract_all({text}, {regex}, 0), split({text}, {regex}, -1),
-               (m, p) -> named_struct('gap', length(p), 'len', length(m))),
+      zip_with({found}, {pieces}, (m, p) -> named_struct('gap', length(p), 'len', length(m))),
       cast(named_struct('pos', 0, 'found', array())
            as struct<pos:int,found:array<struct<start:int,end:int,seq:int,score:double>>>),
       (acc, x) -> if(x.len is null, acc, named_struct(
