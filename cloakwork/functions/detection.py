@@ -5,7 +5,7 @@ Three steps per text, all built-in expressions:
 1. *Digests*: a few shortened copies of the text that keep everything a family of rules can match
    (digits with their surroundings; long words). Most texts shrink to almost nothing.
 2. *Hits*: for each rule, does it match? Tested on the digest of its family, so 90 rules cost little.
-3. *Offsets*: only rules that hit are run over the whole text to get every match and its position.
+3. *Offsets*: only rules that hit are run over the whole text, once, to get every match and its position.
 
 Digests only decide whether a rule runs; positions always come from the whole text.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.functions.regex import DIGIT, match_offsets, match_parts, sql_string, to_java
+from cloakwork.functions.regex import DIGIT, has_marks, marked, match_offsets, sql_string, to_java
 from cloakwork.sources.rules import REGEX_SCORE, Rule
 
 SPAN = "struct<start:int,end:int,seq:int,score:double>"
@@ -79,11 +79,10 @@ def with_candidates(df: DataFrame, text: str, rules: list[Rule], out: str, gated
     keep = [F.col(f"`{c}`") for c in df.columns]
     text_sql = f"`{text}`"
     first, second = _digests(text_sql, p)
-    needed = {r.gate for r in rules} if gated else {None}
-    if gated:
-        df = df.select(*keep, *[F.expr(sql).alias(name) for name, sql in first.items()])
-        if needed & {"digits4", "digits6", "iban"}:
-            df = df.select("*", *[F.expr(sql).alias(name) for name, sql in second.items()])
+    first[f"{p}marks"] = has_marks(text_sql)
+    # digests that no rule asks for are pruned away
+    df = df.select(*keep, *[F.expr(sql).alias(name) for name, sql in first.items()])
+    df = df.select("*", *[F.expr(sql).alias(name) for name, sql in second.items()])
     hits = []
     for i, rule in enumerate(rules):
         gate, column = GATES[rule.gate if gated else None]
@@ -91,9 +90,9 @@ def with_candidates(df: DataFrame, text: str, rules: list[Rule], out: str, gated
         gate, column = gate.format(p=p, text=text_sql), column.format(p=p, text=text_sql)
         hits.append(
             f"if({gate} and {column} rlike {regex}, named_struct('i', {i}, 'ord', {rule.ord}, "
-            f"{match_parts(text_sql, regex)}), null)"
+            f"'cut', {marked(text_sql, regex, f'{p}marks')}), null)"
         )
     table = ", ".join(sql_string(to_java(r.regex, r.ignore_case)) for r in rules)
-    offsets = match_offsets(text_sql, "r.found", "r.cut", f"array({table})[r.i]", "r.ord", REGEX_SCORE)
+    offsets = match_offsets(text_sql, "r.cut", f"array({table})[r.i]", "r.ord", REGEX_SCORE)
     spans = f"flatten(transform(filter(array({', '.join(hits)}), h -> h is not null), r -> {offsets}))"
     return df.select(*keep, F.expr(spans).alias(out))

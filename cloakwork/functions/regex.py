@@ -94,31 +94,38 @@ def sql_string(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-# Stands between the pieces of a text whose matches were cut out. A text that holds it is split by the
-# pattern itself, which is slower since Java compiles it anew for every call.
-_CUT = "\x01"
+# Set around each match. A text that holds one of these is taken apart by the pattern itself, which is
+# slower, for Java then compiles the pattern for every text.
+_OPEN, _CLOSE = "\x01", "\x02"
 
 
-def match_parts(text: str, regex: str) -> str:
-    """SQL for the matches of a constant ``regex`` and the text with a mark in the place of each."""
-    cut = f"if(contains({text}, '{_CUT}'), null, regexp_replace({text}, {regex}, '{_CUT}'))"
-    return f"'found', regexp_extract_all({text}, {regex}, 0), 'cut', {cut}"
+def has_marks(text: str) -> str:
+    return f"contains({text}, '{_OPEN}') or contains({text}, '{_CLOSE}')"
 
 
-def match_offsets(text: str, found: str, cut: str, regex: str, seq: str, score: float) -> str:
-    """SQL for ``array<struct<start,end,seq,score>>``, one per match, from ``match_parts``.
+def marked(text: str, regex: str, marks: str) -> str:
+    """SQL for the text with marks around every match of a constant ``regex``; null if ``marks``."""
+    return f"if({marks}, null, regexp_replace({text}, {regex}, '{_OPEN}$0{_CLOSE}'))"
 
-    Spark has no function for all match offsets. The matches and the pieces between them alternate, so a
+
+def match_offsets(text: str, cut: str, regex: str, seq: str, score: float) -> str:
+    """SQL for ``array<struct<start,end,seq,score>>``, one per match, from a ``marked`` text.
+
+    Spark has no function for all match offsets. Matches and the pieces between them alternate, so a
     running sum of their lengths gives code-point offsets. No rule matches the empty string.
     """
-    pieces = f"if({cut} is null, split({text}, {regex}, -1), split({cut}, '{_CUT}', -1))"
-    return f"""aggregate(
-      zip_with({found}, {pieces}, (m, p) -> named_struct('gap', length(p), 'len', length(m))),
-      cast(named_struct('pos', 0, 'found', array())
+    pieces = f"split({cut}, '{_OPEN}', -1)"
+    size = f"length(substring_index(x, '{_CLOSE}', 1))"
+    usual = f"""transform(slice({pieces}, 2, greatest(size({pieces}) - 1, 0)),
+        x -> named_struct('len', {size}, 'gap', length(x) - {size} - 1))"""
+    parts = f"split({text}, {regex}, -1)"
+    odd = f"""zip_with(regexp_extract_all({text}, {regex}, 0), slice({parts}, 2, greatest(size({parts}) - 1, 0)),
+        (m, p) -> named_struct('len', length(m), 'gap', length(p)))"""
+    return f"""aggregate(if({cut} is null, {odd}, {usual}),
+      cast(named_struct('pos', length(if({cut} is null, {parts}[0], {pieces}[0])), 'found', array())
            as struct<pos:int,found:array<struct<start:int,end:int,seq:int,score:double>>>),
-      (acc, x) -> if(x.len is null, acc, named_struct(
-          'pos', acc.pos + x.gap + x.len,
+      (acc, x) -> named_struct(
+          'pos', acc.pos + x.len + x.gap,
           'found', concat(acc.found, array(named_struct(
-              'start', acc.pos + x.gap, 'end', acc.pos + x.gap + x.len, 'seq', {seq},
-              'score', cast({score} as double)))))),
+              'start', acc.pos, 'end', acc.pos + x.len, 'seq', {seq}, 'score', cast({score} as double))))),
       acc -> acc.found)"""

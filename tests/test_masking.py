@@ -47,7 +47,7 @@ SHAPES = [
     "192.168.0.1", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1", "2001:db8::8a2e:370:7334",
     "DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "IT60X0542811101000000123456",
     "ES9121000418450200051332", "00:1A:2B:3C:4D:5E", "00-1A-2B-3C-4D-5E", "001A.2B3C.4D5E", "x1234567", "٣٤٥٦٧٨٩٣٤",
-    "{{__OWL:EMAIL_ADDRESS_1__}}", "2024-01-31 12:30:45", "1990 - 1995", "a-b face-bead", "=====" * 10,
+    "{{__OWL:EMAIL_ADDRESS_1__}}", "2024-01-31 12:30:45", "1990 - 1995", "a-b face-bead", "\x01 123-45-6789\x02", "\x02", "=====" * 10,
 ]
 GLUE = [" ", " ", " ", "\n", ", ", ".", "", "-", "é", "²", "_", "\U0001f600", "\U00010400", "ि", " ", "\x1c", " ", ":", "/", " the quick brown fox jumps ", "(", ")", '"', "'", "@", "+"]
 
