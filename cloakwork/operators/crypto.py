@@ -73,19 +73,28 @@ def decrypt_values(
 ) -> DataFrame:
     """Open ``sealed`` into ``value``; null where no key fits, which counts as absent.
 
-    Keys are tried in the order of ``key_ids`` (current first), each for the period the row was sealed in.
+    A row names the key it was sealed with, so one look-up finds it if it is among ``key_ids``. Rows
+    without a name are tried with each key in that order (current first), for the period they carry.
     With ``as_of_period`` only that period and the one before it can be opened.
     """
-    out = rows
-    opened = []
-    for i, kid in enumerate(key_ids):
-        mine = keys.filter(F.col("key_id") == kid).select("period", F.col("key_bytes").alias(f"_k{i}"))
-        out = out.join(F.broadcast(mine), "period", "left")
-        opened.append(F.try_aes_decrypt(F.col("sealed"), F.col(f"_k{i}"), F.lit("GCM"), F.lit("DEFAULT"), _aad().cast("binary")))
-    value = F.coalesce(*opened).cast("string")
+
+    def opened(key_bytes: str) -> Column:
+        return F.try_aes_decrypt(
+            F.col("sealed"), F.col(key_bytes), F.lit("GCM"), F.lit("DEFAULT"), _aad().cast("binary")
+        )
+
+    if "key_id" in rows.columns:
+        named = F.broadcast(keys.filter(F.col("key_id").isin(key_ids)).withColumnRenamed("key_bytes", "_k0"))
+        out, tries = rows.join(named, ["period", "key_id"], "left"), ["_k0"]
+    else:
+        out, tries = rows, [f"_k{i}" for i in range(len(key_ids))]
+        for name, kid in zip(tries, key_ids):
+            mine = keys.filter(F.col("key_id") == kid).select("period", F.col("key_bytes").alias(name))
+            out = out.join(F.broadcast(mine), "period", "left")
+    value = F.coalesce(*[opened(name) for name in tries]).cast("string")
     if as_of_period is not None:
         value = F.when(F.col("period").isin(as_of_period, as_of_period - 1), value)
-    return out.withColumn("value", value).drop("sealed", *[f"_k{i}" for i in range(len(key_ids))])
+    return out.withColumn("value", value).drop("sealed", *tries)
 
 
 def rekey(rows: DataFrame, keys: DataFrame, old_ids: list[str], new_id: str, ts: str = "ts") -> DataFrame:

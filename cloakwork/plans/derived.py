@@ -107,7 +107,9 @@ def model_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 def session_log(spark: SparkSession, folder: str) -> DataFrame:
     """The session log told by the events."""
-    events = table(spark, folder, "events").select("event_id", "user_id", "event_type", "props", F.col("ts").cast("timestamp").alias("ts"))
+    events = spread(table(spark, folder, "events"), "event_id").select(
+        "event_id", "user_id", "event_type", "props", F.col("ts").cast("timestamp").alias("ts")
+    )
     pairs = ", ".join(f"named_struct('token', {token}, 'value', {value})" for token, value in EVENT_TOKENS)
     op = F.expr(OP_OF_EVENT)
     return events.select(

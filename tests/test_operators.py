@@ -328,6 +328,7 @@ def test_encryption(spark):
 
     assert opened(sealed, ["new", "old"]) == want
     assert set(opened(sealed, ["new"]).values()) == {None}
+    assert opened(sealed.drop("key_id"), ["new", "old"]) == want
     last = crypto.periods_of(rows)[-1]
     assert [v for v in opened(sealed, ["old"], as_of_period=last).values() if v is None] == [None]
     moved = sealed.withColumn("session_id", F.lit("elsewhere"))
