@@ -33,9 +33,21 @@ def find_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def check_demask_arguments(session: str | None, pairs: str | None) -> None:
-    if session is None and pairs is None:
+def demask_table(
+    df: DataFrame,
+    text: str = "text",
+    pairs: str | None = None,
+    session: str | None = None,
+    vault: DataFrame | None = None,
+    key: str = "reply_id",
+) -> DataFrame:
+    """Restore by a token map column if one is named, else by session: adds ``original_text,
+    entities_restored``."""
+    if pairs is not None:
+        return demask(df, text, pairs)
+    if session is None or vault is None:
         raise ValueError("Must provide either session_id or token_map")
+    return df.join(demask_sessions(df, vault, key, session, text), key)
 
 
 def demask_sessions(
@@ -80,7 +92,7 @@ def demask_sessions(
 def prefer(first: DataFrame, second: DataFrame) -> DataFrame:
     """One vault out of two: a session's tokens come from ``first`` if it has any there, else ``second``."""
     known = first.select("session_id").distinct()
-    return first.unionByName(second.join(known, "session_id", "left_anti"))
+    return first.unionByName(join_hot(second, known, ["session_id"], "left_anti"))
 
 
 def resolve_tokens(
@@ -95,7 +107,7 @@ def resolve_tokens(
         raise ValueError("on_missing must be 'empty' or 'identity'")
     asked = requests.select(key, "session_id", F.explode(F.array_distinct("tokens")).alias("token"))
     if on_missing == "empty":
-        asked = asked.join(vault.select("session_id").distinct(), "session_id", "left_semi")
+        asked = join_hot(asked, vault.select("session_id").distinct(), ["session_id"], "left_semi")
     got = join_hot(asked, vault.select("session_id", "token", "value"), ["session_id", "token"], "left")
     return got.select(key, "session_id", "token", F.coalesce("value", "token").alias("value"))
 
@@ -103,7 +115,7 @@ def resolve_tokens(
 def resolve_counts(requests: DataFrame, vault: DataFrame, key: str = "request_id") -> DataFrame:
     """Per request: tokens asked for (repeats counted) and those the session knows."""
     asked = requests.select(key, "session_id", F.explode("tokens").alias("token"))
-    asked = asked.join(vault.select("session_id").distinct(), "session_id", "left_semi")
+    asked = join_hot(asked, vault.select("session_id").distinct(), ["session_id"], "left_semi")
     known = vault.select("session_id", "token", F.lit(1).alias("hit"))
     got = join_hot(asked, known, ["session_id", "token"], "left")
     return got.groupBy(key, "session_id").agg(

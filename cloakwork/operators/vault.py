@@ -107,7 +107,7 @@ def current(log: DataFrame, as_of: Column, ttl: float = TTL_SECONDS) -> DataFram
 def get_sessions(log: DataFrame, wanted: DataFrame, as_of: Column, ttl: float = TTL_SECONDS) -> DataFrame:
     """Token rows of the wanted sessions; sessions that are absent or expired have none."""
     chosen = wanted.select("session_id").distinct()
-    return current(log.join(chosen, "session_id", "left_semi"), as_of, ttl)
+    return current(join_hot(log, chosen, ["session_id"], "left_semi"), as_of, ttl)
 
 
 def outcomes(log: DataFrame, ttl: float = TTL_SECONDS) -> DataFrame:

@@ -1,9 +1,8 @@
-"""Input parallelism and broadcast bounds."""
+"""Input parallelism."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -11,15 +10,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     A scan of splittable files already has far more partitions than cores, and is left alone: nothing is
     shuffled. Only an input with fewer partitions than cores (one small file) is hashed over its key,
-    which is stable under task retries.
+    which is stable under task retries. Meant for scans: a plan with shuffles would have to run them to tell
+    its partitions.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
-
-
-def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` if a look at it proves it has at most ``max_rows`` rows; otherwise leave the
-    choice of join to Spark."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).take(max_rows + 1)) <= max_rows else df

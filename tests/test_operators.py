@@ -61,10 +61,13 @@ def test_demask_by_map_and_by_session(spark):
     assert {r.reply_id: (r.original_text, r.entities_restored) for r in by_session} == want
 
 
-def test_demask_needs_a_source():
+def test_demask_needs_a_source(spark):
+    df = spark.createDataFrame([(1, "s", A1, [(A1, "one")])], "reply_id long, session_id string, text string, m array<struct<token:string,value:string>>")
     with pytest.raises(ValueError, match="Must provide either session_id or token_map"):
-        demask.check_demask_arguments(None, None)
-    demask.check_demask_arguments("s", None)
+        demask.demask_table(df)
+    vaulted = spark.createDataFrame([("s", 0, A1, "two")], "session_id string, ord int, token string, value string")
+    assert demask.demask_table(df, pairs="m").first().original_text == "one"
+    assert demask.demask_table(df, session="session_id", vault=vaulted).first().original_text == "two"
 
 
 def test_resolve(spark):
@@ -211,6 +214,7 @@ def test_running_and_hot_join(spark):
     assert join_hot(df, dim, ["k"], per_task=10).count() == 601
     assert join_hot(df, dim, ["k"], "left", per_task=10).count() == 900
     assert join_hot(df, dim, ["k"], "left_anti", per_task=10).count() == 299
+    assert join_hot(df, dim, ["k"], "left_semi", per_task=10).count() == 601
 
 
 # ---------------------------------------------------------------- vault
