@@ -6,7 +6,7 @@ first in order if several tie. Spans passed over earlier may still win here, so
 overlap; ``emit`` order (the order of the result) is then significant.
 
 Only spans that reach beyond the last kept end can still win, so the walk carries just those: at most
-one per rule (matches of one rule do not overlap) plus external ones, however long the text is.
+a few per rule (matches of one rule do not overlap) plus external ones, however long the text is.
 
 ``longest``: start ascending, length descending, no overlaps among the kept spans.
 """
@@ -18,35 +18,34 @@ from cloakwork.functions.detection import EMPTY_SPANS, SPAN
 MODES = ("compat", "longest")
 
 
-def _walk(spans: str, pool: str, best: str) -> str:
+_NEAR = "concat(filter(acc.pend, e -> e.end > x.start), array(x))"
+
+
+def _walk(spans: str, best: str) -> str:
+    # What wins overlaps x and so ends beyond the last kept span: it cannot have been kept before. The
+    # state is built here directly; passing it through another lambda would copy all of ``kept``.
     state = f"struct<skip:int,pend:array<{SPAN}>,kept:array<{SPAN}>>"
-    near = "concat(filter(acc.pend, e -> e.end > x.start), array(x))"
-    keep = f"""element_at(transform(transform(array({near}), near -> named_struct(
-            'near', near, 'best', element_at(transform(array({pool}), pool -> {best}), 1))),
-        c -> if(c.best.end > acc.skip or not array_contains(acc.kept, c.best),
-                named_struct('skip', c.best.end,
-                             'pend', filter(c.near, e -> e.end > c.best.end),
-                             'kept', concat(acc.kept, array(c.best))),
-                named_struct('skip', acc.skip, 'pend', c.near, 'kept', acc.kept))), 1)"""
     return f"""aggregate({spans},
         cast(named_struct('skip', -1, 'pend', array(), 'kept', array()) as {state}),
         (acc, x) -> if(x.start < acc.skip,
             if(x.end > acc.skip,
                named_struct('skip', acc.skip, 'pend', concat(acc.pend, array(x)), 'kept', acc.kept),
                acc),
-            {keep}),
+            named_struct('skip', {best}.end, 'pend', {_NEAR}, 'kept', concat(acc.kept, array({best})))),
         acc -> acc.kept)"""
 
 
 def _compat(spans: str) -> str:
     # With one score for all, the first overlapping span wins and later ones cannot. Only where scores
     # differ can a span that begins later win, by a higher score.
-    equal = _walk(spans, "near", "pool[0]")
-    later = f"""concat(near, filter({spans}, e -> e.start < x.end and
+    equal = _walk(spans, f"{_NEAR}[0]")
+    later = f"""concat({_NEAR}, filter({spans}, e -> e.start < x.end and
                     (e.start, e.end, e.seq) > (x.start, x.end, x.seq)))"""
-    top = "element_at(filter(pool, e -> e.score = array_max(transform(pool, q -> q.score))), 1)"
+    top = f"""element_at(transform(array({later}), pool ->
+        element_at(transform(array(array_max(transform(pool, q -> q.score))),
+            high -> element_at(filter(pool, e -> e.score = high), 1)), 1)), 1)"""
     mixed = f"array_max(transform({spans}, s -> s.score)) <> array_min(transform({spans}, s -> s.score))"
-    return f"if({mixed}, {_walk(spans, later, top)}, {equal})"
+    return f"if({mixed}, {_walk(spans, top)}, {equal})"
 
 
 def _longest(spans: str) -> str:
