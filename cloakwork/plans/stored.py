@@ -1,29 +1,58 @@
-"""Written intermediate tables in the cluster's shared folder."""
+"""Written intermediate tables in a folder that the whole cluster shares."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_made: dict[str, SparkSession] = {}
+
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; only a local session may fall back to its own disk."""
+    """A fresh folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset.
+
+    It is deleted when the program ends, or earlier by ``release``.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         set_by_caller = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = set_by_caller.get() if set_by_caller.isDefined() else None
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        return tempfile.mkdtemp(prefix="cloakwork-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base.rstrip('/')}/cloakwork-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_release_all)
+    _made[folder] = spark
+    return folder
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` and read it back: later steps read files instead of computing it again, and all of
-    them see the same rows, also after an executor is lost."""
-    path = f"{work_folder(df.sparkSession)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    them see the same rows, also after an executor is lost. The shuffle files behind it are given up."""
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/table"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, folder: str) -> None:
+    """Delete a work folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made.pop(folder, None)
+
+
+def _release_all() -> None:
+    for folder, spark in list(_made.items()):
+        try:
+            release(spark, folder)
+        except Exception:  # the JVM is already gone; nothing can be deleted through it
+            return
