@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakwork.llm import cascade
+from cloakwork.llm import cascade, simhash
 from cloakwork.llm.sql import ORACLES  # noqa: F401
 from cloakwork.sources.tables import table
 
@@ -21,3 +21,8 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @query
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return cascade.figures(table(spark, folder, "documents"))
+
+
+@query
+def op7_simhash_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
