@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakwork.llm import cascade, simhash
+from cloakwork.llm import cascade, simhash, suffixes
 from cloakwork.llm.sql import ORACLES  # noqa: F401
 from cloakwork.sources.tables import table
 
@@ -26,3 +26,8 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_simhash_anchors(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op5_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.report(table(spark, folder, "documents"))

@@ -16,15 +16,20 @@ NULL_ID = -(2**63)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:
-    """``d`` (a null id as the smallest long), ``text`` (null as empty); whatever else ``docs`` has is left behind."""
-    return docs.select(
+def id_and_keys(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
+    """``d``, a null id as the smallest long, and ``t``, which tells rows with one id but different texts apart."""
+    return (
         F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID)).alias("d"),
-        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
-        *more,
+        F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("t"),
     )
 
 
+def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``d``, ``t`` (see ``id_and_keys``) and ``text``, null as empty; whatever else ``docs`` has is left behind."""
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")
+    return docs.select(*id_and_keys(doc_id, text), whole)
+
+
 def public_id(column: str = "d") -> Column:
     """``d`` as it was given."""
     return F.when(F.col(column) != NULL_ID, F.col(column))
