@@ -29,18 +29,27 @@ def work_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` and read it back: later steps read files instead of computing it again, and all of
     them see the same rows, also after an executor is lost. The shuffle files behind it are given up."""
     spark = df.sparkSession
-    path = f"{work_folder(spark)}/table"
+    folder = work_folder(spark)
+    path = f"{folder}/table"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._work_folder = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` gave, once nothing will read them any more."""
+    for df in tables:
+        release(df.sparkSession, df._work_folder)
 
 
 def release(spark: SparkSession, folder: str) -> None:
