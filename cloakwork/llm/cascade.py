@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from cloakwork.llm.texts import mixed, raw_texts
+from cloakwork.llm.texts import mixed, raw_texts, small_batches
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -108,6 +108,7 @@ RULES: dict[str, Callable[[Text], bool]] = {
 
 def rule_order(docs: DataFrame, text: str = "text", rules: dict[str, Callable] = RULES, sample: int = SAMPLE) -> list[str]:
     """The rules by rejection per cost, as measured on about ``sample`` documents that pass the base."""
+    small_batches(docs)
     n = docs.count()
     some = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     some = some.sample(min(1.0, sample / n), seed=1) if n else some

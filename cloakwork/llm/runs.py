@@ -35,8 +35,8 @@ class Units:
     cores: Callable[[bytes], np.ndarray]
     """A well mixed hash of each stretch of ``core`` units of a text."""
 
-    def runs(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Core, first window and number of windows of each run."""
+    def runs(self, raw: bytes) -> tuple[np.ndarray, ...]:
+        """Core, first window, number of windows, and how far the core lies behind the first window's start, of each run."""
         return runs(self.cores(raw), self.width - self.core + 1)
 
 
@@ -69,13 +69,13 @@ def word_units(width: int, core: int) -> Units:
     return Units(width, core, cores)
 
 
-def runs(cores: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(cores: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
     """Windows of ``span`` cores each, cut into runs with the same least core."""
     n = len(cores) - span + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     low = np.uint64(STRETCH * 2 - 1)  # the place takes the hash's low bits: of equal ones the leftmost is least
-    found, firsts, counts = [], [], []
+    found, firsts, counts, leads = [], [], [], []
     for at in range(0, n, STRETCH):
         part = cores[at : at + STRETCH + span - 1]
         m = len(part) - span + 1
@@ -88,11 +88,12 @@ def runs(cores: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         found.append(part[place[first]])
         firsts.append(first + at)
         counts.append(np.diff(np.concatenate([first, [m]])))
-    return np.concatenate(found), np.concatenate(firsts), np.concatenate(counts)
+        leads.append(place[first] - first)
+    return tuple(map(np.concatenate, (found, firsts, counts, leads)))
 
 
 def run_rows(texts: DataFrame, units: Units) -> DataFrame:
-    """``core, d, first, n`` of every run of ``texts(d, text)``."""
+    """``core, d, first, n, lead`` of every run of ``texts(d, text)``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,9 +101,9 @@ def run_rows(texts: DataFrame, units: Units) -> DataFrame:
             held: list[tuple] = []
             rows = 0
             for d, raw in zip(ids, raw_texts(batch.column(1))):
-                core, first, n = units.runs(raw)
+                core, first, n, lead = units.runs(raw)
                 if len(core):
-                    held.append((signed(core), np.full(len(core), d), first, n))
+                    held.append((signed(core), np.full(len(core), d), first, n.astype(np.int16), lead.astype(np.int16)))
                     rows += len(core)
                 if rows > 500_000:
                     yield packed(held)
@@ -111,10 +112,9 @@ def run_rows(texts: DataFrame, units: Units) -> DataFrame:
                 yield packed(held)
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
-        columns = [pa.array(np.concatenate(c)) for c in zip(*held)]
-        return pa.RecordBatch.from_arrays([*columns[:3], columns[3].cast(pa.int32())], ["core", "d", "first", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["core", "d", "first", "n", "lead"])
 
-    return texts.select("d", "text").mapInArrow(each, "core long, d long, first long, n int")
+    return texts.select("d", "text").mapInArrow(each, "core long, d long, first long, n short, lead short")
 
 
 def live_runs(texts: DataFrame, units: Units, across: bool) -> DataFrame:
@@ -140,7 +140,7 @@ def live_runs(texts: DataFrame, units: Units, across: bool) -> DataFrame:
     else:
         again = F.count(F.lit(1)).over(group) > 1
     kept = dealt.withColumn("again", again).filter(F.col("again") | F.col("slices").isNotNull())
-    return kept.select("core", "d", "first", "n")
+    return kept.select("core", "d", "first", "n", "lead")
 
 
 def by_document(rows: DataFrame, keys: list[str], *columns: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.llm.components import components
-from cloakwork.llm.texts import raw_texts, signed
+from cloakwork.llm.texts import raw_texts, signed, small_batches
 from cloakwork.plans.stored import stored
 
 SHINGLE = 3
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             fps = np.array([fingerprint(raw) for raw in raw_texts(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(fps))], ["doc_id", "fp"])
 
+    small_batches(docs)
     some = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return some.mapInArrow(each, "doc_id long, fp long")
 

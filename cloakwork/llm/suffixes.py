@@ -4,22 +4,24 @@ Suffixes are ordered through their first ``DEPTH`` bytes only, most significant
 last digit are exactly the repeated strings of that length, and groups of one leave after any digit. The digits are not
 read from left to right, so that whole runs of suffixes can be sorted as one row as long as they stay together:
 
-1. the least core of 32 bytes within those bytes (see ``runs``): suffixes of one run share it;
-2. the whole content of the run: runs equal in it are equal suffix by suffix;
-3. for the runs that share a core but not their content, each suffix's own ``DEPTH`` bytes.
+1. the least core of 32 bytes within those bytes (see ``runs``): the suffixes of a run share it;
+2. the whole content of the run: runs equal in it are equal suffix by suffix, so all but the first are done;
+3. for the first of the runs that share a core but not their content: the bytes common to stretches of 8 suffixes,
+   cut at the same distances from the core;
+4. each suffix's own ``DEPTH`` bytes.
 
-After digits 2 and 3 each group's first place (least document, then least start) comes from a partial aggregation, and
-every other place is a repeat. Digits 2 and 3 are 128-bit hashes of the bytes themselves.
+Digits 2 to 4 are 128-bit hashes of the bytes themselves. Of equal suffixes the first in the least document stays, which
+takes a flag within the document and a partial aggregation of ids across documents.
 
 Null and short texts have no string of that length, so nothing is removed. Null ids sort before all others and stay
-null. Rows of one id: a place is earlier in the id, start order; equal places do not remove each other, so repeated rows
-fare alike. An empty table gives an empty result.
+null. Rows that share an id remove nothing from each other, so repeated rows fare alike. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,74 +32,111 @@ from pyspark.sql import functions as F
 
 from cloakwork.llm.runs import by_document, byte_units, covered, live_runs, numbers
 from cloakwork.llm.texts import id_and_keys, id_and_text, public_id, raw_texts
-from cloakwork.plans.stored import stored
+from cloakwork.plans.stored import discard, stored
 
 DEPTH = 100
 CORE = 32
-
-
-def _digit_rows(texts: DataFrame, parts: DataFrame, keys: list[str], depth: int, whole: bool) -> DataFrame:
-    """128-bit digits of the listed runs: of each run's whole content, or of its single suffixes.
-
-    Rows ``g1, g2`` (the digit), ``core, d, t, at`` and ``n``, the number of suffixes.
-    """
+#: Suffixes in a stretch of the third digit.
+STRIDE = 8
+_KEY = "g1 long, g2 long, core long, d long, t long, at long, n int, lead int, again boolean"
+_Items = tuple[list[bytes], dict[str, np.ndarray]]
+
+
+def _runs_whole(raw: bytes, run: dict[str, np.ndarray], depth: int) -> _Items:
+    ends = run["at"] + run["n"] + depth - 1
+    return [raw[a:b] for a, b in zip(run["at"].tolist(), ends.tolist())], run
+
+
+def _stretches(raw: bytes, run: dict[str, np.ndarray], depth: int) -> _Items:
+    """Suffixes at distances ``stride * k`` to ``stride * (k + 1) - 1`` before the core, and the bytes they all hold."""
+    stride = max(1, min(STRIDE, depth // 4))
+    far, near = run["lead"], run["lead"] - run["n"] + 1
+    pieces = far // stride - near // stride + 1
+    of = np.repeat(np.arange(len(pieces)), pieces)
+    k = near[of] // stride + np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    high, low = np.minimum(far[of], k * stride + stride - 1), np.maximum(near[of], k * stride)
+    core_at = (run["at"] + far)[of]
+    a = core_at - k * stride
+    texts = [b"%d " % i + raw[x : x + depth - stride + 1] for i, x in zip(k.tolist(), a.tolist())]
+    return texts, {"core": run["core"][of], "at": core_at - high, "n": high - low + 1, "lead": high}
+
+
+def _single(raw: bytes, run: dict[str, np.ndarray], depth: int) -> _Items:
+    n = run["n"]
+    of = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    at, unique = np.unique(run["at"][of] + step, return_index=True)
+    of, step = of[unique], step[unique]
+    one = {"core": run["core"][of], "at": at, "n": np.ones(len(at), np.int64), "lead": run["lead"][of] - step}
+    return [raw[a : a + depth] for a in at.tolist()], one
+
+
+def _digits(texts: DataFrame, rows: DataFrame, keys: list[str], cut: Callable[..., _Items], depth: int) -> DataFrame:
+    """The next digit, ``g1, g2``, of the listed runs as cut up by ``cut``; ``again``: it was there before in its text."""
+    parts = by_document(rows, keys, "core", "at", "n", "lead")
     joined = texts.join(parts, keys).select("d", "t", "text", "parts")
+    names = [c.split()[0] for c in _KEY.split(", ")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            lists = batch.column(3)
-            firsts, counts, cores = (numbers(lists, f) for f in ("first", "n", "core"))
+            held: list[tuple] = []
+            fields = {f: numbers(batch.column(3), f) for f in ("core", "at", "n", "lead")}
             ids, ts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            digits: list[bytes] = []
-            rest: list[tuple] = []
-
-            def packed() -> pa.RecordBatch:
-                g = np.frombuffer(b"".join(digits), "<i8").reshape(-1, 2)
-                columns = [np.ascontiguousarray(g[:, 0]), np.ascontiguousarray(g[:, 1])]
-                columns += [np.concatenate(c) for c in zip(*rest)]
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g1", "g2", "core", "d", "t", "at", "n"])
-
+            waiting = 0
             for i, raw in enumerate(raw_texts(batch.column(2))):
-                at, n, core = firsts[i], counts[i].astype(np.int64), cores[i]
-                fits = at + n + depth - 1 <= len(raw)  # not so for rows of another text with this id
-                at, n, core = at[fits], n[fits], core[fits]
-                if not whole:
-                    core = np.repeat(core, n)
-                    at = np.repeat(at, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    n = np.ones(len(at), np.int64)
-                digits += [digest(raw[a:b]) for a, b in zip(at.tolist(), (at + n + depth - 1).tolist())]
-                rest.append((core, np.full(len(at), ids[i]), np.full(len(at), ts[i]), at, n))
-                if len(digits) > 200_000:
-                    yield packed()
-                    digits.clear()
-                    rest.clear()
-            if digits:
-                yield packed()
-
-    return joined.mapInArrow(each, "g1 long, g2 long, core long, d long, t long, at long, n long")
+                run = {f: v[i].astype(np.int64) for f, v in fields.items()}
+                # in order, each once: rows that share the id give theirs too
+                order = np.unique(run["at"] * (depth + 1) + run["n"], return_index=True)[1]
+                # those of another text with this id may reach beyond this one
+                order = order[run["at"][order] + run["n"][order] + depth - 1 <= len(raw)]
+                strings, item = cut(raw, {f: v[order] for f, v in run.items()}, depth)
+                if not strings:
+                    continue
+                g = np.frombuffer(b"".join(map(digest, strings)), "<i8").reshape(-1, 2)
+                by = np.lexsort((item["at"], g[:, 1], g[:, 0]))
+                again = np.zeros(len(g), bool)
+                again[by[1:]] = (g[by[1:]] == g[by[:-1]]).all(axis=1)
+                own = (g[:, 0], g[:, 1], item["core"], np.full(len(g), ids[i]), np.full(len(g), ts[i]), item["at"])
+                held.append((*own, item["n"].astype(np.int32), item["lead"].astype(np.int32), again))
+                waiting += len(g)
+                if waiting > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+                    held, waiting = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+
+    return joined.mapInArrow(each, _KEY)
+
+
+def _first_ids(digits: DataFrame) -> DataFrame:
+    return digits.filter("not again").groupBy("g1", "g2").agg(F.min("d").alias("first"))
 
 
 def repeats(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``d, t, at, n``: suffixes ``at`` to ``at + n - 1`` of text ``t`` of document ``d`` begin with ``depth`` bytes
-    that also begin at an earlier place. ``texts`` has ``d``, ``t`` and ``text``."""
+    """``d, t, at, n``: the suffixes ``at`` to ``at + n - 1`` of a text begin with ``depth`` bytes that also begin at
+    an earlier place. ``texts`` has ``d, t, text``."""
+    item = ["d", "t", "at", "n"]
     # first digit: the core
-    runs = stored(live_runs(texts, byte_units(depth, min(CORE, depth)), across=False))
-    # second digit: the run
-    parts = by_document(runs, ["d"], "first", "n", "core")
-    digits = stored(_digit_rows(texts, parts, ["d"], depth, whole=True))
-    place = F.struct("d", "at")
-    firsts = digits.groupBy("g1", "g2", "core").agg(F.min(place).alias("place"))
-    forks = firsts.groupBy("core").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("core", F.lit(True).alias("fork"))
-    firsts = firsts.join(forks, "core", "left").select("g1", "g2", "place", F.col("fork").isNotNull().alias("fork"))
-    sorted_ = digits.join(firsts, ["g1", "g2"]).withColumn("again", F.col("place") < place)
-    sorted_ = stored(sorted_.filter("again or fork").select("core", "d", "t", "at", "n", "again"))
-    # third digit: the single suffix, for the first place of each run that shares its core with other runs
-    parts = by_document(sorted_.filter("not again").withColumnRenamed("at", "first"), ["d", "t"], "first", "n", "core")
-    single = stored(_digit_rows(texts, parts, ["d", "t"], depth, whole=False).select("g1", "g2", "d", "t", "at"))
-    first = single.groupBy("g1", "g2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    later = single.join(first, ["g1", "g2"]).filter(F.col("place") < place)
-    return sorted_.filter("again").select("d", "t", "at", "n").unionByName(later.select("d", "t", "at", F.lit(1).cast("long").alias("n")))
+    runs = stored(live_runs(texts, byte_units(depth, min(CORE, depth)), across=False).withColumnRenamed("first", "at"))
+    # second digit: the run; of those that share a core the first ones go on
+    digits = stored(_digits(texts, runs, ["d"], _runs_whole, depth))
+    discard(runs)
+    forks = digits.groupBy("core").agg(F.min("g1").alias("low"), F.max("g1").alias("high")).filter("low < high")
+    judged = digits.join(_first_ids(digits), ["g1", "g2"]).withColumn("again", F.col("again") | (F.col("first") < F.col("d")))
+    judged = judged.join(forks.select("core", F.lit(True).alias("fork")), "core", "left")
+    judged = stored(judged.filter("again or fork").select("core", *item, "lead", "again"))
+    discard(digits)
+    # third digit: what stretches of suffixes have in common
+    common = stored(_digits(texts, judged.filter("not again"), ["d", "t"], _stretches, depth))
+    twice = common.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g1", "g2")
+    # fourth digit: the suffix
+    live = stored(common.join(twice, ["g1", "g2"], "left_semi").select("core", *item, "lead"))
+    discard(common)
+    single = stored(_digits(texts, live, ["d", "t"], _single, depth).select("g1", "g2", *item, "again"))
+    discard(live)
+    later = single.join(_first_ids(single), ["g1", "g2"]).filter(F.col("again") | (F.col("first") < F.col("d")))
+    return judged.filter("again").select(*item).unionByName(later.select(*item))
 
 
 def _with_repeats(texts: DataFrame, found: DataFrame) -> DataFrame:

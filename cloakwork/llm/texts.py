@@ -13,9 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)
+TEXTS_PER_BATCH = 2000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def small_batches(docs: DataFrame) -> None:
+    """Whole texts are large rows: have Spark hand fewer of them at a time to Python than of others."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(key))
+    if now <= 0 or now > TEXTS_PER_BATCH:
+        conf.set(key, str(TEXTS_PER_BATCH))
+
+
 def id_and_keys(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
     """``d``, a null id as the smallest long, and ``t``, which tells rows with one id but different texts apart."""
     return (
@@ -26,6 +35,7 @@ def id_and_keys(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Col
 
 def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``d``, ``t`` (see ``id_and_keys``) and ``text``, null as empty; whatever else ``docs`` has is left behind."""
+    small_batches(docs)
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")
     return docs.select(*id_and_keys(doc_id, text), whole)
 
