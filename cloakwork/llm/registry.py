@@ -4,20 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakwork.llm import cascade, simhash, suffixes
+from cloakwork.llm import cascade, mixing, packing, simhash, suffixes
 from cloakwork.llm.sql import ORACLES  # noqa: F401
+from cloakwork.llm.tokens import Vocabulary
 from cloakwork.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+WORDS_49K = Vocabulary(public_tokenizers.path("word_bpe_49k.json"), "words", 1)
+BYTES_50K = Vocabulary(public_tokenizers.path("byte_bpe_50k.json"), "spaced", 2)
+
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
 
 
+@query
+def op1_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), WORDS_49K)
+
+
 @query
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return cascade.figures(table(spark, folder, "documents"))
@@ -31,3 +41,8 @@ def op7_simhash_anchors(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.report(table(spark, folder, "documents"))
+
+
+@query
+def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.choose(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
