@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakwork.llm import cascade, mixing, packing, simhash, suffixes
+from cloakwork.llm import cascade, debruijn, lattice, mixing, packing, rans, simhash, suffixes, warc
 from cloakwork.llm.sql import ORACLES  # noqa: F401
 from cloakwork.llm.tokens import Vocabulary
 from cloakwork.sources.tables import table
@@ -46,3 +46,23 @@ def op5_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.choose(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return rans.round_trip(table(spark, folder, "documents"), BYTES_50K)
+
+
+@query
+def op9_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
+@query
+def op4_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return debruijn.report(table(spark, folder, "documents"))
+
+
+@query
+def op3_lattice_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.scores(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -22,8 +22,10 @@ from cloakwork.llm.texts import BYTES, mixed, raw_texts, signed, word_hashes
 #: Windows of a text are cut into runs in stretches of so many.
 STRETCH = 1 << 20
 #: A core that would fill more than about this many rows is dealt out over several tasks.
-CROWD = 100_000
+CROWD = 20_000
 SAMPLED = 64
+#: No more crowded cores than this are looked after.
+MOST_CROWDED = 4096
 
 
 @dataclass(frozen=True)
@@ -121,7 +123,8 @@ def live_runs(texts: DataFrame, units: Units, across: bool) -> DataFrame:
     """The runs whose core occurs again: in another document (``across``), or anywhere.
 
     One shuffle by core. The cores that look crowded in a sample are dealt out by document as well; they occur again
-    for certain, so nothing about them needs counting. The sample decides the layout only.
+    for certain, so nothing about them needs counting. The list is layout only, so its length is bounded, and it is
+    broadcast: a join by core would bring them together again.
     """
     rows = run_rows(texts, units)
     some = run_rows(texts.filter(F.pmod(F.xxhash64("d", F.lit(7)), F.lit(SAMPLED)) == 0), units)
@@ -129,9 +132,11 @@ def live_runs(texts: DataFrame, units: Units, across: bool) -> DataFrame:
         some.groupBy("core")
         .agg(F.count(F.lit(1)).alias("rows"), F.min("d").alias("low"), F.max("d").alias("high"))
         .filter((F.col("rows") * SAMPLED > CROWD) & (F.col("low") < F.col("high") if across else F.lit(True)))
+        .orderBy(F.col("rows").desc(), "core")
+        .limit(MOST_CROWDED)
         .select("core", F.ceil(F.col("rows") * SAMPLED / CROWD).alias("slices"))
     )
-    dealt = rows.join(crowded, "core", "left")
+    dealt = rows.join(F.broadcast(crowded), "core", "left")
     slice_ = F.coalesce(F.pmod(F.xxhash64("d", "first"), F.col("slices")), F.lit(0)).cast("int")
     dealt = dealt.withColumn("slice", slice_)
     group = Window.partitionBy("core", "slice")

@@ -33,3 +33,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
         OR 2 * loud > n_words) AS kept
 FROM based
 """
+
+# windows as their words; a word goes if a window over it starts in a smaller document, too
+ORACLES["op4_repeated_passages"] = rf"""
+WITH ws AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+places AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM ws WHERE len(w) >= 13),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS g FROM places),
+found AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM found WHERE first < doc_id),
+parts AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM ws),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+    FROM parts ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM ws LEFT JOIN kept USING (doc_id)
+"""

@@ -6,11 +6,11 @@ read from left to right, so that whole runs of suffixes can be sorted as one row
 
 1. the least core of 32 bytes within those bytes (see ``runs``): the suffixes of a run share it;
 2. the whole content of the run: runs equal in it are equal suffix by suffix, so all but the first are done;
-3. for the first of the runs that share a core but not their content: the bytes common to stretches of 8 suffixes,
-   cut at the same distances from the core;
-4. each suffix's own ``DEPTH`` bytes.
+3. for the first of the runs that share a core but not their content: stretches of 8 suffixes, cut at the same distances
+   from the core, first by the bytes that all 8 have in common and then, like runs, by their whole content;
+4. for the first of the stretches that share the common bytes but not their content: each suffix's own ``DEPTH`` bytes.
 
-Digits 2 to 4 are 128-bit hashes of the bytes themselves. Of equal suffixes the first in the least document stays, which
+Digits are 128-bit hashes of the bytes themselves. Of equal suffixes the first in the least document stays, which
 takes a flag within the document and a partial aggregation of ids across documents.
 
 Null and short texts have no string of that length, so nothing is removed. Null ids sort before all others and stay
@@ -48,7 +48,7 @@ def _runs_whole(raw: bytes, run: dict[str, np.ndarray], depth: int) -> _Items:
 
 
 def _stretches(raw: bytes, run: dict[str, np.ndarray], depth: int) -> _Items:
-    """Suffixes at distances ``stride * k`` to ``stride * (k + 1) - 1`` before the core, and the bytes they all hold."""
+    """Suffixes at distances ``stride * k`` to ``stride * (k + 1) - 1`` before the core. What they share takes the core's place."""
     stride = max(1, min(STRIDE, depth // 4))
     far, near = run["lead"], run["lead"] - run["n"] + 1
     pieces = far // stride - near // stride + 1
@@ -56,9 +56,10 @@ def _stretches(raw: bytes, run: dict[str, np.ndarray], depth: int) -> _Items:
     k = near[of] // stride + np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     high, low = np.minimum(far[of], k * stride + stride - 1), np.maximum(near[of], k * stride)
     core_at = (run["at"] + far)[of]
-    a = core_at - k * stride
-    texts = [b"%d " % i + raw[x : x + depth - stride + 1] for i, x in zip(k.tolist(), a.tolist())]
-    return texts, {"core": run["core"][of], "at": core_at - high, "n": high - low + 1, "lead": high}
+    at, n, common = core_at - high, high - low + 1, (core_at - k * stride).tolist()
+    own = [xxhash.xxh3_64_intdigest(raw[a : a + depth - stride + 1], i) for i, a in zip(k.tolist(), common)]
+    texts = [b"%d %d " % (i, j) + raw[a : a + c] for i, j, a, c in zip(k.tolist(), high.tolist(), at.tolist(), (n + depth - 1).tolist())]
+    return texts, {"core": np.array(own, np.uint64).view(np.int64), "at": at, "n": n, "lead": high}
 
 
 def _single(raw: bytes, run: dict[str, np.ndarray], depth: int) -> _Items:
@@ -113,30 +114,29 @@ def _first_ids(digits: DataFrame) -> DataFrame:
     return digits.filter("not again").groupBy("g1", "g2").agg(F.min("d").alias("first"))
 
 
+def _sorted(digits: DataFrame) -> DataFrame:
+    """Rows that were there before (``again``), and the first of those that share a core but not their content."""
+    forks = digits.groupBy("core").agg(F.min("g1").alias("low"), F.max("g1").alias("high")).filter("low < high")
+    judged = digits.join(_first_ids(digits), ["g1", "g2"]).withColumn("again", F.col("again") | (F.col("first") < F.col("d")))
+    judged = judged.select("core", "d", "t", "at", "n", "lead", "again").join(forks.select("core", F.lit(True).alias("fork")), "core", "left")
+    out = stored(judged.filter("again or fork").drop("fork"))
+    discard(digits)
+    return out
+
+
 def repeats(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``d, t, at, n``: the suffixes ``at`` to ``at + n - 1`` of a text begin with ``depth`` bytes that also begin at
     an earlier place. ``texts`` has ``d, t, text``."""
     item = ["d", "t", "at", "n"]
-    # first digit: the core
     runs = stored(live_runs(texts, byte_units(depth, min(CORE, depth)), across=False).withColumnRenamed("first", "at"))
-    # second digit: the run; of those that share a core the first ones go on
-    digits = stored(_digits(texts, runs, ["d"], _runs_whole, depth))
+    whole = stored(_digits(texts, runs, ["d"], _runs_whole, depth))
     discard(runs)
-    forks = digits.groupBy("core").agg(F.min("g1").alias("low"), F.max("g1").alias("high")).filter("low < high")
-    judged = digits.join(_first_ids(digits), ["g1", "g2"]).withColumn("again", F.col("again") | (F.col("first") < F.col("d")))
-    judged = judged.join(forks.select("core", F.lit(True).alias("fork")), "core", "left")
-    judged = stored(judged.filter("again or fork").select("core", *item, "lead", "again"))
-    discard(digits)
-    # third digit: what stretches of suffixes have in common
-    common = stored(_digits(texts, judged.filter("not again"), ["d", "t"], _stretches, depth))
-    twice = common.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g1", "g2")
-    # fourth digit: the suffix
-    live = stored(common.join(twice, ["g1", "g2"], "left_semi").select("core", *item, "lead"))
-    discard(common)
-    single = stored(_digits(texts, live, ["d", "t"], _single, depth).select("g1", "g2", *item, "again"))
-    discard(live)
+    whole = _sorted(whole)
+    parts = _sorted(stored(_digits(texts, whole.filter("not again"), ["d", "t"], _stretches, depth)))
+    single = stored(_digits(texts, parts.filter("not again"), ["d", "t"], _single, depth).select("g1", "g2", *item, "again"))
     later = single.join(_first_ids(single), ["g1", "g2"]).filter(F.col("again") | (F.col("first") < F.col("d")))
-    return judged.filter("again").select(*item).unionByName(later.select(*item))
+    done = whole.filter("again").select(*item).unionByName(parts.filter("again").select(*item))
+    return done.unionByName(later.select(*item))
 
 
 def _with_repeats(texts: DataFrame, found: DataFrame) -> DataFrame:
