@@ -7,14 +7,14 @@ A text is its words, lower-cased in A to Z, and one end. A word's probability is
   always be spelled byte by byte. This way gets the mass that the discounts left over.
 
 The lattice is summed by a forward recursion in log space, and no piece reaches over a word's end, so a text's marginal
-probability is the product of its words'. Pieces get their probabilities from the training texts: the vocabulary's own
-scores segment each distinct training word once, and the pieces are counted.
+probability is the product of its words'. The pieces' scores start from the vocabulary's own and are fitted to the
+distinct training words by expectation maximisation: a backward recursion gives each piece's expected count.
 
 Nothing grows with the corpus in one place: texts lie in blocks of bounded size, every block asks for its own distinct
-words, each distinct word is scored once, and the answers go back to the blocks that asked. Only piece counts, no more than
-the vocabulary has, and a few sums reach the driver.
+words, each distinct word is scored once, and the answers go back to the blocks that asked. Only piece counts, no more
+than the vocabulary has, and a few sums reach the driver.
 
-Null texts are empty: their score is the end's. A null id counts as the empty text where ids decide on held-out rows.
+Null texts are empty: their score is the end's. A null id counts as an empty one where ids decide on held-out rows.
 Repeated rows are counted and scored one by one; an empty table gives an empty result.
 """
 
@@ -23,7 +23,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
@@ -37,65 +36,170 @@ from cloakwork.plans.stored import discard, stored
 
 #: Bytes of text in a block.
 BLOCK = 12_000_000
-#: Added to each piece's count.
-SMOOTH = 0.5
+#: Rounds of fitting, and what is added to each piece's expected count.
+ROUNDS, SMOOTH = 2, 0.01
 MARK = "▁"
+#: Longer words are summed one at a time.
+TOGETHER = 48
+NEVER = -1e30
 _LOG10 = math.log(10)
+_BASE = 0x9E3779B97F4A7C15
 
 
-@dataclass
-class Pieces:
-    """Log probabilities of first pieces (with the mark), of further pieces, of single bytes, and of the stop."""
+def _hash(piece: str) -> int:
+    h = 0
+    for c in piece:
+        h = (h * _BASE + ord(c) + 1) % 2**64
+    return h
+
+
+class Side:
+    """Pieces that may stand at one kind of place, found by hash, with their log probabilities."""
+
+    def __init__(self, pieces: list[str]):
+        hashes = np.array([_hash(p) for p in pieces], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.pieces = hashes[order], [pieces[i] for i in order]
+        if (self.hashes[1:] == self.hashes[:-1]).any():
+            raise ValueError("two pieces share a hash")
+        self.number = {p: i for i, p in enumerate(self.pieces)}
+        self.log = np.zeros(len(pieces))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, or -1."""
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        return np.where(self.hashes[at] == hashes, at, -1)
 
-    first: dict[str, float]
-    further: dict[str, float]
-    byte: list[float]
-    stop: float
 
-    @staticmethod
-    def counted(path: str, counts: dict[tuple[bool, int], int], words: int) -> Pieces:
-        """From how often each piece is a first or a further one in ``words`` words."""
+class Pieces:
+    """First pieces (without the mark), further pieces, single bytes, and the stop."""
+
+    def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        ids = range(model.get_piece_size())
-        text = {i: model.id_to_piece(i) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-        first = {p: counts.get((True, i), 0) + SMOOTH for i, p in text.items() if p.startswith(MARK)}
-        further = {p: counts.get((False, i), 0) + SMOOTH for i, p in text.items() if MARK not in p}
-        byte = [0.0] * 256
-        for i in ids:
-            if model.is_byte(i):
-                byte[int(model.id_to_piece(i)[3:-1], 16)] = counts.get((False, i), 0) + SMOOTH
-        stop = words + SMOOTH
-        all_first, all_further = math.log(sum(first.values())), math.log(sum(further.values()) + sum(byte) + stop)
-        return Pieces(
-            {p: math.log(n) - all_first for p, n in first.items()},
-            {p: math.log(n) - all_further for p, n in further.items()},
-            [math.log(n) - all_further for n in byte],
-            math.log(stop) - all_further,
+        kept = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+        # existing scores; where they are ranks, as in vocabularies of merges, a rank stands for a frequency
+        own = {model.id_to_piece(i): model.get_score(i) for i in kept}
+        weight = {p: 1.0 / (10.0 - x) if min(own.values()) < -100 else math.exp(x) for p, x in own.items()}
+        self.first = Side([p[1:] for p in own if p.startswith(MARK)])
+        self.further = Side([p for p in own if MARK not in p])
+        self.reach = max(map(len, self.further.pieces), default=1)
+        self.fit(
+            np.array([weight[MARK + p] for p in self.first.pieces]),
+            np.array([weight[p] for p in self.further.pieces]),
+            np.full(256, 1e-6),
+            0.3 * sum(weight[p] for p in self.further.pieces),
         )
 
+    def fit(self, first: np.ndarray, further: np.ndarray, byte: np.ndarray, stop: float) -> None:
+        """Log probabilities from counts."""
+        self.first.log = np.log(first) - math.log(first.sum())
+        total = math.log(further.sum() + byte.sum() + stop)
+        self.further.log, self.byte, self.stop = np.log(further) - total, np.log(byte) - total, math.log(stop) - total
+
+
+def _scalar(word: str, pieces: Pieces, counts: list | None = None) -> float:
+    """Log of the sum over all segmentations of one word; expected counts are added to ``counts``."""
+    first, further, reach, n = pieces.first, pieces.further, pieces.reach, len(word)
+    spelled = [sum([float(pieces.byte[b]) for b in c.encode()]) for c in word]
+    arcs: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+    at = []
+    for end in range(n + 1):
+        k = first.number.get(word[:end]) if end <= reach else None
+        logs = [float(first.log[k])] if k is not None else []
+        if end:
+            logs.append(at[end - 1] + spelled[end - 1])
+        for start in range(max(0, end - reach), end):
+            k = further.number.get(word[start:end])
+            if k is not None:
+                arcs[end].append((start, k))
+                logs.append(at[start] + float(further.log[k]))
+        at.append(_sum(logs) if logs else NEVER)
+    total = at[n] + pieces.stop
+    if counts is not None:
+        back = [NEVER] * n + [pieces.stop]
+        for end in range(n, 0, -1):
+            for start, k in arcs[end]:
+                counts[1][k] += math.exp(at[start] + further.log[k] + back[end] - total)
+                back[start] = _sum([back[start], float(further.log[k]) + back[end]])
+            share = math.exp(at[end - 1] + spelled[end - 1] + back[end] - total)
+            for b in word[end - 1].encode():
+                counts[2][b] += share
+            back[end - 1] = _sum([back[end - 1], spelled[end - 1] + back[end]])
+        for end in range(min(n, reach) + 1):
+            k = first.number.get(word[:end])
+            if k is not None:
+                counts[0][k] += math.exp(first.log[k] + back[end] - total)
+    return total
+
 
 def _sum(logs: list[float]) -> float:
     top = max(logs)
     return top + math.log(sum([math.exp(x - top) for x in logs])) if len(logs) > 1 else top
 
 
-def marginal(word: str, pieces: Pieces) -> float:
-    """Log of the sum over all segmentations of a word."""
-    first, further, reach = pieces.first, pieces.further, max(map(len, pieces.further))
-    at = [first[MARK]]
-    for end in range(1, len(word) + 1):
-        logs = [at[end - 1] + sum([pieces.byte[b] for b in word[end - 1].encode()])]
-        whole = first.get(MARK + word[:end]) if end <= reach else None
-        if whole is not None:
-            logs.append(whole)
-        for start in range(max(0, end - reach), end):
-            p = further.get(word[start:end])
-            if p is not None:
-                logs.append(at[start] + p)
-        at.append(_sum(logs))
-    return at[-1] + pieces.stop
+def _together(codes: np.ndarray, pieces: Pieces, counts: list | None = None) -> np.ndarray:
+    """``_scalar`` for words of one length, given as rows of code points."""
+    first, further, (rows, n), base = pieces.first, pieces.further, codes.shape, np.uint64(_BASE)
+    letters, of = np.unique(codes, return_inverse=True)
+    of = of.reshape(codes.shape)
+    spelled = np.array([pieces.byte[list(chr(c).encode())].sum() for c in letters.tolist()])[of] if n else codes.astype(float)
+    h, starts, at = np.zeros(rows, np.uint64), [], []
+    for end in range(n + 1):
+        k = first.find(h) if end <= pieces.reach else np.full(rows, -1)
+        starts.append(k)
+        at.append(np.where(k >= 0, first.log[k], NEVER))
+        if end < n:
+            h = h * base + codes[:, end] + np.uint64(1)
+    arcs: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    for start in range(n):
+        h = np.zeros(rows, np.uint64)
+        at[start + 1] = np.logaddexp(at[start + 1], at[start] + spelled[:, start])
+        for end in range(start + 1, min(n, start + pieces.reach) + 1):
+            h = h * base + codes[:, end - 1] + np.uint64(1)
+            k = further.find(h)
+            if (k >= 0).any():
+                arcs[start, end] = k, np.where(k >= 0, further.log[k], NEVER)
+                at[end] = np.logaddexp(at[end], at[start] + arcs[start, end][1])
+    total = at[n] + pieces.stop
+    if counts is None:
+        return total
+    back = [np.full(rows, pieces.stop)] * (n + 1)
+    for start in range(n - 1, -1, -1):
+        back[start] = back[start + 1] + spelled[:, start]
+        share = np.exp(at[start] + back[start] - total)
+        for c, x in zip(letters.tolist(), np.bincount(of[:, start], share, minlength=len(letters)).tolist()):
+            for b in chr(c).encode():
+                counts[2][b] += x
+        for end in range(start + 1, min(n, start + pieces.reach) + 1):
+            if (start, end) in arcs:
+                k, log = arcs[start, end]
+                hit = k >= 0
+                share = np.exp(at[start][hit] + log[hit] + back[end][hit] - total[hit])
+                counts[1] += np.bincount(k[hit], share, minlength=len(further.log))
+                back[start] = np.logaddexp(back[start], log + back[end])
+    for end, k in enumerate(starts):
+        hit = k >= 0
+        counts[0] += np.bincount(k[hit], np.exp(first.log[k[hit]] + back[end][hit] - total[hit]), minlength=len(first.log))
+    return total
+
+
+def marginals(words: list[str], pieces: Pieces, counts: list | None = None) -> np.ndarray:
+    """Log of the sum over all segmentations of each word."""
+    out = np.zeros(len(words))
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    for n in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == n)
+        if n > TOGETHER:
+            out[rows] = [_scalar(words[i], pieces, counts) for i in rows]
+            continue
+        for low in range(0, len(rows), 4096):
+            some = rows[low : low + 4096]
+            codes = np.frombuffer("".join([words[i] for i in some]).encode("utf-32-le"), "<u4").reshape(len(some), n)
+            out[some] = _together(codes.astype(np.uint64), pieces, counts)
+    return out
 
 
 def _words_of_blocks(texts: DataFrame) -> DataFrame:
@@ -121,26 +225,31 @@ def _words_of_blocks(texts: DataFrame) -> DataFrame:
     return ordered.mapInArrow(each, "block long, word binary, n long")
 
 
-def _piece_counts(words: DataFrame, path: str) -> dict[tuple[bool, int], int]:
-    """How often each piece starts or goes on in the distinct training words, by the vocabulary's own scores."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
+def _fitted(words: DataFrame, pieces: Pieces, n_words: int, rounds: int) -> Pieces:
+    """The pieces with scores fitted to the distinct words."""
+    context = words.sparkSession.sparkContext
+    for _ in range(rounds if n_words else 0):
+        # no more pieces than the vocabulary has
+        given = context.broadcast(pieces)
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        counts: Counter = Counter()
-        for batch in batches:
-            for ids in model.encode([w.decode() for w in batch.column(0).to_pylist()], num_threads=1):
-                counts.update((i == 0, p) for i, p in enumerate(ids))
-        rows = [(*k, n) for k, n in counts.items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["first", "piece", "n"])
+        def expect(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            own = given.value
+            counts = [np.zeros(len(own.first.log)), np.zeros(len(own.further.log)), np.zeros(256)]
+            for batch in batches:
+                marginals([w.decode() for w in batch.column(0).to_pylist()], own, counts)
+            for kind, n in enumerate(counts):
+                used = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), kind)), pa.array(used), pa.array(n[used])], ["kind", "piece", "n"])
 
-    counted = words.select("word").mapInArrow(each, "first boolean, piece long, n long")
-    return {(r["first"], r["piece"]): r["n"] for r in counted.groupBy("first", "piece").agg(F.sum("n").alias("n")).collect()}
+        rows = words.select("word").mapInArrow(expect, "kind long, piece long, n double")
+        counts = [np.full(len(pieces.first.log), SMOOTH), np.full(len(pieces.further.log), SMOOTH), np.full(256, SMOOTH)]
+        for r in rows.groupBy("kind", "piece").agg(F.sum("n").alias("n")).collect():
+            counts[r["kind"]][r["piece"]] += r["n"]
+        pieces.fit(*counts, n_words + SMOOTH)
+    return pieces
 
 
-def scores(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", fold: int = 1, folds: int = 5) -> DataFrame:
+def scores(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", fold: int = 1, folds: int = 5, rounds: int = ROUNDS) -> DataFrame:
     """Per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     ``path`` is a sentencepiece model. Documents whose id's text has a CRC-32 of ``fold`` modulo ``folds`` are held out;
@@ -169,25 +278,24 @@ def scores(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     base = math.log10(total + 0.5 * (distinct + 1))
     # what a count is too high by on average, from words seen once and twice
     discount = min(0.9, max(0.1, found["once"] / max(1, found["once"] + 2 * found["twice"])))
-    pieces = Pieces.counted(path, _piece_counts(known, path), found["words"])
-    spread = spread_over(docs, pieces)
-    left = math.log((discount * distinct + SMOOTH) / (total + SMOOTH))
-    whole_of = math.log(total + SMOOTH)
+    pieces = _fitted(known, Pieces(path), found["words"], rounds)
+    spread = docs.sparkSession.sparkContext.broadcast(pieces)
+    left = math.log((discount * distinct + 1) / (total + 1))
+    whole_of = math.log(total + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = spread.value
         for batch in batches:
-            c = batch.column(1).to_pylist()
-            logs = []
-            for word, n in zip(batch.column(0).to_pylist(), c):
-                log = left + marginal(word.decode(), own)
-                logs.append((_sum([log, math.log(n - discount) - whole_of]) if n else log) / _LOG10)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())], ["word", "c", "log"])
+            c = batch.column(1).to_numpy()
+            log = left + marginals([w.decode() for w in batch.column(0).to_pylist()], own)
+            known = c > 0
+            log[known] = np.logaddexp(log[known], np.log(c[known] - discount) - whole_of)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log / _LOG10)], ["word", "c", "log"])
 
     scored = stored(words.select("word", "c").mapInArrow(score, "word binary, c long, log double"))
     discard(words)
     # an end is one more word, spelled with no letters at all
-    end_log = left + pieces.first[MARK] + pieces.stop
+    end_log = left + float(pieces.first.log[pieces.first.number[""]]) + pieces.stop
     end_score = (_sum([end_log, math.log(ends - discount) - whole_of]) if ends else end_log) / _LOG10
     end_base = math.log10(ends + 0.5) - base
     answers = stored(asked.select("block", "word").distinct().join(scored, "word"))
@@ -208,8 +316,3 @@ def scores(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     asked_by = texts.select("block", "d", "held_out", "text").groupBy("block")
     out = asked_by.cogroup(answers.groupBy("block")).applyInPandas(judge, kinds)
     return out.select(public_id().alias("doc_id"), *[c.split()[0] for c in kinds.split(", ")[1:]])
-
-
-def spread_over(docs: DataFrame, pieces: Pieces):  # noqa: ANN201
-    """The pieces as a broadcast: no more of them than the vocabulary has."""
-    return docs.sparkSession.sparkContext.broadcast(pieces)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakwork.llm import cascade, debruijn, lattice, mixing, packing, rans, simhash, suffixes, warc
+from cloakwork.llm import cascade, debruijn, lattice, mixing, packing, rans, sampling, simhash, suffixes, warc
 from cloakwork.llm.sql import ORACLES  # noqa: F401
 from cloakwork.llm.tokens import Vocabulary
 from cloakwork.sources.tables import table
@@ -66,3 +66,8 @@ def op4_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_lattice_scores(spark: SparkSession, folder: str) -> DataFrame:
     return lattice.scores(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op2_weighted_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    return sampling.report(table(spark, folder, "documents"))
