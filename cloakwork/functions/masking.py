@@ -72,9 +72,11 @@ def replacement(strategy: str, salt: str = "") -> str:
     if strategy == "HASH":
         return f"sha2(concat({sql_string(salt)}, f.text), 256)"
     if strategy == "TOKENIZE":
-        # The number is taken from the value, so equal values share a token in every text.
-        digest = f"conv(substring(sha2(concat({sql_string(salt)}, f.entity_type, ':', f.text), 256), 1, 15), 16, 10)"
-        return token("f.entity_type", digest)
+        # The number is the whole digest of the value, so equal values share a token in every text and no others do.
+        blocks = [(15, 19)] * 4 + [(4, 5)]
+        parts = [f"lpad(conv(substring(h, {1 + 15 * i}, {n}), 16, 10), {d}, '0')" for i, (n, d) in enumerate(blocks)]
+        digest = f"sha2(concat({sql_string(salt)}, f.entity_type, ':', f.text), 256)"
+        return token("f.entity_type", f"element_at(transform(array({digest}), h -> concat({', '.join(parts)})), 1)")
     if strategy == "SYNTHETIC":
         def pick(values: list[str]) -> str:
             table = ", ".join(sql_string(v) for v in values)

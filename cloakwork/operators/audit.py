@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ def append_audit(events: DataFrame, path: str, mode: str = "append") -> bool:
     try:
         events.write.mode(mode).parquet(path)
     except Exception as exc:  # noqa: BLE001  whatever the store raises
-        print(f"audit events not recorded: {type(exc).__name__}")
+        logging.getLogger(__name__).warning("audit events not recorded: %s", type(exc).__name__)
         return False
     return True
 

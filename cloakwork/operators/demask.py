@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.functions.columns import settled
 from cloakwork.functions.regex import sql_string
 from cloakwork.functions.tokens import TOKEN_JAVA, TOKEN_TYPE_JAVA, restore
 from cloakwork.plans.skew import join_hot
+from cloakwork.plans.stored import stored
 
 # The beginning of a token, at the end of a text: what follows could complete it.
 _OPEN = r"\{[{}_A-Z\p{Nd}:]*"
@@ -25,9 +26,10 @@ def demask(df: DataFrame, text: str = "masked_text", pairs: str = "token_map") -
     )
 
 
-def find_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """The tokens in each text, one row per occurrence: ``key, ord, token, token_type``."""
-    found = df.select(key, F.posexplode_outer(F.expr(f"regexp_extract_all(`{text}`, {sql_string(TOKEN_JAVA)}, 0)")).alias("ord", "token"))
+def find_tokens(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """The tokens in each text, one row per occurrence: ``key``, the columns in ``more``, ``ord, token, token_type``."""
+    every = F.posexplode_outer(F.expr(f"regexp_extract_all(`{text}`, {sql_string(TOKEN_JAVA)}, 0)")).alias("ord", "token")
+    found = df.select(key, *more, every)
     return found.filter(F.col("token").isNotNull()).withColumn(
         "token_type", F.regexp_extract("token", TOKEN_TYPE_JAVA, 1)
     )
@@ -39,54 +41,83 @@ def demask_table(
     pairs: str | None = None,
     session: str | None = None,
     vault: DataFrame | None = None,
-    key: str = "reply_id",
 ) -> DataFrame:
     """Restore by a token map column if one is named, else by session: adds ``original_text,
-    entities_restored``."""
+    entities_restored`` to every row."""
     if pairs is not None:
         return demask(df, text, pairs)
     if session is None or vault is None:
         raise ValueError("Must provide either session_id or token_map")
-    return df.join(demask_sessions(df, vault, key, session, text), key)
+    return restored_rows(df, vault, session, text)
 
 
 def demask_sessions(
     replies: DataFrame, vault: DataFrame, key: str = "reply_id", session: str = "session_id", text: str = "text"
 ) -> DataFrame:
-    """Restore replies by their session: ``key`` plus ``original_text, entities_restored``.
+    """``restored_rows``, of which only ``key, original_text, entities_restored`` are kept."""
+    return restored_rows(replies, vault, session, text).select(key, "original_text", "entities_restored")
+
+
+def restored_rows(replies: DataFrame, vault: DataFrame, session: str = "session_id", text: str = "text") -> DataFrame:
+    """Restore replies by their session: every row of ``replies`` with ``original_text, entities_restored``.
 
     ``vault`` holds ``session_id, ord, token, value``. Only the tokens that occur in a reply are looked up,
     by session and token together, so a session with very many tokens or replies spreads over tasks.
-    An unknown session or token leaves the text as it is.
+    An unknown session or token leaves the text as it is. What is found belongs to a session and a text: nothing else
+    tells rows apart, so keys may repeat or be null.
 
-    Looking up just those tokens is the same as replaying the whole map unless a replacement can bring
-    forth a further token. Replies where that could happen (a value that holds a token or the beginning of
-    one, or such a beginning right before a token) are restored from the session's whole map, in its order.
+    Looking up just those tokens is the same as replaying the whole map unless a replacement brings forth a
+    further token. Where that could happen (a value that holds a token or the beginning of one, or such a
+    beginning right before a token) the restored texts are searched again, round by round, until no round finds
+    a token that the session knows.
     """
-    base = replies.select(F.col(key), F.col(session).alias("session_id"), F.col(text).alias("_text"))
-    base = base.withColumn("_tokens", F.expr(f"array_distinct(regexp_extract_all(_text, {sql_string(TOKEN_JAVA)}, 0))"))
-    wanted = base.select(key, "session_id", F.explode_outer("_tokens").alias("token")).filter("token is not null")
-    hits = join_hot(wanted, vault.select("session_id", "token", "value", "ord"), ["session_id", "token"])
-    found = hits.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("ord", "token", "value"))).alias("_found"),
-        F.max(F.col("value").rlike(f"{TOKEN_JAVA}|{_OPEN}$")).alias("_nested"),
-    )
+    rows = replies.select(
+        F.struct(*[F.col(f"`{c}`") for c in replies.columns]).alias("_row"),
+        F.col(session).cast("string").alias("_session"),
+        F.col(text).alias("_text"),
+    ).withColumn("_hash", F.sha2("_text", 256))
+    known = vault.select(F.col("session_id").cast("string").alias("_session"), "token", "value", "ord")
+    same = ["_session", "_hash"]
+    wanted = rows.select(*same, F.explode(_tokens_in("_text")).alias("token")).distinct()
+    hits = join_hot(wanted, known, ["_session", "token"])
     bare = F.regexp_replace("_text", TOKEN_JAVA, _MARK)
-    odd = F.coalesce(F.col("_nested") | bare.rlike(_OPEN + _MARK), F.lit(False))
-    joined = base.join(found, key, "left").withColumn("_odd", odd)
-
-    plain = joined.filter(~F.col("_odd")).select(key, "_text", F.expr("transform(_found, f -> named_struct('token', f.token, 'value', f.value))").alias("_pairs"))
-    whole = joined.filter("_odd").select(key, "session_id", "_text")
-    maps = (
-        whole.select(key, "session_id")
-        .join(vault.select("session_id", "token", "value", "ord"), "session_id")
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("ord", "token", "value"))).alias("_found"))
-    )
-    nested = whole.join(maps, key, "left").select(
-        key, "_text", F.expr("transform(_found, f -> named_struct('token', f.token, 'value', f.value))").alias("_pairs")
-    )
-    return demask(plain.unionByName(nested), "_text", "_pairs").select(key, "original_text", "entities_restored")
+    nested = F.col("value").rlike(f"{TOKEN_JAVA}|{_OPEN}$")
+    open_texts = rows.filter(bare.rlike(_OPEN + _MARK)).select(*same)
+    odd = hits.filter(nested).select(*same).unionByName(open_texts).distinct()
+    more = _further_hits(rows, hits, odd, known)
+    hits = hits if more is None else hits.unionByName(more)
+    found = hits.groupBy(*same).agg(F.sort_array(F.collect_list(F.struct("ord", "token", "value"))).alias("_found"))
+    joined = rows.join(found, same, "left").withColumn("_pairs", F.expr(_PAIRS_OF.format("_found")))
+    done = demask(joined, "_text", "_pairs")
+    out = [F.col(f"_row.`{c}`").alias(c) for c in replies.columns if c not in ("original_text", "entities_restored")]
+    return done.select(*out, "original_text", "entities_restored")
+
+
+_PAIRS_OF = "transform({}, f -> named_struct('token', f.token, 'value', f.value))"
+
+
+def _tokens_in(text: str) -> Column:
+    return F.expr(f"array_distinct(regexp_extract_all({text}, {sql_string(TOKEN_JAVA)}, 0))")
+
+
+def _further_hits(rows: DataFrame, hits: DataFrame, odd: DataFrame, known: DataFrame) -> DataFrame | None:
+    """Tokens that only come to light while the ``odd`` texts are restored, with their values."""
+    same = ["_session", "_hash"]
+    if odd.isEmpty():
+        return None
+    texts = stored(rows.join(odd, same, "left_semi").select(*same, "_text").distinct())
+    have = stored(hits.join(odd, same, "left_semi"))
+    added = None
+    while True:
+        found = have.groupBy(*same).agg(F.sort_array(F.collect_list(F.struct("ord", "token", "value"))).alias("_found"))
+        now = texts.join(found, same).withColumn("_pairs", F.expr(_PAIRS_OF.format("_found")))
+        seen = demask(now, "_text", "_pairs").select(*same, F.explode(_tokens_in("original_text")).alias("token"))
+        fresh = seen.join(have.select(*same, "token"), [*same, "token"], "left_anti")
+        fresh = stored(join_hot(fresh, known, ["_session", "token"]))
+        if fresh.isEmpty():
+            return added
+        added = fresh if added is None else added.unionByName(fresh)
+        have = have.unionByName(fresh)
 
 
 def prefer(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -124,11 +155,10 @@ def resolve_counts(requests: DataFrame, vault: DataFrame, key: str = "request_id
 
 
 def unresolved_tokens(replies: DataFrame, vault: DataFrame, key: str, text: str) -> DataFrame:
-    """Tokens in replies that their session does not know."""
-    found = find_tokens(replies, key, text).select(key, "token").distinct()
-    asked = found.join(replies.select(key, "session_id"), key)
-    missing = join_hot(asked, vault.select("session_id", "token"), ["session_id", "token"], "left_anti")
-    return missing.select(key, "session_id", "token")
+    """Tokens in replies that their own session does not know."""
+    asked = find_tokens(replies, key, text, "session_id").select(key, "session_id", "token").distinct()
+    known = vault.select("session_id", "token")
+    return join_hot(asked, known, ["session_id", "token"], "left_anti").select(key, "session_id", "token")
 
 
 def roundtrip_failures(masked: DataFrame, text: str = "text") -> DataFrame:

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloakwork.functions.detection import with_candidates
-from cloakwork.plans.skew import ROWS_PER_TASK, join_hot
+from cloakwork.plans.skew import join_hot
 from cloakwork.sources.labels import entity_type_of
 from cloakwork.sources.rules import MODEL_THRESHOLD, Rule, active_rules, rules_frame
 
-Predict = Callable[[str], list[tuple[str, int, int, float]]]
+Predict = Callable[[list[str]], list[list[tuple[str, int, int, float]]]]
 
 
 def candidate_spans(
@@ -51,33 +52,29 @@ def detect_type(
 
 
 def detect_distinct(
-    df: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    rules: list[Rule] | None = None,
-    per_task: int = ROWS_PER_TASK,
+    df: DataFrame, key: str = "doc_id", text: str = "text", rules: list[Rule] | None = None
 ) -> DataFrame:
     """``candidate_spans``, matching each distinct text once; worth its shuffle where copies abound.
 
-    Copies are counted and a representative is chosen by partially aggregated hashes. The findings of a
-    representative go back to all copies, however many one text has.
+    Texts are brought together by their hash, with partial aggregation, and go through the rules there; the findings
+    go back to all copies, however many one text has. Keys may repeat.
     """
     rules = active_rules(rules)
-    hashed = df.select(key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_hash"))
-    groups = hashed.groupBy("_hash").agg(F.min(key).alias("_rep"))
-    chosen = df.join(groups.select(F.col("_rep").alias(key)), key, "left_semi")
-    found = _span_arrays(chosen, key, text, rules).withColumnRenamed(key, "_rep").join(groups, "_rep").drop("_rep")
-    copies = join_hot(hashed, found, ["_hash"], per_task=per_task)
+    hashed = df.select(F.col(key), F.col(text).alias("_text"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_hash"))
+    texts = hashed.groupBy("_hash").agg(F.any_value("_text").alias("_text"))
+    found = _span_arrays(texts, "_hash", "_text", rules)
+    copies = join_hot(hashed.drop("_text"), found, ["_hash"])
     return _span_rows(copies.select(key, "_spans"), key, rules)
 
 
 def model_spans(
-    df: DataFrame, load: Callable[[], Predict], key: str = "doc_id", text: str = "text"
+    df: DataFrame, load: Callable[[], Predict], key: str = "doc_id", text: str = "text", failures: Accumulator | None = None
 ) -> DataFrame:
     """Findings of an external model: ``key, label, start, end, score``.
 
-    ``load`` is called once per task and gives a function from a text to ``(label, start, end, score)``
-    tuples. A text on which the model fails has no model findings; rules still apply to it.
+    ``load`` is called once per task and gives a function from a list of texts to a list of
+    ``(label, start, end, score)`` tuples for each. Blank texts are not shown to it. A batch on which it fails is tried text by text;
+    a text on which it fails then has no model findings, rules still apply to it, and ``failures`` counts it.
     """
     key_type = df.schema[key].dataType
     schema = T.StructType(
@@ -94,16 +91,23 @@ def model_spans(
         import pandas as pd
 
         predict = load()
+
+        def one(value: str) -> list:
+            try:
+                return predict([value])[0]
+            except Exception:  # noqa: BLE001  any failure of a foreign model
+                if failures is not None:
+                    failures.add(1)
+                return []
+
         for batch in batches:
-            rows = []
-            for ident, value in zip(batch[key], batch[text]):
-                if not value or not value.strip():
-                    continue
-                try:
-                    rows += [(ident, *span) for span in predict(value)]
-                except Exception:  # noqa: BLE001  any failure of a foreign model
-                    continue
-            yield pd.DataFrame(rows, columns=[key, "label", "start", "end", "score"])
+            shown = batch[batch[text].fillna("").str.strip() != ""]
+            try:
+                spans = predict(shown[text].tolist())
+            except Exception:  # noqa: BLE001  one bad text must not cost the others theirs
+                spans = [one(value) for value in shown[text]]
+            found = [(ident, *span) for ident, own in zip(shown[key], spans) for span in own]
+            yield pd.DataFrame(found, columns=[key, "label", "start", "end", "score"])
 
     return df.select(key, text).mapInPandas(run, schema)
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.operators.demask import demask_sessions
+from cloakwork.operators.demask import restored_rows
 from cloakwork.operators.mask import mask_table, token_rows
 from cloakwork.sources.rules import Rule
 
-FLOW_ERROR = "Invalid flow: provide user_input OR (llm_response + session_id)"
+FLOW_ERROR = "A request needs an input to mask, or a session and an answer to restore"
 
 
 def first_step(requests: DataFrame, new_session: str, rules: list[Rule] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -28,17 +28,19 @@ def second_step(requests: DataFrame, vault: DataFrame) -> DataFrame:
     """Requests with a session: the restored answer; an empty answer is an error."""
     known = requests.filter(F.col("session_id").isNotNull())
     usable = F.coalesce(F.col("llm_response"), F.lit("")) != ""
-    restored = demask_sessions(known.filter(usable), vault, "request_id", "session_id", "llm_response")
-    return known.join(restored, "request_id", "left").select(
+    asked = known.withColumn("_usable", usable).withColumn("_answer", F.when(usable, F.col("llm_response")))
+    return restored_rows(asked, vault, "session_id", "_answer").select(
         "request_id",
-        F.when(usable, F.lit("")).alias("masked_input"),
+        F.when(F.col("_usable"), F.lit("")).alias("masked_input"),
         "session_id",
         F.col("original_text").alias("demasked_response"),
-        F.when(~usable, F.lit(FLOW_ERROR)).alias("error"),
+        F.when(~F.col("_usable"), F.lit(FLOW_ERROR)).alias("error"),
     )
 
 
-def run_flow(requests: DataFrame, vault: DataFrame, new_session: str, rules: list[Rule] | None = None) -> DataFrame:
-    """Both steps on one table of requests."""
-    answers, _ = first_step(requests, new_session, rules)
-    return answers.unionByName(second_step(requests, vault))
+def run_flow(
+    requests: DataFrame, vault: DataFrame, new_session: str, rules: list[Rule] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Both steps on one table of requests: the answers, and the token rows to store for the second step to come."""
+    answers, rows = first_step(requests, new_session, rules)
+    return answers.unionByName(second_step(requests, vault)), rows

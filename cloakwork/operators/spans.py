@@ -16,11 +16,6 @@ from cloakwork.plans.skew import running
 CHUNK = 65_536
 
 
-def filter_types(spans: DataFrame, types: list[str] | None = None) -> DataFrame:
-    """Keep the listed types; none or an empty list means all."""
-    return spans.filter(F.col("entity_type").isin(types)) if types else spans
-
-
 def islands(spans: DataFrame, key: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
     """Add ``island``: spans connected by overlaps share a number, counted from 1 along the text."""
     order = [F.col("start"), F.col("end"), F.col("seq")]
@@ -96,7 +91,3 @@ def _count_back(kept: DataFrame, keys: list[str], chunk: int, out: str, first: i
     order = [F.col("start").desc(), F.col("island"), F.col("emit_pos")]
     counted = running(kept, keys, bucket, order, F.lit(1), out)
     return counted.withColumn(out, F.col(out) + first)
-
-
-def span_counts(spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    return spans.groupBy(key).agg(F.count(F.lit(1)).alias("entities_found"))

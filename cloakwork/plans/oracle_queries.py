@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hmac
+
 from cloakwork.plans import oracles as o
 from cloakwork.plans.derived import AS_OF, EVENT_TOKENS, EVENT_TTL, FINDINGS, MODEL_LABELS, OP_OF_EVENT
-from cloakwork.plans.queries import DETECTORS, GHOST, URL_RULE
+from cloakwork.plans.queries import DEMO_KEYS, DETECTORS, GHOST, URL_RULE
+from cloakwork.operators.crypto import INFO, validate_key
+from cloakwork.operators.flow import FLOW_ERROR
 from cloakwork.functions.masking import SYNTHETIC_OTHER, SYNTHETIC_VALUES
 from cloakwork.sources.labels import LABEL_TYPES
 from cloakwork.sources.rules import Rule, active_rules, default_rules, extend_rules, without_rules
@@ -174,6 +178,10 @@ ORACLES["d6_mask_training_texts"] = _mask(
     "documents", _TEXT + " WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)"
 )
 _SHA = "sha256({0})"
+_WHOLE = " || ".join(
+    f"lpad(CAST(CAST(('0x' || substr(sha256({{0}}), {1 + 15 * i}, {n})) AS BIGINT) AS VARCHAR), {d}, '0')"
+    for i, (n, d) in enumerate([(15, 19)] * 4 + [(4, 5)])
+)
 _NUMBER = "CAST(('0x' || substr(sha256({0}), 1, 15)) AS BIGINT)"
 
 
@@ -193,7 +201,7 @@ ORACLES["d9_hash"] = _mask("documents", _TEXT, stand_in=_SHA.format("v"))
 ORACLES["d10_tokenize"] = _mask(
     "documents",
     "SELECT token, value, count(DISTINCT doc_id) AS n_texts FROM toks GROUP BY ALL",
-    stand_in="'{{__OWL:' || entity_type || '_' || " + _NUMBER.format("entity_type || ':' || v") + " || '__}}'",
+    stand_in="'{{__OWL:' || entity_type || '_' || " + _WHOLE.format("entity_type || ':' || v") + " || '__}}'",
 )
 ORACLES["d11_synthetic"] = _mask(
     "documents",
@@ -219,18 +227,18 @@ ORACLES["e4_demask_precedence"] = _restored(
     """SELECT doc_id AS session_id, ord, token, CASE WHEN doc_id % 2 = 0 THEN '#' || value ELSE value END AS value
        FROM toks"""
 )
-_ASKED = f"""SELECT doc_id AS request_id, CAST(doc_id AS VARCHAR) AS session_id, token, value FROM toks WHERE ord = 0
+_ASKED = f"""SELECT doc_id AS request_id, CAST(doc_id AS VARCHAR) AS session_id, token, value FROM toks
     UNION ALL SELECT doc_id, CAST(doc_id AS VARCHAR), '{GHOST.strip()}', '{GHOST.strip()}' FROM toks WHERE ord = 0"""
-_LOST = f"""SELECT -doc_id - 1, 'x' || doc_id, token, token FROM toks WHERE ord = 0
+_LOST = f"""SELECT -doc_id - 1, 'x' || doc_id, token, token FROM toks
     UNION ALL SELECT -doc_id - 1, 'x' || doc_id, '{GHOST.strip()}', '{GHOST.strip()}' FROM toks WHERE ord = 0"""
 ORACLES["e5_resolve"] = _mask("documents", _ASKED)
 ORACLES["e6_resolve_identity"] = _mask("documents", f"{_ASKED} UNION ALL {_LOST}")
 ORACLES["e7_llm_flow"] = _mask(
     "documents",
-    """SELECT doc_id AS request_id, CASE doc_id % 3 WHEN 0 THEN masked_text WHEN 1 THEN '' END AS masked_input,
+    f"""SELECT doc_id AS request_id, CASE doc_id % 3 WHEN 0 THEN masked_text WHEN 1 THEN '' END AS masked_input,
        CASE doc_id % 3 WHEN 0 THEN 's' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS session_id,
        CASE doc_id % 3 WHEN 1 THEN original_text END AS demasked_response,
-       CASE doc_id % 3 WHEN 2 THEN 'Invalid flow: provide user_input OR (llm_response + session_id)' END AS error
+       CASE doc_id % 3 WHEN 2 THEN '{FLOW_ERROR}' END AS error
        FROM masked JOIN replayed ON reply_id = doc_id""",
     more=(
         "replies AS (SELECT doc_id AS reply_id, doc_id AS session_id, masked_text AS txt FROM masked)",
@@ -287,9 +295,9 @@ ORACLES["f1_store"] = f"""WITH {_OPS},
     last AS (SELECT session_id, arg_max(op_id, (ts, op_id)) AS op_id FROM ops WHERE op = 'put' AND ts <= TIMESTAMP '{AS_OF}' GROUP BY ALL)
     SELECT session_id, op_id AS first_op, ord AS first_ord, token, value FROM last JOIN toks ON event_id = op_id"""
 ORACLES["f2_overwrite"] = _mask(
-    "documents",
+    "contacts",
     """SELECT CAST(doc_id % 10 AS VARCHAR) AS session_id, token, value FROM toks
-       WHERE doc_id IN (SELECT max(doc_id) FROM documents GROUP BY doc_id % 10)""",
+       WHERE doc_id IN (SELECT max(c_custkey) FROM customer GROUP BY c_custkey % 10)""",
 )
 ORACLES["f3_get_session"] = _sql(_state(), select=_FLAT + " WHERE session_id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer)")
 ORACLES["f4_extend"] = _sql(
@@ -324,13 +332,22 @@ ORACLES["f10_conversation_numbering"] = _mask(
 ORACLES["g1_period"] = "SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS period, count(*) AS n_events FROM events GROUP BY 1"
 _TOKEN_ROWS = f"""WITH {_OPS}, r AS (SELECT o.session_id, o.op_id, t.ord, t.token, t.value,
     CAST(floor(epoch(o.ts) / 86400) AS BIGINT) AS period FROM ops o JOIN toks t ON t.event_id = o.op_id WHERE op <> 'delete')"""
-ORACLES["g2_derived_keys"] = _TOKEN_ROWS + " SELECT 'old' AS key_id, period, count(*) AS n_values, 32::BIGINT AS key_length FROM r GROUP BY period"
+# HMAC-SHA256 spelled out: the hash of the padded key and the inner hash; the padded keys are constants
+_EXTRACTED = hmac.new(bytes(32), validate_key(DEMO_KEYS["old"]), "sha256").digest()
+_IN, _OUT = ("".join(f"{b ^ pad:02X}" for b in _EXTRACTED.ljust(64, b"\0")) for pad in (0x36, 0x5C))
+_INFO = " || ".join(["'" + INFO.partition("{")[0] + "'", "period"])
+_KEY = f"unhex(sha256(unhex('{_OUT}') || unhex(sha256(unhex('{_IN}') || encode({_INFO}) || unhex('01')))))"
+ORACLES["g2_derived_keys"] = (
+    _TOKEN_ROWS + f" SELECT 'old' AS key_id, period, count(*) AS n_values, sha256({_KEY}) AS key_digest FROM r GROUP BY period"
+)
 ORACLES["g3_encrypt"] = _TOKEN_ROWS + " SELECT session_id, op_id, ord, period, CAST(strlen(value) + 28 AS BIGINT) AS n_bytes FROM r"
 ORACLES["g4_decrypt"] = _TOKEN_ROWS + " SELECT session_id, op_id, ord, token, value FROM r"
 ORACLES["g4_decrypt_two_periods"] = (
     _TOKEN_ROWS + " SELECT period, count(*) FILTER (WHERE period IN (19742, 19741)) AS n_opened, count(*) AS n_values FROM r GROUP BY period"
 )
-ORACLES["g6_encryption_off"] = _TOKEN_ROWS + " SELECT session_id, false AS encrypted, count(*) AS n_tokens FROM r GROUP BY session_id"
+ORACLES["g6_encryption_off"] = (
+    _TOKEN_ROWS + " SELECT session_id, op_id, ord, token, value, CASE WHEN op_id % 2 = 0 THEN 'old' END AS key_id FROM r"
+)
 ORACLES["g7_rekey"] = _TOKEN_ROWS + " SELECT session_id, op_id, ord, 'new' AS key_id, value FROM r"
 
 # ------------------------------------------------------------------ audit and statistics
@@ -342,8 +359,8 @@ ORACLES["h1_mask_events"] = _mask(
 )
 ORACLES["h2_resolve_events"] = _mask(
     "documents",
-    """SELECT 'resolve' AS event_type, CAST(doc_id AS VARCHAR) AS session_id, 3::BIGINT AS tokens_requested,
-       2::BIGINT AS tokens_resolved FROM toks WHERE ord = 0""",
+    """SELECT 'resolve' AS event_type, CAST(doc_id AS VARCHAR) AS session_id, count(*) + 2 AS tokens_requested,
+       count(*) + 1 AS tokens_resolved FROM toks GROUP BY doc_id""",
 )
 ORACLES["h3_delete_events"] = _sql(
     _state(as_of=None),
@@ -391,7 +408,9 @@ ORACLES["i2_stream_session"] = _sql(
 )
 ORACLES["i3_stream_demask"] = _mask(
     "documents",
-    "SELECT doc_id AS reply_id, text AS original_text, n_found AS entities_restored FROM masked JOIN documents USING (doc_id) WHERE doc_id % 5 <> 0",
+    """SELECT doc_id AS reply_id, CASE WHEN doc_id % 5 = 0 THEN masked_text ELSE text END AS original_text,
+       CASE WHEN doc_id % 5 = 0 THEN 0 ELSE n_found END AS entities_restored, doc_id % 5 <> 0 AS resolved
+       FROM masked JOIN documents USING (doc_id)""",
 )
 ORACLES["i4_stream_dedup"] = "SELECT event_id, user_id FROM events"
 
@@ -409,11 +428,14 @@ ORACLES["i5_audit_sessions"] = """SELECT user_id, min(epoch_us(ts)) AS window_st
         SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS spell FROM (
             SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS cut
             FROM events)) GROUP BY user_id, spell"""
-ORACLES["i6_late_replies"] = _sql(
-    _state(as_of=None),
-    select="""SELECT session_id, count(*) FILTER (WHERE coalesce(before, '') <> 'put') AS n_late,
-        count(*) FILTER (WHERE before = 'put') AS n_in_time FROM seen WHERE op = 'extend' GROUP BY session_id""",
-)
+# the last put or delete before a reply, and whether it is a put that is still live
+ORACLES["i6_late_replies"] = f"""WITH {_OPS},
+    before AS (SELECT r.op_id, r.session_id, r.ts, arg_max(o.op, (o.ts, o.op_id)) AS op, max(o.ts) AS last_ts
+        FROM ops r LEFT JOIN ops o ON o.session_id = r.session_id AND o.op <> 'extend' AND o.ts <= r.ts
+        WHERE r.op = 'extend' GROUP BY ALL)
+    SELECT op_id AS reply_id, session_id, 'keep ' || token AS original_text, 0::BIGINT AS entities_restored
+    FROM before JOIN toks ON event_id = op_id AND ord = 0
+    WHERE NOT coalesce(op = 'put' AND ts - last_ts < INTERVAL {EVENT_TTL} SECOND, false)"""
 ORACLES["i7_stream_vault"] = _mask(
     "documents",
     "SELECT CAST(doc_id AS VARCHAR) AS session_id, n_found AS entities_found, n_found AS n_tokens, n_found AS token_count FROM masked",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -155,7 +156,7 @@ def _stub_loader():
         import re
 
         pattern = re.compile(r"[a-z]+\.[0-9]+@")
-        return lambda text: [("person", m.start(), m.end() - 1, 0.75) for m in pattern.finditer(text)]
+        return lambda texts: [[("person", m.start(), m.end() - 1, 0.75) for m in pattern.finditer(t)] for t in texts]
 
     return load
 
@@ -420,18 +421,17 @@ def e4_demask_precedence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _requests(masked: DataFrame) -> DataFrame:
-    """Each document with findings asks for its first token twice and for an unknown one, and so does a
-    session that does not exist."""
-    ghost = F.lit(GHOST.strip())
-    first = masked.select(
-        F.col("doc_id").alias("request_id"), "session_id", F.get("token_map", F.lit(0))["token"].alias("t")
+    """Each document with findings asks for all its tokens, for the first one twice, and for an unknown one; a
+    session that does not exist asks for the same."""
+    ghost, tokens = F.lit(GHOST.strip()), F.col("token_map.token")
+    asked = masked.filter(F.size("token_map") > 0)
+    known = asked.select(
+        F.col("doc_id").alias("request_id"), "session_id", F.concat(tokens, F.array(ghost, tokens[0])).alias("tokens")
     )
-    first = first.filter(F.col("t").isNotNull())
-    known = first.select("request_id", "session_id", F.array("t", ghost, "t").alias("tokens"))
-    lost = first.select(
-        (-F.col("request_id") - 1).alias("request_id"),
+    lost = asked.select(
+        (-F.col("doc_id") - 1).alias("request_id"),
         F.concat(F.lit("x"), "session_id").alias("session_id"),
-        F.array("t", ghost).alias("tokens"),
+        F.concat(tokens, F.array(ghost)).alias("tokens"),
     )
     return known.unionByName(lost)
 
@@ -460,7 +460,7 @@ def e7_llm_flow(spark: SparkSession, folder: str) -> DataFrame:
         F.when(kind != 0, F.col("session_id")).alias("session_id"),
         F.concat(F.lit("s"), F.col("doc_id")).alias("new_id"),
     )
-    return flow.run_flow(asked, rows, "new_id")
+    return flow.run_flow(asked, rows, "new_id")[0]
 
 
 @query
@@ -508,8 +508,8 @@ def f1_store(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def f2_overwrite(spark: SparkSession, folder: str) -> DataFrame:
-    """Ten documents share a session; masking the next one replaces its map."""
-    masked = _masked(spark, folder).select(
+    """Contacts share ten sessions; masking the next one replaces its map."""
+    masked = _masked(spark, folder, "contacts").select(
         (F.col("doc_id") % 10).alias("session_id"),
         "doc_id",
         F.timestamp_seconds(F.col("doc_id")).alias("ts"),
@@ -588,10 +588,10 @@ def g1_period(spark: SparkSession, folder: str) -> DataFrame:
     return events.groupBy(crypto.key_period(F.col("ts")).alias("period")).agg(F.count(F.lit(1)).alias("n_events"))
 
 
-def _sealed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _sealed(spark: SparkSession, folder: str, period_seconds: int = crypto.PERIOD_SECONDS) -> tuple[DataFrame, DataFrame]:
     rows = derived.session_log(spark, folder).filter(F.col("token").isNotNull())
-    keys = crypto.key_frame(spark, DEMO_KEYS, crypto.periods_of(rows))
-    return crypto.encrypt_values(rows, keys, "old"), keys
+    keys = crypto.key_frame(spark, DEMO_KEYS, crypto.periods_of(rows, period_seconds=period_seconds))
+    return crypto.encrypt_values(rows, keys, "old", period_seconds=period_seconds), keys
 
 
 @query
@@ -599,9 +599,7 @@ def g2_derived_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Which key each period of the log uses; keys are shown by digest only."""
     sealed, keys = _sealed(spark, folder)
     used = sealed.groupBy("key_id", "period").agg(F.count(F.lit(1)).alias("n_values"))
-    return used.join(F.broadcast(keys), ["key_id", "period"]).select(
-        "key_id", "period", "n_values", F.length("key_bytes").cast("long").alias("key_length")
-    )
+    return used.join(keys, ["key_id", "period"]).select("key_id", "period", "n_values", F.sha2("key_bytes", 256).alias("key_digest"))
 
 
 @query
@@ -628,15 +626,21 @@ def g4_decrypt_two_periods(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def g6_encryption_off(spark: SparkSession, folder: str) -> DataFrame:
-    """Without a master key values are stored as they are."""
+    """Every other operation was stored while encryption was off; one read gives the values of both kinds."""
     rows = derived.session_log(spark, folder).filter(F.col("token").isNotNull())
-    events = audit.mask_events(rows, encrypted=False, ts="ts")
-    return events.select("session_id", "token_count", "encrypted").groupBy("session_id", "encrypted").agg(F.sum("token_count").alias("n_tokens"))
+    keys = crypto.key_frame(spark, DEMO_KEYS, crypto.periods_of(rows))
+    columns = ["session_id", "op_id", "ord", "token", "value", "sealed", "key_id", "period"]
+    sealed = crypto.store_values(rows.filter("op_id % 2 = 0"), keys, "old").select(*columns)
+    plain = crypto.store_values(rows.filter("op_id % 2 = 1")).select(*columns)
+    kept = stored(sealed.unionByName(plain)).withColumn("stored_with", F.col("key_id"))
+    opened = crypto.read_values(kept, keys, ["new", "old"])
+    return opened.select("session_id", "op_id", F.col("ord").cast("long").alias("ord"), "token", "value", F.col("stored_with").alias("key_id"))
 
 
 @query
 def g7_rekey(spark: SparkSession, folder: str) -> DataFrame:
-    sealed, keys = _sealed(spark, folder)
+    """Hourly keys."""
+    sealed, keys = _sealed(spark, folder, 3600)
     again = crypto.rekey(sealed, keys, ["old"], "new")
     opened = crypto.decrypt_values(again, keys, ["new"])
     return opened.select("session_id", "op_id", F.col("ord").cast("long").alias("ord"), "key_id", "value")
@@ -715,32 +719,64 @@ def i1_stream_mask(spark: SparkSession, folder: str) -> DataFrame:
     return streams.drain(masked, work_folder(spark))
 
 
+def _shuffled(df: DataFrame, ts: str, work: str, batches: int = 2, files: int = 2) -> DataFrame:
+    """``df`` as a stream that comes in micro-batches in no order of time, and at last a row of a year later in a session
+    of its own, which lets everything before it go."""
+    by = F.xxhash64(*df.columns)
+    parts = [df.filter(F.pmod(by, F.lit(batches)) == i) for i in range(batches)]
+    later = df.select(F.max(ts).alias("_ts"), F.expr(f"max_by(struct(*), {ts})").alias("_r"))
+    later = later.select(*[(F.col("_ts") + F.expr("interval 366 days") if c == ts else F.lit("later") if c == "session_id" else F.col(f"_r.{c}")).alias(c) for c in df.columns])
+    for i, part in enumerate([*parts, later]):
+        part.repartition(files if i < batches else 1).write.parquet(f"{work}/in/part={i}")
+        time.sleep(0.01)
+    stream = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True)
+    return stream.parquet(f"{work}/in")
+
+
+# everything waits until the last row, so nothing counts as late
+WHOLE = "365 days"
+
+
+def _session_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The operations of the events, with their tokens."""
+    log = derived.session_log(spark, folder)
+    maps = log.groupBy("session_id", "ts", "op_id", "op").agg(F.sort_array(F.collect_list(F.struct("ord", "token", "value"))).alias("m"))
+    maps = maps.withColumn("m", F.filter("m", lambda p: p["token"].isNotNull()))
+    return maps.select(
+        "session_id", "ts", "op_id", "op", F.col("m.token").alias("tokens"), F.col("m.value").alias("values"), F.lit(None).cast("string").alias("text")
+    )
+
+
 @query
 def i2_stream_session(spark: SparkSession, folder: str) -> DataFrame:
-    stream = streams.read_folder(spark, folder, "events", "ts").select(
-        F.col("user_id").cast("string").alias("session_id"),
-        "ts",
-        F.col("event_id").alias("op_id"),
-        F.expr(derived.OP_OF_EVENT).alias("op"),
-    )
-    out = streams.stream_outcomes(stream, derived.EVENT_TTL).select("session_id", "op_id", "op", "done")
-    return streams.drain(out, work_folder(spark))
+    """Events in two shuffled micro-batches."""
+    work = work_folder(spark)
+    stream = _shuffled(_session_events(spark, folder), "ts", work)
+    out = streams.stream_sessions(stream, derived.EVENT_TTL, WHOLE).select("session_id", "op_id", "op", "done")
+    return streams.drain(out, work).filter("session_id <> 'later'")
 
 
 @query
 def i3_stream_demask(spark: SparkSession, folder: str) -> DataFrame:
     """Each document is masked at its own second; its reply comes ten minutes later, for every fifth one
-    after twenty: too late."""
-    docs = streams.read_folder(spark, folder, "documents")
+    after twenty: too late. All of it arrives in two shuffled micro-batches."""
+    work = work_folder(spark)
+    masked = stored(_masked(spark, folder).select("doc_id", "session_id", "masked_text", "token_map"))
     at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id"))
-    masked = streams.stream_mask(docs, "text", "doc_id").withColumn("mask_ts", at)
     late = F.when(F.col("doc_id") % 5 == 0, F.expr("interval 20 minutes")).otherwise(F.expr("interval 10 minutes"))
-    replies = streams.stream_mask(streams.read_folder(spark, folder, "documents"), "text", "doc_id").select(
-        F.col("doc_id").alias("reply_id"), "session_id", (at + late).alias("ts"), F.col("masked_text").alias("text")
-    )
-    out = streams.stream_demask(replies, masked)
-    out = streams.drain(_bigints(out, "entities_restored"), work_folder(spark))
-    return out.filter("resolved").select("reply_id", "original_text", "entities_restored")
+    none = F.lit(None)
+    puts = masked.select(
+        "session_id", at.alias("ts"), F.col("doc_id").alias("op_id"), F.lit("put").alias("op"),
+        F.col("token_map.token").alias("tokens"), F.col("token_map.value").alias("values"), none.cast("string").alias("text"),
+    )
+    replies = masked.select(
+        "session_id", (at + late).alias("ts"), F.col("doc_id").alias("op_id"), F.lit("reply").alias("op"),
+        none.cast("array<string>").alias("tokens"), none.cast("array<string>").alias("values"), F.col("masked_text").alias("text"),
+    )
+    stream = _shuffled(puts.unionByName(replies), "ts", work)
+    out = streams.restored_replies(streams.stream_sessions(stream, delay=WHOLE))
+    out = streams.drain(_bigints(out, "entities_restored"), work).filter("session_id <> 'later'")
+    return out.select("reply_id", "original_text", "entities_restored", "resolved")
 
 
 @query
@@ -780,12 +816,16 @@ def i5_audit_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def i6_late_replies(spark: SparkSession, folder: str) -> DataFrame:
-    """Replies to sessions that have gone by then keep their tokens."""
-    log = derived.session_log(spark, folder)
-    ops = vault.outcomes(log, derived.EVENT_TTL).filter("op = 'extend'")
-    return ops.groupBy("session_id").agg(
-        F.count(F.when(~F.col("done"), 1)).alias("n_late"), F.count(F.when(F.col("done"), 1)).alias("n_in_time")
+    """Extends as replies that hold a token: those to sessions that have gone by then leave unchanged, on a route of their own."""
+    work = work_folder(spark)
+    events = _session_events(spark, folder)
+    reply = F.col("op") == "extend"
+    events = events.withColumn("text", F.when(reply, F.concat(F.lit("keep "), F.col("tokens")[0]))).withColumn(
+        "op", F.when(reply, "reply").otherwise(F.col("op"))
     )
+    replies = streams.restored_replies(streams.stream_sessions(_shuffled(events, "ts", work), derived.EVENT_TTL, WHOLE))
+    out = streams.drain(_bigints(streams.unresolved(replies), "entities_restored"), work).filter("session_id <> 'later'")
+    return out.select("reply_id", "session_id", "original_text", "entities_restored")
 
 
 @query

@@ -6,27 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ROWS_PER_TASK = 1_000_000
-
-
-def join_hot(
-    df: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def join_hot(df: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join many rows to few rows per key when some keys may be very frequent in ``df``.
 
-    A key with more than ``per_task`` rows is split over several tasks: its rows in ``dim`` are repeated
-    once per slice, its rows in ``df`` are spread over the slices by a hash of their content. The counts
-    are pre-aggregated, and there are at most (rows of ``df`` / ``per_task``) such keys, which bounds the
-    list that is broadcast.
+    Adaptive execution measures the shuffled partitions and splits those that a frequent key has blown up, so no
+    key is counted beforehand. It only does so between two plain shuffles: a ``dim`` that is an aggregate shuffled
+    by the same keys should be stored first.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > per_task)
-    hot = F.broadcast(counts.select(*keys, F.ceil(F.col("_n") / per_task).cast("int").alias("_slices")))
-    content = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.col("_slices"))
-    left = df.join(hot, keys, "left").withColumn("_slice", F.coalesce(content.cast("int"), F.lit(0)))
-    right = dim.join(hot, keys, "left").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1))
-    )
-    return left.drop("_slices").join(right.drop("_slices"), [*keys, "_slice"], how).drop("_slice")
+    return df.join(dim, keys, how)
 
 
 _RUNNING = {"sum": F.sum, "max": F.max}

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+PARTITIONS = "cloakwork.input.partitions"
+
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-heavy narrow work enough tasks.
+    """Deal a scan out over as many partitions as the session setting ``cloakwork.input.partitions`` names.
 
-    A scan of splittable files already has far more partitions than cores, and is left alone: nothing is
-    shuffled. Only an input with fewer partitions than cores (one small file) is hashed over its key,
-    which is stable under task retries. Meant for scans: a plan with shuffles would have to run them to tell
-    its partitions.
+    Unset, which is right for inputs of many files, nothing is shuffled. Setting it gives CPU-heavy narrow work on one
+    small file enough tasks; rows go by a hash of their key, which is stable under task retries.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    wanted = df.sparkSession.conf.get(PARTITIONS, None)
+    return df.repartition(int(wanted), *keys) if wanted and not df.isStreaming else df

@@ -2,35 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-# One finding per row: model output, or any other detector's.
-EXTERNAL_SPANS = "doc_id bigint, label string, start int, end int, score double"
-
-# The session log: append-only, one row per token of an operation (delete: one row, token null).
-# An operation is the rows that share (session_id, ts, op_id); ``ord`` is the position in its map.
-SESSION_LOG = T.StructType(
-    [
-        T.StructField("session_id", T.StringType()),
-        T.StructField("op", T.StringType()),
-        T.StructField("op_id", T.LongType()),
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("ord", T.IntegerType()),
-        T.StructField("token", T.StringType()),
-        T.StructField("value", T.StringType()),
-    ]
-)
-
-VAULT = "session_id string, ord int, token string, value string"
-
 AUDIT = (
     "event_type string, session_id string, token_count bigint, token_types array<string>, "
     "encrypted boolean, tokens_requested bigint, tokens_resolved bigint, ts timestamp"
 )
-
-# The entity types a label or a rule may carry.
-ENTITY_TYPES = [
-    "PERSON", "EMAIL_ADDRESS", "PHONE_NUMBER", "US_SSN", "CREDIT_CARD", "BITCOIN_ADDRESS",
-    "ETHEREUM_ADDRESS", "IBAN_CODE", "AWS_ACCESS_KEY_ID", "API_KEY", "PASSWORD", "JWT_TOKEN",
-    "LOCATION", "IP_ADDRESS", "MEDICAL_LICENSE",
-]

@@ -19,6 +19,7 @@ def local_session(name: str = "cloakwork", cores: int | str = "*", memory: str =
         .appName(name)
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8" if cores == "*" else str(cores))
+        .config("cloakwork.input.partitions", "8" if cores == "*" else str(cores))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )

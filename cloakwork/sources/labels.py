@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Label -> entity type.
@@ -26,11 +26,6 @@ LABEL_TYPES = {
 # End of fixed values.
 
 
-def label_frame(spark: SparkSession) -> DataFrame:
-    """The mapping as a dimension table."""
-    return spark.createDataFrame(list(LABEL_TYPES.items()), "label string, entity_type string")
-
-
 def entity_type_of(label: Column) -> Column:
     """Entity type of a label; an unknown label is upper-cased with spaces as underscores."""
     known = F.create_map(*[F.lit(x) for pair in LABEL_TYPES.items() for x in pair])

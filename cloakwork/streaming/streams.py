@@ -1,6 +1,6 @@
 """The same operators on Structured Streaming sources.
 
-State is kept per small key with a watermark or a timeout; nothing keeps a whole token map in one state.
+State is kept per key with a watermark or a timeout.
 """
 
 from __future__ import annotations
@@ -38,67 +38,118 @@ def stream_dedup(stream: DataFrame, keys: list[str], ts: str, delay: str = "15 m
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_outcomes(ops: DataFrame, ttl: float = TTL_SECONDS, delay: str = "15 minutes") -> DataFrame:
-    """``vault.outcomes`` on a stream of operations ``session_id, ts, op_id, op``.
+def stream_sessions(events: DataFrame, ttl: float = TTL_SECONDS, delay: str = "15 minutes") -> DataFrame:
+    """Operations and replies of sessions, in the order of their times however they arrive.
+
+    ``events`` has ``session_id, ts, op_id, op, tokens, values, text``: puts and extends bring tokens, replies
+    (``op = 'reply'``) a text. Rows are held until the watermark has passed them, then applied in order, operations before replies of the
+    same moment; the last value written for a token wins. Every row leaves once, with ``done`` (for a reply:
+    whether its session is live) and, for a reply, the tokens and values of the session at that moment.
 
-    The state of a session is three numbers: when it was last renewed, and whether it is live. It times
-    out when its time to live has passed in event time.
+    A session's state is its map, when it was last renewed, and the rows that wait. It is given up when its time to live
+    has passed and nothing waits.
     """
-    micros_to_live = int(ttl * 1_000_000)
+    to_live = int(ttl * 1_000_000)
 
     def step(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
+        import json
+
         import pandas as pd
 
-        if state.hasTimedOut:
+        seen, held, waiting = json.loads(state.get[0]) if state.exists else (None, None, [])
+        if not state.hasTimedOut:
+            for rows in batches:
+                columns = [rows[c] for c in ("us", "op_id", "op", "tokens", "values", "text")]
+                waiting += [
+                    (int(us), int(i), op, [] if t is None else list(t), [] if v is None else list(v), x)
+                    for us, i, op, t, v, x in zip(*columns)
+                ]
+        mark = state.getCurrentWatermarkMs()
+        waiting.sort(key=lambda r: (r[0], r[2] == "reply", r[1]))
+        ready = [r for r in waiting if r[0] < mark * 1000]
+        waiting = waiting[len(ready) :]
+        out = []
+        for us, op_id, op, tokens, values, text in ready:
+            live = held is not None and us - seen < to_live
+            pairs = dict(zip(tokens, values))
+            if op == "reply":
+                known = held if live else {}
+                out.append((key[0], us, op_id, op, live, text, list(known), list(known.values())))
+                continue
+            out.append((key[0], us, op_id, op, live or op == "put", None, None, None))
+            if op == "put":
+                held, seen = pairs, us
+            elif live:
+                held, seen = ({**held, **pairs}, us) if op == "extend" else (None, us)
+            else:
+                held = None
+        ends = None if held is None else seen // 1000 + int(ttl * 1000)
+        if ends is not None and ends <= mark:
+            held, ends = None, None
+        if held is None and not waiting:
             state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["us", "op_id"], kind="stable")
-        seen, live = state.get if state.exists else (None, False)
-        done = []
-        for us, op in zip(rows["us"], rows["op"]):
-            if seen is not None and us - seen >= micros_to_live:
-                live = False
-            done.append(op == "put" or live)
-            live = op == "put" or (live and op == "extend")
-            seen = int(us)
-        state.update((seen, bool(live)))
-        state.setTimeoutTimestamp(max(seen // 1000 + int(ttl * 1000), state.getCurrentWatermarkMs() + 1))
-        rows = rows.assign(session_id=key[0], done=done)
-        yield rows[["session_id", "us", "op_id", "op", "done"]]
-
-    marked = ops.withWatermark("ts", delay).select(
-        "session_id", "ts", F.unix_micros("ts").alias("us"), "op_id", "op"
+        else:
+            state.update((json.dumps([seen, held, waiting]),))
+            due = min(x for x in (waiting[0][0] // 1000 + 1 if waiting else None, ends) if x is not None)
+            state.setTimeoutTimestamp(max(due, mark + 1))
+        yield pd.DataFrame(out, columns=["session_id", "us", "op_id", "op", "done", "text", "tokens", "values"])
+
+    marked = events.withWatermark("ts", delay).select(
+        "session_id", "ts", F.unix_micros("ts").alias("us"), "op_id", "op", "tokens", "values", "text"
     )
     out = marked.groupBy("session_id").applyInPandasWithState(
         step,
-        "session_id string, us long, op_id long, op string, done boolean",
-        "seen long, live boolean",
+        "session_id string, us long, op_id long, op string, done boolean, text string, tokens array<string>, values array<string>",
+        "state string",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
-    return out.select("session_id", F.timestamp_micros("us").alias("ts"), "op_id", "op", "done")
+    return out.withColumn("ts", F.timestamp_micros("us")).drop("us")
 
 
-def stream_demask(replies: DataFrame, masks: DataFrame, ttl: str = "15 minutes", delay: str = "5 minutes") -> DataFrame:
-    """Replies (``reply_id, session_id, ts, text``) restored from the mask event of their session
-    (``session_id, mask_ts, token_map``) of the last ``ttl``.
+def stream_outcomes(ops: DataFrame, ttl: float = TTL_SECONDS, delay: str = "15 minutes") -> DataFrame:
+    """``vault.outcomes`` on a stream of operations ``session_id, ts, op_id, op``."""
+    none = F.lit(None)
+    events = ops.select(
+        "session_id", "ts", "op_id", "op", none.cast("array<string>").alias("tokens"), none.cast("array<string>").alias("values"),
+        none.cast("string").alias("text"),
+    )
+    return stream_sessions(events, ttl, delay).select("session_id", "ts", "op_id", "op", "done")
+
 
-    A reply without one, for it came too late or its session is unknown, leaves unchanged with
-    ``resolved = false`` once the watermarks rule a match out.
+def stream_demask(replies: DataFrame, masks: DataFrame, ttl: float = TTL_SECONDS, delay: str = "5 minutes") -> DataFrame:
+    """Replies (``reply_id, session_id, ts, text``) restored from their session's map at that moment, one row each.
+
+    ``masks`` are mask events (``session_id, mask_ts, token_map``, and ``op`` where some extend or delete). A reply
+    whose session is not live, for it came too late or the session is unknown, leaves unchanged with ``resolved = false``.
     """
-    left = replies.withWatermark("ts", delay).alias("r")
-    right = masks.select(F.col("session_id").alias("mask_session"), "mask_ts", "token_map").withWatermark("mask_ts", delay).alias("m")
-    joined = left.join(
-        right,
-        F.expr(f"mask_session = session_id and ts >= mask_ts and ts < mask_ts + interval {ttl}"),
-        "left",
-    )
-    done = demask(joined, "text", "token_map")
+    op = F.col("op") if "op" in masks.columns else F.lit("put")
+    puts = masks.select(
+        "session_id", F.col("mask_ts").alias("ts"), F.lit(0).cast("long").alias("op_id"), op.alias("op"),
+        F.col("token_map.token").alias("tokens"), F.col("token_map.value").alias("values"), F.lit(None).cast("string").alias("text"),
+    )
+    none = F.lit(None).cast("array<string>")
+    asked = replies.select(
+        "session_id", "ts", F.col("reply_id").cast("long").alias("op_id"), F.lit("reply").alias("op"),
+        none.alias("tokens"), none.alias("values"), "text",
+    )
+    return restored_replies(stream_sessions(puts.unionByName(asked), ttl, delay))
+
+
+def restored_replies(sessions: DataFrame) -> DataFrame:
+    """The replies among the rows of ``stream_sessions``: ``reply_id, session_id, ts, original_text, entities_restored, resolved``."""
+    pairs = F.expr("transform(arrays_zip(tokens, values), p -> named_struct('token', p.tokens, 'value', p.values))")
+    done = demask(sessions.filter("op = 'reply'").withColumn("pairs", pairs), "text", "pairs")
     return done.select(
-        "reply_id", "session_id", "ts", "original_text", "entities_restored", F.col("mask_session").isNotNull().alias("resolved")
+        F.col("op_id").alias("reply_id"), "session_id", "ts", "original_text", "entities_restored", F.col("done").alias("resolved")
     )
 
 
+def unresolved(replies: DataFrame) -> DataFrame:
+    """The replies that left as they came, to be routed elsewhere."""
+    return replies.filter("not resolved")
+
+
 def audit_windows(events: DataFrame, ts: str, size: str, slide: str | None = None, delay: str = "15 minutes") -> DataFrame:
     """Events per type and tumbling or sliding window."""
     window = F.window(ts, size, slide) if slide else F.window(ts, size)

@@ -61,6 +61,28 @@ def test_demask_by_map_and_by_session(spark):
     assert {r.reply_id: (r.original_text, r.entities_restored) for r in by_session} == want
 
 
+def test_rows_are_told_apart_by_session_not_by_key(spark):
+    df = spark.createDataFrame(
+        [(1, "s", f"x {A1}"), (1, "t", f"x {A1}"), (1, "t", f"y {A1} {A2}"), (None, "s", A1), (None, None, A1), (1, "t", f"x {A1}")],
+        "reply_id long, session_id string, text string",
+    )
+    vaulted = spark.createDataFrame([("s", 0, A1, "of s"), ("t", 0, A1, "of t")], "session_id string, ord int, token string, value string")
+    want = [(1, "s", "x of s"), (1, "t", "x of t"), (1, "t", "x of t"), (1, "t", f"y of t {A2}"), (None, "s", "of s"), (None, None, A1)]
+    rows = demask.demask_table(df, session="session_id", vault=vaulted)
+    assert sorted(((r.reply_id, r.session_id, r.original_text) for r in rows.collect()), key=repr) == sorted(want, key=repr)
+    assert sorted(r.original_text for r in demask.demask_sessions(df, vaulted).collect()) == sorted(w[2] for w in want)
+    lost = demask.unresolved_tokens(df, vaulted.filter("session_id = 's'"), "reply_id", "text").collect()
+    assert sorted((str(r.reply_id), str(r.session_id), r.token) for r in lost) == [("1", "t", A1), ("1", "t", A2), ("None", "None", A1)]
+    asked = df.select(F.col("reply_id").alias("request_id"), F.lit("").alias("user_input"), F.col("text").alias("llm_response"), "session_id", F.lit("n").alias("new_id"))
+    answers = flow.second_step(asked, vaulted).collect()
+    assert sorted(((r.session_id, r.demasked_response) for r in answers)) == sorted(w[1:] for w in want if w[1])
+
+
+def test_repeated_keys_do_not_repeat_findings(spark):
+    df = spark.createDataFrame([(1, "a@b.com 123-45-6789"), (1, "c@d.com"), (1, "a@b.com 123-45-6789"), (None, "c@d.com")], "doc_id long, text string")
+    assert sorted(map(str, detect.detect_distinct(df).collect())) == sorted(map(str, detect.candidate_spans(df).collect()))
+
+
 def test_demask_needs_a_source(spark):
     df = spark.createDataFrame([(1, "s", A1, [(A1, "one")])], "reply_id long, session_id string, text string, m array<struct<token:string,value:string>>")
     with pytest.raises(ValueError, match="Must provide either session_id or token_map"):
@@ -91,7 +113,7 @@ def test_flow(spark):
         "request_id long, user_input string, llm_response string, session_id string, new_id string",
     )
     vaulted = spark.createDataFrame([("s", 0, A1, "one")], "session_id string, ord int, token string, value string")
-    got = {r.request_id: r for r in flow.run_flow(asked, vaulted, "new_id").collect()}
+    got = {r.request_id: r for r in flow.run_flow(asked, vaulted, "new_id")[0].collect()}
     assert got[1].masked_input == f"SSN {T % ('US_SSN', 1)}" and got[1].session_id == "n1"
     assert got[2].demasked_response == "hello one" and got[2].masked_input == ""
     assert got[3].error == flow.FLOW_ERROR and got[3].demasked_response is None
@@ -135,30 +157,32 @@ def test_strategies(spark):
 def test_rules_as_a_table(spark):
     frame = rules_frame(spark)
     assert rules_from_frame(frame) == default_rules()
-    with pytest.raises(ValueError):
-        rules_from_frame(spark.range(6000).select(F.col("id").cast("int").alias("ord"), *[F.lit(x).alias(n) for n, x in
-            (("entity_type", "X"), ("pattern", "p"), ("regex", "x"), ("ignore_case", False), ("enabled", True), ("gate", ""))]))
+    many = spark.range(6000).select(F.col("id").cast("int").alias("ord"), *[F.lit(x).alias(n) for n, x in
+        (("entity_type", "X"), ("pattern", "p"), ("regex", "x"), ("ignore_case", False), ("enabled", True), ("gate", ""))])
+    assert len(rules_from_frame(many)) == 6000
 
 
 def test_model_hook_survives_failures(spark):
     def load():
-        def predict(text):
-            if "boom" in text:
+        def predict(texts):
+            if any("boom" in text for text in texts):
                 raise RuntimeError("boom")
-            return [("medical license", 0, 3, 0.9), ("house number", 1, 2, 0.4)]
+            return [[("medical license", 0, 3, 0.9), ("house number", 1, 2, 0.4)] for _ in texts]
 
         return predict
 
     df = spark.createDataFrame([(1, "boom 123-45-6789"), (2, "abc def"), (3, "  ")], "doc_id long, text string")
-    found = detect.model_spans(df, load)
+    failed = spark.sparkContext.accumulator(0)
+    found = detect.model_spans(df, load, failures=failed)
     assert {(r.doc_id, r.entity_type) for r in detect.map_labels(found).collect()} == {(2, "MEDICAL_LICENSE"), (2, "HOUSE_NUMBER")}
+    assert failed.value == 1
     both = analyze(detect.with_external(df, found, threshold=0.5), external="external")
     assert {r.doc_id: [f.entity_type for f in r.found] for r in both.collect()} == {1: ["US_SSN"], 2: ["MEDICAL_LICENSE"], 3: []}
 
 
 def test_copies_are_matched_once(spark):
     df = spark.createDataFrame([(i, "same 123-45-6789" if i % 3 else f"own {i} a{i}@b.com") for i in range(300)], "doc_id long, text string")
-    once = detect.detect_distinct(df, per_task=20)
+    once = detect.detect_distinct(df)
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, detect.candidate_spans(df).collect()))
 
 
@@ -211,10 +235,10 @@ def test_running_and_hot_join(spark):
         sums[(k, i)] = sum(j for q, j in rows if q == k and j < i)
     assert {(r.k, r.i): r.before for r in out} == sums
     dim = spark.createDataFrame([("hot", 1), ("k0", 2)], "k string, v int")
-    assert join_hot(df, dim, ["k"], per_task=10).count() == 601
-    assert join_hot(df, dim, ["k"], "left", per_task=10).count() == 900
-    assert join_hot(df, dim, ["k"], "left_anti", per_task=10).count() == 299
-    assert join_hot(df, dim, ["k"], "left_semi", per_task=10).count() == 601
+    assert join_hot(df, dim, ["k"]).count() == 601
+    assert join_hot(df, dim, ["k"], "left").count() == 900
+    assert join_hot(df, dim, ["k"], "left_anti").count() == 299
+    assert join_hot(df, dim, ["k"], "left_semi").count() == 601
 
 
 # ---------------------------------------------------------------- vault
@@ -309,12 +333,12 @@ def test_keys():
         with pytest.raises(ValueError):
             crypto.validate_key(bad)
     assert crypto.derive_key(KEY, 1) != crypto.derive_key(KEY, 2) != crypto.derive_key(OLD, 2)
-    # RFC 5869 appendix A, third case: no salt, empty info, shortened to one block
-    import hashlib
-    import hmac
-
-    prk = hmac.new(b"\0" * 32, b"\x0b" * 22, hashlib.sha256).hexdigest()
-    assert prk == "19ef24a32c717b167f33a91d6f648bdf96596776afdb6377ac434c1c293ccb04"
+    # RFC 5869 appendix A, first and third case
+    okm = crypto.hkdf_sha256(b"\x0b" * 22, bytes(range(0xF0, 0xFA)), 42, bytes(range(13)))
+    assert okm.hex() == "3cb25f25faacd57a90434f64d0362f2a2d2d0a90cf1a5a4c5db02d56ecc4c5bf34007208d5b887185865"
+    okm = crypto.hkdf_sha256(b"\x0b" * 22, b"", 42)
+    assert okm.hex() == "8da4e775a563c18f715f802a063c5a31b8a11f5c5ee1879ec3454e5f3c738d2d9d201395faa4b61a96c8"
+    assert crypto.derive_key(KEY, 7) == crypto.hkdf_sha256(crypto.validate_key(KEY), b"vault-session-key-period-7")
 
 
 def test_encryption(spark):
@@ -340,6 +364,22 @@ def test_encryption(spark):
     assert opened(crypto.rekey(sealed, keys, ["old"], "new"), ["new"]) == want
     with pytest.raises(RuntimeError):
         crypto.key_frame(spark, {}, [1])
+    # a value without a key, or without a time, stops the job
+    few = crypto.key_frame(spark, {"old": OLD}, crypto.periods_of(rows)[:2])
+    for lacking in (crypto.encrypt_values(rows, few, "old"), crypto.encrypt_values(rows.withColumn("ts", F.lit(None).cast("timestamp")), keys, "old")):
+        with pytest.raises(Exception, match="no key for period"):
+            lacking.collect()
+    # hourly periods; what the old key cannot open stays as it is
+    hours = crypto.key_frame(spark, {"new": KEY, "old": OLD, "lost": KEY}, crypto.periods_of(rows, period_seconds=3600))
+    hourly = crypto.encrypt_values(rows, hours, "old", period_seconds=3600)
+    other = crypto.encrypt_values(rows.withColumn("session_id", F.lit("u")), hours, "lost", period_seconds=3600)
+    again = crypto.rekey(hourly.unionByName(other), hours, ["old"], "new")
+    assert again.count() == 6 and {(r.session_id, r.key_id) for r in again.collect()} == {("s", "new"), ("t", "new"), ("u", "lost")}
+    back = {r.token + r.session_id: r.value for r in crypto.decrypt_values(again, hours, ["new"]).filter("session_id <> 'u'").collect()}
+    assert back == want and {r.value for r in crypto.decrypt_values(again, hours, ["lost"]).filter("session_id = 'u'").collect()} == set(want.values())
+    # plain and sealed rows in one table
+    mixed = crypto.store_values(rows.filter("session_id = 's'"), keys, "old").unionByName(crypto.store_values(rows.filter("session_id = 't'")), allowMissingColumns=True)
+    assert {r.token + r.session_id: r.value for r in crypto.read_values(mixed, keys, ["old"]).collect()} == want
 
 
 # ---------------------------------------------------------------- audit

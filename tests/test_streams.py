@@ -27,12 +27,16 @@ def test_outcomes_in_batches_same_as_in_one(spark, tmp_path):
     for i in range(300):
         rows.append((rng.choice("abc"), START + timedelta(seconds=i * 40 + rng.randint(0, 30)), i, rng.choice(["put", "extend", "extend", "delete"])))
     df = spark.createDataFrame(rows, "session_id string, ts timestamp, op_id long, op string")
-    parts = [df.filter((F.col("op_id") >= k) & (F.col("op_id") < k + 100)) for k in (0, 100, 200)]
-    out = streams.stream_outcomes(stream_of(spark, df, tmp_path, "ops", parts), 300)
-    got = {r.op_id: r.done for r in streams.drain(out, str(tmp_path / "o")).collect()}
+    last = spark.createDataFrame([("z", START + timedelta(days=9), 999, "put")], df.schema)
+    in_order = [df.filter((F.col("op_id") >= k) & (F.col("op_id") < k + 100)) for k in (0, 100, 200)]
+    mixed = [df.filter(F.col("op_id") % 3 == k) for k in (1, 0, 2)]
+    got = []
+    for name, parts, delay in (("ordered", in_order, "15 minutes"), ("mixed", mixed, "1 day")):
+        out = streams.stream_outcomes(stream_of(spark, df, tmp_path, name, [*parts, last]), 300, delay)
+        got.append({r.op_id: r.done for r in streams.drain(out, str(tmp_path / f"o{name}")).filter("session_id <> 'z'").collect()})
     log = df.withColumn("token", F.lit("t"))
     want = {r.op_id: r.done for r in vault.outcomes(log, 300).collect()}
-    assert got == want
+    assert got == [want, want]
 
 
 def test_late_reply_is_not_restored(spark, tmp_path):
@@ -54,6 +58,23 @@ def test_late_reply_is_not_restored(spark, tmp_path):
     assert not rows[2].resolved and rows[2].original_text.startswith("{{__OWL:") and rows[2].entities_restored == 0
 
 
+def test_last_map_wins_and_extends_merge(spark, tmp_path):
+    a, b = "{{__OWL:A_1__}}", "{{__OWL:B_1__}}"
+    schema = "session_id string, ts timestamp, op_id long, op string, tokens array<string>, values array<string>, text string"
+    t = lambda s: START + timedelta(seconds=s)
+    rows = [
+        ("s", t(0), 1, "put", [a], ["old"], None), ("s", t(100), 2, "put", [a], ["new"], None), ("s", t(200), 3, "extend", [b], ["more"], None),
+        ("s", t(150), 10, "reply", None, None, f"{a} {b}"), ("s", t(250), 11, "reply", None, None, f"{a} {b}"), ("s", t(50), 12, "reply", None, None, a),
+        ("s", t(1100), 13, "reply", None, None, a), ("s", t(300), 4, "delete", None, None, None), ("s", t(310), 14, "reply", None, None, a),
+        ("z", t(99_999), 99, "put", [], [], None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    parts = [df.filter(F.col("op_id").isin(11, 2, 13, 4)), df.filter(F.col("op_id").isin(1, 3, 10, 12, 14)), df.filter("op_id = 99")]
+    out = streams.restored_replies(streams.stream_sessions(stream_of(spark, df, tmp_path, "e", parts), 900, "1 hour"))
+    got = {r.reply_id: (r.original_text, r.entities_restored, r.resolved) for r in streams.drain(out, str(tmp_path / "o")).collect()}
+    assert got == {12: ("old", 1, True), 10: (f"new {b}", 1, True), 11: ("new more", 2, True), 14: (a, 0, False), 13: (a, 0, False)}
+
+
 def test_replayed_requests_are_dropped(spark, tmp_path):
     df = spark.createDataFrame([(i % 5, START + timedelta(seconds=i)) for i in range(20)], "request_id long, ts timestamp")
     out = streams.stream_dedup(stream_of(spark, df, tmp_path, "d", [df, df]), ["request_id"], "ts")
