@@ -28,16 +28,40 @@ SYNTHETIC_VALUES = {
 SYNTHETIC_OTHER = ["sample-1", "sample-2", "sample-3"]
 
 
+# Spark finds a place in a text by walking there from its beginning. Where a text has many findings, it is cut into pieces
+# of known length first, so that each walk is short.
+_MANY, _PIECE, _BLOCK = 64, 1024, 65_536
+
+
+def _pieces(text: str, found: str) -> str:
+    """SQL for the text's pieces, or an empty array where that isn't worth while."""
+    inner = f"transform(sequence(0, {_BLOCK // _PIECE - 1}), i -> substring(t, i * {_PIECE} + 1, {_PIECE}))"
+    blocks = f"transform(sequence(0, cast(length({text}) div {_BLOCK} as int)), b -> substring({text}, b * {_BLOCK} + 1, {_BLOCK}))"
+    return f"if(size({found}) > {_MANY}, flatten(transform({blocks}, t -> {inner})), cast(array() as array<string>))"
+
+
+def _cut(text: str, start: str, length: str) -> str:
+    """SQL for part of the text from ``start`` (from 0), with the pieces at hand as ``cs``."""
+    at = f"cast(({start}) div {_PIECE} as int)"
+    near = f"concat(coalesce(get(cs, {at}), ''), coalesce(get(cs, {at} + 1), ''))"
+    return f"""if(size(cs) > 0 and {length} <= {_PIECE}, substring({near}, ({start}) % {_PIECE} + 1, {length}),
+        substring({text}, {start} + 1, {length}))"""
+
+
+def _with_pieces(text: str, found: str, sql: str) -> str:
+    return f"element_at(transform(array({_pieces(text, found)}), cs -> {sql}), 1)"
+
+
 def decorated(kept: str, text: str, labels: str) -> str:
     """SQL turning kept spans into findings; ``labels`` maps ``seq`` to entity type and pattern.
 
     The result is ordered by descending start; spans with the same start stay in emit order.
     """
-    return f"""transform(array_sort(transform({kept}, (k, i) -> named_struct(
+    return _with_pieces(text, kept, f"""transform(array_sort(transform({kept}, (k, i) -> named_struct(
             'back', -k.start, 'pos', i, 'k', k, 'l', {labels}))),
         o -> named_struct('entity_type', o.l.entity_type, 'start', o.k.start, 'end', o.k.end,
-            'score', o.k.score, 'text', substring({text}, o.k.start + 1, o.k.end - o.k.start),
-            'pattern', o.l.pattern, 'pos', o.pos))"""
+            'score', o.k.score, 'text', {_cut(text, "o.k.start", "o.k.end - o.k.start")},
+            'pattern', o.l.pattern, 'pos', o.pos))""")
 
 
 def numbered(found: str, strategy: str, salt: str) -> str:
@@ -95,11 +119,10 @@ def spliced(found: str, text: str) -> str:
     overlap, each replacement works on the text as the one before left it, at unchanged offsets.
     """
     overlap = f"exists(sequence(0, size({found}) - 2), i -> {found}[i + 1].end > {found}[i].start)"
-    pieces = f"""concat(
-        array_join(transform({found_ascending(found)}, (f, i) -> concat(
-            substring({text}, if(i = 0, 0, {found}[size({found}) - i].end) + 1,
-                      f.start - if(i = 0, 0, {found}[size({found}) - i].end)), f.token)), ''),
-        substring({text}, {found}[0].end + 1))"""
+    before = f"if(i = 0, 0, {found}[size({found}) - i].end)"
+    joined = f"""array_join(transform({found_ascending(found)}, (f, i) -> concat(
+        {_cut(text, before, f"f.start - {before}")}, f.token)), '')"""
+    pieces = f"concat({_with_pieces(text, found, joined)}, substring({text}, {found}[0].end + 1))"
     fold = f"""aggregate({found}, {text}, (acc, f) ->
         concat(substring(acc, 1, f.start), f.token, substring(acc, f.end + 1)))"""
     return f"""case when {text} is null or size({found}) <= 0 then {text}

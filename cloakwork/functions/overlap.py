@@ -6,7 +6,8 @@ first in order if several tie. Spans passed over earlier may still win here, so
 overlap; ``emit`` order (the order of the result) is then significant.
 
 Only spans that reach beyond the last kept end can still win, so the walk carries just those: at most
-a few per rule (matches of one rule do not overlap) plus external ones, however long the text is.
+a few per rule (matches of one rule do not overlap) plus external ones, however long the text is. The walk is
+made island by island, so its cost follows the number of spans and not its square.
 
 ``longest``: start ascending, length descending, no overlaps among the kept spans.
 """
@@ -58,10 +59,30 @@ def _longest(spans: str) -> str:
         acc -> acc.kept)"""
 
 
+_BLOCK = 64
+
+
+def _islands(spans: str) -> str:
+    """SQL for the spans cut wherever none reaches over: what is kept in one island has no bearing on another.
+
+    A fold copies its state at every step, so no array is built up in one: how far spans reach is taken by blocks.
+    """
+    block = f"slice({spans}, b * {_BLOCK} + 1, {_BLOCK})"
+    blocks = f"sequence(0, cast(ceil(size({spans}) / {_BLOCK}) as int) - 1)"
+    reach = "coalesce(array_max(transform(slice(k, 1, i), e -> e.end)), -1)"
+    begins = f"""transform(filter(sequence(0, size(k) - 1), i -> k[i].start >= greatest({reach},
+        coalesce(array_max(slice(far, 1, b)), -1))), i -> b * {_BLOCK} + i)"""
+    first = f"flatten(transform({blocks}, b -> flatten(transform(array({block}), k -> {begins}))))"
+    far = f"transform({blocks}, b -> array_max(transform({block}, e -> e.end)))"
+    return f"""element_at(transform(array({far}), far -> element_at(transform(array({first}), at ->
+        transform(at, (a, i) -> slice({spans}, a + 1, coalesce(get(at, i + 1), size({spans})) - a))), 1)), 1)"""
+
+
 def resolved(sorted_spans: str, mode: str = "compat") -> str:
     """SQL for the kept spans of ``sorted_spans`` (a column sorted by ``array_sort``), in emit order."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    walk = _compat(sorted_spans) if mode == "compat" else _longest(sorted_spans)
+    walk = _compat("isle") if mode == "compat" else _longest("isle")
+    each = f"flatten(transform({_islands(sorted_spans)}, isle -> if(size(isle) < 2, isle, {walk})))"
     return f"""case when {sorted_spans} is null then {EMPTY_SPANS}
-                    when size({sorted_spans}) < 2 then {sorted_spans} else {walk} end"""
+                    when size({sorted_spans}) < 2 then {sorted_spans} else {each} end"""

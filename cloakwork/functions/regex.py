@@ -97,6 +97,7 @@ def sql_string(value: str) -> str:
 # Set around each match. A text that holds one of these is taken apart by the pattern itself, which is
 # slower, for Java then compiles the pattern for every text.
 _OPEN, _CLOSE = "\x01", "\x02"
+_BLOCK = 64
 
 
 def has_marks(text: str) -> str:
@@ -113,6 +114,8 @@ def match_offsets(text: str, cut: str, regex: str, seq: str, score: float) -> st
 
     Spark has no function for all match offsets. Matches and the pieces between them alternate, so a
     running sum of their lengths gives code-point offsets. No rule matches the empty string.
+
+    A fold copies its state at every step, so no array is built up in one: sums are taken by blocks instead.
     """
     pieces = f"split({cut}, '{_OPEN}', -1)"
     size = f"length(substring_index(x, '{_CLOSE}', 1))"
@@ -121,11 +124,16 @@ def match_offsets(text: str, cut: str, regex: str, seq: str, score: float) -> st
     parts = f"split({text}, {regex}, -1)"
     odd = f"""zip_with(regexp_extract_all({text}, {regex}, 0), slice({parts}, 2, greatest(size({parts}) - 1, 0)),
         (m, p) -> named_struct('len', length(m), 'gap', length(p)))"""
-    return f"""aggregate(if({cut} is null, {odd}, {usual}),
-      cast(named_struct('pos', length(if({cut} is null, {parts}[0], {pieces}[0])), 'found', array())
-           as struct<pos:int,found:array<struct<start:int,end:int,seq:int,score:double>>>),
-      (acc, x) -> named_struct(
-          'pos', acc.pos + x.len + x.gap,
-          'found', concat(acc.found, array(named_struct(
-              'start', acc.pos, 'end', acc.pos + x.len, 'seq', {seq}, 'score', cast({score} as double))))),
-      acc -> acc.found)"""
+    def total(of: str) -> str:
+        return f"aggregate({of}, 0, (n, x) -> n + x.len + x.gap)"
+
+    # sums of whole blocks first, so that no match looks back further than its own block
+    block = f"slice(g, b * {_BLOCK} + 1, {_BLOCK})"
+    blocks = f"sequence(0, greatest(cast(ceil(size(g) / {_BLOCK}) as int), 1) - 1)"
+    here = f"named_struct('start', p, 'end', p + x.len, 'seq', {seq}, 'score', cast({score} as double))"
+    each = f"""transform(k, (x, i) -> element_at(transform(array(
+        first + aggregate(slice(sums, 1, b), 0, (n, y) -> n + y) + {total("slice(k, 1, i)")}), p -> {here}), 1))"""
+    placed = f"flatten(transform({blocks}, b -> flatten(transform(array({block}), k -> {each}))))"
+    return f"""element_at(transform(array(if({cut} is null, {odd}, {usual})), g ->
+        element_at(transform(array(transform({blocks}, b -> {total(block)})), sums ->
+        element_at(transform(array(length(if({cut} is null, {parts}[0], {pieces}[0]))), first -> {placed}), 1)), 1)), 1)"""
