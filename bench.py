@@ -15,16 +15,23 @@ from cloakwork.session import local_session  # noqa: E402
 HEADLINE = [
     "d6_mask_table",
     "d3_mask_pages",
+    "d6_mask_with_model",
     "b1_regex_detect",
     "b10_distinct_texts",
     "e1_demask",
     "e2_demask_session",
+    "e7_llm_flow",
+    "c2_resolve_overlaps",
     "f4_extended_maps",
     "f4_extend",
+    "f9_dual_store",
     "g4_decrypt",
     "h5_entity_counts",
     "i1_stream_mask",
+    "i2_stream_session",
+    "i3_stream_demask",
     "i5_audit_tumbling",
+    "i7_stream_vault",
 ]
 
 

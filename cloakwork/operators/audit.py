@@ -32,6 +32,14 @@ def mask_events(rows: DataFrame, encrypted: bool = False, ts: str | None = None)
     )
 
 
+def extend_events(merged: DataFrame, encrypted: bool = False) -> DataFrame:
+    """Mask events of extends, with the merged map's figures: from ``vault.merged_maps``."""
+    return _event(
+        merged, "mask", session_id=F.col("session_id"), token_count=F.col("token_count"), token_types=F.col("token_types"),
+        encrypted=F.lit(encrypted), ts=F.col("ts"),
+    )
+
+
 def resolve_events(counts: DataFrame) -> DataFrame:
     """Events of ``demask.resolve_counts``."""
     return _event(

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cloakwork.functions.tokens import TOKEN_TYPE_JAVA
 from cloakwork.plans.skew import join_hot, running
 
 TTL_SECONDS = 900
@@ -110,9 +111,8 @@ def get_sessions(log: DataFrame, wanted: DataFrame, as_of: Column, ttl: float =
     return current(join_hot(log, chosen, ["session_id"], "left_semi"), as_of, ttl)
 
 
-def outcomes(log: DataFrame, ttl: float = TTL_SECONDS) -> DataFrame:
-    """One row per operation with ``done``: whether it took effect. A put always does; an extend or a
-    delete only if the session is live at that moment."""
+def _seen(log: DataFrame, ttl: float) -> DataFrame:
+    """One row per operation with ``done`` and the put or delete before it, ``_last``."""
     ops = log.groupBy("session_id", "ts", "op_id", "op").agg(F.count("token").alias("n_tokens"))
     heads = _buckets(log, ttl).select("session_id", "_b", "run_ts", "reset_before")
     order = [F.col("ts"), F.col("op_id")]
@@ -124,8 +124,39 @@ def outcomes(log: DataFrame, ttl: float = TTL_SECONDS) -> DataFrame:
         .withColumn("_last", F.coalesce("_last", "reset_before"))
     )
     live = (F.col("_last.op") == "put") & (F.col("_last.ts") >= F.col("run_ts"))
-    done = (F.col("op") == "put") | F.coalesce(live, F.lit(False))
-    return seen.select("session_id", "ts", "op_id", "op", "n_tokens", done.alias("done"))
+    return seen.withColumn("done", (F.col("op") == "put") | F.coalesce(live, F.lit(False)))
+
+
+def outcomes(log: DataFrame, ttl: float = TTL_SECONDS) -> DataFrame:
+    """One row per operation with ``done``: whether it took effect. A put always does; an extend or a
+    delete only if the session is live at that moment."""
+    return _seen(log, ttl).select("session_id", "ts", "op_id", "op", "n_tokens", "done")
+
+
+def merged_maps(log: DataFrame, ttl: float = TTL_SECONDS) -> DataFrame:
+    """Per extend that took effect: how many tokens the merged map has then, and of which types."""
+    now = F.struct("ts", "op_id")
+    ops = _seen(log, ttl).filter("done and op <> 'delete'")
+    base = F.when(F.col("op") == "put", now).otherwise(F.struct("_last.ts", "_last.op_id"))
+    ops = ops.select("session_id", "ts", "op_id", "op", base.alias("base"))
+    rows = log.filter("token is not null").select("session_id", "ts", "op_id", "token")
+    rows = rows.join(ops.drop("op"), ["session_id", "ts", "op_id"])
+    life = ["session_id", "base"]
+    kind = F.regexp_extract("token", TOKEN_TYPE_JAVA, 1)
+    first = rows.groupBy(*life, "token").agg(F.min(now).alias("at"), F.first(kind).alias("kind"))
+    new = first.groupBy(*life, "at").agg(F.count(F.lit(1)).alias("n"))
+    # types are few, so their list is small whatever the session's size
+    kinds = first.groupBy(*life, "kind").agg(F.min("at").alias("at")).groupBy(*life).agg(
+        F.array_sort(F.collect_list(F.struct("kind", "at"))).alias("kinds")
+    )
+    so_far = Window.partitionBy(*life).orderBy("ts", "op_id").rowsBetween(Window.unboundedPreceding, 0)
+    joined = ops.withColumn("at", now).join(new, [*life, "at"], "left").withColumn("token_count", F.sum("n").over(so_far))
+    joined = joined.filter("op = 'extend'").join(kinds, life, "left")
+    known = F.filter("kinds", lambda k: k["at"] <= F.struct("ts", "op_id"))
+    return joined.select(
+        "session_id", "ts", "op_id", F.coalesce("token_count", F.lit(0)).alias("token_count"),
+        F.transform(F.coalesce(known, F.array()), lambda k: k["kind"]).alias("token_types"),
+    )
 
 
 def expired_sessions(log: DataFrame, as_of: Column, ttl: float = TTL_SECONDS) -> DataFrame:

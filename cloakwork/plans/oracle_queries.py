@@ -50,7 +50,7 @@ ORACLES["a2_masked_sink"] = _mask(
        CAST(d.doc_id AS VARCHAR) AS session_id FROM documents d JOIN masked m USING (doc_id)""",
 )
 ORACLES["a3_vault_sink"] = _mask(
-    "contacts", "SELECT CAST(doc_id AS VARCHAR) AS session_id, ord, token, value FROM toks"
+    "contacts", "SELECT CAST(doc_id AS VARCHAR) AS session_id, ord, token, value FROM toks WHERE doc_id % 7 <> 0"
 )
 _all_rules = ", ".join(f"({r.ord}::BIGINT, '{r.entity_type}', '{r.pattern}', {str(r.enabled).lower()})" for r in default_rules())
 ORACLES["a4_rule_source"] = _spans(
@@ -357,6 +357,16 @@ ORACLES["h1_mask_events"] = _mask(
     """SELECT CAST(doc_id AS VARCHAR) AS session_id, count(*) AS token_count,
        string_agg(DISTINCT entity_type, ',' ORDER BY entity_type) AS token_types, true AS encrypted FROM toks GROUP BY doc_id""",
 )
+ORACLES["h1_extend_events"] = _sql(
+    _state(as_of=None),
+    select="""SELECT e.session_id, epoch_us(e.ts) AS ts_micros, count(DISTINCT token) AS token_count,
+        string_agg(DISTINCT regexp_extract(token, '__OWL:([A-Z_]+)_', 1), ',' ORDER BY regexp_extract(token, '__OWL:([A-Z_]+)_', 1)) AS token_types,
+        true AS encrypted
+        FROM seen e JOIN seen s ON s.session_id = e.session_id AND s.run = e.run AND s.put_id = e.put_id AND s.op <> 'delete'
+            AND (s.ts, s.op_id) <= (e.ts, e.op_id)
+        JOIN toks t ON t.event_id = s.op_id
+        WHERE e.op = 'extend' AND e.before = 'put' GROUP BY e.session_id, e.op_id, e.ts""",
+)
 ORACLES["h2_resolve_events"] = _mask(
     "documents",
     """SELECT 'resolve' AS event_type, CAST(doc_id AS VARCHAR) AS session_id, count(*) + 2 AS tokens_requested,

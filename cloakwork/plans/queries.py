@@ -81,12 +81,23 @@ def a1_text_source(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def a2_masked_sink(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.masked_output(_masked(spark, folder))
+    """Written, and read back."""
+    path = f"{work_folder(spark)}/masked"
+    tables.write_masked(_masked(spark, folder), path)
+    return spark.read.parquet(path)
 
 
 @query
 def a3_vault_sink(spark: SparkSession, folder: str) -> DataFrame:
-    return _bigints(token_rows(_masked(spark, folder, "contacts"), "session_id"), "ord")
+    """Maps of contacts are appended to a vault's log and every seventh session is deleted; what the log then holds."""
+    path = f"{work_folder(spark)}/log"
+    masked = _masked(spark, folder, "contacts").withColumn("ts", F.timestamp_seconds(F.col("doc_id")))
+    tables.write_vault(vault.log_rows(masked, "put", "ts", "doc_id"), path, day="ts")
+    gone = masked.filter("doc_id % 7 = 0").withColumn("ts", F.expr("ts + interval 1 day"))
+    tables.write_vault(vault.log_rows(gone, "delete", "ts", "doc_id"), path, day="ts")
+    log = spark.read.parquet(path).drop("day")
+    kept = vault.current(log, F.to_timestamp(F.lit("2030-01-01")), 2_000_000_000)
+    return kept.select("session_id", F.col("ord.ord").cast("long").alias("ord"), "token", "value")
 
 
 @query
@@ -114,7 +125,11 @@ def a5_external_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def a6_audit_sink(spark: SparkSession, folder: str) -> DataFrame:
-    events = audit.mask_events(_vault(spark, folder))
+    """Appended, and read back."""
+    path = f"{work_folder(spark)}/audit"
+    if not audit.append_audit(audit.mask_events(_vault(spark, folder)), path):
+        raise RuntimeError("no audit events were written")
+    events = spark.read.parquet(path)
     return events.select("event_type", "session_id", "token_count", F.array_join("token_types", ",").alias("token_types"))
 
 
@@ -659,6 +674,14 @@ def h1_mask_events(spark: SparkSession, folder: str) -> DataFrame:
     return _events_out(audit.mask_events(rows, encrypted=True)).select("session_id", "token_count", "token_types", "encrypted")
 
 
+@query
+def h1_extend_events(spark: SparkSession, folder: str) -> DataFrame:
+    """An extend that takes effect publishes the merged map's figures."""
+    merged = vault.merged_maps(derived.session_log(spark, folder), derived.EVENT_TTL)
+    events = _events_out(audit.extend_events(merged, encrypted=True))
+    return events.select("session_id", F.unix_micros("ts").alias("ts_micros"), "token_count", "token_types", "encrypted")
+
+
 @query
 def h2_resolve_events(spark: SparkSession, folder: str) -> DataFrame:
     masked, rows = _stored_masked(spark, folder)
