@@ -30,8 +30,8 @@ from cloakwork.llm.tokens import Vocabulary
 from cloakwork.plans.stored import stored, work_folder
 
 MAGIC = b"RANS0001"
-BITS = 20
-LANES = 1024
+BITS = 18
+LANES = 4096
 BLOCK = 1 << 20
 CHECKPOINT = np.dtype([("place", "<i8"), ("bytes", "<i8"), ("first", "<i8"), ("ids", "<i8"), ("crc", "<i8"), ("ids_crc", "<i8")])
 _LOW = np.uint64(1 << 31)
@@ -196,29 +196,33 @@ def write_corpus(docs: DataFrame, vocabulary: Vocabulary, folder: str, doc_id: s
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocabulary.encoder()
         end = np.array([vocabulary.end], encoder.kind).tobytes()
+        counts = np.zeros(encoder.size, np.int64)
+        names = ["part", "d", "t", "ids"]
         for whole in batches:
             for low in range(0, len(whole), 1000):
                 batch = whole.slice(low, 1000)
                 part = range_of(batch.column(0).to_numpy(), bounds)
                 ids = [x + end for x in encoder.encode(batch.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(part), *batch.columns[:2], pa.array(ids, pa.binary())], ["part", "d", "t", "ids"])
+                for some in ids if sum(map(len, ids)) > 1 << 25 else [b"".join(ids)]:
+                    counts += np.bincount(np.frombuffer(some, encoder.kind), minlength=encoder.size)
+                yield pa.RecordBatch.from_arrays([pa.array(part), *batch.columns[:2], pa.array(ids, pa.binary())], names)
+        # and one row more from each task, behind all ranges: how often it has seen each id
+        more = [pa.array([n], pa.int32()), pa.array([0]), pa.array([0]), pa.array([counts.astype("<i8").tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(more, names)
 
     rows = id_and_text(docs, doc_id, text).mapInArrow(tokenize, "part int, d long, t long, ids binary")
     # one file of the table for each range
-    rows = stored(rows.repartitionById(n, F.col("part")).sortWithinPartitions("d", "t"), compression="zstd")
+    rows = stored(rows.repartitionById(n + 1, F.col("part")).sortWithinPartitions("d", "t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = vocabulary.encoder()
-        counts = np.zeros(encoder.size, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                counts += np.bincount(np.frombuffer(ids, encoder.kind), minlength=encoder.size) if len(ids) > 1 << 16 else 0
-            short = b"".join(ids for ids in batch.column(0).to_pylist() if len(ids) <= 1 << 16)
-            counts += np.bincount(np.frombuffer(short, encoder.kind), minlength=encoder.size)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
-
-    found = rows.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+            for raw in batch.column(0).to_pylist():
+                counts = np.frombuffer(raw, "<i8")
+                used = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
+
+    seen = rows.filter(F.col("part") == n).select("ids")
+    found = seen.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([r["id"] for r in found], default=0) + 1, np.int64)
     counts[[r["id"] for r in found]] = [r["n"] for r in found]
     tables = f"{folder}/frequencies.bin"
@@ -233,6 +237,8 @@ def write_corpus(docs: DataFrame, vocabulary: Vocabulary, folder: str, doc_id: s
                     if not held.metadata.num_rows:
                         continue
                     part = next(held.iter_batches(1, columns=["part"])).column(0)[0].as_py()
+                    if part == n:
+                        continue
                     path = f"{folder}/part-{part:06d}.rans"
                     documents = (
                         (d, np.frombuffer(ids, kind))
