@@ -47,3 +47,24 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM ws LEFT JOIN kept USING (doc_id)
 """
+
+# bytes as pairs of hexadecimal digits; places are ordered by document, then start
+ORACLES["op5_repeated_strings"] = """
+WITH hx AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT doc_id, h, length(h) // 2 AS n FROM hx),
+windows AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS g
+    FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM sized WHERE n >= 100)),
+found AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM windows),
+ends AS (SELECT doc_id, i AS low, i + 100 AS high, max(i + 100) OVER (
+    PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM found WHERE k > 1),
+numbered AS (SELECT *, sum(CASE WHEN before IS NULL OR low > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY low) AS span FROM ends),
+spans AS (SELECT doc_id, span, min(low) AS low, max(high) AS high FROM numbered GROUP BY doc_id, span),
+pieces AS (SELECT doc_id, low, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS since FROM spans
+    UNION ALL SELECT s.doc_id, s.n, coalesce(max(high), 0) FROM sized s LEFT JOIN spans USING (doc_id) GROUP BY s.doc_id, s.n),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (low - since)), '' ORDER BY since, low) AS k
+    FROM pieces JOIN sized USING (doc_id) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, (n - length(k) // 2)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(k)) AS kept_sha256
+FROM sized JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
