@@ -53,10 +53,11 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         F.sha1(body.cast("binary")).alias("digest"),
         F.octet_length(body).cast("long").alias("bytes"),
     )
-    # payloads are equal if their SHA-1 and length are; only those that occur again are looked up
+    # payloads are equal if their SHA-1 and length are; only those that occur again are looked up. They are stored first, so
+    # that Spark knows how few they are before it would shuffle whole pages
     equal = rows.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes")
     latest = equal.agg(F.max("p").alias("latest"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = rows.join(latest.drop("n"), ["digest", "bytes"], "left")
+    rows = rows.join(stored(latest.drop("n")), ["digest", "bytes"], "left")
     revisit = F.coalesce(F.col("p") < F.col("latest"), F.lit(False))
 
     def urn(c: str) -> Column:
