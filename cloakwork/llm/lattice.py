@@ -41,6 +41,8 @@ ROUNDS, SMOOTH = 2, 0.01
 MARK = "▁"
 #: Longer words are summed one at a time.
 TOGETHER = 48
+#: Words and arcs that are handled at a time.
+WORDS, ARCS = 100_000, 1_500_000
 NEVER = -1e30
 _LOG10 = math.log(10)
 _BASE = 0x9E3779B97F4A7C15
@@ -82,7 +84,8 @@ class Pieces:
         kept = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
         # existing scores; where they are ranks, as in vocabularies of merges, a rank stands for a frequency
         own = {model.id_to_piece(i): model.get_score(i) for i in kept}
-        weight = {p: 1.0 / (10.0 - x) if min(own.values()) < -100 else math.exp(x) for p, x in own.items()}
+        ranks = min(own.values()) < -100
+        weight = {p: 1.0 / (10.0 - x) if ranks else math.exp(x) for p, x in own.items()}
         self.first = Side([p[1:] for p in own if p.startswith(MARK)])
         self.further = Side([p for p in own if MARK not in p])
         self.reach = max(map(len, self.further.pieces), default=1)
@@ -195,8 +198,10 @@ def marginals(words: list[str], pieces: Pieces, counts: list | None = None) -> n
         if n > TOGETHER:
             out[rows] = [_scalar(words[i], pieces, counts) for i in rows]
             continue
-        for low in range(0, len(rows), 4096):
-            some = rows[low : low + 4096]
+        # as many at a time as bound the memory for their arcs
+        step = max(256, ARCS // (n * min(n, pieces.reach) + 1))
+        for low in range(0, len(rows), step):
+            some = rows[low : low + step]
             codes = np.frombuffer("".join([words[i] for i in some]).encode("utf-32-le"), "<u4").reshape(len(some), n)
             out[some] = _together(codes.astype(np.uint64), pieces, counts)
     return out
@@ -225,6 +230,19 @@ def _words_of_blocks(texts: DataFrame) -> DataFrame:
     return ordered.mapInArrow(each, "block long, word binary, n long")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of many words: the sums are made for all words of one length together."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= WORDS:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _fitted(words: DataFrame, pieces: Pieces, n_words: int, rounds: int) -> Pieces:
     """The pieces with scores fitted to the distinct words."""
     context = words.sparkSession.sparkContext
@@ -235,7 +253,7 @@ def _fitted(words: DataFrame, pieces: Pieces, n_words: int, rounds: int) -> Piec
         def expect(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             own = given.value
             counts = [np.zeros(len(own.first.log)), np.zeros(len(own.further.log)), np.zeros(256)]
-            for batch in batches:
+            for batch in _gathered(batches):
                 marginals([w.decode() for w in batch.column(0).to_pylist()], own, counts)
             for kind, n in enumerate(counts):
                 used = np.flatnonzero(n)
@@ -285,7 +303,7 @@ def scores(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = spread.value
-        for batch in batches:
+        for batch in _gathered(batches):
             c = batch.column(1).to_numpy()
             log = left + marginals([w.decode() for w in batch.column(0).to_pylist()], own)
             known = c > 0
