@@ -53,6 +53,31 @@ _VALUES = {
 }
 CONTACT_TEXT = "'Kontakt ' || c_name" + "".join(f" || ' {name} ' || {value}" for name, value in _VALUES.items())
 
+# What the values are, as a person would label them: the truth that detection is held against.
+_TRUE_TYPES = {
+    "mail": "EMAIL_ADDRESS", "phone": "PHONE_NUMBER", "card": "CREDIT_CARD", "paid": "CREDIT_CARD", "ssn": "US_SSN",
+    "coin": "CRYPTO_ADDRESS", "segwit": "CRYPTO_ADDRESS", "ether": "CRYPTO_ADDRESS", "repo": "API_KEY", "pay": "API_KEY",
+    "jwt": "API_KEY", "six": "IP_ADDRESS", "link": "IP_ADDRESS", "iban": "IBAN_CODE", "gb": "IBAN_CODE",
+}
+
+
+# Lengths of the parts of a contact text, and from them the place of each labelled value.
+CONTACT_LENGTHS = {"head": "length('Kontakt ' || c_name)"} | {f"n_{name}": f"length({value})" for name, value in _VALUES.items()}
+
+
+def _truth() -> list[tuple[str, str, str]]:
+    """Entity type, start and end (as SQL over the lengths) of each labelled value of a contact text."""
+    before, out = "head", []
+    for name in _VALUES:
+        before += f" + {len(name) + 2}"
+        if name in _TRUE_TYPES:
+            out.append((_TRUE_TYPES[name], before, f"{before} + n_{name}"))
+        before += f" + n_{name}"
+    return out
+
+
+CONTACT_TRUTH = _truth()
+
 # Two made-up model findings per contact, some on rule matches, with scores on both sides of the rules'.
 MODEL_LABELS = [
     "person", "email", "phone number", "social security number", "credit card", "bitcoin address",
@@ -88,6 +113,14 @@ def contacts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("c_custkey").alias("doc_id"), F.expr(CONTACT_TEXT).alias("text"))
 
 
+def contact_truth(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, entity_type, start, end``: what the contacts were made to hold."""
+    rows = ", ".join(f"struct('{kind}' AS entity_type, {start} AS start, {end} AS end)" for kind, start, end in CONTACT_TRUTH)
+    lengths = [F.expr(sql).alias(name) for name, sql in CONTACT_LENGTHS.items()]
+    sized = table(spark, folder, "customer").select(F.col("c_custkey").alias("doc_id"), *lengths)
+    return sized.select("doc_id", F.explode(F.expr(f"array({rows})")).alias("t")).select("doc_id", "t.*")
+
+
 def model_findings(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, rank, label, start, end, score`` for the contacts."""
     rows = table(spark, folder, "customer").select("c_custkey")

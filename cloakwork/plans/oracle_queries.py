@@ -5,7 +5,7 @@ from __future__ import annotations
 import hmac
 
 from cloakwork.plans import oracles as o
-from cloakwork.plans.derived import AS_OF, EVENT_TOKENS, EVENT_TTL, FINDINGS, MODEL_LABELS, OP_OF_EVENT
+from cloakwork.plans.derived import AS_OF, CONTACT_LENGTHS, CONTACT_TRUTH, EVENT_TOKENS, EVENT_TTL, FINDINGS, MODEL_LABELS, OP_OF_EVENT
 from cloakwork.plans.queries import DEMO_KEYS, DETECTORS, GHOST, URL_RULE
 from cloakwork.operators.crypto import INFO, validate_key
 from cloakwork.operators.flow import FLOW_ERROR
@@ -401,9 +401,12 @@ ORACLES["h7_detection_quality"] = _mask(
        CASE WHEN count(g) > 0 THEN count(*) FILTER (WHERE f AND g) / count(g) ELSE 0 END::DOUBLE AS recall,
        (2 * count(*) FILTER (WHERE f AND g) / (count(f) + count(g)))::DOUBLE AS f1
        FROM (SELECT DISTINCT doc_id, entity_type, s, e, true AS f FROM kept) a
-       FULL JOIN (SELECT DISTINCT doc_id, entity_type, s, e, true AS g FROM cand WHERE pattern IN ('standard',
-           'us_international', 'visa_16', 'us_ssn', 'iban_de', 'ipv6', 'mac_colon', 'mac_dash')) b
+       FULL JOIN (SELECT DISTINCT *, true AS g FROM truth) b
        USING (doc_id, entity_type, s, e) GROUP BY entity_type""",
+    more=(
+        "lengths AS (SELECT c_custkey AS doc_id, " + ", ".join(f"{sql} AS {name}" for name, sql in CONTACT_LENGTHS.items()) + " FROM customer)",
+        "truth AS (" + " UNION ALL ".join(f"SELECT doc_id, '{t}' AS entity_type, {a} AS s, {b} AS e FROM lengths" for t, a, b in CONTACT_TRUTH) + ")",
+    ),
 )
 ORACLES["h8_case_counts"] = _spans(
     "contacts",
