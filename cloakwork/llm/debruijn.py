@@ -83,7 +83,8 @@ def _paths(texts: DataFrame, rows: DataFrame, keys: list[str], width: int, singl
 
 
 def compact(paths: DataFrame) -> DataFrame:
-    """Compact paths of ``paths(g1, g2, core, d, t, at, n)``: rows ``d, t, at, n, first, fork``, occurrence by occurrence.
+    """Compact paths of the stored ``paths(g1, g2, core, d, t, at, n)``, which is given up: rows ``d, t, at, n, first,
+    fork``, occurrence by occurrence.
 
     ``first`` is the least document that has the path. Rows with ``fork`` lie at a branch and are left as they were.
     """
@@ -95,6 +96,7 @@ def compact(paths: DataFrame) -> DataFrame:
     steps = once.withColumn("before", F.when(F.lag(end).over(along) == F.col("at"), F.lag("g1").over(along)))
     steps = steps.withColumn("after", F.when(F.lead("at").over(along) == end, F.lead("g1").over(along)))
     steps = stored(steps.select("g1", "g2", "core", "d", "t", "at", "n", "before", "after"))
+    discard(paths)
     # of each path: its first document, and whether its neighbours are always the same
     known = steps.groupBy("g1", "g2", "core").agg(
         F.min("d").alias("first"),
@@ -124,10 +126,11 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     paths = stored(_paths(texts, runs, ["d"], width, single=False))
     discard(runs)
     spans = compact(paths)
-    discard(paths)
     # branches, edge by edge
     edges = stored(_paths(texts, spans.filter("fork and first = d"), ["d", "t"], width, single=True).select("g1", "g2", "d", "t", "at"))
-    first = edges.groupBy("g1", "g2").agg(F.min("d").alias("first"))
+    first = edges.groupBy("g1", "g2").agg(F.min("d").alias("first"), F.max("d").alias("last"))
+    # stored, so that the join can be split where an edge is frequent
+    first = stored(first.filter("first < last").drop("last"))
     later = edges.join(first, ["g1", "g2"]).filter("first < d")
     return spans.filter("first < d").select("d", "t", "at", "n", "first").unionByName(
         later.select("d", "t", "at", F.lit(1).cast("long").alias("n"), "first")

@@ -94,8 +94,13 @@ def runs(cores: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
     return tuple(map(np.concatenate, (found, firsts, counts, leads)))
 
 
-def run_rows(texts: DataFrame, units: Units) -> DataFrame:
-    """``core, d, first, n, lead`` of every run of ``texts(d, text)``."""
+def run_rows(texts: DataFrame, units: Units, crowded: dict[int, int] | None = None) -> DataFrame:
+    """``core, d, first, n, lead, slice`` of every run of ``texts(d, text)``.
+
+    ``slice`` is 0 but for the ``crowded`` cores, whose runs are dealt out over so many slices, numbered from 1.
+    """
+    cores = np.array(sorted(crowded or {}), np.int64)
+    slices = np.array([crowded[c] for c in cores.tolist()], np.int64)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,37 +119,41 @@ def run_rows(texts: DataFrame, units: Units) -> DataFrame:
                 yield packed(held)
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["core", "d", "first", "n", "lead"])
+        core, d, first, *rest = (np.concatenate(c) for c in zip(*held))
+        slice_ = np.zeros(len(core), np.int32)
+        if len(cores):
+            at = np.minimum(np.searchsorted(cores, core), len(cores) - 1)
+            hit = np.flatnonzero(cores[at] == core)
+            dealt = mixed(d[hit].view(np.uint64) * np.uint64(31) + first[hit].astype(np.uint64)) % slices[at[hit]].astype(np.uint64)
+            slice_[hit] = dealt.astype(np.int32) + 1
+        columns = [pa.array(c) for c in (core, d, first, *rest, slice_)]
+        return pa.RecordBatch.from_arrays(columns, ["core", "d", "first", "n", "lead", "slice"])
+
+    return texts.select("d", "text").mapInArrow(each, "core long, d long, first long, n short, lead short, slice int")
+
 
-    return texts.select("d", "text").mapInArrow(each, "core long, d long, first long, n short, lead short")
+def crowded_cores(texts: DataFrame, units: Units, across: bool) -> dict[int, int]:
+    """The cores that look most crowded in a sample, with the number of slices for each.
+
+    They decide how the work is laid out and not its result, so the list is of bounded length. They occur again
+    for certain: the sample has seen them do so.
+    """
+    some = run_rows(texts.filter(F.pmod(F.xxhash64("d", F.lit(7)), F.lit(SAMPLED)) == 0), units)
+    counted = some.groupBy("core").agg(F.count(F.lit(1)).alias("rows"), F.min("d").alias("low"), F.max("d").alias("high"))
+    many = counted.filter((F.col("rows") * SAMPLED > CROWD) & (F.col("low") < F.col("high") if across else F.col("rows") > 1))
+    most = many.orderBy(F.col("rows").desc(), "core").limit(MOST_CROWDED).collect()
+    return {r["core"]: -(-r["rows"] * SAMPLED // CROWD) for r in most}
 
 
 def live_runs(texts: DataFrame, units: Units, across: bool) -> DataFrame:
     """The runs whose core occurs again: in another document (``across``), or anywhere.
 
-    One shuffle by core. The cores that look crowded in a sample are dealt out by document as well; they occur again
-    for certain, so nothing about them needs counting. The list is layout only, so its length is bounded, and it is
-    broadcast: a join by core would bring them together again.
+    One shuffle by core. The cores that are crowded are dealt out by document as well.
     """
-    rows = run_rows(texts, units)
-    some = run_rows(texts.filter(F.pmod(F.xxhash64("d", F.lit(7)), F.lit(SAMPLED)) == 0), units)
-    crowded = (
-        some.groupBy("core")
-        .agg(F.count(F.lit(1)).alias("rows"), F.min("d").alias("low"), F.max("d").alias("high"))
-        .filter((F.col("rows") * SAMPLED > CROWD) & (F.col("low") < F.col("high") if across else F.lit(True)))
-        .orderBy(F.col("rows").desc(), "core")
-        .limit(MOST_CROWDED)
-        .select("core", F.ceil(F.col("rows") * SAMPLED / CROWD).alias("slices"))
-    )
-    dealt = rows.join(F.broadcast(crowded), "core", "left")
-    slice_ = F.coalesce(F.pmod(F.xxhash64("d", "first"), F.col("slices")), F.lit(0)).cast("int")
-    dealt = dealt.withColumn("slice", slice_)
+    rows = run_rows(texts, units, crowded_cores(texts, units, across))
     group = Window.partitionBy("core", "slice")
-    if across:
-        again = F.min("d").over(group) < F.max("d").over(group)
-    else:
-        again = F.count(F.lit(1)).over(group) > 1
-    kept = dealt.withColumn("again", again).filter(F.col("again") | F.col("slices").isNotNull())
+    again = F.min("d").over(group) < F.max("d").over(group) if across else F.count(F.lit(1)).over(group) > 1
+    kept = rows.withColumn("again", again).filter(F.col("again") | (F.col("slice") > 0))
     return kept.select("core", "d", "first", "n", "lead")
 
 

@@ -110,17 +110,26 @@ def _digits(texts: DataFrame, rows: DataFrame, keys: list[str], cut: Callable[..
     return joined.mapInArrow(each, _KEY)
 
 
-def _first_ids(digits: DataFrame) -> DataFrame:
-    return digits.filter("not again").groupBy("g1", "g2").agg(F.min("d").alias("first"))
+def _shared(digits: DataFrame) -> DataFrame:
+    """Digits that several documents have, with the least of them. Stored, so that a join with it can be split where a
+    digit is frequent: a join shares no shuffle with an aggregation then."""
+    ids = digits.filter("not again").groupBy("g1", "g2").agg(F.min("d").alias("first"), F.max("d").alias("last"))
+    return stored(ids.filter("first < last").drop("last"))
+
+
+def _earlier(digits: DataFrame, shared: DataFrame) -> DataFrame:
+    """``again`` also where a smaller document has the digit."""
+    joined = digits.join(shared, ["g1", "g2"], "left")
+    return joined.withColumn("again", F.col("again") | F.coalesce(F.col("first") < F.col("d"), F.lit(False)))
 
 
 def _sorted(digits: DataFrame) -> DataFrame:
     """Rows that were there before (``again``), and the first of those that share a core but not their content."""
     forks = digits.groupBy("core").agg(F.min("g1").alias("low"), F.max("g1").alias("high")).filter("low < high")
-    judged = digits.join(_first_ids(digits), ["g1", "g2"]).withColumn("again", F.col("again") | (F.col("first") < F.col("d")))
-    judged = judged.select("core", "d", "t", "at", "n", "lead", "again").join(forks.select("core", F.lit(True).alias("fork")), "core", "left")
+    shared = _shared(digits)
+    judged = _earlier(digits, shared).select("core", "d", "t", "at", "n", "lead", "again").join(forks.select("core", F.lit(True).alias("fork")), "core", "left")
     out = stored(judged.filter("again or fork").drop("fork"))
-    discard(digits)
+    discard(digits, shared)
     return out
 
 
@@ -134,7 +143,7 @@ def repeats(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     whole = _sorted(whole)
     parts = _sorted(stored(_digits(texts, whole.filter("not again"), ["d", "t"], _stretches, depth)))
     single = stored(_digits(texts, parts.filter("not again"), ["d", "t"], _single, depth).select("g1", "g2", *item, "again"))
-    later = single.join(_first_ids(single), ["g1", "g2"]).filter(F.col("again") | (F.col("first") < F.col("d")))
+    later = _earlier(single, _shared(single)).filter("again")
     done = whole.filter("again").select(*item).unionByName(parts.filter("again").select(*item))
     return done.unionByName(later.select(*item))
 
