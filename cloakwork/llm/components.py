@@ -13,7 +13,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     smaller ones and itself (small star). The smallest comes from a partial aggregation, so hubs gather nowhere."""
     both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # edges run from the larger node u to the smaller v
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "w")
+    # stored, so that the join shares no shuffle with the aggregation and can be split where a node has many neighbours
+    least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "w"))
     joined = both.join(least, F.col("u") == F.col("w"))
     if small:
         own = least.select(F.col("w").alias("u"), F.col("m").alias("v"))

@@ -201,5 +201,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The document with the smallest id of each component, with all columns. Rows of one id are one document."""
-    found = near_duplicates(docs, doc_id, text).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(found, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")), "left_semi")
+    name = "_id"
+    while name in docs.columns:
+        name += "_"
+    found = near_duplicates(docs, doc_id, text).filter("doc_id <=> component_id").select(F.col("doc_id").alias(name))
+    return docs.join(found, F.col(f"`{doc_id}`").eqNullSafe(F.col(name)), "left_semi")

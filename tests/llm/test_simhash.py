@@ -89,7 +89,7 @@ def test_components_of_a_long_path(spark):
 
 def test_odd_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, " \t\n", "x"), (4, "one", "x"), (4, "one", "x"), (None, "one", "x"), (5, "ONE", "y")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string")
     got = sorted((r.doc_id or 0, r.fingerprint == "0" * 16, r.component_id) for r in simhash.near_duplicates(docs).collect())
     assert got == [(0, False, 4), (1, True, 1), (2, True, 1), (3, True, 1), (4, False, 4), (4, False, 4), (5, False, 4)]
     kept = simhash.keep_one(docs)
