@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.texts import WORD, word_hashes
+from cloakwork.llm.texts import WORD, small_batches, word_hashes
 from cloakwork.plans.stored import stored
 
 WEIGHTS = (5, 2, 1)
@@ -84,6 +84,7 @@ def _number(*parts: object) -> int:
 def choose(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, seed: str = SEED) -> DataFrame:
     """Per document: ``doc_id, t`` (its text's hash), ``source, size, source_size, target, copies`` (how often it is
     taken whole), ``parts`` (word ranges taken once more) and ``taken``, the words in all."""
+    small_batches(docs)
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"),

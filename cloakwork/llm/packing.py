@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloakwork.llm.shipping import ship
 from cloakwork.llm.texts import id_and_text, public_id
 from cloakwork.llm.tokens import Vocabulary
 
@@ -145,6 +146,7 @@ def pack_examples(
 
     Null sizes count as zero. An example over a limit by itself gets a sequence of its own, cut down by nobody.
     """
+    ship(examples.sparkSession)
     rows = examples.select(
         F.col(f"`{example_id}`").alias("example_id"),
         F.coalesce(F.col(f"`{tokens}`").cast("long"), F.lit(0)).alias("length"),

@@ -126,10 +126,11 @@ def _earlier(digits: DataFrame, shared: DataFrame) -> DataFrame:
 def _sorted(digits: DataFrame) -> DataFrame:
     """Rows that were there before (``again``), and the first of those that share a core but not their content."""
     forks = digits.groupBy("core").agg(F.min("g1").alias("low"), F.max("g1").alias("high")).filter("low < high")
+    forks = stored(forks.select("core", F.lit(True).alias("fork")))
     shared = _shared(digits)
-    judged = _earlier(digits, shared).select("core", "d", "t", "at", "n", "lead", "again").join(forks.select("core", F.lit(True).alias("fork")), "core", "left")
+    judged = _earlier(digits, shared).select("core", "d", "t", "at", "n", "lead", "again").join(forks, "core", "left")
     out = stored(judged.filter("again or fork").drop("fork"))
-    discard(digits, shared)
+    discard(digits, shared, forks)
     return out
 
 

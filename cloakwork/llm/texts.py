@@ -18,7 +18,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def small_batches(docs: DataFrame) -> None:
-    """Whole texts are large rows: have Spark hand fewer of them at a time to Python than of others."""
+    """Whole texts are large rows: have Spark hand fewer of them at a time to Python than of others. And have the code there."""
+    from cloakwork.llm.shipping import ship
+
+    ship(docs.sparkSession)
     conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(conf.get(key))
     if now <= 0 or now > TEXTS_PER_BATCH:
