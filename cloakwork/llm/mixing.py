@@ -81,9 +81,13 @@ def _number(*parts: object) -> int:
     return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
 
 
-def choose(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, seed: str = SEED) -> DataFrame:
+def choose(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, seed: str = SEED, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Per document: ``doc_id, t`` (its text's hash), ``source, size, source_size, target, copies`` (how often it is
-    taken whole), ``parts`` (word ranges taken once more) and ``taken``, the words in all."""
+    taken whole), ``parts`` (word ranges taken once more) and ``taken``, the words in all.
+
+    ``carry``: columns of longs that go along; rows of one place and text are ordered by them."""
     small_batches(docs)
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(
@@ -91,6 +95,7 @@ def choose(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
         F.xxhash64(whole).alias("t"),
         F.col(f"`{source}`").cast("string").alias("source"),
         F.regexp_count(whole, F.lit(WORD)).cast("long").alias("size"),
+        *carry,
     )
     rows = stored(rows.withColumn("place", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))))
     of = {r.source: r.n for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
@@ -121,7 +126,7 @@ def choose(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     dealt = rows.join(quota, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h"))).drop("s", "h")
 
     def select(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values(["place", "t"], kind="stable").reset_index(drop=True)
+        cell = cell.sort_values(["place", "t", *carry], kind="stable").reset_index(drop=True)
         name = None if pd.isna(cell.source.iloc[0]) else cell.source.iloc[0]
         size, goal, copies, _ = plan[name]
         ends = cell["size"].cumsum().to_numpy()
@@ -135,53 +140,43 @@ def choose(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
         cell["parts"] = [[{"low": int(x), "high": int(y)} for x, y in sorted(p)] for p in parts]
         cell["copies"], cell["source_size"], cell["target"] = copies, size, goal
         cell["taken"] = [copies * int(n) + sum(int(y - x) for x, y in p) for n, p in zip(cell["size"], parts)]
-        return cell[["doc_id", "t", "source", "size", "source_size", "target", "copies", "parts", "taken"]]
+        return cell[["doc_id", "t", "source", "size", "source_size", "target", "copies", "parts", "taken", *carry]]
 
     return dealt.groupBy("source", "shard").applyInPandas(
         select,
         "doc_id long, t long, source string, size long, source_size long, target double, copies long,"
-        " parts array<struct<low:long,high:long>>, taken long",
+        " parts array<struct<low:long,high:long>>, taken long" + "".join(f", {c} long" for c in carry),
     )
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", length: str = "n_chars") -> DataFrame:
     """The mixed documents, with the columns of ``docs``: a row for each whole copy and one for the words taken once more.
 
-    ``length``, if there, is set to the new length in the rows of words. Rows equal in id, source and text share what any of them takes.
+    ``length``, if there, is set to the new length in the rows of words. Of rows equal in id, source and text each takes what
+    ``choose`` gave to it: every row is numbered before the choice and found again by its number.
     """
     inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    chosen = choose(docs, doc_id, text, source)
-    # rows equal in all of these are interchangeable: one row of the choice for each, numbered alike on both sides
-    keys = ["doc_id", "t", "source"]
-    chosen = chosen.groupBy(*keys).agg(F.collect_list(F.struct("copies", "parts")).alias("picks"))
-    given = docs.select(
-        *[F.col(f"`{c}`").alias(i) for c, i in inner.items()],
-        F.col(f"`{doc_id}`").cast("long").alias("k_id"),
-        F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("k_t"),
-        F.col(f"`{source}`").cast("string").alias("k_source"),
-    )
-    same = (
-        F.col("k_id").eqNullSafe(F.col("doc_id")) & (F.col("k_t") == F.col("t")) & F.col("k_source").eqNullSafe(F.col("source"))
-    )
-    joined = given.join(chosen, same)
+    rest = [F.col(i) for c, i in inner.items() if c not in (doc_id, text, source)]
+    given = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in inner.items()])
+    # stored, so that a row keeps its number; rows of one id and text are told apart by their other columns first
+    given = stored(given.withColumns({"tie": F.xxhash64(F.to_json(F.struct(F.lit(0), *rest))), "row": F.monotonically_increasing_id()}))
+    chosen = choose(given, inner[doc_id], inner[text], inner[source], carry=("tie", "row")).filter("taken > 0")
+    joined = given.join(chosen.select("row", "copies", "parts"), "row")
     body = inner[text]
 
     @F.pandas_udf("array<string>")
-    def rows_of(texts: pd.Series, picks: pd.Series) -> pd.Series:
+    def rows_of(texts: pd.Series, copies: pd.Series, parts: pd.Series) -> pd.Series:
         out = []
-        for given, own in zip(texts, picks):
-            made = []
-            pick = own[0] if len(own) else None
-            if pick is not None and given is not None:
-                made = [given] * int(pick["copies"])
-                if len(pick["parts"]):
-                    raw = given.encode()
-                    starts, ends, _ = word_hashes(raw)
-                    made.append("\n".join(raw[starts[p["low"]] : ends[p["high"] - 1]].decode() for p in pick["parts"]))
+        for given, n, own in zip(texts, copies, parts):
+            made = [given] * int(n)
+            if len(own):
+                raw = given.encode()
+                starts, ends, _ = word_hashes(raw)
+                made.append("\n".join(raw[starts[p["low"]] : ends[p["high"] - 1]].decode() for p in own))
             out.append(made)
         return pd.Series(out)
 
-    new = joined.withColumn("new", F.explode(rows_of(body, F.col("picks"))))
+    new = joined.withColumn("new", F.explode(rows_of(body, "copies", "parts")))
     columns = {c: F.col(i) for c, i in inner.items()}
     columns[text] = F.col("new")
     if length in inner:

@@ -93,3 +93,25 @@ def test_odd_rows_and_mixed_documents(spark):
         want[r.doc_id, r.source] += r.taken
     assert got == +want
     assert mixing.choose(docs.limit(0)).collect() == [] and mixing.mix(docs.limit(0)).collect() == []
+
+
+def test_equal_rows_take_their_own_picks(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, text, "a", i % 7) for i in range(60)] + [(4, text, "a", i % 7) for i in range(60)]
+    rows += [(100 + i, text, s, 0) for i in range(60) for s in "bc"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, kind int").repartition(5)
+    want, goal = Counter(), {}
+    for r in mixing.choose(docs).collect():
+        want[r.doc_id, r.source] += r.taken
+        goal[r.source] = r.target
+
+    def taken(docs):
+        return Counter((r.doc_id, r.source, r.kind, r.text) for r in mixing.mix(docs).collect())
+
+    first, got, by = taken(docs), Counter(), Counter()
+    for (d, s, _, t), n in first.items():
+        got[d, s] += n * len(t.split())
+        by[s] += n * len(t.split())
+    assert got == +want
+    assert all(abs(by[s] - g) <= 2 * mixing.BLOCK for s, g in goal.items())
+    assert taken(docs.repartition(3)) == first
