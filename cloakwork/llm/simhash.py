@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.llm.components import components
-from cloakwork.llm.texts import raw_texts, signed, small_batches
+from cloakwork.llm.texts import NULL_ID, id_and_keys, raw_texts, signed, small_batches
 from cloakwork.plans.stored import stored
 
 SHINGLE = 3
@@ -54,17 +54,19 @@ def fingerprint(raw: bytes) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a long."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hashed: bool = False) -> DataFrame:
+    """``doc_id`` and ``fp``, the fingerprint as a long; and ``t``, the text's hash, if ``hashed``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(raw) for raw in raw_texts(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(fps))], ["doc_id", "fp"])
+            t = [batch.column(2)] if hashed else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(fps)), *t], ["doc_id", "fp", *["t"] * hashed])
 
     small_batches(docs)
-    some = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return some.mapInArrow(each, "doc_id long, fp long")
+    t = [id_and_keys(doc_id, text)[1]] if hashed else []
+    some = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), *t)
+    return some.mapInArrow(each, "doc_id long, fp long" + ", t long" * hashed)
 
 
 def _syndromes() -> np.ndarray:
@@ -185,24 +187,46 @@ def links(fps: DataFrame, cell: int = CELL) -> DataFrame:
     return dealt.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_cell_links, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``fingerprint`` in hexadecimal and ``component_id``, the smallest id that links reach."""
-    fps = stored(fingerprints(docs, doc_id, text))
+def _classes(fps: DataFrame) -> DataFrame:
+    """``fp, component_id`` and ``root``, a fingerprint that stands for the component, of each fingerprint of ``fps(doc_id, fp)``."""
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(least.select("fp"))).withColumnsRenamed({"node": "fp"})
     # classes: every fingerprint with its root, and the root's smallest id
     of = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = of.join(ids, "root").select("fp", "component_id")
+    return of.join(ids, "root").select("fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``fingerprint`` in hexadecimal and ``component_id``, the smallest id that links reach."""
+    fps = stored(fingerprints(docs, doc_id, text))
+    classes = _classes(fps)
     return fps.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, with all columns. Rows of one id are one document."""
-    name = "_id"
-    while name in docs.columns:
-        name += "_"
-    found = near_duplicates(docs, doc_id, text).filter("doc_id <=> component_id").select(F.col("doc_id").alias(name))
-    return docs.join(found, F.col(f"`{doc_id}`").eqNullSafe(F.col(name)), "left_semi")
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repeated: bool = True) -> DataFrame:
+    """The document with the smallest id of each component, with all columns. Rows of one id are one document there, and all
+    stay; with ``repeated=False`` one of them does, that with the least hash of its text. Of a component whose ids are
+    all null one row stays in either case. Rows of an id that lie in another document's component go.
+    """
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    fps = stored(fingerprints(docs, doc_id, text, hashed=True))
+    rows = fps.join(_classes(fps), "fp").filter("doc_id <=> component_id").groupBy("doc_id", "t", "root").agg(F.count(F.lit(1)).alias("n"))
+    rows = stored(rows)
+    lone = F.lit(not repeated) | F.col("component_id").isNull()
+    least = rows.groupBy("root").agg(F.first("doc_id").alias("component_id"), F.min("t").alias("t")).filter(lone).select("root", "t")
+    single = rows.filter(F.lit(not repeated) | F.col("doc_id").isNull()).join(least, ["root", "t"])
+    whole = rows.filter(F.lit(repeated) & F.col("doc_id").isNotNull()).unionByName(single.filter("n = 1")).select("doc_id", "t")
+    d, t = id_and_keys(doc_id, text)
+    given = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in inner.items()], d.alias("k_d"), t.alias("k_t"))
+
+    def key(frame: DataFrame) -> DataFrame:
+        return frame.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k_d"), F.col("t").alias("k_t"))
+
+    # of rows equal in id and text any one, by an aggregation that begins where the rows lie
+    of = given.join(key(single.filter("n > 1")), ["k_d", "k_t"], "left_semi")
+    one = of.groupBy("k_d", "k_t").agg(F.first(F.struct(*inner.values())).alias("row")).select("row.*")
+    out = given.join(key(whole), ["k_d", "k_t"], "left_semi").select(*inner.values()).unionByName(one)
+    return out.select(*[F.col(i).alias(c) for c, i in inner.items()])

@@ -102,3 +102,16 @@ def test_odd_rows(spark):
 def test_lengths(words):
     text = " ".join(f"W{i % 977}" for i in range(words))
     assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
+
+
+def test_one_row_of_each_component(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    rows = [(None, text["a"], 1)] * 3 + [(None, text["a"].upper(), 1)]  # null ids only
+    rows += [(None, text["b"], 2), (None, text["b"].title(), 2), (7, text["b"], 2), (9, text["b"], 2)]
+    rows += [(5, text["c"], 3)] * 4 + [(6, text["c"], 3)]
+    rows += [(7, text["c"], 3), (8, text["d"], 4), (None, None, 5), (None, "", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part int")
+    got = sorted((r.part, r.doc_id) for r in simhash.keep_one(docs, repeated=False).collect())
+    assert got == [(1, None), (2, 7), (3, 5), (4, 8), (5, None)]
+    got = sorted((r.part, r.doc_id) for r in simhash.keep_one(docs).collect())
+    assert got == [(1, None), (2, 7), (3, 5), (3, 5), (3, 5), (3, 5), (4, 8), (5, None)]
