@@ -53,25 +53,27 @@ _VALUES = {
 }
 CONTACT_TEXT = "'Kontakt ' || c_name" + "".join(f" || ' {name} ' || {value}" for name, value in _VALUES.items())
 
-# What the values are, as a person would label them: the truth that detection is held against.
+# What the values are, as a person would label them: the truth that detection is held against. Every value has a label.
+# National numbers of all countries have the type US_SSN in the rule table; a uuid stands for an Azure key.
 _TRUE_TYPES = {
     "mail": "EMAIL_ADDRESS", "phone": "PHONE_NUMBER", "card": "CREDIT_CARD", "paid": "CREDIT_CARD", "ssn": "US_SSN",
-    "coin": "CRYPTO_ADDRESS", "segwit": "CRYPTO_ADDRESS", "ether": "CRYPTO_ADDRESS", "repo": "API_KEY", "pay": "API_KEY",
-    "jwt": "API_KEY", "six": "IP_ADDRESS", "link": "IP_ADDRESS", "iban": "IBAN_CODE", "gb": "IBAN_CODE",
+    "nino": "US_SSN", "coin": "CRYPTO_ADDRESS", "segwit": "CRYPTO_ADDRESS", "ether": "CRYPTO_ADDRESS", "cloud": "API_KEY",
+    "maps": "API_KEY", "repo": "API_KEY", "pay": "API_KEY", "chat": "API_KEY", "uuid": "API_KEY", "jwt": "API_KEY",
+    "six": "IP_ADDRESS", "link": "IP_ADDRESS", "iban": "IBAN_CODE", "gb": "IBAN_CODE", "mac": "MAC_ADDRESS",
+    "dash": "MAC_ADDRESS", "dots": "MAC_ADDRESS",
 }
 
 
-# Lengths of the parts of a contact text, and from them the place of each labelled value.
+# Lengths of the parts of a contact text, and from them the place of each value.
 CONTACT_LENGTHS = {"head": "length('Kontakt ' || c_name)"} | {f"n_{name}": f"length({value})" for name, value in _VALUES.items()}
 
 
 def _truth() -> list[tuple[str, str, str]]:
-    """Entity type, start and end (as SQL over the lengths) of each labelled value of a contact text."""
+    """Entity type, start and end (as SQL over the lengths) of each value of a contact text."""
     before, out = "head", []
     for name in _VALUES:
         before += f" + {len(name) + 2}"
-        if name in _TRUE_TYPES:
-            out.append((_TRUE_TYPES[name], before, f"{before} + n_{name}"))
+        out.append((_TRUE_TYPES[name], before, f"{before} + n_{name}"))
         before += f" + n_{name}"
     return out
 
