@@ -110,7 +110,8 @@ def pack(tokens: np.ndarray, loss: np.ndarray | None, capacity: int, segments: i
             held.append((example, start, n, offset))
             offset += n
             room = room - load
-        if cut and not stock.left and offset < capacity:
+        # closed by the end of the block, or by the limit on segments
+        if cut and offset < capacity and (not stock.left or room[1] < 1):
             sequence = _powers(held, sequence, out)
         else:
             out += [(e, s, n, sequence, o) for e, s, n, o in held]

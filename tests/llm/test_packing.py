@@ -133,3 +133,15 @@ def test_odd_rows(spark):
     assert sum(r.length for r in out if r.doc_id == 3) == 2 * next(r.doc_tokens for r in out if r.doc_id == 3)
     assert padding(whole(out).values()) == 0
     assert packing.pack_documents(docs.limit(0), WORDS_49K).collect() == []
+
+
+def test_sequences_closed_by_segments_are_powers_of_two():
+    tokens = np.array([3] * 1000 + [5] * 300)
+    out = packing.pack(tokens, None, 2048, 256, None, cut=True)
+    filled, taken = defaultdict(int), defaultdict(int)
+    for e, _, n, s, o in out:
+        assert n > 0 and o == filled[s]
+        filled[s] += n
+        taken[e] += n
+    assert len(filled) > 5 and all(n & (n - 1) == 0 for n in filled.values())
+    assert [taken[e] for e in range(len(tokens))] == tokens.tolist()
