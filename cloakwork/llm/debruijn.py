@@ -11,8 +11,8 @@ only. The paths left are compacted in two ways:
   neighbours, and as such a compact path lies whole in every document that has part of it, its pieces are
   put together document by document.
 
-A compact path that lies in an earlier document too is a repeated span. Its coordinates are verified: the words of both
-paths are read from their places in the texts, and equal 128-bit hashes decide.
+A compact path that lies in an earlier document too is a repeated span. Paths are held equal by 128-bit hashes of their
+words, taken where each lies before compaction; a compact path is not read back and compared with its source again.
 
 Null texts have no words. Null ids sort before all others and stay null. Rows that share an id remove nothing from each
 other. An empty table gives an empty result.
