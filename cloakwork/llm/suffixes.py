@@ -1,8 +1,8 @@
-"""Repeated byte strings by a depth-limited radix sort of suffixes.
+"""Repeated byte strings by hashes of suffixes, refined as in a depth-limited radix sort.
 
-Suffixes are ordered through their first ``DEPTH`` bytes only, most significant digit first; groups still equal after the
-last digit are exactly the repeated strings of that length, and groups of one leave after any digit. The digits are not
-read from left to right, so that whole runs of suffixes can be sorted as one row as long as they stay together:
+No suffix is ordered: suffixes are grouped by the hashes of pieces of their first ``DEPTH`` bytes; groups still equal after the
+last piece, called a digit here, are exactly the repeated strings of that length, and groups of one leave after any digit. The digits are not
+read from left to right, so that whole runs of suffixes can be judged as one row as long as they stay together:
 
 1. the least core of 32 bytes within those bytes (see ``runs``): the suffixes of a run share it;
 2. the whole content of the run: runs equal in it are equal suffix by suffix, so all but the first are done;
