@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakwork.llm import cascade, debruijn, lattice, mixing, packing, rans, sampling, simhash, suffixes, warc
+from cloakwork.llm import cascade, codes, debruijn, lattice, mixing, packing, rans, sampling, simhash, suffixes, warc
 from cloakwork.llm.sql import ORACLES  # noqa: F401
 from cloakwork.llm.tokens import Vocabulary
 from cloakwork.sources.tables import table
@@ -71,3 +71,8 @@ def op3_lattice_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_weighted_sampling(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.report(table(spark, folder, "documents"))
+
+
+@query
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.report(table(spark, folder, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")

@@ -68,3 +68,30 @@ SELECT doc_id, n::BIGINT AS n_bytes, (n - length(k) // 2)::BIGINT AS n_removed,
     sha256(unhex(k)) AS kept_sha256
 FROM sized JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
 """
+
+
+def _vector_codes(rounds: int = 4) -> str:
+    """Parts as rows (vector, part, position, integer); each round assigns every part and replaces the entries."""
+    ctes = [
+        """ints AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT)) - 1 AS r,
+    vec_id, label, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)""",
+        """pts AS MATERIALIZED (SELECT r, (i - 1) // (n // 4) AS part, (i - 1) % (n // 4) AS pos, v[i] AS x FROM (
+    SELECT r, v, len(v) AS n, unnest(range(1, len(v) + 1)) AS i FROM ints))""",
+        "book0 AS MATERIALIZED (SELECT part, r AS entry, pos, x FROM pts WHERE r < 256)",
+    ]
+    for k in range(rounds + 1):
+        ctes.append(f"""near{k} AS MATERIALIZED (SELECT r, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+    SELECT r, p.part, entry, sum((p.x - b.x) * (p.x - b.x))::BIGINT AS d FROM pts p JOIN book{k} b USING (part, pos) GROUP BY ALL) GROUP BY ALL)""")
+        if k < rounds:
+            ctes.append(f"""mean{k} AS (SELECT part, entry, pos, sum(x)::BIGINT AS s, count(*) AS n FROM pts JOIN near{k} USING (r, part) GROUP BY ALL),
+book{k + 1} AS MATERIALIZED (SELECT part, entry, pos, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x
+    FROM book{k} LEFT JOIN mean{k} USING (part, entry, pos))""")
+    return f"""WITH {", ".join(ctes)},
+coded AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+    (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) FROM book{rounds}) AS codebooks_sha256
+FROM ints JOIN coded USING (r)"""
+
+
+ORACLES["op11_vector_codes"] = _vector_codes()
