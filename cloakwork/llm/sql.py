@@ -73,9 +73,9 @@ FROM sized JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
 def _vector_codes(rounds: int = 4) -> str:
     """Parts as rows (vector, part, position, integer); each round assigns every part and replaces the entries."""
     ctes = [
-        """ints AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT)) - 1 AS r,
-    vec_id, label, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)""",
+        """ints AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT)) - 1 AS r,
+    vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
         """pts AS MATERIALIZED (SELECT r, (i - 1) // (n // 4) AS part, (i - 1) % (n // 4) AS pos, v[i] AS x FROM (
     SELECT r, v, len(v) AS n, unnest(range(1, len(v) + 1)) AS i FROM ints))""",
         "book0 AS MATERIALIZED (SELECT part, r AS entry, pos, x FROM pts WHERE r < 256)",

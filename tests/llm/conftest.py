@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-TABLES = "documents pages benchmark labels conversations"
+TABLES = "documents embeddings pages benchmark labels conversations"
 
 
 @pytest.fixture(scope="session")
