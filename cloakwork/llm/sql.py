@@ -95,3 +95,25 @@ FROM ints JOIN coded USING (r)"""
 
 
 ORACLES["op11_vector_codes"] = _vector_codes()
+
+# every phrase of every piece; a product may pass 64 bits, so it is taken as a huge integer
+ORACLES["op12_phrase_mining"] = r"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM texts),
+worded AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+starts AS (SELECT lang, w, len(w) AS m, unnest(range(1, len(w) + 1)) AS i FROM worded),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (
+    SELECT lang, w, i, unnest(range(1, least(5, m - i + 1) + 1)) AS k FROM starts)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+cuts AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+parts AS (SELECT c.lang, c.k, c.phrase, a, cut, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM cuts c JOIN totals t ON t.lang = c.lang
+    JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+lowest AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT DISTINCT c.lang, c.phrase FROM lowest c JOIN lowest o ON o.lang = c.lang AND o.k > c.k AND 100 * o.a >= 100 * c.a
+    AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest ANTI JOIN inside USING (lang, phrase)
+QUALIFY rank <= 2000
+"""
