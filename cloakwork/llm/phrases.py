@@ -244,9 +244,9 @@ def bit_map(phrases: DataFrame, folder: str, name: str) -> str:
         for p, bits in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["page", "bits"])
 
-    dealt = phrases.select("h1", "h2").repartitionById(_PAGES, F.shiftrightunsigned("h1", 58).cast("int"))
+    dealt = phrases.select("h1", "h2").repartitionById(_PAGES // 4, F.shiftrightunsigned("h1", 60).cast("int"))
     bits = np.zeros((_PAGES, page // 8), np.uint8)
-    for row in dealt.mapInArrow(pages, "page long, bits binary").toLocalIterator():  # a row for each page
+    for row in dealt.mapInArrow(pages, "page long, bits binary").collect():  # a row for each page, MOST_BITS in all
         bits[row["page"]] |= np.frombuffer(row["bits"], np.uint8)
     uri = f"{folder}/{name}.bits"
     with written(uri) as out:
