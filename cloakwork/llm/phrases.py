@@ -41,7 +41,7 @@ from cloakwork.plans.stored import stored, work_folder
 STRETCH = 1 << 20
 MOST_BITS = 1 << 28
 #: A task sums up its phrases when it holds so many, and gives away its sums when they are so many.
-HELD = 1 << 22
+HELD = 1 << 20
 _PAGES = 64
 
 # A-Z as a-z, the ends of pieces as line feeds, tabs as spaces.
