@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakwork.llm import cascade, codes, debruijn, lattice, mixing, packing, phrases, rans, sampling, simhash, suffixes, warc
+from cloakwork.llm import cascade, codes, debruijn, lattice, mixing, packing, phrases, rans, sampling, secrets, simhash, suffixes, warc
 from cloakwork.llm.sql import ORACLES  # noqa: F401
 from cloakwork.llm.tokens import Vocabulary
 from cloakwork.sources.tables import table
@@ -81,3 +81,8 @@ def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.report(table(spark, folder, "documents"))
+
+
+@query
+def op13_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.report(table(spark, folder, "documents"))
