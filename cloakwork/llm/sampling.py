@@ -32,47 +32,52 @@ from cloakwork.llm.texts import id_and_keys, id_and_text, mixed, public_id, raw_
 SAMPLES = 128
 SHINGLE = 5
 _ROWS = 1 << 14
-_PART = 4096
+_PART = 256
 
 
 class Draws:
-    """The tables of draws, the same in every process."""
+    """The tables of draws, the same in every process. A term's draws for all samples lie in one row."""
 
     def __init__(self, samples: int = SAMPLES, seed: int = 20):
         rnd = np.random.Generator(np.random.PCG64(seed))
         shape = (samples, _ROWS)
-        self.r = rnd.gamma(2.0, 1.0, shape).astype(np.float32)
-        self.b = rnd.random(shape, np.float32)
-        self.log_c = np.log(rnd.gamma(2.0, 1.0, shape)).astype(np.float32)
+
+        def by_term(table: np.ndarray) -> np.ndarray:
+            return np.ascontiguousarray(table.T)
+
+        self.r = by_term(rnd.gamma(2.0, 1.0, shape).astype(np.float32))
+        self.b = by_term(rnd.random(shape, np.float32))
+        self.log_c = by_term(np.log(rnd.gamma(2.0, 1.0, shape)).astype(np.float32))
         self.once = self.r * self.b - self.r  # ln a less ln c at weight 1, where t is 0
         self.numbers = mixed(np.arange(1, samples + 1, dtype=np.uint64))
 
     def sample(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The samples' 16 bits, for terms as distinct sorted hashes."""
         samples = len(self.numbers)
-        best, term, turn = np.full(samples, np.inf, np.float32), np.zeros(samples, np.uint64), np.zeros(samples, np.int64)
+        best, place = np.full(samples, np.inf, np.float32), np.zeros(samples, np.int64)
         each = np.arange(samples)
+        one, two = (terms & np.uint64(_ROWS - 1)).astype(np.int64), (terms >> np.uint64(50)).astype(np.int64)
+        heavy = weights > 1
+        any_heavy = heavy.any()
         for low in range(0, len(terms), _PART):
-            own, w = terms[low : low + _PART], weights[low : low + _PART]
-            one, two = (own & np.uint64(_ROWS - 1)).astype(np.int64), (own >> np.uint64(50)).astype(np.int64)
-            a = np.take(self.once, one, axis=1, mode="clip")
-            more = np.flatnonzero(w > 1)
+            rows = one[low : low + _PART]
+            a = self.once[rows]
+            more = np.flatnonzero(heavy[low : low + _PART]) if any_heavy else ()
             if len(more):
-                r, b = self.r[:, one[more]], self.b[:, one[more]]
-                t = np.floor(np.log(w[more]).astype(np.float32) / r + b)
-                a[:, more] = r * b - r - r * t
-            a += np.take(self.log_c, two, axis=1, mode="clip")
-            at = a.argmin(axis=1)
-            least = a[each, at]
+                r, b = self.r[rows[more]], self.b[rows[more]]
+                t = np.floor(np.log(weights[low + more]).astype(np.float32)[:, None] / r + b)
+                a[more] = r * b - r - r * t
+            a += self.log_c[two[low : low + _PART]]
+            at = a.argmin(axis=0)
+            least = a[at, each]
             new = least < best
-            best[new], term[new] = least[new], own[at[new]]
-            t_of = np.zeros(samples, np.int64)
-            if len(more):
-                heavy = np.flatnonzero(w[at] > 1)
-                rows = one[at[heavy]]
-                t_of[heavy] = np.floor(np.log(w[at[heavy]]).astype(np.float32) / self.r[heavy, rows] + self.b[heavy, rows])
-            turn[new] = t_of[new]
-        return (mixed(term ^ mixed(turn.view(np.uint64) + self.numbers)) >> np.uint64(48)).astype(np.uint16)
+            best[new], place[new] = least[new], low + at[new]
+        turn = np.zeros(samples, np.int64)
+        if any_heavy:
+            own = np.flatnonzero(heavy[place])
+            rows, w = one[place[own]], weights[place[own]]
+            turn[own] = np.floor(np.log(w).astype(np.float32) / self.r[rows, own] + self.b[rows, own])
+        return (mixed(terms[place] ^ mixed(turn.view(np.uint64) + self.numbers)) >> np.uint64(48)).astype(np.uint16)
 
 
 _draws: dict[int, Draws] = {}
