@@ -48,9 +48,16 @@ def range_of(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.searchsorted(bounds, ids.astype(np.float64), side="right").astype(np.int32)
 
 
+#: A range has about so many bytes of the input at most.
+RANGE_BYTES = 512 << 20
+
+
 def width(spark_frame: DataFrame) -> int:
-    """As many ranges as the session has shuffle partitions."""
-    return int(spark_frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """As many ranges as the session has shuffle partitions, and more where that would make them too large."""
+    size = int(str(spark_frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # a plan whose size Spark cannot tell has one beyond all sizes
+    known = size if size < 1 << 60 else 0
+    return max(int(spark_frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // RANGE_BYTES))
 
 
 def starts(totals: DataFrame, order: str, amount: str) -> list[tuple]:

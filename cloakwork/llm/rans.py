@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,6 +192,7 @@ def write_corpus(docs: DataFrame, vocabulary: Vocabulary, folder: str, doc_id: s
     vocabulary at most, which is what the driver gets to see of it.
     """
     n = width(docs)
+    behind = max(1, n // 8)  # as there are more tasks with more ranges, none of these parts outgrows a task
     bounds = id_bounds(docs, n, doc_id, text)
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,13 +208,13 @@ def write_corpus(docs: DataFrame, vocabulary: Vocabulary, folder: str, doc_id: s
                 for some in ids if sum(map(len, ids)) > 1 << 25 else [b"".join(ids)]:
                     counts += np.bincount(np.frombuffer(some, encoder.kind), minlength=encoder.size)
                 yield pa.RecordBatch.from_arrays([pa.array(part), *batch.columns[:2], pa.array(ids, pa.binary())], names)
-        # and one row more from each task, behind all ranges: how often it has seen each id
-        more = [pa.array([n], pa.int32()), pa.array([0]), pa.array([0]), pa.array([counts.astype("<i8").tobytes()], pa.binary())]
+        # and one row more from each task, in one of the parts behind all ranges: how often it has seen each id
+        more = [pa.array([n + TaskContext.get().partitionId() % behind], pa.int32()), pa.array([0]), pa.array([0]), pa.array([counts.astype("<i8").tobytes()], pa.binary())]
         yield pa.RecordBatch.from_arrays(more, names)
 
     rows = id_and_text(docs, doc_id, text).mapInArrow(tokenize, "part int, d long, t long, ids binary")
     # one file of the table for each range
-    rows = stored(rows.repartitionById(n + 1, F.col("part")).sortWithinPartitions("d", "t"))
+    rows = stored(rows.repartitionById(n + behind, F.col("part")).sortWithinPartitions("d", "t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +223,7 @@ def write_corpus(docs: DataFrame, vocabulary: Vocabulary, folder: str, doc_id: s
                 used = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
 
-    seen = rows.filter(F.col("part") == n).select("ids")
+    seen = rows.filter(F.col("part") >= n).select("ids")
     found = seen.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([r["id"] for r in found], default=0) + 1, np.int64)
     counts[[r["id"] for r in found]] = [r["n"] for r in found]
@@ -237,7 +239,7 @@ def write_corpus(docs: DataFrame, vocabulary: Vocabulary, folder: str, doc_id: s
                     if not held.metadata.num_rows:
                         continue
                     part = next(held.iter_batches(1, columns=["part"])).column(0)[0].as_py()
-                    if part == n:
+                    if part >= n:
                         continue
                     path = f"{folder}/part-{part:06d}.rans"
                     documents = (

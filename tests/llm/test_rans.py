@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from cloakwork.llm import rans
+from cloakwork.llm import files, rans
 from cloakwork.llm.registry import BYTES_50K
 from cloakwork.plans.stored import work_folder
 from cloakwork.sources.tables import table
@@ -82,3 +82,24 @@ def test_odd_rows(spark):
     assert [r.doc_id for r in out] == [None, 3, 5, 9, 9, 9] and [r.n_tokens for r in out][1:3] == [1, 1]
     assert [r.start for r in out] == np.cumsum([0] + [r.n_tokens for r in out])[:-1].tolist()
     assert rans.round_trip(docs.limit(0), BYTES_50K).collect() == []
+
+
+def test_count_rows_of_many_tasks_are_spread(spark, tiny, tmp_path, monkeypatch):
+    docs = table(spark, tiny, "documents").repartition(40)
+    docs.write.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(files, "RANGE_BYTES", 1 << 14)
+    many = spark.read.option("maxPartitionBytes", 1).parquet(f"{tmp_path}/docs")
+    n = files.width(many)
+    assert n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = []
+    real = rans.stored
+    monkeypatch.setattr(rans, "stored", lambda df: kept.append(real(df)) or kept[-1])
+    folder = work_folder(spark)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        out = rans.read_corpus(rans.write_corpus(many, BYTES_50K, folder), folder).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(tuple, out)) == sorted(map(tuple, rans.round_trip(docs, BYTES_50K).collect()))
+    seen = [r["count"] for r in kept[0].filter(f"part >= {n}").groupBy("part").count().collect()]
+    assert len(seen) > 1 and max(seen) <= -(-sum(seen) // len(seen)) + 1
