@@ -6,7 +6,7 @@ import hmac
 
 from cloakwork.plans import oracles as o
 from cloakwork.plans.derived import AS_OF, CONTACT_LENGTHS, CONTACT_TRUTH, EVENT_TOKENS, EVENT_TTL, FINDINGS, MODEL_LABELS, OP_OF_EVENT
-from cloakwork.plans.queries import DEMO_KEYS, DETECTORS, GHOST, URL_RULE
+from cloakwork.plans.queries import DELAY_MINUTES, DEMO_KEYS, DETECTORS, GHOST, URL_RULE
 from cloakwork.operators.crypto import INFO, validate_key
 from cloakwork.operators.flow import FLOW_ERROR
 from cloakwork.functions.masking import SYNTHETIC_OTHER, SYNTHETIC_VALUES
@@ -416,8 +416,15 @@ ORACLES["h8_case_counts"] = _spans(
 # ------------------------------------------------------------------ streams
 
 ORACLES["i1_stream_mask"] = _mask("documents", _TEXT)
+# arrival in thirds of the time, every seventh a batch later; late is what the watermark of the batches before has passed
+_ARRIVED = f"""arrived AS (SELECT *, epoch_us(ts) AS us, (epoch_us(ts) - min(epoch_us(ts)) OVER ()) * 3
+        // (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1) + CASE WHEN op_id % 7 = 0 THEN 1 ELSE 0 END AS batch FROM ops),
+    marks AS (SELECT b.batch, max(a.us) AS top FROM (SELECT DISTINCT batch FROM arrived) b LEFT JOIN arrived a ON a.batch < b.batch GROUP BY ALL),
+    lates AS (SELECT op_id, coalesce(us < (top // 1000 - {DELAY_MINUTES * 60_000}) * 1000, false) AS late FROM arrived JOIN marks USING (batch))"""
 ORACLES["i2_stream_session"] = _sql(
-    _state(as_of=None), select="SELECT session_id, op_id, op, op = 'put' OR coalesce(before = 'put', false) AS done FROM seen"
+    _state(as_of=None, where="op_id NOT IN (SELECT op_id FROM lates WHERE late)").replace("    gaps AS", f"    {_ARRIVED},\n    gaps AS"),
+    select="""SELECT session_id, op_id, op, op = 'put' OR coalesce(before = 'put', false) AS done, false AS late FROM seen
+        UNION ALL SELECT session_id, op_id, op, false, true FROM ops JOIN lates USING (op_id) WHERE late""",
 )
 ORACLES["i3_stream_demask"] = _mask(
     "documents",
@@ -425,6 +432,7 @@ ORACLES["i3_stream_demask"] = _mask(
        CASE WHEN doc_id % 5 = 0 THEN 0 ELSE n_found END AS entities_restored, doc_id % 5 <> 0 AS resolved
        FROM masked JOIN documents USING (doc_id)""",
 )
+ORACLES["i3_stream_sessions"] = ORACLES["i3_stream_demask"]
 ORACLES["i4_stream_dedup"] = "SELECT event_id, user_id FROM events"
 
 
@@ -442,13 +450,18 @@ ORACLES["i5_audit_sessions"] = """SELECT user_id, min(epoch_us(ts)) AS window_st
             SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS cut
             FROM events)) GROUP BY user_id, spell"""
 # the last put or delete before a reply, and whether it is a put that is still live
-ORACLES["i6_late_replies"] = f"""WITH {_OPS},
-    before AS (SELECT r.op_id, r.session_id, r.ts, arg_max(o.op, (o.ts, o.op_id)) AS op, max(o.ts) AS last_ts
-        FROM ops r LEFT JOIN ops o ON o.session_id = r.session_id AND o.op <> 'extend' AND o.ts <= r.ts
-        WHERE r.op = 'extend' GROUP BY ALL)
-    SELECT op_id AS reply_id, session_id, 'keep ' || token AS original_text, 0::BIGINT AS entities_restored
-    FROM before JOIN toks ON event_id = op_id AND ord = 0
-    WHERE NOT coalesce(op = 'put' AND ts - last_ts < INTERVAL {EVENT_TTL} SECOND, false)"""
+_REPLIED = f"""{_OPS}, {_ARRIVED},
+    before AS (SELECT r.op_id, r.session_id, r.ts, l.late, arg_max(o.op, (o.ts, o.op_id)) AS op, arg_max(o.op_id, (o.ts, o.op_id)) AS put_id, max(o.ts) AS last_ts
+        FROM ops r JOIN lates l ON l.op_id = r.op_id
+        LEFT JOIN (SELECT * FROM ops JOIN lates USING (op_id) WHERE NOT late) o ON o.session_id = r.session_id AND o.op <> 'extend' AND o.ts <= r.ts
+        WHERE r.op = 'extend' GROUP BY ALL),
+    replied AS (SELECT b.op_id AS reply_id, session_id, late, NOT late AND coalesce(op = 'put' AND ts - last_ts < INTERVAL {EVENT_TTL} SECOND, false) AS resolved, t.token, m.value
+        FROM before b JOIN toks t ON t.event_id = b.op_id AND t.ord = 0 LEFT JOIN toks m ON m.event_id = b.put_id AND m.token = t.token)"""
+ORACLES["i6_late_replies"] = (
+    f"WITH {_REPLIED} SELECT reply_id, session_id, 'keep ' || token AS original_text, 0::BIGINT AS entities_restored, late FROM replied WHERE NOT resolved"
+)
+ORACLES["i6_every_reply"] = f"""WITH {_REPLIED} SELECT reply_id, session_id, 'keep ' || CASE WHEN resolved AND value IS NOT NULL THEN value ELSE token END AS original_text,
+    CASE WHEN resolved AND value IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS entities_restored, resolved, late FROM replied"""
 ORACLES["i7_stream_vault"] = _mask(
     "documents",
     "SELECT CAST(doc_id AS VARCHAR) AS session_id, n_found AS entities_found, n_found AS n_tokens, n_found AS token_count FROM masked",

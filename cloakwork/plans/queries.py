@@ -739,24 +739,27 @@ def i1_stream_mask(spark: SparkSession, folder: str) -> DataFrame:
     return streams.drain(masked, work_folder(spark))
 
 
-def _shuffled(df: DataFrame, ts: str, work: str, batches: int = 2, files: int = 2) -> DataFrame:
-    """``df`` as a stream that comes in micro-batches in no order of time, and at last a row of a year later in a session
-    of its own, which lets everything before it go."""
-    by = F.xxhash64(*df.columns)
-    parts = [df.filter(F.pmod(by, F.lit(batches)) == i) for i in range(batches)]
-    later = df.select(F.max(ts).alias("_ts"), F.expr(f"max_by(struct(*), {ts})").alias("_r"))
-    later = later.select(*[(F.col("_ts") + F.expr("interval 366 days") if c == ts else F.lit("later") if c == "session_id" else F.col(f"_r.{c}")).alias(c) for c in df.columns])
-    for i, part in enumerate([*parts, later]):
+DELAY_MINUTES = 15
+DELAY = f"{DELAY_MINUTES} minutes"
+
+
+def _arriving(df: DataFrame, work: str, batches: int = 4, files: int = 2) -> DataFrame:
+    """``df`` (``session_id, ts, op_id`` and more) as a stream that arrives in the thirds of its time, one micro-batch each. Every
+    seventh row comes one batch later than it should, most of them behind the watermark by then. At last comes a row of a
+    year later in a session of its own, which lets everything before it go."""
+    us = F.unix_micros("ts")
+    low, high = df.agg(F.min(us), F.max(us)).first()
+    third = F.expr(f"(unix_micros(ts) - {low or 0}) * 3 div {(high or 0) - (low or 0) + 1}")
+    batch = third + F.when(F.col("op_id") % 7 == 0, 1).otherwise(0)
+    later = df.select(F.expr("max_by(struct(*), ts)").alias("r")).select("r.*")
+    later = later.withColumns({"ts": F.expr("ts + interval 366 days"), "session_id": F.lit("later")})
+    for i, part in enumerate([*(df.filter(batch == i) for i in range(batches)), later]):
         part.repartition(files if i < batches else 1).write.parquet(f"{work}/in/part={i}")
         time.sleep(0.01)
     stream = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True)
     return stream.parquet(f"{work}/in")
 
 
-# everything waits until the last row, so nothing counts as late
-WHOLE = "365 days"
-
-
 def _session_events(spark: SparkSession, folder: str) -> DataFrame:
     """The operations of the events, with their tokens."""
     log = derived.session_log(spark, folder)
@@ -769,32 +772,64 @@ def _session_events(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def i2_stream_session(spark: SparkSession, folder: str) -> DataFrame:
-    """Events in two shuffled micro-batches."""
+    """Events in four micro-batches, some behind the watermark: those are told as late and take no effect."""
     work = work_folder(spark)
-    stream = _shuffled(_session_events(spark, folder), "ts", work)
-    out = streams.stream_sessions(stream, derived.EVENT_TTL, WHOLE).select("session_id", "op_id", "op", "done")
+    stream = _arriving(_session_events(spark, folder), work)
+    out = streams.stream_sessions(stream, derived.EVENT_TTL, DELAY).select("session_id", "op_id", "op", "done", "late")
     return streams.drain(out, work).filter("session_id <> 'later'")
 
 
+def _masks_and_replies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Each document is masked at its own second; its reply comes ten minutes later, for every fifth one after twenty: too late."""
+    masked = stored(_masked(spark, folder).select("doc_id", "session_id", "masked_text", "token_map"))
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id"))
+    wait = F.when(F.col("doc_id") % 5 == 0, F.expr("interval 20 minutes")).otherwise(F.expr("interval 10 minutes"))
+    masks = masked.select("session_id", at.alias("ts"), F.col("doc_id").alias("op_id"), "token_map")
+    replies = masked.select("session_id", (at + wait).alias("ts"), F.col("doc_id").alias("op_id"), F.col("masked_text").alias("text"))
+    return masks, replies
+
+
+def _as_they_come(df: DataFrame, work: str, name: str, files: int = 2) -> DataFrame:
+    """``df`` as a stream in no order of time, in two micro-batches, and then a row of a year later."""
+    later = df.select(F.expr("max_by(struct(*), ts)").alias("r")).select("r.*")
+    later = later.withColumns({"ts": F.expr("ts + interval 366 days"), "session_id": F.lit("later")})
+    for i, part in enumerate([df.filter("op_id % 2 = 0"), df.filter("op_id % 2 = 1"), later]):
+        part.repartition(files if i < 2 else 1).write.parquet(f"{work}/{name}/part={i}")
+        time.sleep(0.01)
+    stream = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True)
+    return stream.parquet(f"{work}/{name}")
+
+
 @query
 def i3_stream_demask(spark: SparkSession, folder: str) -> DataFrame:
-    """Each document is masked at its own second; its reply comes ten minutes later, for every fifth one
-    after twenty: too late. All of it arrives in two shuffled micro-batches."""
+    """Masks and replies as two streams, joined by token within the time to live. The delay is longer than the documents' times
+    are apart, so nothing is late."""
     work = work_folder(spark)
-    masked = stored(_masked(spark, folder).select("doc_id", "session_id", "masked_text", "token_map"))
-    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id"))
-    late = F.when(F.col("doc_id") % 5 == 0, F.expr("interval 20 minutes")).otherwise(F.expr("interval 10 minutes"))
+    masks, replies = _masks_and_replies(spark, folder)
+    span = masks.agg(F.max("op_id") - F.min("op_id")).first()[0] or 0
+    out = streams.stream_demask_join(
+        _as_they_come(replies, work, "replies").withColumnRenamed("op_id", "reply_id"),
+        _as_they_come(masks, work, "masks").withColumnRenamed("ts", "mask_ts"),
+        delay=f"{span + 1800} seconds",
+    )
+    out = streams.drain(_bigints(out, "entities_restored"), work).filter("session_id <> 'later'")
+    return out.select("reply_id", "original_text", "entities_restored", "resolved")
+
+
+@query
+def i3_stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """The same masks and replies by the state of each session, where values may hold tokens."""
+    work = work_folder(spark)
+    masks, replies = _masks_and_replies(spark, folder)
     none = F.lit(None)
-    puts = masked.select(
-        "session_id", at.alias("ts"), F.col("doc_id").alias("op_id"), F.lit("put").alias("op"),
-        F.col("token_map.token").alias("tokens"), F.col("token_map.value").alias("values"), none.cast("string").alias("text"),
+    puts = masks.select(
+        "session_id", "ts", "op_id", F.lit("put").alias("op"), F.col("token_map.token").alias("tokens"), F.col("token_map.value").alias("values"),
+        none.cast("string").alias("text"),
     )
-    replies = masked.select(
-        "session_id", (at + late).alias("ts"), F.col("doc_id").alias("op_id"), F.lit("reply").alias("op"),
-        none.cast("array<string>").alias("tokens"), none.cast("array<string>").alias("values"), F.col("masked_text").alias("text"),
-    )
-    stream = _shuffled(puts.unionByName(replies), "ts", work)
-    out = streams.restored_replies(streams.stream_sessions(stream, delay=WHOLE))
+    asked = replies.select(
+        "session_id", "ts", "op_id", F.lit("reply").alias("op"), none.cast("array<string>").alias("tokens"), none.cast("array<string>").alias("values"), "text"
+    )
+    out = streams.restored_replies(streams.stream_sessions(_arriving(puts.unionByName(asked), work), delay="365 days"))
     out = streams.drain(_bigints(out, "entities_restored"), work).filter("session_id <> 'later'")
     return out.select("reply_id", "original_text", "entities_restored", "resolved")
 
@@ -834,18 +869,34 @@ def i5_audit_sessions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query
-def i6_late_replies(spark: SparkSession, folder: str) -> DataFrame:
-    """Extends as replies that hold a token: those to sessions that have gone by then leave unchanged, on a route of their own."""
-    work = work_folder(spark)
-    events = _session_events(spark, folder)
+def _with_replies(events: DataFrame) -> DataFrame:
+    """Extends as replies that hold a token."""
     reply = F.col("op") == "extend"
-    events = events.withColumn("text", F.when(reply, F.concat(F.lit("keep "), F.col("tokens")[0]))).withColumn(
+    return events.withColumn("text", F.when(reply, F.concat(F.lit("keep "), F.col("tokens")[0]))).withColumn(
         "op", F.when(reply, "reply").otherwise(F.col("op"))
     )
-    replies = streams.restored_replies(streams.stream_sessions(_shuffled(events, "ts", work), derived.EVENT_TTL, WHOLE))
-    out = streams.drain(_bigints(streams.unresolved(replies), "entities_restored"), work).filter("session_id <> 'later'")
-    return out.select("reply_id", "session_id", "original_text", "entities_restored")
+
+
+def _all_replies(spark: SparkSession, folder: str, work: str) -> DataFrame:
+    events = _with_replies(_session_events(spark, folder))
+    replies = streams.restored_replies(streams.stream_sessions(_arriving(events, work), derived.EVENT_TTL, DELAY))
+    return _bigints(replies, "entities_restored")
+
+
+@query
+def i6_late_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """Replies to sessions that have gone by then, and replies behind the watermark, leave unchanged, on a route of their own."""
+    work = work_folder(spark)
+    out = streams.drain(streams.unresolved(_all_replies(spark, folder, work)), work).filter("session_id <> 'later'")
+    return out.select("reply_id", "session_id", "original_text", "entities_restored", "late")
+
+
+@query
+def i6_every_reply(spark: SparkSession, folder: str) -> DataFrame:
+    """Both routes together hold every reply once."""
+    work = work_folder(spark)
+    out = streams.drain(_all_replies(spark, folder, work), work).filter("session_id <> 'later'")
+    return out.select("reply_id", "session_id", "original_text", "entities_restored", "resolved", "late")
 
 
 @query

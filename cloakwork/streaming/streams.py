@@ -5,19 +5,19 @@ State is kept per key with a watermark or a timeout.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cloakwork.functions.regex import sql_string
+from cloakwork.functions.tokens import TOKEN_JAVA
 from cloakwork.operators.audit import append_audit, mask_events
 from cloakwork.operators.demask import demask
 from cloakwork.operators.mask import mask_table, token_rows
 from cloakwork.operators.vault import TTL_SECONDS
 from cloakwork.sources.rules import Rule
 from cloakwork.sources.tables import masked_output
+from cloakwork.streaming import sessions
 
 
 def read_folder(spark: SparkSession, folder: str, name: str, ts: str | None = None) -> DataFrame:
@@ -39,89 +39,25 @@ def stream_dedup(stream: DataFrame, keys: list[str], ts: str, delay: str = "15 m
 
 
 def stream_sessions(events: DataFrame, ttl: float = TTL_SECONDS, delay: str = "15 minutes") -> DataFrame:
-    """Operations and replies of sessions, in the order of their times however they arrive.
-
-    ``events`` has ``session_id, ts, op_id, op, tokens, values, text``: puts and extends bring tokens, replies
-    (``op = 'reply'``) a text. Rows are held until the watermark has passed them, then applied in order, operations before replies of the
-    same moment; the last value written for a token wins. Every row leaves once, with ``done`` (for a reply:
-    whether its session is live) and, for a reply, the tokens and values of the session at that moment.
-
-    A session's state is its map, when it was last renewed, and the rows that wait. It is given up when its time to live
-    has passed and nothing waits.
-    """
-    to_live = int(ttl * 1_000_000)
-
-    def step(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
-        import json
-
-        import pandas as pd
-
-        seen, held, waiting = json.loads(state.get[0]) if state.exists else (None, None, [])
-        if not state.hasTimedOut:
-            for rows in batches:
-                columns = [rows[c] for c in ("us", "op_id", "op", "tokens", "values", "text")]
-                waiting += [
-                    (int(us), int(i), op, [] if t is None else list(t), [] if v is None else list(v), x)
-                    for us, i, op, t, v, x in zip(*columns)
-                ]
-        mark = state.getCurrentWatermarkMs()
-        waiting.sort(key=lambda r: (r[0], r[2] == "reply", r[1]))
-        ready = [r for r in waiting if r[0] < mark * 1000]
-        waiting = waiting[len(ready) :]
-        out = []
-        for us, op_id, op, tokens, values, text in ready:
-            live = held is not None and us - seen < to_live
-            pairs = dict(zip(tokens, values))
-            if op == "reply":
-                known = held if live else {}
-                out.append((key[0], us, op_id, op, live, text, list(known), list(known.values())))
-                continue
-            out.append((key[0], us, op_id, op, live or op == "put", None, None, None))
-            if op == "put":
-                held, seen = pairs, us
-            elif live:
-                held, seen = ({**held, **pairs}, us) if op == "extend" else (None, us)
-            else:
-                held = None
-        ends = None if held is None else seen // 1000 + int(ttl * 1000)
-        if ends is not None and ends <= mark:
-            held, ends = None, None
-        if held is None and not waiting:
-            state.remove()
-        else:
-            state.update((json.dumps([seen, held, waiting]),))
-            due = min(x for x in (waiting[0][0] // 1000 + 1 if waiting else None, ends) if x is not None)
-            state.setTimeoutTimestamp(max(due, mark + 1))
-        yield pd.DataFrame(out, columns=["session_id", "us", "op_id", "op", "done", "text", "tokens", "values"])
-
-    marked = events.withWatermark("ts", delay).select(
-        "session_id", "ts", F.unix_micros("ts").alias("us"), "op_id", "op", "tokens", "values", "text"
-    )
-    out = marked.groupBy("session_id").applyInPandasWithState(
-        step,
-        "session_id string, us long, op_id long, op string, done boolean, text string, tokens array<string>, values array<string>",
-        "state string",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-    return out.withColumn("ts", F.timestamp_micros("us")).drop("us")
+    """See ``sessions.stream_sessions``."""
+    return sessions.stream_sessions(events, ttl, delay)
 
 
 def stream_outcomes(ops: DataFrame, ttl: float = TTL_SECONDS, delay: str = "15 minutes") -> DataFrame:
-    """``vault.outcomes`` on a stream of operations ``session_id, ts, op_id, op``."""
+    """``vault.outcomes`` on a stream of operations ``session_id, ts, op_id, op``; ``late`` ones did not take effect."""
     none = F.lit(None)
     events = ops.select(
         "session_id", "ts", "op_id", "op", none.cast("array<string>").alias("tokens"), none.cast("array<string>").alias("values"),
         none.cast("string").alias("text"),
     )
-    return stream_sessions(events, ttl, delay).select("session_id", "ts", "op_id", "op", "done")
+    return stream_sessions(events, ttl, delay).select("session_id", "ts", "op_id", "op", "done", "late")
 
 
 def stream_demask(replies: DataFrame, masks: DataFrame, ttl: float = TTL_SECONDS, delay: str = "5 minutes") -> DataFrame:
     """Replies (``reply_id, session_id, ts, text``) restored from their session's map at that moment, one row each.
 
     ``masks`` are mask events (``session_id, mask_ts, token_map``, and ``op`` where some extend or delete). A reply
-    whose session is not live, for it came too late or the session is unknown, leaves unchanged with ``resolved = false``.
+    whose session is not live, or that the watermark has passed (``late``), leaves unchanged with ``resolved = false``.
     """
     op = F.col("op") if "op" in masks.columns else F.lit("put")
     puts = masks.select(
@@ -137,12 +73,44 @@ def stream_demask(replies: DataFrame, masks: DataFrame, ttl: float = TTL_SECONDS
 
 
 def restored_replies(sessions: DataFrame) -> DataFrame:
-    """The replies among the rows of ``stream_sessions``: ``reply_id, session_id, ts, original_text, entities_restored, resolved``."""
+    """The replies among the rows of ``stream_sessions``: ``reply_id, session_id, ts, original_text, entities_restored, resolved, late``."""
     pairs = F.expr("transform(arrays_zip(tokens, values), p -> named_struct('token', p.tokens, 'value', p.values))")
     done = demask(sessions.filter("op = 'reply'").withColumn("pairs", pairs), "text", "pairs")
     return done.select(
-        F.col("op_id").alias("reply_id"), "session_id", "ts", "original_text", "entities_restored", F.col("done").alias("resolved")
+        F.col("op_id").alias("reply_id"), "session_id", "ts", "original_text", "entities_restored", F.col("done").alias("resolved"), "late"
+    )
+
+
+def stream_demask_join(replies: DataFrame, masks: DataFrame, ttl: float = TTL_SECONDS, delay: str = "5 minutes") -> DataFrame:
+    """Replies restored by a stream-stream interval join, token by token: ``reply_id, session_id, ts, original_text,
+    entities_restored, resolved``, one row for each reply once the watermark has passed it.
+
+    ``replies`` has ``reply_id, session_id, ts, text``, ``masks`` (puts alone) ``session_id, mask_ts, token_map``. A row for each token of a reply
+    meets the rows of that session and token that are up to ``ttl`` old; a row without a token finds the session's last
+    put, and only that put's values count. So state holds single tokens for the time to live, no map is carried, and no Python
+    runs. ``reply_id`` tells replies of one session and moment apart. Tokens inside restored values stay as they are.
+    Like all joins of streams this one drops rows behind the watermark; ``stream_demask`` gives them back instead.
+    """
+    mark = F.lit("").alias("token")
+    tokens = F.expr(f"array_distinct(regexp_extract_all(text, {sql_string(TOKEN_JAVA)}, 0))")
+    asked = replies.withWatermark("ts", delay).select(
+        "reply_id", F.col("session_id").cast("string").alias("session_id"), "ts", "text", F.explode(F.concat(F.array(mark), F.coalesce(tokens, F.array()))).alias("token")
+    )  # the text travels with the row that has no token only
+    asked = asked.withColumn("text", F.when(F.col("token") == "", F.col("text")))
+    first = F.struct(F.lit("").alias("token"), F.lit(None).cast("string").alias("value"))
+    pairs = F.transform(F.coalesce("token_map", F.array()), lambda p: F.struct(p["token"].alias("token"), p["value"].alias("value")))
+    held = masks.withWatermark("mask_ts", delay).select(
+        F.col("session_id").cast("string").alias("_session"), "mask_ts", F.posexplode(F.concat(F.array(first), pairs)).alias("ord", "p")
+    ).select("_session", "mask_ts", "ord", F.col("p.token").alias("_token"), "p.value")
+    recent = F.expr(f"mask_ts <= ts AND mask_ts > ts - make_dt_interval(0, 0, 0, {ttl})")
+    joined = asked.join(held, (F.col("session_id") == F.col("_session")) & (F.col("token") == F.col("_token")) & recent, "left_outer")
+    hit = F.when((F.col("token") != "") & F.col("_token").isNotNull(), F.struct("mask_ts", "ord", "token", "value"))
+    whole = joined.groupBy("reply_id", "session_id", "ts").agg(
+        F.max("text").alias("text"), F.max(F.when(F.col("token") == "", F.col("mask_ts"))).alias("put"), F.array_sort(F.collect_list(hit)).alias("hits")
     )
+    own = F.expr("transform(filter(hits, h -> h.mask_ts = put), h -> named_struct('token', h.token, 'value', h.value))")
+    done = demask(whole.withColumn("pairs", own), "text", "pairs")
+    return done.select("reply_id", "session_id", "ts", "original_text", "entities_restored", F.col("put").isNotNull().alias("resolved"))
 
 
 def unresolved(replies: DataFrame) -> DataFrame:

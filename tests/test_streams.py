@@ -90,3 +90,68 @@ def test_batches_write_once(spark, tmp_path):
     assert "text" not in spark.read.parquet(paths["masked"]).columns
     assert spark.read.parquet(paths["vault"]).count() == 3
     assert {r.session_id: r.token_count for r in spark.read.parquet(paths["audit"]).collect()} == {"1": 1, "3": 2}
+
+
+EVENTS = "session_id string, ts timestamp, op_id long, op string, tokens array<string>, values array<string>, text string"
+
+
+def at(seconds):
+    return START + timedelta(seconds=seconds)
+
+
+def test_rows_behind_the_watermark_are_given_back(spark, tmp_path):
+    a = "{{__OWL:A_1__}}"
+    rows = [
+        ("s", at(0), 1, "put", [a], ["x"], None), ("s", at(10), 10, "reply", None, None, a), ("t", at(5000), 2, "put", [a], ["y"], None),
+        # the watermark stands at 4400 s when these come
+        ("s", at(20), 11, "reply", None, None, a), ("u", at(30), 12, "reply", None, None, a), ("u", at(30), 3, "put", [a], ["z"], None),
+        (None, at(40), 13, "reply", None, None, None), ("t", at(5010), 14, "reply", None, None, a), ("z", at(99_999), 99, "put", [], [], None),
+    ]
+    df = spark.createDataFrame(rows, EVENTS)
+    parts = [df.filter("op_id in (1, 10, 2)"), df.filter("op_id in (11, 12, 3, 13, 14)"), df.filter("op_id = 99")]
+    every = streams.drain(streams.stream_sessions(stream_of(spark, df, tmp_path, "e", parts), 900, "10 minutes"), str(tmp_path / "o"))
+    got = {r.op_id: (r.done, r.late) for r in every.filter("op_id <> 99").collect()}
+    assert got == {1: (True, False), 10: (True, False), 2: (True, False), 14: (True, False)} | dict.fromkeys((11, 12, 3, 13), (False, True))
+    replies = {r.reply_id: (r.original_text, r.resolved) for r in streams.restored_replies(every).collect()}
+    assert replies == {10: ("x", True), 14: ("y", True), 11: (a, False), 12: (a, False), 13: (None, False)}
+
+
+def test_a_reply_reads_and_writes_no_more_than_its_tokens(spark, tmp_path):
+    tokens = [f"{{{{__OWL:A_{i}__}}}}" for i in range(1, 3001)]
+    values = [f"v{i}" for i in range(1, 2999)] + [f"[{tokens[4]}]", f"<{tokens[2998]}>"]
+    # a value that holds a later token is restored further, one that holds an earlier token is not
+    asked = f"{tokens[9]} {tokens[2998]} {tokens[2999]}"
+    replies = [("s", at(100 + i), 10 + i, "reply", None, None, asked) for i in range(20)]
+    rows = [("s", at(0), 1, "put", tokens, values, None), *replies, ("s", at(200), 50, "put", tokens[:1], ["new"], None), ("s", at(210), 51, "reply", None, None, asked + tokens[0]), ("z", at(99_999), 99, "put", [], [], None)]
+    df = spark.createDataFrame(rows, EVENTS)
+    parts = [df.filter("op_id = 1"), df.filter("op_id between 2 and 40"), df.filter("op_id between 41 and 60"), df.filter("op_id = 99")]
+    out = streams.stream_sessions(stream_of(spark, df, tmp_path, "e", parts), 900, "1 second")
+    query = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    written = [p["stateOperators"][0]["numRowsUpdated"] for p in map(lambda p: __import__("json").loads(p.json), query.recentProgress)]
+    assert max(written) >= 3000 and sum(n >= 3000 for n in written) == 1 and sorted(written)[-2] < 100
+    done = {r.op_id: r for r in spark.read.parquet(f"{tmp_path}/out").filter("op = 'reply'").collect()}
+    assert all(len(r.tokens) <= 4 for r in done.values())
+    texts = {r.reply_id: r.original_text for r in streams.restored_replies(spark.read.parquet(f"{tmp_path}/out")).collect()}
+    assert texts[15] == f"v10 [{tokens[4]}] <{tokens[2998]}>" and texts[51] == asked + "new"
+
+
+def test_interval_join_of_tokens(spark, tmp_path):
+    a, b = "{{__OWL:A_1__}}", "{{__OWL:B_1__}}"
+    kind = "session_id string, mask_ts timestamp, token_map array<struct<token:string,value:string>>"
+    masks = [("s", at(0), [(a, "one"), (b, "two")]), ("s", at(100), [(a, "new")]), ("q", at(0), None), ("z", at(99_999), [])]
+    replies = [
+        (1, "s", at(50), f"{a} {b} {a}"), (2, "s", at(150), f"{a} {b}"), (3, "s", at(999), a), (4, "s", at(1000), a), (5, "none", at(10), a), (6, "s", at(60), "plain"),
+        (7, "s", at(70), None), (8, "q", at(10), a), (9, "s", at(100), a), (10, None, at(10), a), (99, "z", at(99_999), a),
+    ]
+    ms = spark.createDataFrame(masks, kind)
+    rs = spark.createDataFrame(replies, "reply_id long, session_id string, ts timestamp, text string")
+    left = stream_of(spark, rs, tmp_path, "r", [rs.filter("reply_id % 2 = 0"), rs.filter("reply_id % 2 = 1 and reply_id < 99"), rs.filter("reply_id = 99")])
+    right = stream_of(spark, ms, tmp_path, "m", [ms.filter("mask_ts < '2024-01-01 00:01:00'"), ms.filter("mask_ts between '2024-01-01 00:01:00' and '2024-01-01 01:00:00'"), ms.filter("session_id = 'z'")])
+    out = streams.stream_demask_join(left, right, 900, "1 hour")
+    got = sorted((r.reply_id, r.original_text, r.entities_restored, r.resolved) for r in streams.drain(out, str(tmp_path / "o")).collect())
+    want = [
+        (1, "one two one", 2, True), (2, f"new {b}", 1, True), (3, "new", 1, True), (4, a, 0, False), (5, a, 0, False), (6, "plain", 0, True),
+        (7, None, 0, True), (8, a, 0, True), (9, "new", 1, True), (10, a, 0, False),
+    ]
+    assert [g for g in got if g[0] != 99] == want
