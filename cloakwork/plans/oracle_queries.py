@@ -313,6 +313,7 @@ ORACLES["f6_clear"] = f"""WITH {_OPS}
 ORACLES["f7_ttl"] = _sql(
     _state(), select=f"SELECT session_id, put_id, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(last_ts)) / 1e6 AS age_seconds FROM live"
 )
+ORACLES["f7_compacted"] = ORACLES["f4_extended_maps"]
 ORACLES["f8_active_sessions"] = _sql(_state(), select="SELECT count(*) AS active_sessions FROM live")
 ORACLES["f9_dual_store"] = _sql(
     _state(),

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.functions.tokens import TOKEN_PREFIX, TOKEN_SUFFIX
-from cloakwork.operators import audit, crypto, demask, detect, flow, spans, vault
+from cloakwork.operators import audit, compaction, crypto, demask, detect, flow, spans, vault
 from cloakwork.operators.analyze import analyze, finding_rows
 from cloakwork.operators.mask import mask_table, token_rows
 from cloakwork.plans import derived
@@ -571,6 +572,17 @@ def f7_ttl(spark: SparkSession, folder: str) -> DataFrame:
     return live.select("session_id", "put_id", age.alias("age_seconds"))
 
 
+@query
+def f7_compacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The vault after ten and eighteen days were compacted and all older days deleted."""
+    root = work_folder(spark)
+    compaction.append(derived.session_log(spark, folder), root)
+    for day in (date(2024, 1, 11), date(2024, 1, 19)):
+        compaction.compact(spark, root, day, derived.EVENT_TTL)
+        compaction.retire(spark, root, day)
+    return _flat(compaction.current(spark, root, _as_of(), date.fromisoformat(derived.AS_OF[:10]), derived.EVENT_TTL))
+
+
 @query
 def f8_active_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return vault.active_sessions(derived.session_log(spark, folder), _as_of(), derived.EVENT_TTL)
