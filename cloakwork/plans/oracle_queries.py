@@ -129,6 +129,10 @@ ORACLES["b9_luhn"] = _spans(
             FROM (SELECT regexp_replace(v, '[^0-9]', '', 'g') AS w)))""",
     rules=active_rules(entity_types=["CREDIT_CARD"]),
 )
+ORACLES["b10_cached_runs"] = ORACLES["b10_distinct_texts"]
+_FRESH = "SELECT DISTINCT coalesce(text, '') AS t FROM documents WHERE doc_id % 10 <> 0"
+ORACLES["b10_cache_use"] = f"""SELECT '1' AS run, count(*) AS n_matched FROM ({_FRESH})
+    UNION ALL SELECT '2', count(DISTINCT coalesce(text, '')) FROM documents WHERE coalesce(text, '') NOT IN ({_FRESH}) UNION ALL SELECT '3', 0"""
 
 # ------------------------------------------------------------------ spans
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.functions.tokens import TOKEN_PREFIX, TOKEN_SUFFIX
-from cloakwork.operators import audit, compaction, crypto, demask, detect, flow, spans, vault
+from cloakwork.operators import audit, cache, compaction, crypto, demask, detect, flow, spans, vault
 from cloakwork.operators.analyze import analyze, finding_rows
 from cloakwork.operators.mask import mask_table, token_rows
 from cloakwork.plans import derived
@@ -253,6 +253,23 @@ def b10_distinct_texts(spark: SparkSession, folder: str) -> DataFrame:
     return _spans_out(_bigints(found, "ord"), "doc_id", "ord", "entity_type", "pattern")
 
 
+@query
+def b10_cached_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """A run over nine of ten documents fills the cache; a run over all of them matches the rest only."""
+    docs, root = derived.documents(spark, folder), work_folder(spark)
+    cache.detect_cached(docs.filter("doc_id % 10 <> 0"), root, "first")
+    found, _ = cache.detect_cached(docs, root, "second")
+    return _spans_out(_bigints(found, "ord"), "doc_id", "ord", "entity_type", "pattern")
+
+
+@query
+def b10_cache_use(spark: SparkSession, folder: str) -> DataFrame:
+    """How many distinct texts each of three runs had to match: nine of ten documents, all, all again."""
+    docs, root = derived.documents(spark, folder), work_folder(spark)
+    runs = [("1", docs.filter("doc_id % 10 <> 0")), ("2", docs), ("3", docs)]
+    return spark.createDataFrame([(name, cache.detect_cached(some, root, name)[1]) for name, some in runs], "run string, n_matched long")
+
+
 # ------------------------------------------------------------------ spans
 
 
