@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.functions.tokens import TOKEN_TYPE_JAVA
+from cloakwork.operators.spans import overlapping_pairs
+from cloakwork.plans.skew import join_hot
+from cloakwork.plans.stored import stored
 from cloakwork.schemas import AUDIT
 
 AUDIT_COLUMNS = [part.split()[0] for part in AUDIT.split(", ")]
@@ -116,6 +119,90 @@ def detection_quality(found: DataFrame, gold: DataFrame, key: str = "doc_id") ->
     )
 
 
+def agreement(model: DataFrame, rules: DataFrame, key: str = "doc_id") -> DataFrame:
+    """How a model's spans (``key, label, entity_type, start, end``) and rule matches (``key, pattern, entity_type, start, end``)
+    lie on each other: per label and rule the pairs that overlap, those of one entity type (``n_agree``), of two
+    (``n_conflict``), and those with the same bounds. Spans that meet none have a row with null on the other side.
+    """
+    ours = model.select(key, "label", "entity_type", "start", "end").withColumn("_id", F.struct(key, "start", "end", "label"))
+    theirs = rules.select(key, "pattern", "entity_type", "start", "end").withColumn("_id", F.struct(key, "start", "end", "entity_type", "pattern"))
+    pairs = stored(
+        overlapping_pairs(ours, theirs, key).select(
+            F.col("l._id").alias("_l"), F.col("r._id").alias("_r"), "l.label", "r.pattern", F.col("r.entity_type").alias("rule_type"),
+            (F.col("l.entity_type") == F.col("r.entity_type")).alias("_same"),
+            ((F.col("l.start") == F.col("r.start")) & (F.col("l.end") == F.col("r.end"))).alias("_exact"),
+        )
+    )
+    alone = [
+        join_hot(ours.select(F.col("_id").alias("_l"), "label"), pairs.select("_l").distinct(), ["_l"], "left_anti").select(
+            "label", F.lit(None).cast("string").alias("rule_type"), F.lit(None).cast("string").alias("pattern")
+        ),
+        join_hot(theirs.select(F.col("_id").alias("_r"), F.col("entity_type").alias("rule_type"), "pattern"), pairs.select("_r").distinct(), ["_r"], "left_anti").select(
+            F.lit(None).cast("string").alias("label"), "rule_type", "pattern"
+        ),
+    ]
+    none = [F.lit(None).cast("boolean").alias(c) for c in ("_same", "_exact")]
+    every = pairs.select("label", "rule_type", "pattern", "_same", "_exact")
+    for rest in alone:
+        every = every.unionByName(rest.select("*", *none))
+    return every.groupBy("label", "rule_type", "pattern").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("_same"), 1)).alias("n_agree"),
+        F.count(F.when(~F.col("_same"), 1)).alias("n_conflict"), F.count(F.when(F.col("_exact"), 1)).alias("n_exact"),
+    )
+
+
+def matched_spans(found: DataFrame, gold: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Found and true spans of one type matched one to one: ``key, entity_type, f_start, f_end, g_start, g_end, share``.
+
+    ``share`` is the overlap over the union of the two. Pairs are taken by falling share, then by their places, and each span once, as if
+    one by one: a pair that is the best one of both its spans is taken at once, so a round takes many, and what is
+    left after it is stored for the next. Rounds are as many as the longest chain of spans that give way to each other.
+    """
+    sides = [x.select(key, "entity_type", "start", "end").distinct() for x in (found, gold)]
+    sides = [x.withColumn("_doc", F.struct(key, "entity_type")) for x in sides]
+    common = F.least("l.end", "r.end") - F.greatest("l.start", "r.start")
+    union = F.greatest("l.end", "r.end") - F.least("l.start", "r.start")
+    left = stored(
+        overlapping_pairs(*sides, "_doc").select(
+            F.col("l._doc").alias("_doc"), F.col("l.start").alias("f_start"), F.col("l.end").alias("f_end"),
+            F.col("r.start").alias("g_start"), F.col("r.end").alias("g_end"), (common / union).alias("share"),
+        )
+    )
+    out = None
+    rank = F.struct((-F.col("share")).alias("s"), "f_start", "f_end", "g_start", "g_end")
+    while not left.isEmpty():
+        ours, theirs = ["_doc", "f_start", "f_end"], ["_doc", "g_start", "g_end"]
+        ranked = left.withColumn("_rank", rank)
+        best = [ranked.groupBy(*side).agg(F.min("_rank").alias("_best")) for side in (ours, theirs)]
+        taken = ranked
+        for side, least in zip((ours, theirs), best):
+            taken = join_hot(taken, least.withColumnRenamed("_best", "_rank"), [*side, "_rank"], "left_semi")
+        taken = stored(taken.drop("_rank"))
+        out = taken if out is None else out.unionByName(taken)
+        for side in (ours, theirs):
+            left = join_hot(left, taken.select(*side), side, "left_anti")
+        left = stored(left)
+    out = left if out is None else out
+    return out.select("_doc.*", "f_start", "f_end", "g_start", "g_end", "share")
+
+
+def partial_quality(found: DataFrame, gold: DataFrame, key: str = "doc_id", least: float = 0.5) -> DataFrame:
+    """Per entity type: spans found and true, matched pairs at a share of ``least`` and exact ones, the sum of all shares to six places, and
+    precision and recall for each of the three."""
+    matched = matched_spans(found, gold, key).groupBy("entity_type").agg(
+        F.count(F.when(F.col("share") >= least, 1)).alias("n_partial"), F.count(F.when(F.col("share") == 1, 1)).alias("n_exact"),
+        F.round(F.sum("share"), 6).alias("credit"),
+    )
+    counts = [x.select(key, "entity_type", "start", "end").distinct().groupBy("entity_type").agg(F.count(F.lit(1)).alias(n)) for x, n in ((found, "n_found"), (gold, "n_true"))]
+    all_types = counts[0].join(counts[1], "entity_type", "full").join(matched, "entity_type", "left").na.fill(0)
+    shares = [
+        F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0)).alias(f"{name}_{how}")
+        for how, part in (("partial", "n_partial"), ("exact", "n_exact"), ("credit", "credit"))
+        for name, whole in (("precision", "n_found"), ("recall", "n_true"))
+    ]
+    return all_types.select("entity_type", "n_found", "n_true", "n_partial", "n_exact", "credit", *shares)
+
+
 def case_counts(cases: DataFrame, *by: str) -> DataFrame:
     """How many test cases each category has."""
     return cases.groupBy(*by).agg(F.count(F.lit(1)).alias("n_cases"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions.detection import SPAN
 from cloakwork.functions.overlap import resolved
-from cloakwork.plans.skew import running
+from cloakwork.plans.skew import join_hot, running
 
 CHUNK = 65_536
 
@@ -76,6 +76,28 @@ def overlap_counts(spans: DataFrame, key: str = "doc_id", chunk: int = CHUNK) ->
     return spans.join(counts, ident)
 
 
+PAIR_WIDTH = 64
+
+
+def overlapping_pairs(left: DataFrame, right: DataFrame, key: str = "doc_id", width: int = PAIR_WIDTH) -> DataFrame:
+    """Every pair of a span of ``left`` and one of ``right`` in the same text that overlap, once: the columns of
+    both as structs ``l`` and ``r``.
+
+    Texts are cut into stretches of ``width`` characters, and a span has a row for each stretch it lies in; spans meet by text and
+    stretch, and a pair counts where the later of the two begins. So a text with very many spans is spread over its stretches, and no
+    span is held against one that is far from it. An empty span overlaps one that begins at or before it and ends behind it.
+    """
+
+    def rows(spans: DataFrame, name: str) -> DataFrame:
+        first, last = F.expr(f"start div {width}"), F.expr(f"greatest(start, end - 1) div {width}")
+        whole = F.struct(*[F.col(f"`{c}`") for c in spans.columns]).alias(name)
+        return spans.filter("start is not null and end is not null").select(F.col(key).alias("_key"), F.explode(F.sequence(first, last)).alias("_at"), whole)
+
+    both = join_hot(rows(left, "l"), rows(right, "r"), ["_key", "_at"])
+    meet = "(l.start <= r.start and r.start < l.end) or (r.start <= l.start and l.start < r.end)"
+    return both.filter(meet).filter(f"_at = greatest(l.start, r.start) div {width}").select("l", "r")
+
+
 def number_tokens(kept: DataFrame, key: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
     """Add ``n``: per text and type, counted from the end of the text."""
     return _count_back(kept, [key, "entity_type"], chunk, "n", 1)

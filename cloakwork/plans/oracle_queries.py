@@ -164,6 +164,16 @@ ORACLES["c6_overlap_counts"] = _spans(
        FROM cand a JOIN cand b ON a.doc_id = b.doc_id AND ((b.s <= a.s AND a.s < b.e) OR (a.s <= b.s AND b.s < a.e))
        GROUP BY ALL""",
 )
+ORACLES["c6_agreement"] = _sql(
+    o.CONTACTS, o.matches_cte("contacts"), _MODEL,
+    """pairs AS (SELECT t.doc_id, t.rank, t.label, t.entity_type = c.entity_type AS same, t.s = c.s AND t.e = c.e AS exact, c.entity_type AS rule_type, c.pattern, c.ord, c.s AS cs
+        FROM typed t JOIN cand c ON c.doc_id = t.doc_id AND ((t.s <= c.s AND c.s < t.e) OR (c.s <= t.s AND t.s < c.e)))""",
+    """every AS (SELECT label, rule_type, pattern, same, exact FROM pairs
+        UNION ALL SELECT label, NULL, NULL, NULL, NULL FROM typed ANTI JOIN pairs USING (doc_id, rank)
+        UNION ALL SELECT NULL, entity_type, pattern, NULL, NULL FROM cand c ANTI JOIN pairs p ON p.doc_id = c.doc_id AND p.ord = c.ord AND p.cs = c.s)""",
+    select="""SELECT label, rule_type, pattern, count(*) AS n_rows, count(*) FILTER (WHERE same) AS n_agree,
+        count(*) FILTER (WHERE NOT same) AS n_conflict, count(*) FILTER (WHERE exact) AS n_exact FROM every GROUP BY ALL""",
+)
 
 # ------------------------------------------------------------------ masking
 
@@ -398,6 +408,10 @@ ORACLES["h6_pii_density"] = _mask(
        FROM (SELECT source, n_found, n_found * 1000.0::DOUBLE / greatest(length(text), 1) AS density
              FROM masked JOIN documents USING (doc_id)) GROUP BY ALL""",
 )
+_TRUTH = (
+        "lengths AS (SELECT c_custkey AS doc_id, " + ", ".join(f"{sql} AS {name}" for name, sql in CONTACT_LENGTHS.items()) + " FROM customer)",
+        "truth AS (" + " UNION ALL ".join(f"SELECT doc_id, '{t}' AS entity_type, {a} AS s, {b} AS e FROM lengths" for t, a, b in CONTACT_TRUTH) + ")",
+    )
 ORACLES["h7_detection_quality"] = _mask(
     "contacts",
     """SELECT entity_type, count(*) FILTER (WHERE f AND g) AS tp, count(*) FILTER (WHERE f AND g IS NULL) AS fp,
@@ -408,10 +422,43 @@ ORACLES["h7_detection_quality"] = _mask(
        FROM (SELECT DISTINCT doc_id, entity_type, s, e, true AS f FROM kept) a
        FULL JOIN (SELECT DISTINCT *, true AS g FROM truth) b
        USING (doc_id, entity_type, s, e) GROUP BY entity_type""",
-    more=(
-        "lengths AS (SELECT c_custkey AS doc_id, " + ", ".join(f"{sql} AS {name}" for name, sql in CONTACT_LENGTHS.items()) + " FROM customer)",
-        "truth AS (" + " UNION ALL ".join(f"SELECT doc_id, '{t}' AS entity_type, {a} AS s, {b} AS e FROM lengths" for t, a, b in CONTACT_TRUTH) + ")",
+    more=_TRUTH,
+)
+# pairs by falling share, each round taking those that are the best of both their spans
+_ROUNDS = 4
+_CREDIT = (
+    "f AS (SELECT DISTINCT doc_id, entity_type, s, e FROM kept)",
+    """left0 AS (SELECT f.doc_id, f.entity_type, f.s AS fs, f.e AS fe, t.s AS gs, t.e AS ge,
+        (least(f.e, t.e) - greatest(f.s, t.s))::DOUBLE / (greatest(f.e, t.e) - least(f.s, t.s)) AS share
+        FROM f JOIN (SELECT DISTINCT * FROM truth) t ON t.doc_id = f.doc_id AND t.entity_type = f.entity_type AND f.s < t.e AND t.s < f.e)""",
+    *(
+        part
+        for k in range(_ROUNDS)
+        for part in (
+            f"""taken{k} AS (SELECT * FROM left{k} QUALIFY row_number() OVER (PARTITION BY doc_id, entity_type, fs, fe ORDER BY share DESC, gs, ge) = 1
+        AND row_number() OVER (PARTITION BY doc_id, entity_type, gs, ge ORDER BY share DESC, fs, fe) = 1)""",
+            f"""left{k + 1} AS (SELECT * FROM left{k} ANTI JOIN taken{k} USING (doc_id, entity_type, fs, fe)
+        WHERE (doc_id, entity_type, gs, ge) NOT IN (SELECT (doc_id, entity_type, gs, ge) FROM taken{k}))""",
+        )
     ),
+    "taken AS (" + " UNION ALL ".join(f"SELECT * FROM taken{k}" for k in range(_ROUNDS)) + ")",
+    """sums AS (SELECT entity_type, coalesce(n_found, 0) AS n_found, coalesce(n_true, 0) AS n_true, coalesce(n_partial, 0) AS n_partial,
+        coalesce(n_exact, 0) AS n_exact, coalesce(credit, 0)::DOUBLE AS credit
+        FROM (SELECT entity_type, count(*) AS n_found FROM f GROUP BY ALL)
+        FULL JOIN (SELECT entity_type, count(*) AS n_true FROM (SELECT DISTINCT * FROM truth) GROUP BY ALL) USING (entity_type)
+        LEFT JOIN (SELECT entity_type, count(*) FILTER (WHERE share >= 0.5) AS n_partial, count(*) FILTER (WHERE share = 1) AS n_exact, round(sum(share), 6) AS credit
+            FROM taken GROUP BY ALL) USING (entity_type))""",
+)
+ORACLES["h7_partial_credit"] = _mask(
+    "contacts",
+    "SELECT *, "
+    + ", ".join(
+        f"CASE WHEN {whole} > 0 THEN {part} / {whole} ELSE 0 END::DOUBLE AS {name}_{how}"
+        for how, part in (("partial", "n_partial"), ("exact", "n_exact"), ("credit", "credit"))
+        for name, whole in (("precision", "n_found"), ("recall", "n_true"))
+    )
+    + " FROM sums",
+    more=(*_TRUTH, *_CREDIT),
 )
 ORACLES["h8_case_counts"] = _spans(
     "contacts",

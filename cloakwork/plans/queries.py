@@ -326,6 +326,13 @@ def c6_overlap_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _spans_out(_bigints(out, "seq").drop("value"), "doc_id", "seq", "overlaps")
 
 
+@query
+def c6_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """The model's findings in contacts against the rules' matches."""
+    model = detect.map_labels(derived.model_findings(spark, folder))
+    return audit.agreement(model, _spans(spark, folder))
+
+
 # ------------------------------------------------------------------ masking
 
 
@@ -752,6 +759,13 @@ def h7_detection_quality(spark: SparkSession, folder: str) -> DataFrame:
     return audit.detection_quality(found, derived.contact_truth(spark, folder))
 
 
+@query
+def h7_partial_credit(spark: SparkSession, folder: str) -> DataFrame:
+    """The same findings with credit for overlaps, found and true spans matched one to one."""
+    found = finding_rows(analyze(derived.contacts(spark, folder)), "doc_id")
+    return audit.partial_quality(found, derived.contact_truth(spark, folder))
+
+
 @query
 def h8_case_counts(spark: SparkSession, folder: str) -> DataFrame:
     cases = detect.candidate_spans(derived.contacts(spark, folder)).select("entity_type", "pattern", "value").distinct()
