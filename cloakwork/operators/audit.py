@@ -94,6 +94,45 @@ def pii_density(masked: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("risk", band)
 
 
+#: Size of a density sketch; its answers are off by ``SKETCH_ERROR`` of the ranks at most, with 99 % confidence.
+SKETCH_SIZE, SKETCH_ERROR = 200, 0.0165
+BAND_RANKS = ((0.99, "high"), (0.9, "medium"), (0.0, "low"))
+
+
+def density_sketches(density: DataFrame, *by: str) -> DataFrame:
+    """A quantile sketch of ``density`` for each group, with ``n_texts`` and ``n_findings``: small rows that can be stored, and
+    merged with those of other days by ``merged_sketches``."""
+    return density.groupBy(*by).agg(
+        F.kll_sketch_agg_double("density", F.lit(SKETCH_SIZE)).alias("sketch"), F.count(F.lit(1)).alias("n_texts"), F.sum("n_findings").alias("n_findings")
+    )
+
+
+def merged_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """Sketches of larger groups, from those of their parts; no text is read again."""
+    return sketches.groupBy(*by).agg(
+        F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n_texts").alias("n_texts"), F.sum("n_findings").alias("n_findings")
+    )
+
+
+def density_at(sketches: DataFrame, ranks: list[float]) -> DataFrame:
+    """``rank, density`` for each sketch and rank (0 to 1), beside the sketch's other columns."""
+    keep = [c for c in sketches.columns if c != "sketch"]
+    answers = [F.struct(F.lit(float(r)).alias("rank"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(r))).alias("density")) for r in ranks]
+    return sketches.select(*keep, F.explode(F.array(*answers)).alias("a")).select(*keep, "a.*")
+
+
+def risk_by_distribution(density: DataFrame, sketches: DataFrame, *by: str) -> DataFrame:
+    """Add ``risk``: where a text's density stands among those of its group, by the group's merged sketch. A text without findings
+    has none; above the ranks of ``BAND_RANKS`` the risk is that band's."""
+    cuts = [F.kll_sketch_get_quantile_double("sketch", F.lit(float(rank))).alias(f"_{name}") for rank, name in BAND_RANKS]
+    bounds = sketches.select(*[F.col(c).alias(f"_by_{c}") for c in by], *cuts)
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    band = F.when(F.col("n_findings") == 0, "none")
+    for _, name in BAND_RANKS:
+        band = band.when(F.col("density") >= F.col(f"_{name}"), name)
+    return density.join(bounds, same, "left").withColumn("risk", band.otherwise(BAND_RANKS[-1][1])).select(*[c for c in density.columns if c != "risk"], "risk")
+
+
 def detection_quality(found: DataFrame, gold: DataFrame, key: str = "doc_id") -> DataFrame:
     """Exact-span precision, recall and F1 per entity type."""
     ident = [key, "entity_type", "start", "end"]

@@ -102,6 +102,21 @@ EVENT_TTL = 21_600
 AS_OF = "2024-01-20 00:00:00"
 
 
+# Made-up values, as many for each type as there are customers.
+FAKE_VALUES = {
+    "EMAIL_ADDRESS": "'person' || cast(c_custkey as varchar(20)) || '@example.org'",
+    "PHONE_NUMBER": "'(555) 01' || cast(c_custkey as varchar(20))",
+    "CREDIT_CARD": "'0000-' || cast(c_custkey as varchar(20))",
+    "IP_ADDRESS": "'192.0.2.' || cast(c_custkey as varchar(20))",
+}
+
+
+def fake_values(spark: SparkSession, folder: str) -> DataFrame:
+    """``entity_type, fake_value``."""
+    rows = ", ".join(f"struct('{kind}' AS entity_type, {value} AS fake_value)" for kind, value in FAKE_VALUES.items())
+    return table(spark, folder, "customer").select(F.explode(F.expr(f"array({rows})")).alias("f")).select("f.*")
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "documents"), "doc_id")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hmac
 
 from cloakwork.plans import oracles as o
-from cloakwork.plans.derived import AS_OF, CONTACT_LENGTHS, CONTACT_TRUTH, EVENT_TOKENS, EVENT_TTL, FINDINGS, MODEL_LABELS, OP_OF_EVENT
+from cloakwork.plans.derived import AS_OF, CONTACT_LENGTHS, CONTACT_TRUTH, EVENT_TOKENS, EVENT_TTL, FAKE_VALUES, FINDINGS, MODEL_LABELS, OP_OF_EVENT
 from cloakwork.plans.queries import DELAY_MINUTES, DEMO_KEYS, DETECTORS, GHOST, URL_RULE
 from cloakwork.operators.crypto import INFO, validate_key
 from cloakwork.operators.flow import FLOW_ERROR
@@ -225,6 +225,16 @@ ORACLES["d11_synthetic"] = _mask(
     + f" ELSE {_pick(SYNTHETIC_OTHER)} END",
 )
 
+_FAKES = "fakes AS (SELECT entity_type, fake_value, row_number() OVER (PARTITION BY entity_type ORDER BY substr(md5(fake_value), 1, 3), fake_value) - 1 AS number, " \
+    "count(*) OVER (PARTITION BY entity_type) AS n FROM (" + " UNION ".join(f"SELECT '{t}' AS entity_type, {v} AS fake_value FROM customer" for t, v in FAKE_VALUES.items()) + "))"
+_FAKED = "CASE " + " ".join(
+    f"WHEN entity_type = '{t}' THEN (SELECT fake_value FROM fakes x WHERE x.entity_type = '{t}' AND x.number = {_NUMBER.format('v')} % x.n)" for t in FAKE_VALUES
+) + " " + " ".join(f"WHEN entity_type = '{t}' THEN {_pick(v)}" for t, v in SYNTHETIC_VALUES.items()) + f" ELSE {_pick(SYNTHETIC_OTHER)} END"
+ORACLES["d11_fake_values"] = " UNION ALL ".join(
+    f"SELECT * FROM ({_mask(source, f'SELECT {chr(39)}{source}{chr(39)} AS origin, doc_id, masked_text FROM masked', stand_in=_FAKED, first=_FAKES + (', ' + o.CONTACTS if source == 'contacts' else ''))})"
+    for source in ("documents", "contacts")
+)
+
 # ------------------------------------------------------------------ restoring
 
 _REPLIES = f"replies AS (SELECT doc_id AS reply_id, doc_id AS session_id, masked_text || '{GHOST}' AS txt FROM masked)"
@@ -460,6 +470,11 @@ ORACLES["h7_partial_credit"] = _mask(
     + " FROM sums",
     more=(*_TRUTH, *_CREDIT),
 )
+ORACLES["h6_density_sketches"] = _mask(
+    "documents",
+    """SELECT source, rank::DOUBLE AS rank, count(*) AS n_texts, CAST(sum(n_found) AS BIGINT) AS n_findings, true AS near
+       FROM masked JOIN documents USING (doc_id), (SELECT unnest([0.1, 0.5, 0.9, 0.99]) AS rank) GROUP BY ALL""",
+)
 ORACLES["h8_case_counts"] = _spans(
     "contacts",
     "SELECT entity_type, pattern, count(*) AS n_cases FROM (SELECT DISTINCT entity_type, pattern, v FROM cand) GROUP BY ALL",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.functions.tokens import TOKEN_PREFIX, TOKEN_SUFFIX
-from cloakwork.operators import audit, cache, compaction, crypto, demask, detect, flow, spans, vault
+from cloakwork.operators import audit, cache, compaction, crypto, demask, detect, flow, spans, synthetic, vault
 from cloakwork.operators.analyze import analyze, finding_rows
 from cloakwork.operators.mask import mask_table, token_rows
 from cloakwork.plans import derived
@@ -411,6 +411,18 @@ for _name, _kind in {
     _register(_name, _strategy(_kind))
 
 
+@query
+def d11_fake_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and contacts with stand-ins from a table of made-up values."""
+    fakes = derived.fake_values(spark, folder)
+    sources = (("documents", derived.documents), ("contacts", derived.contacts))
+    parts = [
+        synthetic.mask_with_fakes(source(spark, folder).select("doc_id", "text"), fakes, session="doc_id").select(F.lit(name).alias("origin"), "doc_id", "masked_text")
+        for name, source in sources
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def d10_tokenize(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens that depend on the value only: one vault row per value."""
@@ -752,6 +764,25 @@ def h6_pii_density(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+RANKS = [0.1, 0.5, 0.9, 0.99]
+
+
+@query
+def h6_density_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches by source and day, merged by source; whether each answer is as near to its rank as the sketch promises."""
+    density = audit.pii_density(_masked(spark, folder)).select("source", "density", "n_findings", F.expr("doc_id div 100").alias("day"))
+    density = stored(density)
+    merged = audit.merged_sketches(stored(audit.density_sketches(density, "source", "day")), "source")
+    found = audit.density_at(merged, RANKS).withColumnsRenamed({"density": "cut"})
+    below = density.select(F.col("source").alias("_source"), "density").join(found, F.col("_source").eqNullSafe(F.col("source")))
+    counted = below.groupBy("source", "rank", "n_texts", "n_findings").agg(
+        F.count(F.when(F.col("density") < F.col("cut"), 1)).alias("lower"), F.count(F.when(F.col("density") <= F.col("cut"), 1)).alias("upper")
+    )
+    error = F.lit(audit.SKETCH_ERROR) * F.col("n_texts") + 1
+    near = (F.col("lower") <= F.col("rank") * F.col("n_texts") + error) & (F.col("upper") >= F.col("rank") * F.col("n_texts") - error)
+    return counted.select("source", "rank", "n_texts", "n_findings", near.alias("near"))
+
+
 @query
 def h7_detection_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Kept findings of contacts against what the contacts were made to hold."""
