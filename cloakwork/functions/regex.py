@@ -98,6 +98,7 @@ def sql_string(value: str) -> str:
 # slower, for Java then compiles the pattern for every text.
 _OPEN, _CLOSE = "\x01", "\x02"
 _BLOCK = 64
+_FEW = 9
 
 
 def has_marks(text: str) -> str:
@@ -115,25 +116,37 @@ def match_offsets(text: str, cut: str, regex: str, seq: str, score: float) -> st
     Spark has no function for all match offsets. Matches and the pieces between them alternate, so a
     running sum of their lengths gives code-point offsets. No rule matches the empty string.
 
-    A fold copies its state at every step, so no array is built up in one: sums are taken by blocks instead.
+    The pieces are made once. A single match, the usual case, is read off them; a few look back at the lengths of all pieces
+    before them. For more, sums are taken by blocks, so that no match looks back further than its own block; a fold copies
+    its state at every step, so no array is built up in one.
     """
-    pieces = f"split({cut}, '{_OPEN}', -1)"
-    size = f"length(substring_index(x, '{_CLOSE}', 1))"
-    usual = f"""transform(slice({pieces}, 2, greatest(size({pieces}) - 1, 0)),
-        x -> named_struct('len', {size}, 'gap', length(x) - {size} - 1))"""
-    parts = f"split({text}, {regex}, -1)"
-    odd = f"""zip_with(regexp_extract_all({text}, {regex}, 0), slice({parts}, 2, greatest(size({parts}) - 1, 0)),
+    pieces = f"if({cut} is null, split({text}, {regex}, -1), split({cut}, '{_OPEN}', -1))"
+
+    def match_length(piece: str) -> str:
+        return f"length(substring_index({piece}, '{_CLOSE}', 1))"
+
+    def here(start: str, length: str) -> str:
+        return f"named_struct('start', {start}, 'end', {start} + {length}, 'seq', {seq}, 'score', cast({score} as double))"
+
+    one = f"array({here('length(ps[0])', match_length('ps[1]'))})"
+    # every piece but the first holds one mark
+    before = "aggregate(slice(ls, 1, i + 1), 0, (n, y) -> n + y) - i"
+    few = f"""element_at(transform(array(transform(ps, y -> length(y))), ls -> transform(slice(ps, 2, size(ps) - 1),
+        (x, i) -> {here(f"({before})", match_length("x"))})), 1)"""
+    usual = f"""transform(slice(ps, 2, greatest(size(ps) - 1, 0)),
+        x -> named_struct('len', {match_length("x")}, 'gap', length(x) - {match_length("x")} - 1))"""
+    odd = f"""zip_with(regexp_extract_all({text}, {regex}, 0), slice(ps, 2, greatest(size(ps) - 1, 0)),
         (m, p) -> named_struct('len', length(m), 'gap', length(p)))"""
+
     def total(of: str) -> str:
         return f"aggregate({of}, 0, (n, x) -> n + x.len + x.gap)"
 
-    # sums of whole blocks first, so that no match looks back further than its own block
     block = f"slice(g, b * {_BLOCK} + 1, {_BLOCK})"
     blocks = f"sequence(0, greatest(cast(ceil(size(g) / {_BLOCK}) as int), 1) - 1)"
-    here = f"named_struct('start', p, 'end', p + x.len, 'seq', {seq}, 'score', cast({score} as double))"
     each = f"""transform(k, (x, i) -> element_at(transform(array(
-        first + aggregate(slice(sums, 1, b), 0, (n, y) -> n + y) + {total("slice(k, 1, i)")}), p -> {here}), 1))"""
+        length(ps[0]) + aggregate(slice(sums, 1, b), 0, (n, y) -> n + y) + {total("slice(k, 1, i)")}), p -> {here("p", "x.len")}), 1))"""
     placed = f"flatten(transform({blocks}, b -> flatten(transform(array({block}), k -> {each}))))"
-    return f"""element_at(transform(array(if({cut} is null, {odd}, {usual})), g ->
-        element_at(transform(array(transform({blocks}, b -> {total(block)})), sums ->
-        element_at(transform(array(length(if({cut} is null, {parts}[0], {pieces}[0]))), first -> {placed}), 1)), 1)), 1)"""
+    many = f"""element_at(transform(array(if({cut} is null, {odd}, {usual})), g ->
+        element_at(transform(array(transform({blocks}, b -> {total(block)})), sums -> {placed}), 1)), 1)"""
+    return f"""element_at(transform(array({pieces}), ps -> case when {cut} is not null and size(ps) = 2 then {one}
+        when {cut} is not null and size(ps) between 3 and {_FEW} then {few} else {many} end), 1)"""

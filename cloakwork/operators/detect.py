@@ -38,7 +38,7 @@ def _span_arrays(df: DataFrame, key: str, text: str, rules: list[Rule]) -> DataF
 
 def _span_rows(arrays: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
     rows = arrays.select(key, F.explode_outer("_spans").alias("s")).select(key, "s.*").filter("ord is not null")
-    # the rules are configuration of a checked size, see sources.rules
+    # a row for each rule: every rule is an expression of the plan as well, so they are few
     names = F.broadcast(rules_frame(arrays.sparkSession, rules).select("ord", "entity_type", "pattern"))
     return rows.join(names, "ord").select(key, "ord", "entity_type", "pattern", "start", "end", "score", "value")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cloakwork.functions.detection import SPAN
 from cloakwork.functions.overlap import resolved
 from cloakwork.plans.skew import join_hot, running
+from cloakwork.plans.stored import stored
 
 CHUNK = 65_536
 
@@ -21,6 +22,8 @@ def islands(spans: DataFrame, key: str = "doc_id", chunk: int = CHUNK) -> DataFr
     order = [F.col("start"), F.col("end"), F.col("seq")]
     bucket = F.floor(F.col("start") / chunk)
     out = running(spans, [key], bucket, order, F.col("end"), "_reach", "max")
+    # the second pass uses its input twice
+    out = stored(out)
     begins = F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), 1).otherwise(0)
     out = running(out.withColumn("_begins", begins), [key], bucket, order, F.col("_begins"), "_before")
     return out.withColumn("island", F.col("_before") + F.col("_begins")).drop("_reach", "_begins", "_before")
@@ -31,20 +34,15 @@ def resolve_overlaps(spans: DataFrame, key: str = "doc_id", mode: str = "compat"
 
     Choices in one island do not depend on another, so each island is decided on its own.
     """
-    grouped = (
-        islands(spans, key)
-        .groupBy(key, "island")
-        .agg(
-            F.expr(
-                f"array_sort(collect_list(cast(named_struct('start', start, 'end', end, 'seq', seq, 'score', score) as {SPAN})))"
-            ).alias("_spans")
-        )
-    )
-    kept = grouped.select(
-        key, "island", F.posexplode_outer(F.expr(resolved("_spans", mode))).alias("emit_pos", "s")
-    ).select(key, "island", "emit_pos", "s.start", "s.end", "s.seq", "s.score")
     details = [c for c in spans.columns if c not in (key, "start", "end", "seq", "score")]
-    return kept.join(spans.select(key, "start", "end", "seq", *details), [key, "start", "end", "seq"])
+    grouped = islands(spans, key).groupBy(key, "island").agg(
+        F.array_sort(F.collect_list(F.struct("start", "end", "seq", "score", F.struct(F.lit(0), *details).alias("d")))).alias("_all")
+    )
+    bare = f"transform(_all, a -> cast(named_struct('start', a.start, 'end', a.end, 'seq', a.seq, 'score', a.score) as {SPAN}))"
+    kept = grouped.select(key, "island", "_all", F.expr(bare).alias("_spans"))
+    whole = F.expr(f"transform({resolved('_spans', mode)}, s -> element_at(_all, cast(array_position(_spans, s) as int)))")
+    kept = kept.select(key, "island", F.posexplode_outer(whole).alias("emit_pos", "s"))
+    return kept.select(key, "s.start", "s.end", "s.seq", "island", "emit_pos", "s.score", *[F.col(f"s.d.`{c}`").alias(c) for c in details])
 
 
 def overlap_counts(spans: DataFrame, key: str = "doc_id", chunk: int = CHUNK) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ _made: dict[str, SparkSession] = {}
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset.
+    """A fresh folder below ``spark.checkpoint.dir``. Where that is unset, below the warehouse if the master is local;
+    on a cluster the warehouse may lie on the driver's own disk, so the setting is then asked for.
 
     It is deleted when the program ends, or earlier by ``release``.
     """
@@ -21,6 +23,8 @@ def work_folder(spark: SparkSession) -> str:
         set_by_caller = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = set_by_caller.get() if set_by_caller.isDefined() else None
     if base is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         base = spark.conf.get("spark.sql.warehouse.dir")
     folder = f"{base.rstrip('/')}/cloakwork-{uuid.uuid4().hex}"
     if not _made:
