@@ -41,7 +41,8 @@ def _processor(to_live: int, token_regex: str) -> StatefulProcessor:
             if fresh:
                 self.waiting.appendList(fresh)
                 self.handle.registerTimer(min(r[0] for r in fresh) // 1000 + 1)
-            yield self.shown(key, [(us, op_id, op, False, True, text, None, None) for us, op_id, op, _, _, text in late])
+            if late:
+                yield self.shown(key, [(us, op_id, op, False, True, text, None, None) for us, op_id, op, _, _, text in late])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             mark = timerValues.getCurrentWatermarkInMs()
@@ -54,7 +55,9 @@ def _processor(to_live: int, token_regex: str) -> StatefulProcessor:
                     self.handle.registerTimer(rest[0][0] // 1000 + 1)
                 else:
                     self.waiting.clear()
-            yield self.shown(key, self.applied(ready, mark))
+            out = self.applied(ready, mark)
+            if out:
+                yield self.shown(key, out)
 
         def applied(self, ready, mark):
             seen, live, place, due = self.head.get() if self.head.exists() else (0, False, 0, 0)
