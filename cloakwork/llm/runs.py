@@ -94,8 +94,17 @@ def runs(cores: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
     return tuple(map(np.concatenate, (found, firsts, counts, leads)))
 
 
+def keyed(texts: DataFrame) -> DataFrame:
+    """``texts(d, t, ...)`` with ``k``, one long for a row's id and text.
+
+    Runs carry it in place of the id, so that rows which share an id, null above all, do not share their runs. Where two
+    rows have one ``k`` by chance, each is given the runs of both, and leaves out what its own text does not have.
+    """
+    return texts.withColumn("k", F.xxhash64("d", "t"))
+
+
 def run_rows(texts: DataFrame, units: Units, crowded: dict[int, int] | None = None) -> DataFrame:
-    """``core, d, first, n, lead, slice`` of every run of ``texts(d, text)``.
+    """``core, k, first, n, lead, slice`` of every run of ``texts(k, text)``.
 
     ``slice`` is 0 but for the ``crowded`` cores, whose runs are dealt out over so many slices, numbered from 1.
     """
@@ -107,10 +116,10 @@ def run_rows(texts: DataFrame, units: Units, crowded: dict[int, int] | None = No
             ids = batch.column(0).to_numpy()
             held: list[tuple] = []
             rows = 0
-            for d, raw in zip(ids, raw_texts(batch.column(1))):
+            for k, raw in zip(ids, raw_texts(batch.column(1))):
                 core, first, n, lead = units.runs(raw)
                 if len(core):
-                    held.append((signed(core), np.full(len(core), d), first, n.astype(np.int16), lead.astype(np.int16)))
+                    held.append((signed(core), np.full(len(core), k), first, n.astype(np.int16), lead.astype(np.int16)))
                     rows += len(core)
                 if rows > 500_000:
                     yield packed(held)
@@ -119,17 +128,17 @@ def run_rows(texts: DataFrame, units: Units, crowded: dict[int, int] | None = No
                 yield packed(held)
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
-        core, d, first, *rest = (np.concatenate(c) for c in zip(*held))
+        core, k, first, *rest = (np.concatenate(c) for c in zip(*held))
         slice_ = np.zeros(len(core), np.int32)
         if len(cores):
             at = np.minimum(np.searchsorted(cores, core), len(cores) - 1)
             hit = np.flatnonzero(cores[at] == core)
-            dealt = mixed(d[hit].view(np.uint64) * np.uint64(31) + first[hit].astype(np.uint64)) % slices[at[hit]].astype(np.uint64)
+            dealt = mixed(k[hit].view(np.uint64) * np.uint64(31) + first[hit].astype(np.uint64)) % slices[at[hit]].astype(np.uint64)
             slice_[hit] = dealt.astype(np.int32) + 1
-        columns = [pa.array(c) for c in (core, d, first, *rest, slice_)]
-        return pa.RecordBatch.from_arrays(columns, ["core", "d", "first", "n", "lead", "slice"])
+        columns = [pa.array(c) for c in (core, k, first, *rest, slice_)]
+        return pa.RecordBatch.from_arrays(columns, ["core", "k", "first", "n", "lead", "slice"])
 
-    return texts.select("d", "text").mapInArrow(each, "core long, d long, first long, n short, lead short, slice int")
+    return texts.select("k", "text").mapInArrow(each, "core long, k long, first long, n short, lead short, slice int")
 
 
 def crowded_cores(texts: DataFrame, units: Units, across: bool) -> dict[int, int]:
@@ -138,28 +147,28 @@ def crowded_cores(texts: DataFrame, units: Units, across: bool) -> dict[int, int
     They decide how the work is laid out and not its result, so the list is of bounded length. They occur again
     for certain: the sample has seen them do so.
     """
-    some = run_rows(texts.filter(F.pmod(F.xxhash64("d", F.lit(7)), F.lit(SAMPLED)) == 0), units)
-    counted = some.groupBy("core").agg(F.count(F.lit(1)).alias("rows"), F.min("d").alias("low"), F.max("d").alias("high"))
+    some = run_rows(texts.filter(F.pmod(F.xxhash64("k", F.lit(7)), F.lit(SAMPLED)) == 0), units)
+    counted = some.groupBy("core").agg(F.count(F.lit(1)).alias("rows"), F.min("k").alias("low"), F.max("k").alias("high"))
     many = counted.filter((F.col("rows") * SAMPLED > CROWD) & (F.col("low") < F.col("high") if across else F.col("rows") > 1))
     most = many.orderBy(F.col("rows").desc(), "core").limit(MOST_CROWDED).collect()
     return {r["core"]: -(-r["rows"] * SAMPLED // CROWD) for r in most}
 
 
 def live_runs(texts: DataFrame, units: Units, across: bool) -> DataFrame:
-    """The runs whose core occurs again: in another document (``across``), or anywhere.
+    """The runs of ``keyed`` texts whose core occurs again: in another row (``across``; not in repeats of one), or anywhere.
 
     One shuffle by core. The cores that are crowded are dealt out by document as well.
     """
     rows = run_rows(texts, units, crowded_cores(texts, units, across))
     group = Window.partitionBy("core", "slice")
-    again = F.min("d").over(group) < F.max("d").over(group) if across else F.count(F.lit(1)).over(group) > 1
+    again = F.min("k").over(group) < F.max("k").over(group) if across else F.count(F.lit(1)).over(group) > 1
     kept = rows.withColumn("again", again).filter(F.col("again") | (F.col("slice") > 0))
-    return kept.select("core", "d", "first", "n", "lead")
+    return kept.select("core", "k", "first", "n", "lead")
 
 
 def by_document(rows: DataFrame, keys: list[str], *columns: str) -> DataFrame:
-    """Rows as one array ``parts`` per document: no more than its own text gives rise to."""
-    return rows.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("parts"))
+    """Rows as one array ``parts`` per document, each once: no more than its own text gives rise to, however often it is repeated."""
+    return rows.groupBy(*keys).agg(F.collect_set(F.struct(*columns)).alias("parts"))
 
 
 def numbers(parts: pa.Array, field: str) -> list[np.ndarray]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.runs import by_document, byte_units, covered, live_runs, numbers
+from cloakwork.llm.runs import by_document, byte_units, covered, keyed, live_runs, numbers
 from cloakwork.llm.texts import id_and_keys, id_and_text, public_id, raw_texts
 from cloakwork.plans.stored import discard, stored
 
@@ -87,9 +87,9 @@ def _digits(texts: DataFrame, rows: DataFrame, keys: list[str], cut: Callable[..
             waiting = 0
             for i, raw in enumerate(raw_texts(batch.column(2))):
                 run = {f: v[i].astype(np.int64) for f, v in fields.items()}
-                # in order, each once: rows that share the id give theirs too
+                # in order, each once
                 order = np.unique(run["at"] * (depth + 1) + run["n"], return_index=True)[1]
-                # those of another text with this id may reach beyond this one
+                # those of another row with this key may reach beyond this text
                 order = order[run["at"][order] + run["n"][order] + depth - 1 <= len(raw)]
                 strings, item = cut(raw, {f: v[order] for f, v in run.items()}, depth)
                 if not strings:
@@ -138,8 +138,9 @@ def repeats(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``d, t, at, n``: the suffixes ``at`` to ``at + n - 1`` of a text begin with ``depth`` bytes that also begin at
     an earlier place. ``texts`` has ``d, t, text``."""
     item = ["d", "t", "at", "n"]
+    texts = keyed(texts)
     runs = stored(live_runs(texts, byte_units(depth, min(CORE, depth)), across=False).withColumnRenamed("first", "at"))
-    whole = stored(_digits(texts, runs, ["d"], _runs_whole, depth))
+    whole = stored(_digits(texts, runs, ["k"], _runs_whole, depth))
     discard(runs)
     whole = _sorted(whole)
     parts = _sorted(stored(_digits(texts, whole.filter("not again"), ["d", "t"], _stretches, depth)))

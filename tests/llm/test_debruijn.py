@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from cloakwork.llm import debruijn, runs
 from cloakwork.sources.tables import table
 
@@ -76,6 +78,31 @@ def test_a_long_passage_is_one_path(spark):
     # one compact path for each occurrence, besides the single edges at its ends
     long_ = [r for r in spans if r.n > 1]
     assert len(long_) == 2 and all(r.n > 2900 for r in long_)
+    split = {d: t.split() for d, t in docs}
+    for r in long_:  # the source's place is kept, and both places hold the same words
+        there = split[r.first][r.first_at : r.first_at + r.n + debruijn.WIDTH - 1]
+        assert there == split[r.d][r.at : r.at + r.n + debruijn.WIDTH - 1]
+        assert debruijn._witness(" ".join(there).encode()) == np.array([r.s1, r.s2], "<i8").tobytes()
+
+
+def test_every_longer_span_has_a_source(spark):
+    texts = debruijn.id_and_text(spark.createDataFrame(made(), "doc_id long, text string"))
+    split = {d: (t or "").split() for d, t in made()}
+    spans = debruijn.repeated_spans(texts, 5).collect()
+    assert sum(r.n > 1 for r in spans) > 20
+    for r in spans:
+        if r.first_at is None:
+            assert r.n == 1 and not (r.s1 or r.s2)
+        else:
+            assert split[r.first][r.first_at : r.first_at + r.n + 4] == split[r.d][r.at : r.at + r.n + 4]
+
+
+def test_spans_that_differ_from_their_source_do_not_count():
+    words = [b"w%d" % i for i in range(20)]
+    seen = debruijn._hashes(debruijn._places(words), np.array([2, 3]), np.array([6, 6]), debruijn._witness)
+    at, n = np.array([2, 2, 4, 18]), np.array([2, 2, 1, 1])
+    s = np.stack([seen[0], seen[1], [0, 0], [0, 0]])
+    assert debruijn.verified(words, at, n, s, 5).tolist() == [True, False, True, False]
 
 
 def test_odd_rows(spark):
@@ -85,3 +112,20 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id or 0), r.n_words, r.n_removed) for r in debruijn.report(docs).collect())
     assert got == [(0, 40, 0), (2, 0, 0), (3, 0, 0), (5, 40, 40), (5, 40, 40), (5, 41, 40), (9, 41, 40)]
     assert debruijn.report(docs.limit(0)).collect() == []
+
+
+def test_many_rows_without_id_and_a_row_repeated_often(spark):
+    """Neither shares its runs: arrays are those of one text, and 20,000 copies of a row are no square of anything."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, f"a{i} b{i} " + text) for i in range(20_000)] + [(7, text)] * 20_000 + [(None, "")] * 20_000
+    got = debruijn.report(spark.createDataFrame(rows, "doc_id long, text string"))
+    counts = {(r.doc_id, r.n_words, r.n_removed): r["count"] for r in got.groupBy("doc_id", "n_words", "n_removed").count().collect()}
+    assert counts == {(None, 32, 0): 20_000, (7, 30, 30): 20_000, (None, 0, 0): 20_000}
+
+
+def test_a_very_long_text(spark):
+    rnd = random.Random(3)
+    long_ = " ".join(f"w{rnd.randint(0, 5000)}" for _ in range(300_000))
+    words = long_.split()
+    docs = [(1, long_), (2, "new " + " ".join(words[1000:250_000]) + " end"), (3, " ".join(words[5:60]))]
+    assert result(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs, 13)

@@ -84,6 +84,24 @@ def test_null_id_and_repeated_rows(spark):
     assert got == [(0, own), (5, 160), (5, 160), (5, 160), (9, 160)]
 
 
+def test_many_rows_without_id_and_a_row_repeated_often(spark):
+    """Neither shares its runs with the other rows of its id."""
+    text = "".join(chr(97 + i * i % 23) + str(i) for i in range(60))
+    rows = [(None, f"{i:06d}" + text) for i in range(5_000)] + [(7, text)] * 5_000 + [(None, "")] * 5_000
+    got = suffixes.report(spark.createDataFrame(rows, "doc_id long, text string"))
+    counts = {(r.doc_id, r.n_removed): r["count"] for r in got.groupBy("doc_id", "n_removed").count().collect()}
+    assert counts == {(None, 0): 10_000, (7, len(text)): 5_000}
+
+
+def test_a_very_long_text(spark):
+    rnd = random.Random(4)
+    raw = "".join(rnd.choice("abcdefgh") for _ in range(400_000))
+    docs = [(1, raw), (2, "x" + raw[1000:300_000] + "y"), (3, raw[5:205] * 3)]
+    want = [digest(*x) for x in brute([(d, t.encode()) for d, t in docs], 100)]
+    got = suffixes.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=0, max_size=200), st.integers(1, 9))
 def test_runs_cover_each_window_once(values, span):
