@@ -97,8 +97,11 @@ def choose(
         F.regexp_count(whole, F.lit(WORD)).cast("long").alias("size"),
         *carry,
     )
-    rows = stored(rows.withColumn("place", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))))
-    of = {r.source: r.n for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    # the text takes part, so that rows without an id, or of one id, have a place each; only equal ones share theirs
+    own = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("t").cast("string")]
+    rows = stored(rows.withColumn("place", F.md5(F.concat_ws("|", F.lit(seed), *own))))
+    sums = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    of = {r.source: r.n for r in sums}
     names = sorted(s for s in of if s is not None) + [None] * (None in of)
     sizes = [of[s] for s in names]
     goal = targets(sizes, [w for w, _ in zip(cycle(WEIGHTS), names)])
@@ -108,7 +111,8 @@ def choose(
     quotas = sainte_lague(rest, int(rest.sum() / block + 0.5), most)
     plan = {s: (n, g, c, int(q)) for s, n, g, c, q in zip(names, sizes, goal, copies, quotas)}
 
-    shards = max(1, -(-sum(sizes) // (block * SHARD)))
+    # by rows, too: empty texts have no words, and yet must not meet in one task
+    shards = max(1, -(-sum(sizes) // (block * SHARD)), -(-sum(r.rows for r in sums) // SHARD))
     shard = F.conv(F.substring("place", 9, 8), 16, 10).cast("long") % shards
     rows = rows.withColumn("shard", shard)
     # every source's shards share its quota

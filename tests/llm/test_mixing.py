@@ -75,6 +75,26 @@ def test_many_shards(spark, tiny, monkeypatch):
     assert shards > 3 and all(abs(by[s] - goal[s]) <= (shards + 1) * mixing.BLOCK for s in by)
 
 
+def test_many_rows_without_id(spark, monkeypatch):
+    """Rows without an id are dealt out by their texts, and shards follow the rows, too, where texts are short or empty."""
+    monkeypatch.setattr(mixing, "SHARD", 500)
+    rows = [(None, f"only {i}", "a") for i in range(4000)] + [(i, None, "b") for i in range(4000)] + [(i, "b " * 40, "b") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen, inner = [], mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df: seen.append(inner(df)) or seen[-1])
+    got = mixing.choose(docs).collect()
+    shards = -(-len(rows) // 500)
+    shard = mixing.F.conv(mixing.F.substring("place", 9, 8), 16, 10).cast("long") % shards
+    most = max(r["count"] for r in seen[0].groupBy("source", shard).count().collect())
+    assert shards == 17 and most < 2 * len(rows) / shards
+    by, goal = defaultdict(int), {}
+    for r in got:
+        by[r.source] += r.taken
+        goal[r.source] = r.target
+        assert r.taken <= 3 * r["size"]
+    assert len(got) == len(rows) and all(abs(by[s] - goal[s]) <= (shards + 1) * mixing.BLOCK for s in by)
+
+
 def test_odd_rows_and_mixed_documents(spark):
     text = " ".join(f"w{i}" for i in range(900))
     rows = [(1, text, "a", 5, "x"), (2, None, "a", 0, "x"), (3, "one two", "b", 0, "y"), (3, "one two", "b", 0, "y"), (None, text, None, 0, "z")]
