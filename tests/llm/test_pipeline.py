@@ -80,7 +80,7 @@ def test_registered():
     names = [n for n, _ in pipeline.STAGES]
     assert len(names) == 5 and len(set(names)) == 5
     queries = entry_module.queries()
-    assert "pipeline" in queries and {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert "pipeline" in queries and {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
     assert set(ORACLES) <= set(QUERIES) <= set(queries) and set(ORACLES) <= set(entry_module.oracle_sql())
 
 
