@@ -2,8 +2,9 @@
 
 An example loads a sequence in three ways at once: tokens, segments (one each) and loss-bearing tokens. A sequence is
 filled by always adding the example that fits and whose load, in shares of the limits, has the largest dot product with
-the room left; the shares are weighed by how scarce each limit is over all examples. Examples are dealt by a hash into
-blocks of some thousands; each block is packed alone, so nothing grows with the table but the number of blocks.
+the room left; the shares are weighed by how scarce each limit is over all examples. Examples are dealt by a hash of
+their content and row number into blocks of some thousands, so that equal rows are spread, too; each block is packed alone, so
+nothing grows with the table but the number of blocks.
 
 If examples may be cut, a sequence that nothing fits any more is topped up with the head of the largest example left, unless the
 gap is under ``MIN_PIECE`` tokens, and the last, partly filled sequence of a block is cut into sequences whose lengths are powers of two, which need no
@@ -28,9 +29,14 @@ from pyspark.sql import functions as F
 from cloakwork.llm.shipping import ship
 from cloakwork.llm.texts import id_and_text, public_id
 from cloakwork.llm.tokens import Vocabulary
+from cloakwork.plans.stored import stored
 
 CAPACITY = 2048
 MAX_SEGMENTS = 256
+#: A sequence of conversations: tokens, how many of them, tokens of answers.
+DIALOGUE = 8192
+CONVERSATIONS = 8
+ANSWERED = 6144
 MIN_PIECE = 16
 #: Examples packed together.
 BLOCK = 4096
@@ -148,13 +154,15 @@ def pack_examples(
     Null sizes count as zero. An example over a limit by itself gets a sequence of its own, cut down by nobody.
     """
     ship(examples.sparkSession)
-    rows = examples.select(
+    # stored, so that a row keeps its number
+    rows = stored(examples.select(
         F.col(f"`{example_id}`").alias("example_id"),
         F.coalesce(F.col(f"`{tokens}`").cast("long"), F.lit(0)).alias("length"),
         F.coalesce(F.col(f"`{loss_tokens}`").cast("long"), F.lit(0)).alias("loss_tokens"),
-    )
+        F.monotonically_increasing_id().alias("row"),
+    ))
     blocks = max(1, -(-rows.count() // BLOCK))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("example_id", "length", "loss_tokens"), F.lit(blocks)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("example_id", "length", "loss_tokens", "row"), F.lit(blocks))).drop("row")
     kind = rows.schema["example_id"].dataType.simpleString()
 
     def each(block: pd.DataFrame) -> pd.DataFrame:
@@ -175,6 +183,46 @@ def pack_examples(
     )
 
 
+def pack_conversations(
+    turns: DataFrame,
+    vocabulary: Vocabulary,
+    conversation: str = "conv_id",
+    role: str = "role",
+    text: str = "text",
+    answering: str = "assistant",
+    capacity: int = DIALOGUE,
+    segments: int = CONVERSATIONS,
+    max_loss: int = ANSWERED,
+) -> DataFrame:
+    """Whole conversations under all three limits: ``conversation, length, loss_tokens, sequence_id, offset``.
+
+    A turn counts its ids and an end id, and bears loss if its role is ``answering``; a null text is empty, a null role bears
+    none, and turns without a conversation count as one. Turns are counted where they lie; only the counts are shuffled.
+    """
+    given = turns.select(
+        F.col(f"`{conversation}`").alias("c"),
+        F.coalesce(F.col(f"`{role}`") == answering, F.lit(False)).alias("answer"),
+        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
+    )
+    kind = given.schema["c"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = vocabulary.encoder()
+        for whole in batches:
+            for low in range(0, len(whole), 1000):
+                batch = whole.slice(low, 1000)
+                ids = encoder.encode(batch.column(2).to_pylist())
+                n = np.array([len(x) // encoder.kind.itemsize + 1 for x in ids], np.int64)
+                loss = np.where(batch.column(1).to_numpy(zero_copy_only=False), n, 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(loss)], ["c", "n", "loss"])
+
+    ship(turns.sparkSession)
+    counted = given.mapInArrow(count, f"c {kind}, n long, loss long")
+    sums = counted.groupBy("c").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
+    packed = pack_examples(sums, "c", "n", "loss", capacity, segments, max_loss)
+    return packed.withColumnRenamed("example_id", conversation)
+
+
 def pack_documents(
     docs: DataFrame,
     vocabulary: Vocabulary,
@@ -188,11 +236,11 @@ def pack_documents(
     ``ids``, the piece's ids as an array, if asked for.
 
     A text's ids are tokenized where it lies. Its stretches of ``capacity`` ids are sequences already; only the rest is dealt
-    into blocks and packed.
+    into blocks and packed. ``docs`` should come from files: a row keeps its number then when a task is run again.
     """
     texts = id_and_text(docs, doc_id, text)
     blocks = max(1, -(-docs.count() // BLOCK))
-    rows = texts.withColumn("block", F.pmod(F.xxhash64("d", "t"), F.lit(blocks))).select("block", "d", "t", "text")
+    rows = texts.withColumn("block", F.pmod(F.xxhash64("d", "t", F.monotonically_increasing_id()), F.lit(blocks))).select("block", "d", "t", "text")
     names = ["block", "d", "t", "doc_tokens", "start", "length", "crc", "ids"]
     kinds = "block long, d long, t long, doc_tokens long, start long, length long, crc long, ids binary"
 

@@ -125,6 +125,56 @@ def test_instruction_examples(spark):
     assert len(sequences) < 1.1 * bound + 2
 
 
+def test_conversations_under_three_limits(spark, tiny):
+    turns = table(spark, tiny, "conversations")
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = defaultdict(lambda: [0, 0])
+    for r in turns.collect():
+        n = len(plain.encode(r.text or "", add_special_tokens=False).ids) + 1
+        want[r.conv_id][0] += n
+        want[r.conv_id][1] += n if r.role == "assistant" else 0
+    out = packing.pack_conversations(turns, WORDS_49K, capacity=2000, segments=3, max_loss=1400).collect()
+    assert len(out) == len(want) and {r.conv_id: [r.length, r.loss_tokens] for r in out} == want
+
+    def sequences(rows):
+        held = defaultdict(list)
+        for r in rows:
+            held[r.sequence_id].append(r)
+        return [(sum(r.length for r in s), len(s), sum(r.loss_tokens for r in s)) for s in held.values()]
+
+    whole(out)
+    assert all(k == 1 or (n <= 2000 and k <= 3 and loss <= 1400) for n, k, loss in sequences(out))
+    # the limits on segments and loss do something here
+    loose = sequences(packing.pack_conversations(turns, WORDS_49K, capacity=2000, segments=100, max_loss=2000).collect())
+    assert max(k for _, k, _ in loose) > 3 and max(loss for _, _, loss in loose) > 1400
+    bound = max(sum(r.length for r in out) / 2000, len(out) / 3, sum(r.loss_tokens for r in out) / 1400)
+    assert len(sequences(out)) < 1.25 * bound + 2
+
+
+def test_odd_turns(spark):
+    rows = [(1, None, None, 5), (1, "assistant", None, 6), (None, "assistant", "a b", 7), (None, "user", "", 8), (2, "assistant", "w " * 50_000, 9)]
+    turns = spark.createDataFrame(rows, "conv_id long, role string, text string, n long").withColumnRenamed("n", "loss")
+    out = {r.conv_id: (r.length, r.loss_tokens, r.offset) for r in packing.pack_conversations(turns, WORDS_49K).collect()}
+    assert out[1][:2] == (2, 1) and out[None][0] == out[None][1] + 1 and out[2][0] > packing.DIALOGUE and out[2][2] == 0
+    assert packing.pack_conversations(turns.limit(0), WORDS_49K).collect() == []
+
+
+def test_equal_rows_are_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 50)
+    docs = spark.createDataFrame([(None, "")] * 1500 + [(7, "some words")] * 500, "doc_id long, text string")
+    out = packing.pack_documents(docs, WORDS_49K).collect()
+    blocks = defaultdict(int)
+    for r in out:
+        blocks[r.sequence_id >> 32] += r.length
+    tokens = next(r.doc_tokens for r in out if r.doc_id == 7)
+    assert sum(blocks.values()) == 1500 + 500 * tokens and len(blocks) == 40 and max(blocks.values()) < 3 * 50 * tokens
+    examples = spark.createDataFrame([(None, 3, 1)] * 2000, "id long, n long, loss long")
+    dealt = defaultdict(int)
+    for r in packing.pack_examples(examples, "id", "n", "loss").collect():
+        dealt[r.sequence_id >> 32] += 1
+    assert sum(dealt.values()) == 2000 and len(dealt) == 40 and max(dealt.values()) < 150
+
+
 def test_odd_rows(spark):
     rows = [(1, None, 5), (2, "", 6), (None, "some words", 7), (3, "again", 8), (3, "again", 9), (4, "w" * 50_000, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, block long")
