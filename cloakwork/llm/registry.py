@@ -28,11 +28,6 @@ def op1_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), WORDS_49K)
 
 
-@query
-def pack_conversations(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_conversations(table(spark, folder, "conversations"), WORDS_49K)
-
-
 @query
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return cascade.figures(table(spark, folder, "documents"))
