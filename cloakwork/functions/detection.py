@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.functions.regex import DIGIT, has_marks, marked, match_offsets, sql_string, to_java
+from cloakwork.functions.regex import ASCII_DIGIT, ASCII_WORD, DIGIT, has_marks, has_match, marked, match_offsets, sql_string, to_java
 from cloakwork.sources.rules import REGEX_SCORE, Rule
 
 SPAN = "struct<start:int,end:int,seq:int,score:double>"
@@ -25,6 +25,10 @@ _NOT_DIGIT = r"\P{Nd}"
 # A digit rule never holds more than three non-digits in a row and looks at most four characters beyond
 # its first and last digit, so the inside of a longer stretch without digits can be cut out.
 _CUT_DIGITS = f"({_NOT_DIGIT}{{4}}){_NOT_DIGIT}+({_NOT_DIGIT}{{4}})"
+# In a text of ASCII characters a number rule matches whole words of digits only: other words shrink to one letter, which keeps
+# the boundaries around them, and the inside of longer stretches of those is cut out as well.
+_CUT_PLAIN = f"([^{ASCII_DIGIT}]{{4}})[^{ASCII_DIGIT}]+([^{ASCII_DIGIT}]{{4}})"
+_OTHER_WORD = rf"\b[{ASCII_DIGIT}]*+[{ASCII_WORD[len(ASCII_DIGIT):]}][{ASCII_WORD}]*+"
 _FOUR_DIGITS = f"{DIGIT}(?:{_NOT_DIGIT}{{0,3}}{DIGIT}){{3}}"
 _SIX_DIGITS = f"{DIGIT}(?:{_NOT_DIGIT}{{0,3}}{DIGIT}){{5}}"
 # A long-word rule holds no white space and at least 20 of these characters in a row. The test is tried
@@ -43,6 +47,8 @@ GATES = {
     "quote": ("{p}quote", "{text}"),
     "digits4": ("{p}d4", "{p}digits"),
     "digits6": ("{p}d6", "{p}digits"),
+    "numbers4": ("{p}n4", "{p}numbers"),
+    "numbers6": ("{p}n6", "{p}numbers"),
     "longword": ("{p}words <> ''", "{p}words"),
     "jwt": ("{p}jwt", "{text}"),
     "hexcolon": ("{p}hexcolon", "{text}"),
@@ -52,23 +58,32 @@ GATES = {
 }
 
 
-def _digests(text: str, p: str) -> tuple[dict[str, str], dict[str, str]]:
+def _digests(text: str, p: str) -> list[dict[str, str]]:
+    """SQL of the digests by name, in steps that each may use the ones before."""
+    plain, cut = sql_string(_CUT_PLAIN), sql_string(_CUT_DIGITS)
     first = {
+        f"{p}marks": has_marks(text),
+        f"{p}ascii": f"length({text}) = octet_length({text})",
         f"{p}at": f"contains({text}, '@')",
         f"{p}quote": f"""contains({text}, '"') or contains({text}, "'@")""",
         f"{p}jwt": f"contains({text}, 'eyJ')",
-        f"{p}digits": f"regexp_replace({text}, {sql_string(_CUT_DIGITS)}, '$1$2')",
         f"{p}words": f"if({text} rlike {sql_string(_HAS_LONG_WORD)}, "
         f"array_join(regexp_extract_all({text}, {sql_string(_LONG_WORDS)}, 0), ' '), '')",
         f"{p}hexcolon": f"contains({text}, ':') and {text} rlike {sql_string(_HEX_COLON)}",
         f"{p}hexpair": f"{text} rlike {sql_string(_HEX_PAIR)}",
     }
-    second = {
+    second = {f"{p}digits": f"if({p}ascii, regexp_replace({text}, {plain}, '$1$2'), regexp_replace({text}, {cut}, '$1$2'))"}
+    third = {
         f"{p}d4": f"{p}digits rlike {sql_string(_FOUR_DIGITS)}",
         f"{p}d6": f"{p}digits rlike {sql_string(_SIX_DIGITS)}",
         f"{p}iban": f"{p}digits rlike {sql_string(_IBAN_HEAD)}",
+        f"{p}numbers": f"if({p}ascii, regexp_replace(regexp_replace({p}digits, {sql_string(_OTHER_WORD)}, 'x'), {plain}, '$1$2'), {p}digits)",
     }
-    return first, second
+    fourth = {
+        f"{p}n4": f"{p}numbers rlike {sql_string(_FOUR_DIGITS)}",
+        f"{p}n6": f"{p}numbers rlike {sql_string(_SIX_DIGITS)}",
+    }
+    return [first, second, third, fourth]
 
 
 def with_candidates(df: DataFrame, text: str, rules: list[Rule], out: str, gated: bool = True) -> DataFrame:
@@ -78,21 +93,23 @@ def with_candidates(df: DataFrame, text: str, rules: list[Rule], out: str, gated
     p = "_digest_"
     keep = [F.col(f"`{c}`") for c in df.columns]
     text_sql = f"`{text}`"
-    first, second = _digests(text_sql, p)
-    first[f"{p}marks"] = has_marks(text_sql)
+    df = df.select(*keep)
     # digests that no rule asks for are pruned away
-    df = df.select(*keep, *[F.expr(sql).alias(name) for name, sql in first.items()])
-    df = df.select("*", *[F.expr(sql).alias(name) for name, sql in second.items()])
+    for step in _digests(text_sql, p):
+        df = df.select("*", *[F.expr(sql).alias(name) for name, sql in step.items()])
     hits = []
     for i, rule in enumerate(rules):
         gate, column = GATES[rule.gate if gated else None]
-        regex = sql_string(to_java(rule.regex, rule.ignore_case))
         gate, column = gate.format(p=p, text=text_sql), column.format(p=p, text=text_sql)
+        regex = sql_string(to_java(rule.regex, rule.ignore_case))
+        plain = sql_string(to_java(rule.regex, rule.ignore_case, ascii_only=True))
+        # a rule that has no digest is not tried first: marking its matches tells as much
+        test = f"if({p}ascii, {column} rlike {plain}, {column} rlike {regex})" if column != text_sql else f"(not {p}marks or {text_sql} rlike {regex})"
         hits.append(
-            f"if({gate} and {column} rlike {regex}, named_struct('i', {i}, 'ord', {rule.ord}, "
-            f"'cut', {marked(text_sql, regex, f'{p}marks')}), null)"
+            f"if({gate} and {test}, named_struct('i', {i}, 'ord', {rule.ord}, "
+            f"'cut', {marked(text_sql, regex, plain, f'{p}marks', f'{p}ascii')}), null)"
         )
     table = ", ".join(sql_string(to_java(r.regex, r.ignore_case)) for r in rules)
     offsets = match_offsets(text_sql, "r.cut", f"array({table})[r.i]", "r.ord", REGEX_SCORE)
-    spans = f"flatten(transform(filter(array({', '.join(hits)}), h -> h is not null), r -> {offsets}))"
+    spans = f"flatten(transform(filter(array({', '.join(hits)}), h -> h is not null and ({has_match(text_sql, 'h.cut')})), r -> {offsets}))"
     return df.select(*keep, F.expr(spans).alias(out))

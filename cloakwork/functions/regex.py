@@ -19,10 +19,17 @@ BOUNDARY = f"(?:(?<={_BEHIND})(?![{WORD}])|(?<!{_BEHIND})(?=[{WORD}]))"
 _CLASSES = {"w": WORD, "d": DIGIT, "s": SPACE}
 # Python's [A-Za-z] without regard to case also takes these four letters.
 ANY_CASE = r"A-Za-zİıſK"
+# The same for a text of ASCII characters alone. There Java's own boundary is right and costs next to nothing.
+ASCII_DIGIT = "0123456789"
+ASCII_WORD = f"{ASCII_DIGIT}ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_"
+_ASCII_CLASSES = {"w": ASCII_WORD, "d": ASCII_DIGIT, "s": r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "}
+_ASCII_BOUNDARY = r"\b"
 
-def _spelled(pattern: str) -> str:
+
+def _spelled(pattern: str, ascii_only: bool = False) -> str:
     """Shorthands and ASCII ranges written out. Java looks up listed characters in one table, but walks
     through ranges one by one, so a list is several times faster than the same ranges."""
+    classes, boundary = (_ASCII_CLASSES, _ASCII_BOUNDARY) if ascii_only else (_CLASSES, BOUNDARY)
     out, in_class, i = [], False, 0
     while i < len(pattern):
         ch = pattern[i]
@@ -34,10 +41,10 @@ def _spelled(pattern: str) -> str:
                 i += len(code.group())
                 continue
             i += 2
-            if nxt in _CLASSES:
-                out.append(_CLASSES[nxt] if in_class else f"[{_CLASSES[nxt]}]")
+            if nxt in classes:
+                out.append(classes[nxt] if in_class else f"[{classes[nxt]}]")
             elif nxt == "b" and not in_class:
-                out.append(BOUNDARY)
+                out.append(boundary)
             else:
                 out.append(ch + nxt)
             continue
@@ -61,28 +68,33 @@ def _spelled(pattern: str) -> str:
 # back; and a match can only begin inside such a run where the last match ended or, with a boundary in
 # front, next to one of the run's other characters. Without this, a long run costs its length squared.
 _LOCAL = "[A-Za-z0-9._%+-]"
-_RUN = _spelled(f"[{ANY_CASE}0-9._%+-]")
-_FASTER = {
-    rf"\b{_LOCAL}+@": rf"(?:(?<!{_RUN})|(?<=[.%+\-])|(?=[.%+\-]))(?={_RUN}++@){BOUNDARY}{_RUN}++@",
-    rf"{_LOCAL}+@": rf"(?:\G|(?<!{_RUN})){_RUN}++@",
-}
 
 
-def to_java(pattern: str, ignore_case: bool = False) -> str:
-    """Spell a Python pattern for Java's engine with the same matches."""
+def _faster(ascii_only: bool) -> dict[str, str]:
+    letters, boundary = ("A-Za-z", _ASCII_BOUNDARY) if ascii_only else (ANY_CASE, BOUNDARY)
+    run = _spelled(f"[{letters}0-9._%+-]")
+    return {
+        rf"\b{_LOCAL}+@": rf"(?:(?<!{run})|(?<=[.%+\-])|(?=[.%+\-]))(?={run}++@){boundary}{run}++@",
+        rf"{_LOCAL}+@": rf"(?:\G|(?<!{run})){run}++@",
+    }
+
+
+def to_java(pattern: str, ignore_case: bool = False, ascii_only: bool = False) -> str:
+    """Spell a Python pattern for Java's engine with the same matches; ``ascii_only``: the same in texts of ASCII characters."""
     head, flags = "", ""
+    any_case = "A-Za-z" if ascii_only else ANY_CASE
     if ignore_case:
-        for slow, fast in _FASTER.items():
+        for slow, fast in _faster(ascii_only).items():
             if pattern.startswith(slow):
                 head, pattern = fast, pattern[len(slow) :]
                 break
         # Java's case-blind classes are slow; whole alphabets can be written out instead
-        spelled = re.sub(r"\[[^\]]*\]", lambda m: re.sub(r"A-Z(\|?)a-z", rf"{ANY_CASE}\1", m.group()), pattern)
-        if re.search(r"[A-Za-z]", re.sub(r"\\u[0-9A-Fa-f]{4}|\\.", "", spelled.replace(ANY_CASE, ""))):
+        spelled = re.sub(r"\[[^\]]*\]", lambda m: re.sub(r"A-Z(\|?)a-z", rf"{any_case}\1", m.group()), pattern)
+        if re.search(r"[A-Za-z]", re.sub(r"\\u[0-9A-Fa-f]{4}|\\.", "", spelled.replace(any_case, ""))):
             flags = "(?iu)"
         else:
             pattern = spelled
-    body = head + _spelled(pattern)
+    body = head + _spelled(pattern, ascii_only)
     if body.startswith(BOUNDARY):
         # The spelled-out boundary costs far more than the first characters of the rule: look at those first.
         body = f"(?={body[len(BOUNDARY):]}){body}"
@@ -105,9 +117,17 @@ def has_marks(text: str) -> str:
     return f"contains({text}, '{_OPEN}') or contains({text}, '{_CLOSE}')"
 
 
-def marked(text: str, regex: str, marks: str) -> str:
-    """SQL for the text with marks around every match of a constant ``regex``; null if ``marks``."""
-    return f"if({marks}, null, regexp_replace({text}, {regex}, '{_OPEN}$0{_CLOSE}'))"
+def marked(text: str, regex: str, plain: str, marks: str, ascii_only: str) -> str:
+    """SQL for the text with marks around every match of a constant ``regex``; null if ``marks``. ``plain`` is the same
+    expression spelled for a text of which ``ascii_only`` holds."""
+    around = f"'{_OPEN}$0{_CLOSE}'"
+    return f"""case when {marks} then null when {ascii_only} then regexp_replace({text}, {plain}, {around})
+        else regexp_replace({text}, {regex}, {around}) end"""
+
+
+def has_match(text: str, cut: str) -> str:
+    """SQL for whether a ``marked`` text holds a match; where it is null, the text has been tested before."""
+    return f"{cut} is null or octet_length({cut}) > octet_length({text})"
 
 
 def match_offsets(text: str, cut: str, regex: str, seq: str, score: float) -> str:

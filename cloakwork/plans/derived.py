@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.plans.spread import spread
+from cloakwork.plans.spread import spread, spread_small
 from cloakwork.sources.tables import table
 
 _H = "md5(cast(c_custkey as varchar(20)))"
@@ -126,7 +126,7 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def contacts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spread(table(spark, folder, "customer").select("c_custkey", "c_name"), "c_custkey")
+    rows = spread_small(table(spark, folder, "customer").select("c_custkey", "c_name"), "c_custkey")
     return rows.select(F.col("c_custkey").alias("doc_id"), F.expr(CONTACT_TEXT).alias("text"))
 
 

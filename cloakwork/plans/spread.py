@@ -15,3 +15,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     wanted = df.sparkSession.conf.get(PARTITIONS, None)
     return df.repartition(int(wanted), *keys) if wanted and not df.isStreaming else df
+
+
+def spread_small(df: DataFrame, *keys: str) -> DataFrame:
+    """The same for narrow rows that much work hangs on: they are dealt out without the setting as well.
+
+    A scan has a task for some megabytes of input, and one file's rows may all lie in one row group. Such rows are many in a
+    megabyte, so all their work would be done by one task or a few, however many cores there are.
+    """
+    session = df.sparkSession
+    if session.conf.get(PARTITIONS, None):
+        return spread(df, *keys)
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 3 * session.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)
