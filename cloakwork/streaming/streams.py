@@ -21,9 +21,10 @@ from cloakwork.streaming import sessions
 
 
 def read_folder(spark: SparkSession, folder: str, name: str, ts: str | None = None) -> DataFrame:
-    """A parquet table of a folder as a stream; ``ts`` is cast so that it can carry a watermark."""
+    """A parquet table of a folder, one file or a folder of files, as a stream; ``ts`` is cast so that it can carry a watermark."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # a pattern that only the table's own path fits: a plain path would have to be a folder
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
     return stream.withColumn(ts, F.col(ts).cast("timestamp")) if ts else stream
 
 

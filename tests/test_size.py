@@ -8,9 +8,11 @@ from test_masking import SHAPES
 
 from cloakwork.functions.detection import with_candidates
 from cloakwork.functions.regex import to_java
+from cloakwork.operators import audit, crypto
 from cloakwork.plans import derived
 from cloakwork.plans.spread import PARTITIONS
 from cloakwork.sources.rules import active_rules
+from cloakwork.streaming import streams
 
 
 def test_contacts_of_one_file_are_dealt_out(spark, tmp_path):
@@ -48,3 +50,45 @@ def test_ascii_spelling_has_no_costly_class():
     for rule in active_rules():
         spelled = to_java(rule.regex, rule.ignore_case, ascii_only=True)
         assert r"\p{" not in spelled and not spelled.startswith("(?="), rule
+
+
+def test_folder_of_files_is_streamed_like_one_file(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"mail u{i}@example.com") for i in range(30)], "doc_id long, text string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/many/documents.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part")
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "one" / "documents.parquet")
+    for name in ("many", "one"):
+        stream = streams.read_folder(spark, f"{tmp_path}/{name}", "documents")
+        assert streams.drain(stream, f"{tmp_path}/run-{name}").select("doc_id").distinct().count() == 30
+
+
+def test_rows_are_not_gathered_by_period(spark):
+    rows = spark.range(50).select(
+        F.lit("s").alias("session_id"), F.col("id").cast("string").alias("token"), F.lit("v").alias("value"), F.timestamp_seconds(F.col("id") % 2 * 86400).alias("ts")
+    )
+    keys = crypto.key_frame(spark, {"k": "b2xkLW1hc3Rlci1rZXktMzItYnl0ZXMtbG9uZy0tLS0="}, [0, 1])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sealed = crypto.encrypt_values(rows, keys, "k")
+        opened = crypto.decrypt_values(sealed, keys, ["k"])
+        plan = opened._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
+        assert opened.filter("value = 'v'").count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_partial_quality_finds_spans_once(spark):
+    ran = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            ran.add(len(batch))
+            yield batch
+
+    spans = spark.createDataFrame([(i, "A", 0, 4) for i in range(20)], "doc_id long, entity_type string, start int, end int")
+    out = audit.partial_quality(spans.mapInPandas(told, spans.schema), spans).first()
+    assert (out.n_found, out.n_true, out.n_partial, out.n_exact) == (20, 20, 20, 20)
+    assert ran.value == 20
