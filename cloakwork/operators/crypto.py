@@ -78,9 +78,11 @@ def _seal(value: str, key_bytes: str) -> Column:
 def encrypt_values(rows: DataFrame, keys: DataFrame, key_id: str, ts: str = "ts", period_seconds: int = PERIOD_SECONDS) -> DataFrame:
     """Replace ``value`` by ``sealed`` (AES-GCM) with the key of its period; adds ``key_id, period``.
 
+    Keys go to the rows: a row for each period, all of whose values would else be brought together in one task.
+
     A value whose period has no key, or that has no time, stops the job. A null value stays null.
     """
-    mine = keys.filter(F.col("key_id") == key_id)
+    mine = F.broadcast(keys.filter(F.col("key_id") == key_id))
     out = rows.withColumn("period", key_period(F.col(ts), period_seconds)).join(mine, "period", "left")
     return out.withColumn("sealed", _seal("value", "key_bytes")).drop("key_bytes", "value")
 
@@ -122,13 +124,13 @@ def decrypt_values(
         )
 
     if "key_id" in rows.columns:
-        named = keys.filter(F.col("key_id").isin(key_ids)).withColumnRenamed("key_bytes", "_k0")
+        named = F.broadcast(keys.filter(F.col("key_id").isin(key_ids)).withColumnRenamed("key_bytes", "_k0"))
         out, tries = rows.join(named, ["period", "key_id"], "left"), ["_k0"]
     else:
         out, tries = rows, [f"_k{i}" for i in range(len(key_ids))]
         for name, kid in zip(tries, key_ids):
             mine = keys.filter(F.col("key_id") == kid).select("period", F.col("key_bytes").alias(name))
-            out = out.join(mine, "period", "left")
+            out = out.join(F.broadcast(mine), "period", "left")
     value = F.coalesce(*[opened(name) for name in tries]).cast("string")
     if as_of_period is not None:
         value = F.when(F.col("period").isin(as_of_period, as_of_period - 1), value)
@@ -143,7 +145,7 @@ def rekey(rows: DataFrame, keys: DataFrame, old_ids: list[str], new_id: str) ->
     was = rows.withColumns({"_sealed": F.col("sealed"), "_key_id": F.col("key_id")})
     opened = decrypt_values(was, keys, old_ids).drop("key_id")
     mine = keys.filter(F.col("key_id") == new_id).select("period", F.col("key_bytes").alias("_new"))
-    out = opened.join(mine, "period", "left")
+    out = opened.join(F.broadcast(mine), "period", "left")
     done = F.col("value").isNotNull()
     return out.select(
         *[c for c in rows.columns if c not in ("sealed", "key_id")],
