@@ -228,6 +228,8 @@ def matched_spans(found: DataFrame, gold: DataFrame, key: str = "doc_id") -> Dat
 def partial_quality(found: DataFrame, gold: DataFrame, key: str = "doc_id", least: float = 0.5) -> DataFrame:
     """Per entity type: spans found and true, matched pairs at a share of ``least`` and exact ones, the sum of all shares to six places, and
     precision and recall for each of the three."""
+    # both are read three times, and finding spans may be costly
+    found, gold = (stored(x.select(key, "entity_type", "start", "end")) for x in (found, gold))
     matched = matched_spans(found, gold, key).groupBy("entity_type").agg(
         F.count(F.when(F.col("share") >= least, 1)).alias("n_partial"), F.count(F.when(F.col("share") == 1, 1)).alias("n_exact"),
         F.round(F.sum("share"), 6).alias("credit"),

@@ -821,6 +821,7 @@ def _arriving(df: DataFrame, work: str, batches: int = 4, files: int = 2) -> Dat
     """``df`` (``session_id, ts, op_id`` and more) as a stream that arrives in the thirds of its time, one micro-batch each. Every
     seventh row comes one batch later than it should, most of them behind the watermark by then. At last comes a row of a
     year later in a session of its own, which lets everything before it go."""
+    df = stored(df)  # read once for its bounds and once for each batch
     us = F.unix_micros("ts")
     low, high = df.agg(F.min(us), F.max(us)).first()
     third = F.expr(f"(unix_micros(ts) - {low or 0}) * 3 div {(high or 0) - (low or 0) + 1}")
