@@ -1,6 +1,7 @@
 """Rule matching as one narrow projection: text in, array of candidate spans out, no shuffle.
 
-Three steps per text, all built-in expressions:
+Texts of ASCII characters go through ``scan``, batch by batch, with all rules that it can take. Other texts, and other rules,
+take three steps per text, all built-in expressions:
 
 1. *Digests*: a few shortened copies of the text that keep everything a family of rules can match
    (digits with their surroundings; long words). Most texts shrink to almost nothing.
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.functions.regex import ASCII_DIGIT, ASCII_WORD, DIGIT, has_marks, has_match, marked, match_offsets, sql_string, to_java
+from cloakwork.functions.scan import match_spans, to_re2
 from cloakwork.sources.rules import REGEX_SCORE, Rule
 
 SPAN = "struct<start:int,end:int,seq:int,score:double>"
@@ -56,6 +58,22 @@ GATES = {
     "iban": ("{p}iban", "{text}"),
     None: ("true", "{text}"),
 }
+_ASCII_FOUR, _ASCII_SIX = (f"[0-9](?:[^0-9]{{0,3}}[0-9]){{{n}}}" for n in (3, 5))
+# gate -> what must match in a text of ASCII characters
+ASCII_GATES = {
+    "at": "@",
+    "quote": "\"|'@",
+    "digits4": _ASCII_FOUR,
+    "digits6": _ASCII_SIX,
+    "numbers4": _ASCII_FOUR,
+    "numbers6": _ASCII_SIX,
+    "longword": f"{_WORD_CHAR}{{20}}",
+    "jwt": "eyJ",
+    "hexcolon": ":(?:[0-9a-fA-F]{1,4})?:",
+    "hexpair": r"[:-][0-9A-Fa-f]{2}[:-]|\.[0-9A-Fa-f]{4}\.",
+    "iban": "[A-Z]{2}[0-9]{2}",
+    None: None,
+}
 
 
 def _digests(text: str, p: str) -> list[dict[str, str]]:
@@ -90,10 +108,26 @@ def with_candidates(df: DataFrame, text: str, rules: list[Rule], out: str, gated
     """Add ``out``: every match of every rule in column ``text`` (null or blank text: none)."""
     if not rules:
         return df.withColumn(out, F.expr(EMPTY_SPANS))
-    p = "_digest_"
     keep = [F.col(f"`{c}`") for c in df.columns]
     text_sql = f"`{text}`"
-    df = df.select(*keep)
+    scanned = [(r, to_re2(r.regex, r.ignore_case)) for r in rules]
+    quick = [(r.ord, regex, ASCII_GATES[r.gate if gated else None]) for r, regex in scanned if regex]
+    others = [r for r, regex in scanned if not regex]
+    plain = f"(length({text_sql}) = octet_length({text_sql}) and not ({has_marks(text_sql)}))"
+    df = df.select(*keep, F.expr(f"if({plain}, {text_sql}, null)").alias("_plain"), F.expr(f"if({plain}, null, {text_sql})").alias("_uneven"))
+    parts = []
+    if quick:
+        df = df.select("*", match_spans(F.col("_plain"), quick, REGEX_SCORE).alias("_quick"))
+        df, spans = _with_spans(df, "`_uneven`", "_digest_", [r for r, regex in scanned if regex], gated)
+        parts += ["_quick", f"if(_uneven is null, {EMPTY_SPANS}, {spans})"]
+    if others:
+        df, spans = _with_spans(df, text_sql, "_whole_", others, gated)
+        parts.append(spans)
+    return df.select(*keep, F.expr(f"concat({', '.join(parts)})").alias(out))
+
+
+def _with_spans(df: DataFrame, text_sql: str, p: str, rules: list[Rule], gated: bool) -> tuple[DataFrame, str]:
+    """``df`` with digests of a text, named after ``p``, and SQL for every match of the rules."""
     # digests that no rule asks for are pruned away
     for step in _digests(text_sql, p):
         df = df.select("*", *[F.expr(sql).alias(name) for name, sql in step.items()])
@@ -111,5 +145,4 @@ def with_candidates(df: DataFrame, text: str, rules: list[Rule], out: str, gated
         )
     table = ", ".join(sql_string(to_java(r.regex, r.ignore_case)) for r in rules)
     offsets = match_offsets(text_sql, "r.cut", f"array({table})[r.i]", "r.ord", REGEX_SCORE)
-    spans = f"flatten(transform(filter(array({', '.join(hits)}), h -> h is not null and ({has_match(text_sql, 'h.cut')})), r -> {offsets}))"
-    return df.select(*keep, F.expr(spans).alias(out))
+    return df, f"flatten(transform(filter(array({', '.join(hits)}), h -> h is not null and ({has_match(text_sql, 'h.cut')})), r -> {offsets}))"

@@ -69,11 +69,11 @@ def _islands(spans: str) -> str:
     """
     block = f"slice({spans}, b * {_BLOCK} + 1, {_BLOCK})"
     blocks = f"sequence(0, cast(ceil(size({spans}) / {_BLOCK}) as int) - 1)"
-    reach = "coalesce(array_max(transform(slice(k, 1, i), e -> e.end)), -1)"
-    begins = f"""transform(filter(sequence(0, size(k) - 1), i -> k[i].start >= greatest({reach},
-        coalesce(array_max(slice(far, 1, b)), -1))), i -> b * {_BLOCK} + i)"""
-    first = f"flatten(transform({blocks}, b -> flatten(transform(array({block}), k -> {begins}))))"
-    far = f"transform({blocks}, b -> array_max(transform({block}, e -> e.end)))"
+    begins = f"""transform(filter(sequence(0, size(k) - 1), i -> k[i].start >= greatest(head, coalesce(array_max(slice(ends, 1, i)), -1))),
+        i -> b * {_BLOCK} + i)"""
+    named = f"flatten(transform(array({block}), k -> flatten(transform(array(k.end), ends -> {begins}))))"
+    first = f"flatten(transform({blocks}, b -> flatten(transform(array(coalesce(array_max(slice(far, 1, b)), -1)), head -> {named}))))"
+    far = f"transform({blocks}, b -> array_max({block}.end))"
     return f"""element_at(transform(array({far}), far -> element_at(transform(array({first}), at ->
         transform(at, (a, i) -> slice({spans}, a + 1, coalesce(get(at, i + 1), size({spans})) - a))), 1)), 1)"""
 

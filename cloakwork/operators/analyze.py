@@ -45,7 +45,7 @@ def analyze(
                                         'score', e.score) as {SPAN})), e -> e.end > e.start), _cand)"""
         has_text = f"`{text}` rlike {sql_string(f'[^{SPACE}]')}"
         cand = f"if({has_text}, {cand}, cast(array() as array<{SPAN}>))"
-    df = df.select(*keep, F.expr(f"array_sort({cand})").alias("_sorted"))
+    df = df.select(*keep, F.expr(f"sort_array({cand})").alias("_sorted"))
     df = df.select(*keep, F.expr(resolved("_sorted", mode)).alias("_kept"))
     return settled(df, decorated("_kept", f"`{text}`", _labels(rules, external)), out, ("_kept",))
 
