@@ -94,8 +94,9 @@ def a3_vault_sink(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{work_folder(spark)}/log"
     masked = _masked(spark, folder, "contacts").withColumn("ts", F.timestamp_seconds(F.col("doc_id")))
     tables.write_vault(vault.log_rows(masked, "put", "ts", "doc_id"), path, day="ts")
-    gone = masked.filter("doc_id % 7 = 0").withColumn("ts", F.expr("ts + interval 1 day"))
-    tables.write_vault(vault.log_rows(gone, "delete", "ts", "doc_id"), path, day="ts")
+    # a deletion needs no mask
+    gone = derived.contacts(spark, folder).filter("doc_id % 7 = 0").withColumn("ts", F.timestamp_seconds(F.col("doc_id")) + F.expr("interval 1 day"))
+    tables.write_vault(vault.log_rows(gone, "delete", "ts", "doc_id", session="doc_id"), path, day="ts")
     log = spark.read.parquet(path).drop("day")
     kept = vault.current(log, F.to_timestamp(F.lit("2030-01-01")), 2_000_000_000)
     return kept.select("session_id", F.col("ord.ord").cast("long").alias("ord"), "token", "value")
@@ -567,7 +568,8 @@ def f2_overwrite(spark: SparkSession, folder: str) -> DataFrame:
         F.timestamp_seconds(F.col("doc_id")).alias("ts"),
         "token_map",
     )
-    log = vault.log_rows(masked, "put", "ts", "doc_id")
+    # read twice: for the live sessions and for their rows
+    log = stored(vault.log_rows(masked, "put", "ts", "doc_id"))
     return vault.current(log, F.to_timestamp(F.lit("2030-01-01")), 2_000_000_000).select("session_id", "token", "value")
 
 
