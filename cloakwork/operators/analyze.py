@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cloakwork.functions.columns import settled
 from cloakwork.functions.detection import SPAN, with_candidates
 from cloakwork.functions.masking import decorated
-from cloakwork.functions.overlap import resolved
+from cloakwork.functions.overlap import kept_places
 from cloakwork.functions.regex import SPACE, sql_string
 from cloakwork.sources.rules import Rule, active_rules
 
@@ -45,8 +45,9 @@ def analyze(
                                         'score', e.score) as {SPAN})), e -> e.end > e.start), _cand)"""
         has_text = f"`{text}` rlike {sql_string(f'[^{SPACE}]')}"
         cand = f"if({has_text}, {cand}, cast(array() as array<{SPAN}>))"
-    df = df.select(*keep, F.expr(f"sort_array({cand})").alias("_sorted"))
-    df = df.select(*keep, F.expr(resolved("_sorted", mode)).alias("_kept"))
+    df = settled(df.select(*keep, F.expr(cand).alias("_cand")), "sort_array(_cand)", "_sorted", ("_cand",))
+    df = df.select(*keep, "_sorted", kept_places(F.col("_sorted"), mode).alias("_places"))
+    df = df.select(*keep, F.expr("transform(_places, p -> _sorted[p.at])").alias("_kept"))
     return settled(df, decorated("_kept", f"`{text}`", _labels(rules, external)), out, ("_kept",))
 
 

@@ -8,25 +8,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cloakwork.functions.detection import SPAN
-from cloakwork.functions.overlap import resolved
+from cloakwork.functions.overlap import island_numbers, kept_places
 from cloakwork.plans.skew import join_hot, running
 from cloakwork.plans.stored import stored
 
 CHUNK = 65_536
 
 
+def _stretches(spans: DataFrame, key: str, chunk: int) -> DataFrame:
+    """``key, _run, _all``: the spans of each text, sorted, in arrays that no span reaches out of.
+
+    Spans are gathered by ``chunk`` characters of a text, where they are and with partial aggregation; a chunk that an earlier span reaches
+    into then joins the one before it. Spans without a text or a start have no place and are left out.
+    """
+    details = [c for c in spans.columns if c not in (key, "start", "end", "seq", "score")]
+    score = F.col("score") if "score" in spans.columns else F.lit(0.0).alias("score")
+    entry = F.struct("start", "end", "seq", score, F.struct(F.lit(0), *details).alias("d"))
+    placed = spans.filter(F.col(key).isNotNull() & F.col("start").isNotNull())
+    pieces = placed.groupBy(key, F.floor(F.col("start") / chunk).alias("_bucket")).agg(
+        F.collect_list(entry).alias("_all"), F.min("start").alias("_first"), F.max("end").alias("_reach")
+    )
+    by_text = Window.partitionBy(key).orderBy("_bucket")
+    reached = F.max("_reach").over(by_text.rowsBetween(Window.unboundedPreceding, -1)) > F.col("_first")
+    pieces = pieces.withColumn("_begins", F.when(reached, 0).otherwise(1))
+    pieces = pieces.withColumn("_run", F.sum("_begins").over(by_text.rowsBetween(Window.unboundedPreceding, 0)))
+    return pieces.groupBy(key, "_run").agg(F.sort_array(F.flatten(F.collect_list("_all"))).alias("_all"))
+
+
+_BARE = f"transform(_all, a -> cast(named_struct('start', a.start, 'end', a.end, 'seq', a.seq, 'score', a.score) as {SPAN}))"
+
+
+def _before(stretches: DataFrame, key: str, islands: str) -> DataFrame:
+    """Add ``_before``: how many islands the text has in earlier stretches."""
+    earlier = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    return stretches.withColumn("_before", F.coalesce(F.sum(F.expr(islands)).over(earlier), F.lit(0)))
+
+
 def islands(spans: DataFrame, key: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
     """Add ``island``: spans connected by overlaps share a number, counted from 1 along the text."""
-    order = [F.col("start"), F.col("end"), F.col("seq")]
-    bucket = F.floor(F.col("start") / chunk)
-    out = running(spans, [key], bucket, order, F.col("end"), "_reach", "max")
-    # the second pass uses its input twice
-    out = stored(out)
-    begins = F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), 1).otherwise(0)
-    out = running(out.withColumn("_begins", begins), [key], bucket, order, F.col("_begins"), "_before")
-    return out.withColumn("island", F.col("_before") + F.col("_begins")).drop("_reach", "_begins", "_before")
+    out = _stretches(spans, key, chunk).withColumn("_island", island_numbers(F.expr(_BARE)))
+    out = _before(out, key, "element_at(_island, -1) + 1")
+    out = out.select(key, "_before", "_island", F.posexplode("_all").alias("_i", "s"))
+    own = {c: f"s.`{c}`" for c in ("start", "end", "seq", "score")} | {key: f"`{key}`"}
+    return out.select(*[F.col(own.get(c, f"s.d.`{c}`")).alias(c) for c in spans.columns], F.expr("_before + _island[_i] + 1").alias("island"))
 
 
 def resolve_overlaps(spans: DataFrame, key: str = "doc_id", mode: str = "compat") -> DataFrame:
@@ -35,14 +62,12 @@ def resolve_overlaps(spans: DataFrame, key: str = "doc_id", mode: str = "compat"
     Choices in one island do not depend on another, so each island is decided on its own.
     """
     details = [c for c in spans.columns if c not in (key, "start", "end", "seq", "score")]
-    grouped = islands(spans, key).groupBy(key, "island").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "seq", "score", F.struct(F.lit(0), *details).alias("d")))).alias("_all")
+    kept = _stretches(spans, key, CHUNK).withColumn("_places", kept_places(F.expr(_BARE), mode))
+    kept = _before(kept, key, "element_at(_places, -1).island + 1")
+    kept = kept.select(key, F.explode(F.expr("transform(_places, p -> named_struct('s', _all[p.at], 'island', _before + p.island + 1, 'pos', p.pos))")).alias("k"))
+    return kept.select(
+        key, "k.s.start", "k.s.end", "k.s.seq", "k.island", F.col("k.pos").alias("emit_pos"), "k.s.score", *[F.col(f"k.s.d.`{c}`").alias(c) for c in details]
     )
-    bare = f"transform(_all, a -> cast(named_struct('start', a.start, 'end', a.end, 'seq', a.seq, 'score', a.score) as {SPAN}))"
-    kept = grouped.select(key, "island", "_all", F.expr(bare).alias("_spans"))
-    whole = F.expr(f"transform({resolved('_spans', mode)}, s -> element_at(_all, cast(array_position(_spans, s) as int)))")
-    kept = kept.select(key, "island", F.posexplode_outer(whole).alias("emit_pos", "s"))
-    return kept.select(key, "s.start", "s.end", "s.seq", "island", "emit_pos", "s.score", *[F.col(f"s.d.`{c}`").alias(c) for c in details])
 
 
 def overlap_counts(spans: DataFrame, key: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
@@ -109,5 +134,6 @@ def order_spans(kept: DataFrame, key: str = "doc_id", chunk: int = CHUNK) -> Dat
 def _count_back(kept: DataFrame, keys: list[str], chunk: int, out: str, first: int) -> DataFrame:
     bucket = -F.floor(F.col("start") / chunk)
     order = [F.col("start").desc(), F.col("island"), F.col("emit_pos")]
-    counted = running(kept, keys, bucket, order, F.lit(1), out)
+    # both the running value and what lies before a bucket read their input
+    counted = running(stored(kept), keys, bucket, order, F.lit(1), out)
     return counted.withColumn(out, F.col(out) + first)

@@ -302,7 +302,7 @@ def c2_resolve_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def c3_islands(spark: SparkSession, folder: str) -> DataFrame:
-    out = spans.islands(_spans(spark, folder), chunk=256)
+    out = spans.islands(_spans(spark, folder).select("doc_id", "start", "end", "seq"), chunk=256)
     return out.groupBy("doc_id", "island").agg(
         F.min("start").cast("long").alias("island_start"),
         F.max("end").cast("long").alias("island_end"),
