@@ -1,7 +1,7 @@
 """Rule matching as one narrow projection: text in, array of candidate spans out, no shuffle.
 
-Texts of ASCII characters go through ``scan``, batch by batch, with all rules that it can take. Other texts, and other rules,
-take three steps per text, all built-in expressions:
+Texts of ASCII characters go through ``scan``, batch by batch, with all rules that it can take, and other texts with those of them
+that see only kinds of other characters. Rules and texts that are left take three steps per text, all built-in expressions:
 
 1. *Digests*: a few shortened copies of the text that keep everything a family of rules can match
    (digits with their surroundings; long words). Most texts shrink to almost nothing.
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.functions.regex import ASCII_DIGIT, ASCII_WORD, DIGIT, has_marks, has_match, marked, match_offsets, sql_string, to_java
-from cloakwork.functions.scan import match_spans, to_re2
+from cloakwork.functions.scan import OTHER_DIGIT, foldable, match_spans, to_re2
 from cloakwork.sources.rules import REGEX_SCORE, Rule
 
 SPAN = "struct<start:int,end:int,seq:int,score:double>"
@@ -110,16 +110,26 @@ def with_candidates(df: DataFrame, text: str, rules: list[Rule], out: str, gated
         return df.withColumn(out, F.expr(EMPTY_SPANS))
     keep = [F.col(f"`{c}`") for c in df.columns]
     text_sql = f"`{text}`"
-    scanned = [(r, to_re2(r.regex, r.ignore_case)) for r in rules]
-    quick = [(r.ord, regex, ASCII_GATES[r.gate if gated else None]) for r, regex in scanned if regex]
-    others = [r for r, regex in scanned if not regex]
+    scanned = [(r, to_re2(r.regex, r.ignore_case), foldable(r.regex, r.ignore_case)) for r in rules]
+    quick = [(r.ord, regex, ASCII_GATES[r.gate if gated else None], fold) for r, regex, fold in scanned if regex]
+    others = [r for r, regex, _ in scanned if not regex]
     plain = f"(length({text_sql}) = octet_length({text_sql}) and not ({has_marks(text_sql)}))"
-    df = df.select(*keep, F.expr(f"if({plain}, {text_sql}, null)").alias("_plain"), F.expr(f"if({plain}, null, {text_sql})").alias("_uneven"))
+    odd = f"(not {plain} and {text_sql} rlike {sql_string(OTHER_DIGIT)})"
+    df = df.select(
+        *keep,
+        F.expr(f"if({odd}, null, {text_sql})").alias("_even"),
+        F.expr(f"if({plain}, null, {text_sql})").alias("_uneven"),
+        F.expr(f"if({odd}, {text_sql}, null)").alias("_odd"),
+    )
     parts = []
     if quick:
-        df = df.select("*", match_spans(F.col("_plain"), quick, REGEX_SCORE).alias("_quick"))
-        df, spans = _with_spans(df, "`_uneven`", "_digest_", [r for r, regex in scanned if regex], gated)
-        parts += ["_quick", f"if(_uneven is null, {EMPTY_SPANS}, {spans})"]
+        df = df.select("*", match_spans(F.col("_even"), quick, REGEX_SCORE).alias("_quick"))
+        parts.append("_quick")
+        for column, fold in (("_uneven", False), ("_odd", True)):
+            some = [r for r, regex, folds in scanned if regex and folds == fold]
+            if some:
+                df, spans = _with_spans(df, column, f"_digest{column}_", some, gated)
+                parts.append(f"if({column} is null, {EMPTY_SPANS}, {spans})")
     if others:
         df, spans = _with_spans(df, text_sql, "_whole_", others, gated)
         parts.append(spans)

@@ -1,12 +1,16 @@
-"""Rule matching over batches of ASCII texts, with Arrow's regular expressions (RE2) inside Spark's tasks.
+"""Rule matching over batches of texts, with Arrow's regular expressions (RE2) inside Spark's tasks.
 
 Java tries a rule at every place of a text anew; RE2 reads the text once for a rule, a whole batch in one call. It knows no look-around
 and only ASCII boundaries, so it takes the texts and the rules for which that makes no difference; ``detection`` does the others.
+
+Most rules see no more of a character beyond ASCII than whether it is a letter, white space or neither. For them a text is *folded*: each
+such character is replaced by one of three that stand for these kinds and that the rule names nowhere.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,12 +50,42 @@ def to_re2(pattern: str, ignore_case: bool = False) -> str | None:
     return None if any(m.start() == m.end() for probe in probes for m in re.finditer(pattern, probe)) else spelled
 
 
-def match_spans(text: Column, rules: list[tuple[int, str, str | None]], score: float) -> Column:
-    """``array<struct<start,end,seq,score>>`` of every match in ``text``, ASCII without the characters 1 and 2, by start. A rule is
-    ``(seq, pattern, gate)``, spelled for RE2; it is only run over texts in which its gate matches. A null text has none.
+# What stands for letters and numbers, white space and all others in a folded text. The last also stands for the characters 1 and 2.
+_LETTER, _SPACE, _OTHER = "_", "\x1f", "\x03"
+# Other digits than ASCII's: a text that holds one is not folded.
+OTHER_DIGIT = r"[\p{Nd}&&[^0-9]]"
+
+
+def foldable(pattern: str, ignore_case: bool = False) -> bool:
+    """Whether a Python pattern has the same matches in a folded text: no literal and no class names what stands for others, or letters
+    beyond ASCII."""
+    if ignore_case or re.search(r"_|\\[xuUN0-7]|[\x00-\x1f]", pattern):
+        return False
+    for found in re.finditer(r"\[\^?((?:\\.|[^\]\\])+)\]", pattern):
+        named = re.sub(r"\\[wdsWDS]", "", found.group(1))
+        if named.strip("-") and re.search(f"[{named.removeprefix('^')}]", _LETTER + _SPACE + _OTHER):
+            return False
+    return True
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> tuple[bytes, bytes]:
+    """Runs of code points with one stand-in: their lengths and the stand-ins."""
+    ascii_part = bytes(range(128)).replace(b"\x01", _OTHER.encode()).replace(b"\x02", _OTHER.encode())
+    rest = "".join(_SPACE if c.isspace() else _LETTER if c.isalnum() else _OTHER for c in map(chr, range(128, sys.maxunicode + 1)))
+    codes = np.frombuffer(ascii_part + rest.encode(), np.uint8)
+    begins = np.flatnonzero(np.diff(codes, prepend=np.uint8(255)))
+    return np.diff(begins, append=len(codes)).astype(np.int32).tobytes(), codes[begins].tobytes()
+
+
+def match_spans(text: Column, rules: list[tuple[int, str, str | None, bool]], score: float) -> Column:
+    """``array<struct<start,end,seq,score>>`` of every match in ``text``, by start. A rule is ``(seq, pattern, gate, folded)``, spelled for
+    RE2; it is only run over texts in which its gate matches. Texts that are not of ASCII characters, or hold the characters 1 or 2, go
+    through the rules that are ``folded`` only. A null text has none.
 
     All functions are made here, so that they travel with the task and workers need not import this package.
     """
+    lengths, stand_ins = _kinds()
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seq", pa.int32()), ("score", pa.float64())])
 
     def slices(texts: pa.Array) -> Iterator[pa.Array]:
@@ -76,16 +110,42 @@ def match_spans(text: Column, rules: list[tuple[int, str, str | None]], score: f
         before = 2 * (np.arange(len(row)) - (np.cumsum(per_row) - per_row)[row]) + offsets[row]
         return row, opened - before, closed - before - 1
 
+    def folded(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The texts folded, a byte for each character, and which of them did not need it."""
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        odd = np.flatnonzero((data >= 128) | (data - np.uint8(1) < 2))
+        if not len(odd):
+            return texts, np.ones(len(texts), bool)
+        plain = np.searchsorted(odd, offsets[1:]) == np.searchsorted(odd, offsets[:-1])
+        whole = odd[data[odd] >= 192]  # first bytes of longer characters
+        after = np.concatenate([data, np.zeros(3, np.uint8)])
+        a, b, c, d = (after[whole + i].astype(np.int32) for i in range(4))
+        code = (a & 31) << 6 | b & 63
+        code = np.where(a >= 224, (a & 15) << 12 | (b & 63) << 6 | c & 63, code)
+        code = np.where(a >= 240, (a & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | d & 63, code)
+        table = np.repeat(np.frombuffer(stand_ins, np.uint8), np.frombuffer(lengths, np.int32))
+        out = data.copy()
+        out[odd] = table[np.minimum(data[odd], 127)]
+        out[whole] = table[np.minimum(code, len(table) - 1)]
+        first = (data & 192) != 128
+        ends = offsets - np.searchsorted(np.flatnonzero(~first), offsets)
+        buffers = [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(out[first].tobytes())]
+        return pa.Array.from_buffers(pa.large_string(), len(texts), buffers), plain
+
     def found_in(texts: pa.Array) -> pa.Array:
         rows = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False))
-        filled = texts.drop_null().cast(pa.large_string())
-        passed = {None: (rows, filled)}
+        filled, plain = folded(texts.drop_null().cast(pa.large_string()))
+        passed = {(None, True): (rows, filled)}
         out = []
-        for seq, pattern, gate in rules:
-            if gate not in passed:
-                through = pc.match_substring_regex(filled, pattern=gate)
-                passed[gate] = (rows[through.to_numpy(zero_copy_only=False)], filled.filter(through))
-            own, some = passed[gate]
+        for seq, pattern, gate, fold in rules:
+            if (gate, fold) not in passed:
+                through = pc.match_substring_regex(filled, pattern=gate) if gate else pa.array(np.ones(len(filled), bool))
+                through = through if fold else pc.and_(through, pa.array(plain))
+                passed[gate, fold] = (rows[through.to_numpy(zero_copy_only=False)], filled.filter(through))
+            own, some = passed[gate, fold]
             if not len(own):
                 continue
             marked = pc.replace_substring_regex(some, pattern=pattern, replacement="\x01\\0\x02")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.plans.spread import spread, spread_small
+from cloakwork.plans.spread import spread, spread_few, spread_small
 from cloakwork.sources.tables import table
 
 _H = "md5(cast(c_custkey as varchar(20)))"
@@ -118,11 +118,11 @@ def fake_values(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents"), "doc_id")
+    return spread_few(table(spark, folder, "documents"), "doc_id")
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "pages").select("page_id", F.col("html").alias("text")), "page_id")
+    return spread_few(table(spark, folder, "pages").select("page_id", F.col("html").alias("text")), "page_id")
 
 
 def contacts(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,7 +134,8 @@ def contact_truth(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, entity_type, start, end``: what the contacts were made to hold."""
     rows = ", ".join(f"struct('{kind}' AS entity_type, {start} AS start, {end} AS end)" for kind, start, end in CONTACT_TRUTH)
     lengths = [F.expr(sql).alias(name) for name, sql in CONTACT_LENGTHS.items()]
-    sized = table(spark, folder, "customer").select(F.col("c_custkey").alias("doc_id"), *lengths)
+    rows_of = spread_small(table(spark, folder, "customer").select("c_custkey", "c_name"), "c_custkey")
+    sized = rows_of.select(F.col("c_custkey").alias("doc_id"), *lengths)
     return sized.select("doc_id", F.explode(F.expr(f"array({rows})")).alias("t")).select("doc_id", "t.*")
 
 

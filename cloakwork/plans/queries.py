@@ -52,8 +52,8 @@ def _vault(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, folder: str) -> DataFrame:
-    """Rule matches in contacts, written as a span table."""
-    return stored(detect.candidate_spans(derived.contacts(spark, folder)).withColumnRenamed("ord", "seq"))
+    """Rule matches in contacts, as a span table. Where it is read more than once, it is written first."""
+    return detect.candidate_spans(derived.contacts(spark, folder)).withColumnRenamed("ord", "seq")
 
 
 # ------------------------------------------------------------------ sources and sinks
@@ -323,15 +323,15 @@ def c5_span_count(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def c6_overlap_counts(spark: SparkSession, folder: str) -> DataFrame:
-    out = spans.overlap_counts(_spans(spark, folder), chunk=256)
-    return _spans_out(_bigints(out, "seq").drop("value"), "doc_id", "seq", "overlaps")
+    out = spans.overlap_counts(stored(_spans(spark, folder).drop("value")), chunk=256)
+    return _spans_out(_bigints(out, "seq"), "doc_id", "seq", "overlaps")
 
 
 @query
 def c6_agreement(spark: SparkSession, folder: str) -> DataFrame:
     """The model's findings in contacts against the rules' matches."""
     model = detect.map_labels(derived.model_findings(spark, folder))
-    return audit.agreement(model, _spans(spark, folder))
+    return audit.agreement(model, stored(_spans(spark, folder).select("doc_id", "entity_type", "pattern", "start", "end")))
 
 
 # ------------------------------------------------------------------ masking

@@ -28,3 +28,12 @@ def spread_small(df: DataFrame, *keys: str) -> DataFrame:
         return spread(df, *keys)
     parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 3 * session.sparkContext.defaultParallelism)
     return df.repartition(parts, *keys)
+
+
+def spread_few(df: DataFrame, *keys: str) -> DataFrame:
+    """The same for texts where they lie in fewer files than there is work for: a file may be a single row group, which one task
+    reads and matches alone, however large it is. Tables of many files stay where they are."""
+    session = df.sparkSession
+    if not session.conf.get(PARTITIONS, None) and not df.isStreaming and len(df.inputFiles()) < 3 * session.sparkContext.defaultParallelism:
+        return spread_small(df, *keys)
+    return spread(df, *keys)

@@ -7,7 +7,7 @@ from second_opinion import candidates
 from test_masking import SHAPES
 
 from cloakwork.functions.detection import with_candidates
-from cloakwork.functions.scan import SLICE, to_re2
+from cloakwork.functions.scan import SLICE, foldable, to_re2
 from cloakwork.plans import queries
 from cloakwork.sources.rules import Rule, active_rules, default_rules
 
@@ -32,6 +32,36 @@ def test_scanned_texts_match_as_python_does(spark):
         assert sorted((s.start, s.end, s.seq) for s in r.c) == want, texts[r.doc_id][:200]
 
 
+def test_rules_that_name_a_stand_in_are_not_folded():
+    named = [r.pattern for r in default_rules() if not foldable(r.regex, r.ignore_case)]
+    assert named == ["standard", "unicode", "unicode_simple", "unicode_domain", "quoted", "google_api", "github_token", "github_oauth", "stripe_live", "stripe_test", "jwt"]
+    for other in ("[A-z]", "[ -~]", "[^_]", "a_b", r"a\x1f", r"[\x00-\x20]", r"[a\u0080-\u00ff]", "[^A-z]", "a\x03"):
+        assert not foldable(other), other
+    for other in (r"[^\s@]+", r"[\w.-]+", r"[-.\s/]?", r"[\]a]", "git hub"):
+        assert foldable(other), other
+
+
+def test_texts_beyond_ascii_go_through_the_batch_scan(spark):
+    rng = random.Random(11)
+    strange = ["é", "ß", "中文", "\u0301", "\u00a0", "\u2028", "\u3000", "😀", "²", "Ⅷ", "İ", "ſ", "K", "\x01", "\x02", "\x03", "\x1f", "_", "٣", "x٣٤", "\ufeff", "\U00010000"]
+    glue = ["", " ", "\n", "x", "-", "5", *strange]
+    texts = ["".join(rng.choice(SHAPES) + rng.choice(glue) + rng.choice(glue) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    texts += ["".join(rng.choice("0123456789 -.()+/x_Aab:" + "éß中😀\u00a0\u0301²") for _ in range(rng.randint(5, 90))) for _ in range(600)]
+    rules = active_rules() + [Rule(200, "X", "gap", r"\d[^0-9a-z]\d"), Rule(201, "X", "word", r"\b\w+\s\w+\b")]
+    names = {(r.entity_type, r.pattern): r.ord for r in rules}
+    out = with_candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), "text", rules, "c")
+    for r in out.select("doc_id", "c").collect():
+        want = sorted((s, e, names[kind, name]) for s, e, _, kind, name in candidates(texts[r.doc_id], rules))
+        assert sorted((s.start, s.end, s.seq) for s in r.c) == want, texts[r.doc_id][:200]
+
+
+def test_java_reads_few_rules_beyond_ascii(spark):
+    """A digit rule's class beyond ASCII stands in the plan only for texts that hold other digits."""
+    df = spark.createDataFrame([(1, "é 4111111111111111")], "doc_id long, text string")
+    plan = with_candidates(df, "text", active_rules(entity_types=["CREDIT_CARD"]), "c")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_digest_odd_" in plan and "_digest_uneven_" not in plan
+
+
 @pytest.mark.parametrize("name", ["a3_vault_sink", "f2_overwrite"])
 def test_contacts_are_masked_once(spark, tiny, monkeypatch, name):
     ran, mask_table = spark.sparkContext.accumulator(0), queries.mask_table
