@@ -20,6 +20,7 @@ from cloakwork.plans.stored import stored
 def numbered_fakes(fakes: DataFrame) -> DataFrame:
     """``entity_type, number, fake_value``: distinct values, numbered from 0 within their type without a window over a whole type."""
     rows = fakes.select("entity_type", "fake_value").filter("entity_type is not null and fake_value is not null").distinct()
+    rows = stored(rows)  # both the running value and what lies before a bucket read them
     bucket = F.conv(F.substring(F.md5("fake_value"), 1, 3), 16, 10).cast("int")
     out = running(rows, ["entity_type"], bucket, [F.col("_bucket"), F.col("fake_value")], F.lit(1), "number")
     return out.select("entity_type", F.col("number").cast("long").alias("number"), "fake_value")
@@ -36,8 +37,10 @@ def fakes_for(values: DataFrame, fakes: DataFrame, salt: str = "") -> DataFrame:
 
 def mask_with_fakes(df: DataFrame, fakes: DataFrame, text: str = "text", salt: str = "", **options) -> DataFrame:
     """``mask_table`` with every finding replaced by a value of ``fakes``; the token map is empty, as nothing can be restored."""
-    masked = mask_table(df, text, **options).withColumn("_hash", F.sha2(F.col(f"`{text}`"), 256))
-    masked = stored(masked)
+    masked = mask_table(df, text, **options)
+    order = masked.columns
+    # what is put in anew below is neither made nor written
+    masked = stored(masked.drop("masked_text", "token_map").withColumn("_hash", F.sha2(F.col(f"`{text}`"), 256)))
     texts = masked.filter(F.size("entities_found") > 0).groupBy("_hash").agg(F.any_value("entities_found").alias("_found"))
     rows = stored(texts.select("_hash", F.posexplode("_found").alias("_i", "f")).select("_hash", "_i", "f.entity_type", F.col("f.text").alias("value")))
     known = stored(fakes_for(rows.select("entity_type", "value").distinct(), stored(numbered_fakes(fakes)), salt))
@@ -52,4 +55,4 @@ def mask_with_fakes(df: DataFrame, fakes: DataFrame, text: str = "text", salt: s
     )
     done = joined.withColumn("_num", pairs).withColumn("masked_text", F.expr(spliced("_num", f"`{text}`")))
     none = F.expr("cast(array() as array<struct<token:string,value:string>>)")
-    return done.withColumn("token_map", none).drop("_hash", "_fakes", "_num")
+    return done.withColumn("token_map", none).select(*[F.col(f"`{c}`") for c in order])

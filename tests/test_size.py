@@ -8,7 +8,7 @@ from test_masking import SHAPES
 
 from cloakwork.functions.detection import with_candidates
 from cloakwork.functions.regex import to_java
-from cloakwork.operators import audit, crypto
+from cloakwork.operators import audit, crypto, synthetic
 from cloakwork.plans import derived
 from cloakwork.plans.spread import PARTITIONS
 from cloakwork.sources.rules import active_rules
@@ -92,3 +92,43 @@ def test_partial_quality_finds_spans_once(spark):
     out = audit.partial_quality(spans.mapInPandas(told, spans.schema), spans).first()
     assert (out.n_found, out.n_true, out.n_partial, out.n_exact) == (20, 20, 20, 20)
     assert ran.value == 20
+
+
+def _tasks_used(spark, df):
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_texts_and_truth_of_one_file_are_dealt_out(spark, tmp_path):
+    spark.range(200).selectExpr("id AS doc_id", "concat('mail u', id, '@example.com') AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(100).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    setting = spark.conf.get(PARTITIONS)
+    spark.conf.unset(PARTITIONS)
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        assert _tasks_used(spark, derived.documents(spark, str(tmp_path))) >= cores
+        assert _tasks_used(spark, derived.contact_truth(spark, str(tmp_path))) >= cores
+        spark.read.parquet(f"{tmp_path}/documents.parquet").repartition(3 * cores).write.parquet(f"{tmp_path}/many/documents.parquet")
+        plan = derived.documents(spark, f"{tmp_path}/many")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+    finally:
+        spark.conf.set(PARTITIONS, setting)
+
+
+def test_made_up_values_are_read_once_and_replaced_texts_not_made(spark, monkeypatch):
+    ran, kept = spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for batch in batches:
+            ran.add(batch.num_rows)
+            yield batch
+
+    fakes = spark.createDataFrame([("EMAIL_ADDRESS", f"p{i}@example.org") for i in range(50)], "entity_type string, fake_value string")
+    stored = synthetic.stored
+    monkeypatch.setattr(synthetic, "stored", lambda df: (kept.append(df.columns), stored(df))[1])
+    df = spark.createDataFrame([(1, "mail a@b.de"), (2, "none"), (3, None)], "doc_id long, text string")
+    out = synthetic.mask_with_fakes(df, fakes.mapInArrow(counted, fakes.schema), session="doc_id")
+    assert out.columns == ["doc_id", "text", "masked_text", "entities_found", "token_map", "session_id"]
+    texts = {r.doc_id: r.masked_text for r in out.collect()}
+    assert texts[1].endswith("@example.org") and texts[2] == "none" and texts[3] is None
+    assert ran.value == 50
+    assert not any("masked_text" in columns for columns in kept)
