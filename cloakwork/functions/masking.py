@@ -57,20 +57,28 @@ def decorated(kept: str, text: str, labels: str) -> str:
 
     The result is ordered by descending start; spans with the same start stay in emit order.
     """
-    return _with_pieces(text, kept, f"""transform(array_sort(transform({kept}, (k, i) -> named_struct(
+    return _with_pieces(text, kept, f"""transform(sort_array(transform({kept}, (k, i) -> named_struct(
             'back', -k.start, 'pos', i, 'k', k, 'l', {labels}))),
         o -> named_struct('entity_type', o.l.entity_type, 'start', o.k.start, 'end', o.k.end,
             'score', o.k.score, 'text', {_cut(text, "o.k.start", "o.k.end - o.k.start")},
             'pattern', o.l.pattern, 'pos', o.pos))""")
 
 
+def described(kept: str, text: str, labels: str) -> str:
+    """SQL turning spans of ``scan.kept_spans`` into the same findings."""
+    return _with_pieces(text, kept, f"""transform(transform({kept}, k -> named_struct('k', k, 'l', {labels})),
+        o -> named_struct('entity_type', o.l.entity_type, 'start', o.k.start, 'end', o.k.end,
+            'score', o.k.score, 'text', {_cut(text, "o.k.start", "o.k.end - o.k.start")},
+            'pattern', o.l.pattern, 'pos', o.k.pos))""")
+
+
 def numbered(found: str, strategy: str, salt: str) -> str:
     """SQL adding ``token`` to findings that are ordered by descending start.
 
     Numbers come from positions within one type, so the work is linear in the findings of a text.
     """
     per_type = f"transform(filter({found}, f -> f.entity_type = t), (f, n) -> {_with_token(strategy, salt)})"
-    return f"""transform(array_sort(transform(flatten(transform(
+    return f"""transform(sort_array(transform(flatten(transform(
             array_distinct(transform({found}, f -> f.entity_type)), t -> {per_type})),
             f -> named_struct('back', -f.start, 'pos', f.pos, 'f', f))), o -> o.f)"""
 
@@ -112,7 +120,13 @@ def replacement(strategy: str, salt: str = "") -> str:
     raise ValueError(f"strategy must be one of {STRATEGIES}")
 
 
-def spliced(found: str, text: str) -> str:
+def token_pairs(kept: str, text: str, kind: str) -> str:
+    """SQL for tokens and values of spans ``f`` of ``scan.kept_spans``; ``kind`` maps ``f`` to its entity type."""
+    return _with_pieces(text, kept, f"""transform({kept}, f -> named_struct('token', {token(kind, "f.n")},
+        'value', {_cut(text, "f.start", "f.end - f.start")}))""")
+
+
+def spliced(found: str, text: str, token: str = "f.token") -> str:
     """SQL replacing findings (descending start) in the text by their tokens.
 
     Without overlaps the text is put together from the pieces between findings. Where kept findings
@@ -121,10 +135,10 @@ def spliced(found: str, text: str) -> str:
     overlap = f"exists(sequence(0, size({found}) - 2), i -> {found}[i + 1].end > {found}[i].start)"
     before = f"if(i = 0, 0, {found}[size({found}) - i].end)"
     joined = f"""array_join(transform({found_ascending(found)}, (f, i) -> concat(
-        {_cut(text, before, f"f.start - {before}")}, f.token)), '')"""
+        {_cut(text, before, f"f.start - {before}")}, {token})), '')"""
     pieces = f"concat({_with_pieces(text, found, joined)}, substring({text}, {found}[0].end + 1))"
     fold = f"""aggregate({found}, {text}, (acc, f) ->
-        concat(substring(acc, 1, f.start), f.token, substring(acc, f.end + 1)))"""
+        concat(substring(acc, 1, f.start), {token}, substring(acc, f.end + 1)))"""
     return f"""case when {text} is null or size({found}) <= 0 then {text}
         when size({found}) > 1 and {overlap} then {fold} else {pieces} end"""
 

@@ -63,16 +63,11 @@ def island_numbers(sorted_spans: Column) -> Column:
     return F.arrow_udf(numbers, "array<int>")(sorted_spans)
 
 
-def kept_places(sorted_spans: Column, mode: str = "compat") -> Column:
-    """``array<struct<at,island,pos>>`` of the kept spans, in emit order: the place of each in ``sorted_spans`` (an array of ``struct<start,
-    end,seq,score>`` sorted by ``sort_array``), the number of its island from 0 and its order within the island. A null array keeps none.
-
-    All functions are made here, so that they travel with the task and workers need not import this package.
-    """
+def chooser(mode: str = "compat") -> Callable:
+    """Made here and not at the top, like the functions above."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     begins = _island_finder()
-    place = pa.struct([("at", pa.int32()), ("island", pa.int32()), ("pos", pa.int32())])
 
     def walk(first: int, last: int, start: list, end: list, seq: list, score: list) -> list[int]:
         """Kept spans of one island."""
@@ -108,7 +103,9 @@ def kept_places(sorted_spans: Column, mode: str = "compat") -> Column:
             kept.append(best)
         return kept
 
-    def kept_in(spans: pa.Array) -> pa.Array:
+    def kept(spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the kept spans of sorted arrays, in emit order: place among all spans of the arrays, array, number of the island within
+        the array, order within the island; and where each array begins."""
         start, end, edges, first = begins(spans)
         flat = spans.flatten()
         # a score that is missing wins nothing
@@ -117,9 +114,9 @@ def kept_places(sorted_spans: Column, mode: str = "compat") -> Column:
         isles = np.append(np.flatnonzero(first), len(first))
         at, own = [], []  # kept spans, and how many of them each island has
         for begin, last in zip(isles[:-1].tolist(), isles[1:].tolist()):
-            kept = [begin] if last - begin == 1 else walk(begin, last, start, end, seq, score)
-            at += kept
-            own.append(len(kept))
+            chosen = [begin] if last - begin == 1 else walk(begin, last, start, end, seq, score)
+            at += chosen
+            own.append(len(chosen))
         own, at = np.array(own, np.int64), np.array(at, np.int64)
         row_of_isle = np.searchsorted(edges, isles[:-1], side="right") - 1
         isles_of_row = np.bincount(row_of_isle, minlength=len(spans))
@@ -127,6 +124,22 @@ def kept_places(sorted_spans: Column, mode: str = "compat") -> Column:
         row = row_of_isle[isle]
         pos = np.arange(len(at)) - (np.cumsum(own) - own)[isle]
         number = isle - (np.cumsum(isles_of_row) - isles_of_row)[row]
+        return at, row, number, pos, edges
+
+    return kept
+
+
+def kept_places(sorted_spans: Column, mode: str = "compat") -> Column:
+    """``array<struct<at,island,pos>>`` of the kept spans, in emit order: the place of each in ``sorted_spans`` (an array of ``struct<start,
+    end,seq,score>`` sorted by ``sort_array``), the number of its island from 0 and its order within the island. A null array keeps none.
+
+    All functions are made here, so that they travel with the task and workers need not import this package.
+    """
+    kept = chooser(mode)
+    place = pa.struct([("at", pa.int32()), ("island", pa.int32()), ("pos", pa.int32())])
+
+    def kept_in(spans: pa.Array) -> pa.Array:
+        at, row, number, pos, edges = kept(spans)
         offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(spans)))])
         values = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in (at - edges[row], number, pos)], fields=list(place))
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)

@@ -7,7 +7,8 @@ from second_opinion import candidates
 from test_masking import SHAPES
 
 from cloakwork.functions.detection import with_candidates
-from cloakwork.functions.scan import SLICE, foldable, to_re2
+from cloakwork.functions.scan import SAMPLE, SLICE, foldable, to_re2
+from cloakwork.operators import analyze, mask
 from cloakwork.plans import queries
 from cloakwork.sources.rules import Rule, active_rules, default_rules
 
@@ -78,3 +79,48 @@ def test_contacts_are_masked_once(spark, tiny, monkeypatch, name):
     monkeypatch.setattr(queries, "mask_table", told)
     queries.REGISTRY[name](spark, tiny).count()
     assert ran.value == spark.read.parquet(f"{tiny}/customer.parquet").count()
+
+
+def test_masks_take_one_step(spark):
+    """Rules and overlaps take one pass over Arrow batches, and no rule stands in the plan."""
+    df = spark.createDataFrame([(1, "é a@b.de 123-45-6789")], "doc_id long, text string")
+    plan = mask.mask_table(df, session="doc_id").select("masked_text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "RLIKE" not in plan and "regexp_replace" not in plan
+
+
+@pytest.mark.parametrize("mode", ["compat", "longest"])
+def test_one_step_gives_what_two_give(spark, monkeypatch, mode):
+    rng = random.Random(17)
+    strange = ["é", "ß", "中文", "\u0301", "\u00a0", "\u2028", "😀", "²", "Ⅷ", "İ", "ſ", "K", "\x01", "\x02", "\x03", "\x1f", "_", "٣", "x٣٤", "１２", "\U00010000"]
+    glue = ["", " ", "\n", "x", "-", "5", "@", "a@b.cc0", "'", '"', *strange]
+    texts = ["".join(rng.choice(SHAPES) + rng.choice(glue) + rng.choice(glue) for _ in range(rng.randint(1, 30))) for _ in range(5 * SAMPLE)]
+    texts += ["".join(rng.choice("0123456789 -.()+/x_Aab:@." + "éß中😀\u00a0\u0301²٣１") for _ in range(rng.randint(5, 90))) for _ in range(9 * SAMPLE)]
+    texts += ["".join(rng.choice([" ", "a", ".", "-", "@", "b.cd", "%", "|", "é"]) for _ in range(rng.randint(5, 40))) for _ in range(9 * SAMPLE)]
+    texts += ["plain words"] * (5 * SAMPLE) + ["x 07123 456789 gho_" + "a1" * 18, None, "", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+
+    def rows():
+        some = mask.mask_table(df, session="doc_id", mode=mode, entities_to_mask=["EMAIL_ADDRESS", "PHONE_NUMBER"]).drop("text")
+        hashed = mask.mask_table(df, session="doc_id", mode=mode, strategy="HASH").drop("text")
+        return [sorted(out.collect()) for out in (mask.mask_table(df, session="doc_id", mode=mode), some, hashed, analyze.analyze(df, mode=mode))]
+
+    got = rows()
+    for module in (mask, analyze):
+        monkeypatch.setattr(module, "in_one_step", lambda rules: False)
+    for new, old in zip(got, rows()):
+        for a, b in zip(new, old, strict=True):
+            assert a == b, texts[a.doc_id]
+
+
+def test_rules_of_other_dialects_stay_with_java(spark):
+    for regex, value in ((r"(?<=ssn )\d+", "12"), (r"\p{Lu}{3}", "ABC")):
+        df = spark.createDataFrame([(1, "ssn 12 ABC")], "doc_id long, text string")
+        out = mask.mask_table(df, session="doc_id", rules=[*active_rules(), Rule(200, "X", "x", regex)]).first()
+        assert [(p.token, p.value) for p in out.token_map] == [("{{__OWL:X_1__}}", value)]
+
+
+def test_long_runs_beyond_ascii_cost_their_length(spark):
+    texts = ["é " + "ab.%" * 50_000 + " a@b.de", "٣ " + "ab" * 100_000 + "@ a@b.de", "é " + "a@" * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: [p.value for p in r.token_map] for r in mask.mask_table(df, session="doc_id").select("doc_id", "token_map").collect()}
+    assert out == {0: ["a@b.de"], 1: ["a@b.de"], 2: []}
