@@ -120,7 +120,7 @@ def test_rules_of_other_dialects_stay_with_java(spark):
 
 
 def test_long_runs_beyond_ascii_cost_their_length(spark):
-    texts = ["é " + "ab.%" * 50_000 + " a@b.de", "٣ " + "ab" * 100_000 + "@ a@b.de", "é " + "a@" * 50_000]
+    texts = ["é " + "ab.%" * 50_000 + " a@b.de", "٣ " + "a-" * 100_000 + "@ a@b.de", "é " + "a@" * 50_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = {r.doc_id: [p.value for p in r.token_map] for r in mask.mask_table(df, session="doc_id").select("doc_id", "token_map").collect()}
     assert out == {0: ["a@b.de"], 1: ["a@b.de"], 2: []}
