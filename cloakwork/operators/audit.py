@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions.tokens import TOKEN_TYPE_JAVA
 from cloakwork.operators.spans import overlapping_pairs
-from cloakwork.plans.skew import join_hot
+from cloakwork.plans.skew import join_hot, join_large
 from cloakwork.plans.stored import stored
 from cloakwork.schemas import AUDIT
 
@@ -173,10 +173,10 @@ def agreement(model: DataFrame, rules: DataFrame, key: str = "doc_id") -> DataFr
         )
     )
     alone = [
-        join_hot(ours.select(F.col("_id").alias("_l"), "label"), pairs.select("_l").distinct(), ["_l"], "left_anti").select(
+        join_large(ours.select(F.col("_id").alias("_l"), "label"), pairs.select("_l").distinct(), ["_l"], "left_anti").select(
             "label", F.lit(None).cast("string").alias("rule_type"), F.lit(None).cast("string").alias("pattern")
         ),
-        join_hot(theirs.select(F.col("_id").alias("_r"), F.col("entity_type").alias("rule_type"), "pattern"), pairs.select("_r").distinct(), ["_r"], "left_anti").select(
+        join_large(theirs.select(F.col("_id").alias("_r"), F.col("entity_type").alias("rule_type"), "pattern"), pairs.select("_r").distinct(), ["_r"], "left_anti").select(
             F.lit(None).cast("string").alias("label"), "rule_type", "pattern"
         ),
     ]

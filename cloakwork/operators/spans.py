@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from cloakwork.functions.detection import SPAN
 from cloakwork.functions.overlap import island_numbers, kept_places
-from cloakwork.plans.skew import join_hot, running
+from cloakwork.plans.skew import join_large, running
 from cloakwork.plans.stored import stored
 
 CHUNK = 65_536
@@ -116,7 +116,7 @@ def overlapping_pairs(left: DataFrame, right: DataFrame, key: str = "doc_id", wi
         whole = F.struct(*[F.col(f"`{c}`") for c in spans.columns]).alias(name)
         return spans.filter("start is not null and end is not null").select(F.col(key).alias("_key"), F.explode(F.sequence(first, last)).alias("_at"), whole)
 
-    both = join_hot(rows(left, "l"), rows(right, "r"), ["_key", "_at"])
+    both = join_large(rows(left, "l"), rows(right, "r"), ["_key", "_at"])
     meet = "(l.start <= r.start and r.start < l.end) or (r.start <= l.start and l.start < r.end)"
     return both.filter(meet).filter(f"_at = greatest(l.start, r.start) div {width}").select("l", "r")
 

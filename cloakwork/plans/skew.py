@@ -16,6 +16,15 @@ def join_hot(df: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner")
     return df.join(dim, keys, how)
 
 
+def join_large(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join two sides that both grow with the spans; neither is sent to the driver to be broadcast.
+
+    The size that a plan is made by is that of compressed files, and rows that are exploded count once. Spans compress to a few
+    bytes each, so by that size millions of them look small, and broadcasting them takes the driver hundreds of megabytes.
+    """
+    return df.join(other.hint("merge"), keys, how)
+
+
 _RUNNING = {"sum": F.sum, "max": F.max}
 
 

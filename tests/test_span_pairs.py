@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cloakwork.operators import audit
@@ -10,6 +11,24 @@ from cloakwork.operators.spans import overlapping_pairs
 KIND = "doc_id long, entity_type string, start int, end int, seq long"
 
 
+@pytest.fixture
+def no_broadcast(spark, monkeypatch):
+    """Fails where a join would send a side to the driver, though every table here is far below the size up to which Spark does so."""
+    plans, stored = [], audit.stored
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(audit, "stored", lambda df: stored(planned(df)))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    yield planned
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not any("Broadcast" in p for p in plans), plans
+
+
 def made(rng, n, docs, reach, longest):
     out = []
     for i in range(n):
@@ -71,3 +90,10 @@ def test_matching_one_to_one(spark):
     empty = f.limit(0)
     assert audit.matched_spans(empty, g).collect() == []
     assert all(r.n_found == 0 and r.precision_exact == 0 for r in audit.partial_quality(empty, g).collect())
+
+
+def test_agreement_broadcasts_no_spans(spark, no_broadcast):
+    model = spark.createDataFrame([(1, "person", "PERSON", 0, 9), (2, "email", "EMAIL_ADDRESS", 3, 4)], "doc_id long, label string, entity_type string, start int, end int")
+    rules = spark.createDataFrame([(1, "name", "PERSON", 0, 9), (1, "mail", "EMAIL_ADDRESS", 20, 30)], "doc_id long, pattern string, entity_type string, start int, end int")
+    got = {tuple(r) for r in no_broadcast(audit.agreement(model, rules)).collect()}
+    assert got == {("person", "PERSON", "name", 1, 1, 0, 1), ("email", None, None, 1, 0, 0, 0), (None, "EMAIL_ADDRESS", "mail", 1, 0, 0, 0)}
