@@ -96,7 +96,7 @@ def overlap_counts(spans: DataFrame, key: str = "doc_id", chunk: int = CHUNK) ->
             F.max(F.when(F.col("turn") == 0, F.col("n_begun"))) - F.max(F.when(F.col("turn") == 2, F.col("n_ended")))
         ).alias("overlaps")
     )
-    return spans.join(counts, ident)
+    return join_large(spans, counts, ident)
 
 
 PAIR_WIDTH = 64

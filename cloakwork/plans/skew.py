@@ -56,7 +56,7 @@ def running(
     inner = df.withColumn(
         "_inner", agg("_value").over(Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(*before))
     )
-    joined = inner.join(heads, [*keys, "_bucket"])
+    joined = join_large(inner, heads, [*keys, "_bucket"])
     if how == "sum":
         result = F.coalesce(F.col("_inner"), F.lit(0)) + F.coalesce(F.col("_head"), F.lit(0))
     else:

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloakwork.operators import audit
-from cloakwork.operators.spans import overlapping_pairs
+from cloakwork.operators.spans import overlap_counts, overlapping_pairs
+from cloakwork.plans.stored import stored
 
 KIND = "doc_id long, entity_type string, start int, end int, seq long"
 
@@ -14,7 +15,7 @@ KIND = "doc_id long, entity_type string, start int, end int, seq long"
 @pytest.fixture
 def no_broadcast(spark, monkeypatch):
     """Fails where a join would send a side to the driver, though every table here is far below the size up to which Spark does so."""
-    plans, stored = [], audit.stored
+    plans = []
 
     def planned(df):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
@@ -97,3 +98,9 @@ def test_agreement_broadcasts_no_spans(spark, no_broadcast):
     rules = spark.createDataFrame([(1, "name", "PERSON", 0, 9), (1, "mail", "EMAIL_ADDRESS", 20, 30)], "doc_id long, pattern string, entity_type string, start int, end int")
     got = {tuple(r) for r in no_broadcast(audit.agreement(model, rules)).collect()}
     assert got == {("person", "PERSON", "name", 1, 1, 0, 1), ("email", None, None, 1, 0, 0, 0), (None, "EMAIL_ADDRESS", "mail", 1, 0, 0, 0)}
+
+
+def test_overlap_counts_broadcasts_no_spans(spark, no_broadcast):
+    df = spark.createDataFrame([(1, 0, 9, 0), (1, 3, 5, 1), (1, 20, 30, 2), (2, 3, 5, 3)], "doc_id long, start int, end int, seq int")
+    got = {r.seq: r.overlaps for r in no_broadcast(overlap_counts(stored(df), chunk=4)).collect()}
+    assert got == {0: 2, 1: 2, 2: 1, 3: 1}
