@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions.tokens import TOKEN_TYPE_JAVA
 from cloakwork.operators.spans import overlapping_pairs
-from cloakwork.plans.skew import join_hot, join_large
+from cloakwork.plans.skew import join_large
 from cloakwork.plans.stored import stored
 from cloakwork.schemas import AUDIT
 
@@ -215,11 +215,11 @@ def matched_spans(found: DataFrame, gold: DataFrame, key: str = "doc_id") -> Dat
         best = [ranked.groupBy(*side).agg(F.min("_rank").alias("_best")) for side in (ours, theirs)]
         taken = ranked
         for side, least in zip((ours, theirs), best):
-            taken = join_hot(taken, least.withColumnRenamed("_best", "_rank"), [*side, "_rank"], "left_semi")
+            taken = join_large(taken, least.withColumnRenamed("_best", "_rank"), [*side, "_rank"], "left_semi")
         taken = stored(taken.drop("_rank"))
         out = taken if out is None else out.unionByName(taken)
         for side in (ours, theirs):
-            left = join_hot(left, taken.select(*side), side, "left_anti")
+            left = join_large(left, taken.select(*side), side, "left_anti")
         left = stored(left)
     out = left if out is None else out
     return out.select("_doc.*", "f_start", "f_end", "g_start", "g_end", "share")

@@ -104,3 +104,10 @@ def test_overlap_counts_broadcasts_no_spans(spark, no_broadcast):
     df = spark.createDataFrame([(1, 0, 9, 0), (1, 3, 5, 1), (1, 20, 30, 2), (2, 3, 5, 3)], "doc_id long, start int, end int, seq int")
     got = {r.seq: r.overlaps for r in no_broadcast(overlap_counts(stored(df), chunk=4)).collect()}
     assert got == {0: 2, 1: 2, 2: 1, 3: 1}
+
+
+def test_matching_broadcasts_no_spans(spark, no_broadcast):
+    found = spark.createDataFrame([(1, "A", 0, 9), (1, "A", 5, 12), (2, "A", 3, 4)], "doc_id long, entity_type string, start int, end int")
+    gold = spark.createDataFrame([(1, "A", 4, 9), (2, "B", 3, 4)], found.schema)
+    got = [tuple(r) for r in no_broadcast(audit.matched_spans(found, gold)).collect()]
+    assert got == [(1, "A", 0, 9, 4, 9, 5 / 9)]
