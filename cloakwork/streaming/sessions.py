@@ -4,7 +4,7 @@
 map from token to value, and the rows that wait for the watermark. A reply reads the tokens that it holds, and those that
 their values bring forth; a put or an extend writes the tokens it brings. Neither reads or writes the rest of the map. Timers on event
 time apply what the watermark has passed and give a session up when its time to live has passed (state TTL proper runs by
-the clock, which a replay would not repeat).
+the clock, which a replay would not repeat). Rows of timers that are fetched together leave in one frame.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ def _processor(to_live: int, token_regex: str) -> StatefulProcessor:
         def init(self, handle) -> None:
             import re
 
+            self.out = []
             self.find = re.compile(token_regex).findall
             self.handle = handle
             self.head = handle.getValueState("head", "seen long, live boolean, next long, due long")
@@ -42,11 +43,11 @@ def _processor(to_live: int, token_regex: str) -> StatefulProcessor:
                 self.waiting.appendList(fresh)
                 self.handle.registerTimer(min(r[0] for r in fresh) // 1000 + 1)
             if late:
-                yield self.shown(key, [(us, op_id, op, False, True, text, None, None) for us, op_id, op, _, _, text in late])
+                yield self.shown([(key[0], us, op_id, op, False, True, text, None, None) for us, op_id, op, _, _, text in late])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             mark = timerValues.getCurrentWatermarkInMs()
-            rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[2] == "reply", r[1])) if self.waiting.exists() else []
+            rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[2] == "reply", r[1]))
             ready = [r for r in rows if r[0] < mark * 1000]
             rest = rows[len(ready) :]
             if ready:
@@ -55,12 +56,19 @@ def _processor(to_live: int, token_regex: str) -> StatefulProcessor:
                     self.handle.registerTimer(rest[0][0] // 1000 + 1)
                 else:
                     self.waiting.clear()
-            out = self.applied(ready, mark)
-            if out:
-                yield self.shown(key, out)
+            self.out += [(key[0], *r) for r in self.applied(ready, mark)]
+            if self.out and not self.more_timers():
+                out, self.out = self.out, []
+                yield self.shown(out)
+
+        def more_timers(self):
+            """Whether timers that were fetched with this one are still to come: then its rows go with theirs, as a frame for each
+            session costs far more than its rows. Where that cannot be told, they go at once."""
+            return bool(getattr(getattr(self.handle, "_statefulProcessorApiClient", None), "expiry_timer_iterator_cursors", None))
 
         def applied(self, ready, mark):
-            seen, live, place, due = self.head.get() if self.head.exists() else (0, False, 0, 0)
+            held = self.head.get()
+            seen, live, place, due = held or (0, False, 0, 0)
             before = (seen, live, place, due)
             # what this call has read or written of the map, and whether the stored map is void
             self.known, self.dirty, self.void = {}, set(), not live
@@ -90,7 +98,7 @@ def _processor(to_live: int, token_regex: str) -> StatefulProcessor:
             for token in self.dirty:
                 self.map.updateValue((token,), self.known[token])
             if not live:
-                if self.head.exists():
+                if held:
                     self.head.clear()
                 return out
             due = -(-(seen + to_live) // 1000)
@@ -119,14 +127,15 @@ def _processor(to_live: int, token_regex: str) -> StatefulProcessor:
                 for token, (_, value) in sorted(pairs.items(), key=lambda p: p[1][0]):
                     now = now.replace(token, value or "")
 
-        def shown(self, key, rows):
+        def shown(self, rows):
             import pandas as pd
 
             names = ["session_id", "us", "op_id", "op", "done", "late", "text", "tokens", "values"]
-            return pd.DataFrame([(key[0], *r) for r in rows], columns=names)
+            return pd.DataFrame(rows, columns=names)
 
         def close(self) -> None:
-            pass
+            if self.out:
+                raise RuntimeError(f"{len(self.out)} rows of sessions were not handed on")
 
     return Sessions()
 

@@ -155,3 +155,39 @@ def test_interval_join_of_tokens(spark, tmp_path):
         (7, None, 0, True), (8, a, 0, True), (9, "new", 1, True), (10, a, 0, False),
     ]
     assert [g for g in got if g[0] != 99] == want
+
+
+def test_sessions_of_timers_that_came_together_leave_together():
+    """Against states in memory: a frame for each session, as it was before, cost far more than its rows."""
+    from types import SimpleNamespace
+
+    import pytest
+
+    from cloakwork.streaming import sessions
+
+    waiting, now = {k: [(5, k, "put", ["t"], ["v"], None), (6, k, "reply", [], [], "t")] for k in range(3)}, SimpleNamespace(key=None)
+    left = {}
+    nothing = SimpleNamespace(get=lambda: None)
+    rows = SimpleNamespace(get=lambda: iter(waiting[now.key]), clear=lambda: waiting.pop(now.key))
+    handle = SimpleNamespace(
+        getValueState=lambda *_: nothing, getMapState=lambda *_: nothing, getListState=lambda *_: rows, _statefulProcessorApiClient=SimpleNamespace(expiry_timer_iterator_cursors=left)
+    )
+    processor, times = sessions._processor(1000, "t"), SimpleNamespace(getCurrentWatermarkInMs=lambda: 99)
+    processor.init(handle)
+
+    def fired(key, *more):
+        now.key = key
+        left.clear()
+        left.update(dict.fromkeys(more))
+        return list(processor.handleExpiredTimer((str(key),), times, None))
+
+    assert fired(0, "more") == [] and fired(1, "more") == []
+    with pytest.raises(RuntimeError):
+        processor.close()
+    (frame,) = fired(2)
+    assert [(r.session_id, r.op, r.done, r.late) for r in frame.itertuples()] == [(str(k), op, True, False) for k in range(3) for op in ("put", "reply")]
+    processor.close()
+    # where the timers still to come cannot be told, rows go at once
+    waiting[0], handle._statefulProcessorApiClient = [(5, 0, "put", ["t"], ["v"], None)], None
+    (frame,) = fired(0, "more")
+    assert len(frame) == 1
