@@ -9,7 +9,7 @@ the clock, which a replay would not repeat). Rows of timers that are fetched tog
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -20,6 +20,14 @@ _EVENT = "us long, op_id long, op string, tokens array<string>, values array<str
 OUT = "session_id string, us long, op_id long, op string, done boolean, late boolean, text string, tokens array<string>, values array<string>"
 
 
+def keep_on_disk(spark: SparkSession) -> None:
+    """State of the streams that start from now on lies in RocksDB, whose stores share one bounded cache in each executor; a join
+    keeps one store for each partition, not four."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    spark.conf.set("spark.sql.streaming.join.stateFormatVersion", "3")
+
+
 def _processor(to_live: int, token_regex: str) -> StatefulProcessor:
     # made here, so that it travels with the task and workers need not import this package
     class Sessions(StatefulProcessor):

@@ -91,7 +91,9 @@ def stream_demask_join(replies: DataFrame, masks: DataFrame, ttl: float = TTL_SE
     put, and only that put's values count. So state holds single tokens for the time to live, no map is carried, and no Python
     runs. ``reply_id`` tells replies of one session and moment apart. Tokens inside restored values stay as they are.
     Like all joins of streams this one drops rows behind the watermark; ``stream_demask`` gives them back instead.
+    State lies on disk, not in the executors' heap: all that the delay and the time to live hold back may be far larger than that.
     """
+    sessions.keep_on_disk(replies.sparkSession)
     mark = F.lit("").alias("token")
     tokens = F.expr(f"array_distinct(regexp_extract_all(text, {sql_string(TOKEN_JAVA)}, 0))")
     asked = replies.withWatermark("ts", delay).select(

@@ -191,3 +191,21 @@ def test_sessions_of_timers_that_came_together_leave_together():
     waiting[0], handle._statefulProcessorApiClient = [(5, 0, "put", ["t"], ["v"], None)], None
     (frame,) = fired(0, "more")
     assert len(frame) == 1
+
+
+def test_the_join_of_tokens_keeps_its_state_out_of_the_heap(spark, tmp_path):
+    a = "{{__OWL:A_1__}}"
+    masks = spark.createDataFrame([("s", at(0), [(a, "one")]), ("z", at(99_999), [])], "session_id string, mask_ts timestamp, token_map array<struct<token:string,value:string>>")
+    replies = spark.createDataFrame([(1, "s", at(50), a), (99, "z", at(99_999), a)], "reply_id long, session_id string, ts timestamp, text string")
+    left = stream_of(spark, replies, tmp_path, "r", [replies.filter("reply_id = 1"), replies.filter("reply_id = 99")])
+    right = stream_of(spark, masks, tmp_path, "m", [masks.filter("session_id = 's'"), masks.filter("session_id = 'z'")])
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    out = streams.stream_demask_join(left, right, 900, "1 hour")
+    query = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = [o for p in query.recentProgress for o in __import__("json").loads(p.json)["stateOperators"]]
+    assert {o["operatorName"] for o in kept} == {"symmetricHashJoin", "stateStoreSave"}
+    assert all(any(name.startswith("rocksdb") for name in o["customMetrics"]) for o in kept)
+    # one store for each partition of the join, not four
+    assert all(o["numStateStoreInstances"] == o["numShufflePartitions"] for o in kept)
+    assert {r.reply_id: r.original_text for r in spark.read.parquet(f"{tmp_path}/out").collect()}[1] == "one"
